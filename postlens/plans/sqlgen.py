@@ -126,3 +126,25 @@ def with_cleaned(*extra: str, dedup: bool = True) -> str:
     if extra:
         body = body.rstrip("\n") + ",\n" + ",\n".join(extra) + "\n"
     return "WITH " + body
+
+
+def quote_re(term: str) -> str:
+    return "".join("\\" + ch if ch in set("\\.^$|?*+()[]{}") else ch for ch in term)
+
+
+def term_cond(low: str, term: str, mode: str) -> str:
+    if mode == "substring":
+        return f"contains({low}, {s(term)})"
+    if mode == "boundary":
+        return f"regexp_matches({low}, {s(chr(92) + 'b' + quote_re(term) + chr(92) + 'b')})"
+    nw = "[^\\p{L}\\p{N}_]"
+    return f"regexp_matches({low}, {s('(^|' + nw + ')' + quote_re(term) + '(' + nw + '|$)')})"
+
+
+def dictionary_terms(low: str, terms, mode: str) -> str:
+    cases = ", ".join(f"CASE WHEN {term_cond(low, t, mode)} THEN {s(label)} END" for t, label in terms)
+    return f"list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL)))"
+
+
+def first_regex(low: str, rules, default: str = "NULL") -> str:
+    return regex_chain(low, rules, default)
