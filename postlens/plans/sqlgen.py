@@ -57,7 +57,7 @@ def lookup(expr: str, pairs: Sequence[tuple[str, object]], default: str) -> str:
     seen: dict[str, object] = {}
     for k, v in pairs:
         seen.setdefault(k, v)
-    whens = " ".join(f"WHEN {s(k)} THEN {s(v) if isinstance(v, str) else repr(float(v))}" for k, v in seen.items())
+    whens = " ".join(f"WHEN {s(k)} THEN {s(v) if isinstance(v, str) else f"CAST({float(v)!r} AS DOUBLE)"}" for k, v in seen.items())
     return f"CASE {expr} {whens} ELSE {default} END"
 
 
