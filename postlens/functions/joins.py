@@ -1,0 +1,22 @@
+"""Join-side helpers: broadcast only what has been measured small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def small(df: DataFrame, max_rows: int, collect: bool = False):
+    """Broadcast ``df`` after checking it has at most ``max_rows`` rows.
+
+    The check is one count on the small side. Beyond the bound the frame is
+    returned unhinted, so the planner (with AQE) picks a shuffle join instead;
+    with ``collect=True`` the rows are returned, and exceeding the bound is
+    an error, since the caller would ship them inside a task closure.
+    """
+    n = df.limit(max_rows + 1).count()
+    if collect:
+        if n > max_rows:
+            raise ValueError(f"side has more than {max_rows} rows; refusing to ship it to every task")
+        return df.collect()
+    return F.broadcast(df) if n <= max_rows else df
