@@ -1 +1,93 @@
-"""Registered queries."""
+"""Registered queries: snapshots, comparisons, series, forecasts (I1-I7) on ``events``.
+
+A day's event counts per ``event_type`` play the role of a snapshot's skill
+counts (30 days in the driver's table).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postlens.operators import trends as T
+from postlens.plans.registry import query
+from postlens.sources import fixtures
+
+_SNAP = ("snap AS (SELECT CAST(ts AS DATE) AS snapshot_date, event_type AS key, count(*) AS count FROM events "
+         "GROUP BY 1, 2), dates AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS date_rank "
+         "FROM (SELECT DISTINCT snapshot_date FROM snap))")
+
+
+def _snap(spark, sf_dir, key="event_type"):
+    ev = fixtures.table(spark, sf_dir, "events")
+    return T.daily_snapshots(ev, "ts", key)
+
+
+@query("daily_snapshots", "I1", oracle="WITH " + _SNAP + " SELECT snapshot_date, key, count FROM snap")
+def q_daily_snapshots(spark, sf_dir):
+    return _snap(spark, sf_dir)
+
+
+@query("compare_periods", "I2", oracle="WITH " + _SNAP + (
+    ", r AS (SELECT s.*, d.date_rank FROM snap s JOIN dates d USING (snapshot_date) WHERE d.date_rank <= 2), "
+    "k AS (SELECT coalesce(c.key, p.key) AS key, coalesce(c.count, 0) AS current, coalesce(p.count, 0) AS previous "
+    "FROM (SELECT * FROM r WHERE date_rank = 1) c FULL OUTER JOIN (SELECT * FROM r WHERE date_rank = 2) p ON c.key = p.key), "
+    "kk AS (SELECT *, current - previous AS change FROM k WHERE current - previous <> 0 ORDER BY abs(current - previous) DESC, key LIMIT 10), "
+    "t AS (SELECT coalesce(sum(count) FILTER (WHERE date_rank = 1), 0) AS current, "
+    "coalesce(sum(count) FILTER (WHERE date_rank = 2), 0) AS previous FROM r) "
+    "SELECT 'total' AS kind, NULL::VARCHAR AS key, current, previous, current - previous AS change, "
+    "CASE WHEN previous > 0 THEN round((current - previous) / previous * 100 * 10) / 10 ELSE 0.0 END AS change_percent, "
+    "CASE WHEN current > previous THEN 'up' WHEN current < previous THEN 'down' ELSE 'flat' END AS trend, NULL::INTEGER AS rank FROM t "
+    "UNION ALL SELECT 'key', key, current, previous, change, NULL::DOUBLE, CASE WHEN change > 0 THEN 'up' ELSE 'down' END, "
+    "CAST(row_number() OVER (ORDER BY abs(change) DESC, key) AS INTEGER) FROM kk"))
+def q_compare_periods(spark, sf_dir):
+    return T.compare_periods(_snap(spark, sf_dir))
+
+
+@query("new_top_users", "I3", oracle=(
+    "WITH snap AS (SELECT CAST(ts AS DATE) AS snapshot_date, CAST(user_id AS VARCHAR) AS key, count(*) AS count FROM events GROUP BY 1, 2), "
+    "dates AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS date_rank FROM (SELECT DISTINCT snapshot_date FROM snap)), "
+    "tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY count DESC, key) AS r FROM snap) WHERE r <= 10) "
+    "SELECT key FROM tops JOIN dates USING (snapshot_date) WHERE date_rank = 1 AND key NOT IN "
+    "(SELECT key FROM tops JOIN dates USING (snapshot_date) WHERE date_rank = 2) ORDER BY key LIMIT 10"))
+def q_new_top_users(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events").withColumn("user", F.col("user_id").cast("string"))
+    return T.new_keys(T.daily_snapshots(ev, "ts", "user"))
+
+
+_SERIES = _SNAP + ", ser AS (SELECT key, snapshot_date, count FROM snap JOIN dates USING (snapshot_date) WHERE date_rank <= 30)"
+
+
+@query("skill_series", "I4", oracle="WITH " + _SERIES + " SELECT * FROM ser")
+def q_skill_series(spark, sf_dir):
+    return T.series(_snap(spark, sf_dir))
+
+
+_FC = _SERIES + (
+    ", xs AS (SELECT key, CAST(date_diff('day', min(snapshot_date) OVER (PARTITION BY key), snapshot_date) AS DOUBLE) AS x, "
+    "CAST(count AS DOUBLE) AS y FROM ser), "
+    "g AS (SELECT key, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, var_pop(y) AS vy, "
+    "max(x) AS x_last, arg_max(y, x) AS y_last, count(*) AS points, count(DISTINCT x) AS nx FROM xs GROUP BY key), "
+    "fc AS (SELECT key, CAST(y_last AS BIGINT) AS current_count, "
+    "round(greatest(0.0, slope * (x_last + 90) + intercept) * 10) / 10 AS predicted_count, "
+    "round(slope * 10000) / 10000 AS growth_rate, "
+    "round(CASE WHEN vy > 0 THEN greatest(0.0, least(1.0, r2)) ELSE 0.0 END * 1000) / 1000 AS confidence, "
+    "points AS data_points FROM g WHERE points >= 2 AND nx >= 2)")
+
+
+@query("skill_forecast", "I5", oracle="WITH " + _FC + " SELECT * FROM fc")
+def q_skill_forecast(spark, sf_dir):
+    return T.forecast(T.series(_snap(spark, sf_dir)))
+
+
+@query("growth_classes", "I6", oracle="WITH " + _FC + (
+    " SELECT key, growth_rate, CASE WHEN growth_rate > 0.1 THEN 'rising' WHEN growth_rate < -0.1 THEN 'declining' "
+    "ELSE 'stable' END AS growth_class FROM fc"))
+def q_growth_classes(spark, sf_dir):
+    return T.growth_classes(T.forecast(T.series(_snap(spark, sf_dir))))
+
+
+@query("first_last_change", "I7", oracle="WITH " + _SERIES + (
+    " SELECT key, arg_min(count, snapshot_date) AS first, arg_max(count, snapshot_date) AS last, "
+    "arg_max(count, snapshot_date) - arg_min(count, snapshot_date) AS change FROM ser GROUP BY key HAVING count(*) >= 2"))
+def q_first_last_change(spark, sf_dir):
+    return T.first_last_change(T.series(_snap(spark, sf_dir)))
