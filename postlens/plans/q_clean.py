@@ -94,3 +94,62 @@ def q_data_quality_report(spark, sf_dir):
     ") AS t(metric, value)"))
 def q_cleaned_summary(spark, sf_dir):
     return C.cleaned_summary(cleaned(spark, sf_dir))
+
+
+@query("content_job_ids", "A6", oracle=_P + (
+    " SELECT job_id, substr(md5(coalesce(title, 'None') || '_' || coalesce(company, 'None') || '_' || "
+    "coalesce(location, 'None') || '_' || strftime(posted_at, '%Y%m%d')), 1, 12) AS content_id FROM postings"))
+def q_content_job_ids(spark, sf_dir):
+    from postlens.sources.io import content_job_id
+
+    df = fixtures.postings(spark, sf_dir)
+    return df.select("job_id", content_job_id(day="posted_at").alias("content_id"))
+
+
+_ALL = ", ".join(f"{c} ASC NULLS FIRST" for c in POSTING_COLUMNS)
+
+
+@query("collect_sources", "A7", oracle=_P + (
+    ", u AS (SELECT job_id, title, company, location, description, skills, posted_at, NULL::VARCHAR AS job_type, 0 AS _src "
+    "FROM postings WHERE source = 'api_a' UNION ALL SELECT job_id, title, company, location, description, skills, posted_at, "
+    "job_type, 1 FROM postings WHERE source = 'api_b' UNION ALL SELECT job_id, title, NULL, location, NULL, skills, posted_at, "
+    "job_type, 2 FROM postings WHERE source = 'sample') "
+    "SELECT job_id, title, company, location, description, skills, posted_at, job_type FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY job_id ORDER BY _src, posted_at NULLS FIRST, title NULLS FIRST, company NULLS FIRST, location NULLS FIRST, "
+    "description NULLS FIRST, skills NULLS FIRST, job_type NULLS FIRST) AS rn FROM u) WHERE rn = 1"))
+def q_collect_sources(spark, sf_dir):
+    from postlens.sources.io import collect_sources
+
+    p = fixtures.postings(spark, sf_dir)
+    a = p.where(F.col("source") == "api_a").select("job_id", "title", "company", "location", "description", "skills",
+                                                   "posted_at")
+    b = p.where(F.col("source") == "api_b").select("job_id", "title", "company", "location", "description", "skills",
+                                                   "posted_at", "job_type")
+    c = p.where(F.col("source") == "sample").select("job_id", "title", "location", "skills", "posted_at", "job_type")
+    out = collect_sources([a, b, c], ["posted_at", "title", "company", "location", "description", "skills", "job_type"])
+    return out.select("job_id", "title", "company", "location", "description", "skills", "posted_at", "job_type")
+
+
+@query("upsert_postings", "A12", oracle=_P + (
+    ", u AS (SELECT *, 0 AS _gen FROM postings WHERE posted_at < TIMESTAMP '1998-01-01' "
+    "UNION ALL SELECT *, 1 FROM postings WHERE posted_at >= TIMESTAMP '1998-01-01') "
+    "SELECT job_id, title, company, location, posted_at, source FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY "
+    "posted_at DESC NULLS LAST, _gen DESC, " + ", ".join(f"{c} DESC NULLS LAST" for c in POSTING_COLUMNS if c not in ("job_id", "posted_at"))
+    + ") AS rn FROM u) WHERE rn = 1"))
+def q_upsert_postings(spark, sf_dir):
+    from postlens.sources.io import upsert
+
+    p = fixtures.postings(spark, sf_dir)
+    old = p.where(F.col("posted_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    new = p.where(F.col("posted_at") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    rest = [c for c in POSTING_COLUMNS if c not in ("job_id", "posted_at")]
+    return upsert(old, new, "job_id", ["posted_at", "_gen", *rest]).select(
+        "job_id", "title", "company", "location", "posted_at", "source")
+
+
+@query("job_skill_bridge", "A14", oracle=_P + (
+    f" SELECT DISTINCT job_id, unnest({Q.parse_skills('skills')}) AS skill FROM postings"))
+def q_job_skill_bridge(spark, sf_dir):
+    from postlens.sources.io import job_skill_bridge
+
+    return job_skill_bridge(C.parse_skills(fixtures.postings(spark, sf_dir)))

@@ -91,3 +91,27 @@ def q_growth_classes(spark, sf_dir):
     "arg_max(count, snapshot_date) - arg_min(count, snapshot_date) AS change FROM ser GROUP BY key HAVING count(*) >= 2"))
 def q_first_last_change(spark, sf_dir):
     return T.first_last_change(T.series(_snap(spark, sf_dir)))
+
+
+@query("event_windows_daily", "K3 (batch twin)", oracle=(
+    "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, "
+    "event_type AS key, count(*) AS count FROM events GROUP BY 1, 2, 3"))
+def q_event_windows_daily(spark, sf_dir):
+    from postlens.streaming.jobs import windowed_counts
+
+    out = windowed_counts(fixtures.table(spark, sf_dir, "events"), "ts", "event_type", "daily")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "key", "count")
+
+
+@query("event_windows_sliding", "K3 (batch twin)", oracle=(
+    "WITH b AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS d, event_type FROM events), "
+    "w AS (SELECT d - INTERVAL (k) DAY AS window_start, event_type FROM b, range(7) AS r(k)) "
+    "SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, event_type AS key, count(*) AS count FROM w GROUP BY 1, 2, 3"))
+def q_event_windows_sliding(spark, sf_dir):
+    from postlens.streaming.jobs import windowed_counts
+
+    out = windowed_counts(fixtures.table(spark, sf_dir, "events"), "ts", "event_type", "sliding",
+                          size="7 days", slide="1 day")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "key", "count")
