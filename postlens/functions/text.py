@@ -18,9 +18,13 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Whitespace stripped by ``py_strip`` (Python's ASCII whitespace set).
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def py_strip(c: str | Column) -> Column:
-    """Python ``str.strip()``: drop leading and trailing whitespace of any kind."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` for ASCII whitespace, as a cheap ``btrim`` (no regex)."""
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def title_case(c: str | Column) -> Column:

@@ -36,7 +36,8 @@ def sample_alerts() -> list[Alert]:
 
 
 def _low(c: str, df: DataFrame) -> Column:
-    return F.lower(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
+    """The lower-cased field, computed once per row by ``match_alerts``."""
+    return F.col(f"_low_{c}") if c in df.columns else F.lit("")
 
 
 def _found(text: Column, needles: Sequence[str]) -> Column:
@@ -80,8 +81,10 @@ def alert_verdict(df: DataFrame, alert: Alert) -> Column:
 def match_alerts(df: DataFrame, alerts: Sequence[Alert], keep: Sequence[str] | None = None) -> DataFrame:
     """One row per (posting, matching alert) with the reasons; works on streams."""
     keep = list(keep or df.columns)
+    staged = df.select("*", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"_low_{c}")
+                              for c in ("title", "description", "location", "company", "job_type") if c in df.columns])
     verdicts = F.array(*[alert_verdict(df, a) for a in alerts])
-    return (df.select(*keep, F.explode(F.filter(verdicts, lambda v: v["ok"])).alias("v"))
+    return (staged.select(*keep, F.explode(F.filter(verdicts, lambda v: v["ok"])).alias("v"))
             .select("v.alert_name", *keep, F.array_join("v.reasons", "; ").alias("reasons")))
 
 

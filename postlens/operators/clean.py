@@ -31,7 +31,11 @@ def standardize_title_col(title: Column, rules: Sequence[tuple[str, str]] = V.TI
 
 def standardize_title(df: DataFrame, col: str = "title", out: str = "title_standardized",
                       rules: Sequence[tuple[str, str]] = V.TITLE_RULES) -> DataFrame:
-    return df.withColumn(out, standardize_title_col(F.col(col), rules))
+    """B1 as a frame step: the lower-cased title is computed once, not once per rule."""
+    low = "_title_low"
+    staged = df.withColumn(low, py_strip(F.lower(F.col(col))))
+    chain = first_regex_label(F.col(low), rules, default=title_case(py_strip(F.col(col))))
+    return staged.withColumn(out, F.when(F.col(col).isNull(), F.lit("Unknown")).otherwise(chain)).drop(low)
 
 
 def normalize_skill_col(skill: Column, normalization: Sequence[tuple[str, str]] = V.VOCAB.normalization) -> Column:
@@ -50,11 +54,14 @@ def parse_skills_col(raw: Column, is_array: bool = False,
     if is_array:
         items = F.coalesce(raw, F.array().cast("array<string>"))
     else:
-        as_json = F.from_json(F.translate(raw, "'", '"'), "array<string>")
+        # Only a value that starts with '[' can be a JSON list; anything else goes
+        # straight to the comma split (normalisation strips each item anyway).
+        looks_json = F.startswith(py_strip(raw), F.lit("["))
+        as_json = F.when(looks_json, F.from_json(F.translate(raw, "'", '"'), "array<string>"))
         items = (
             F.when(raw.isNull(), F.array().cast("array<string>"))
             .when(as_json.isNotNull(), as_json)
-            .otherwise(F.transform(F.split(raw, ","), lambda s: py_strip(s)))
+            .otherwise(F.split(raw, ","))
         )
     norm = F.transform(items, lambda s: normalize_skill_col(s, normalization))
     return F.filter(norm, lambda s: s.isNotNull() & (F.length(s) > 0))
@@ -90,8 +97,23 @@ def standardize_location_cols(loc: Column, city_aliases=V.CITY_ALIASES, state_na
 
 
 def standardize_location(df: DataFrame, col: str = "location", state_map: bool = False) -> DataFrame:
-    city, state = standardize_location_cols(F.col(col), state_map=state_map)
-    return df.withColumn("city_standardized", city).withColumn("state_standardized", state)
+    """B4 as a frame step: the split parts are computed once for both outputs."""
+    staged = df.withColumn("_loc_parts", F.split(py_strip(F.col(col)), ","))
+    parts = F.col("_loc_parts")
+    city_raw = py_strip(F.element_at(parts, 1))
+    second = py_strip(F.element_at(parts, 2))
+    cut = F.substring(F.upper(second), 1, 2)
+    if state_map:
+        cut = F.coalesce(F.element_at(literal_map(V.STATE_NAMES), F.lower(second)), cut)
+    state = F.when(F.size(parts) >= 2, cut).otherwise(F.lit("Unknown"))
+    city = F.coalesce(F.element_at(literal_map(V.CITY_ALIASES), F.lower(city_raw)), title_case(city_raw))
+    is_remote = F.instr(F.lower(F.col(col)), "remote") > 0
+    loc = F.col(col)
+    return (staged.withColumn("city_standardized",
+                              F.when(loc.isNull(), "Unknown").when(is_remote, "Remote").otherwise(city))
+            .withColumn("state_standardized",
+                        F.when(loc.isNull(), "Unknown").when(is_remote, "USA").otherwise(state))
+            .drop("_loc_parts"))
 
 
 def fill_missing(df: DataFrame, defaults: dict[str, str] | None = None) -> DataFrame:

@@ -62,8 +62,9 @@ def tfidf(docs: DataFrame, token_pattern: str = V.TFIDF_TOKEN_PATTERN, max_featu
     """
     docs = docs.groupBy("doc").agg(F.sum("mult").alias("mult"))
     n_docs = docs.agg(F.sum("mult").alias("n"))
+    # Token rows carry a 128-bit digest of the document, never the text itself.
     toks = docs.select("doc", "mult", F.explode(F.regexp_extract_all(F.lower("doc"), F.lit(token_pattern), 0))
-                       .alias("term"))
+                       .alias("term")).withColumn("doc", F.md5("doc"))
     tf = toks.groupBy("doc", "mult", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.sum("mult").alias("df"), F.sum(F.col("tf") * F.col("mult")).alias("total"))
     stats = stats.crossJoin(F.broadcast(n_docs)).where(
@@ -197,7 +198,7 @@ def cooccurrence(docs: DataFrame, top: int = 15, mode: str = "token", seed_token
     """
     if mode == "token":
         by_doc = docs.groupBy("doc").agg(F.sum("mult").alias("mult"))
-        toks = by_doc.select("doc", "mult", F.explode(F.split(F.trim("doc"), r"\s+")).alias("t"))
+        toks = by_doc.select(F.md5("doc").alias("doc"), "mult", F.explode(F.split(F.trim("doc"), r"\s+")).alias("t"))
     elif mode == "skill":
         by_sk = docs.groupBy("skills").agg(F.sum("mult").alias("mult"))
         toks = by_sk.select(F.col("skills").alias("doc"), "mult", F.explode("skills").alias("t"))

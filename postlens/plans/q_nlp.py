@@ -51,7 +51,7 @@ def q_tfidf_vocabulary(spark, sf_dir):
 
 
 @query("tfidf_weights", "E2", oracle=_P + ", " + _DOCS + ", " + _TFIDF + (
-    " SELECT doc, mult, term, round(w * 1000000) / 1000000 AS w FROM w"))
+    " SELECT md5(doc) AS doc, mult, term, round(w * 1000000) / 1000000 AS w FROM w"))
 def q_tfidf_weights(spark, sf_dir):
     weights, _, _ = N.tfidf(_docs(spark, sf_dir))
     return weights.select("doc", "mult", "term", (F.round(F.col("w") * 1e6, 0) / 1e6).alias("w"))

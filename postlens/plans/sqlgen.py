@@ -26,7 +26,7 @@ def str_list(values: Sequence[str]) -> str:
 
 
 def strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({expr}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 
 
 def title_case(expr: str) -> str:
