@@ -74,6 +74,7 @@ def match_scores(postings: DataFrame, profiles: DataFrame, weights=V.MATCH_WEIGH
 
     Identical posting rows are scored once and carry their multiplicity ``n``.
     """
+    job_cols = [c for c in job_cols if c in postings.columns]
     needles = _profile_needles(profiles)
     distinct_needles = sorted({r["needle"] for r in small(needles.select("needle").distinct(), max_broadcast_rows,
                                                            collect=True)})
@@ -121,6 +122,7 @@ def find_matches(scores: DataFrame, min_score: float = 50.0, limit: int = 20,
     """
     if min_score <= 0:
         raise ValueError("min_score must be positive: pairs without evidence all score 0")
+    tie_cols = [c for c in tie_cols if c in scores.columns]
     ok = scores.where(F.col("score") >= min_score)
     ok = ok.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n", "_copy")
     order = [F.col("score").desc()] + [F.col(c).asc_nulls_first() for c in tie_cols]
