@@ -54,9 +54,16 @@ def read_postings(spark: SparkSession, path: str, fmt: str | None = None, schema
         if "jobs" in raw.columns and len(raw.columns) <= 4:
             raw = raw.select(F.explode("jobs").alias("j")).select("j.*")
         target = schema or postings_schema(True)
-        cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in raw.columns
-                else F.lit(None).cast(f.dataType).alias(f.name) for f in target.fields]
-        return raw.select(*cols)
+        have = {f.name: f.dataType for f in raw.schema.fields}
+
+        def conform(f):
+            if f.name not in have:
+                return F.lit(None).cast(f.dataType).alias(f.name)
+            if isinstance(f.dataType, ArrayType) and isinstance(have[f.name], StringType):
+                return F.split(F.col(f.name), ",").alias(f.name)  # comma-list form of a list field
+            return F.col(f.name).cast(f.dataType).alias(f.name)
+
+        return raw.select(*[conform(f) for f in target.fields])
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported file format: {fmt}")
@@ -127,8 +134,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "job_id", order_by: Sequen
     both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
     if "source" in both.columns:
         both = both.withColumn("source", F.coalesce("source", F.lit(default_source)))
-    derived = F.concat_ws("_", F.coalesce("company", F.lit("")), F.coalesce("title", F.lit("")),
-                          F.xxhash64(*[F.col(c) for c in both.columns]).cast("string"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("company", "title") if c in both.columns]
+    derived = F.concat_ws("_", *parts, F.xxhash64(*[F.col(c) for c in both.columns]).cast("string"))
     both = both.withColumn(key, F.coalesce(F.col(key), derived))
     order = list(dict.fromkeys([*order_by, "_gen"]))
     return keep_last(both, [key], order).drop("_gen")

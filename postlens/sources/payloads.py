@@ -48,13 +48,16 @@ def flatten_results_payload(spark: SparkSession, path: str, city_key: str, as_of
     """A5: ``{"results": [...]}`` with nested company / location names, city from the dimension."""
     dim = {k: (c, s) for k, c, s in V.CITY_DIM}
     city, state = dim.get(city_key, (city_key.title(), ""))
-    raw = spark.read.option("multiLine", True).json(path)
+    schema = ("results array<struct<id: string, title: string, company: struct<display_name: string>, "
+              "location: struct<display_name: string>, description: string, salary_min: double, "
+              "salary_max: double, created: string, redirect_url: string>>")
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
     items = raw.select(F.explode("results").alias("r")).select("r.*")
     desc = F.coalesce(F.col("description"), F.lit(""))
     day = F.lit(as_of) if as_of else F.date_format(F.current_date(), "yyyy-MM-dd")
 
     def nested(c, field):
-        return F.col(f"{c}.{field}") if c in items.columns else F.lit(None).cast("string")
+        return F.col(f"{c}.{field}")
 
     return items.select(
         F.concat(F.lit("adzuna_"), F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("job_id"),
