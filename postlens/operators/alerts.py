@@ -41,7 +41,7 @@ def _low(c: str, df: DataFrame) -> Column:
 
 
 def _found(text: Column, needles: Sequence[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.instr(text, n) > 0, F.lit(n)) for n in needles]))
+    return F.array_compact(F.array(*[F.when(text.contains(n), F.lit(n)) for n in needles]))
 
 
 def alert_verdict(df: DataFrame, alert: Alert) -> Column:
@@ -59,13 +59,13 @@ def alert_verdict(df: DataFrame, alert: Alert) -> Column:
         ok = ok & (F.size(hit) > 0)
         reasons.append(F.concat(F.lit("Skills found: "), F.array_join(hit, ", ")))
     if alert.location is not None:
-        ok = ok & (F.instr(loc, alert.location) > 0)
+        ok = ok & loc.contains(alert.location)
         reasons.append(F.concat(F.lit("Location: "), F.coalesce(F.col("location"), F.lit("None"))))
     if alert.company is not None:
-        ok = ok & (F.instr(comp, alert.company) > 0)
+        ok = ok & comp.contains(alert.company)
         reasons.append(F.concat(F.lit("Company: "), F.coalesce(F.col("company"), F.lit("None"))))
     if alert.job_type is not None:
-        ok = ok & ((F.instr(desc, alert.job_type) > 0) | (F.instr(jtype, alert.job_type) > 0))
+        ok = ok & (desc.contains(alert.job_type) | jtype.contains(alert.job_type))
         reasons.append(F.lit(f"Job type: {alert.job_type}"))
     if alert.min_salary_lpa is not None:
         text = F.coalesce(F.when(F.length(F.col("salary")) > 0, F.col("salary")), F.col("description")) \

@@ -173,10 +173,17 @@ def clean_postings(df: DataFrame, order_by: Sequence[str] | None = None, dedup:
     out = fill_missing(out)
     if dedup:
         out = remove_duplicates(out, order_by)
-    out = out.withColumn("role_category", role_category_col(F.col("title_standardized")))
+    out = with_role_category(out)
     return out.withColumn("skill_count", F.size("skills_normalized").cast("bigint"))
 
 
+def with_role_category(df: DataFrame, col: str = "title_standardized", out: str = "role_category") -> DataFrame:
+    """B7 as a frame step: the lower-cased title is computed once for all rules."""
+    staged = df.withColumn("_role_low", F.lower(F.col(col)))
+    return staged.withColumn(out, first_contains_label(F.col("_role_low"), V.ROLE_RULES, F.lit(V.ROLE_DEFAULT))) \
+        .drop("_role_low")
+
+
 def data_quality_report(df: DataFrame) -> DataFrame:
     """One row of quality metrics.
 

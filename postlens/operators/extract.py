@@ -119,16 +119,16 @@ def class_counts(df: DataFrame, label: Column, labels: Sequence[str]) -> DataFra
 
 def experience_levels(df: DataFrame, text_col: str = "description", rules=V.EXPERIENCE_PATTERNS) -> DataFrame:
     """First matching experience class per description; zero classes kept."""
-    low = F.lower(F.col(text_col))
-    label = first_regex_label(low, [(p, l) for l, p in rules], default=None)
-    return class_counts(df.where(F.col(text_col).isNotNull()), label, [l for l, _ in rules])
+    staged = df.where(F.col(text_col).isNotNull()).select(F.lower(F.col(text_col)).alias("_low"))
+    label = first_regex_label(F.col("_low"), [(p, l) for l, p in rules], default=None)
+    return class_counts(staged, label, [l for l, _ in rules])
 
 
 def job_types_from_text(df: DataFrame, text_col: str = "description", rules=V.JOB_TYPE_PATTERNS) -> DataFrame:
     """C9 (text path): multi-label regex classes; a row counts in each class it matches."""
-    low = F.lower(F.col(text_col))
-    sums = [F.sum(low.rlike(p).cast("bigint")).alias(f"c{i}") for i, (_, p) in enumerate(rules)]
-    agg = df.where(F.col(text_col).isNotNull()).agg(*sums)
+    staged = df.where(F.col(text_col).isNotNull()).select(F.lower(F.col(text_col)).alias("_low"))
+    sums = [F.sum(F.col("_low").rlike(p).cast("bigint")).alias(f"c{i}") for i, (_, p) in enumerate(rules)]
+    agg = staged.agg(*sums)
     cells = [F.struct(F.lit(i).alias("ordinal"), F.lit(l).alias("job_type"),
                       F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("count")) for i, (l, _) in enumerate(rules)]
     return agg.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
@@ -136,18 +136,19 @@ def job_types_from_text(df: DataFrame, text_col: str = "description", rules=V.JO
 
 def market_role_counts(df: DataFrame, title_col: str = "title", rules=V.MARKET_ROLE_CATEGORIES) -> DataFrame:
     """First matching role category per non-empty title; unmatched titles dropped."""
-    low = F.lower(F.col(title_col))
-    label = first_contains_label(low, [(kw, cat) for cat, kw in rules], default=None)
-    return (df.where(F.col(title_col).isNotNull() & (F.col(title_col) != ""))
-            .select(label.alias("category")).where(F.col("category").isNotNull())
+    staged = (df.where(F.col(title_col).isNotNull() & (F.col(title_col) != ""))
+              .select(F.lower(F.col(title_col)).alias("_low")))
+    label = first_contains_label(F.col("_low"), [(kw, cat) for cat, kw in rules], default=None)
+    return (staged.select(label.alias("category")).where(F.col("category").isNotNull())
             .groupBy("category").agg(F.count(F.lit(1)).alias("count")))
 
 
 def experience_demand(df: DataFrame, rules=V.EXPERIENCE_DEMAND_KEYWORDS) -> DataFrame:
     """C11: first matching keyword class over description + ' ' + title; zero classes kept."""
-    text = F.lower(F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("title", F.lit(""))))
-    label = first_contains_label(text, [(kw, l) for l, kw in rules], default=None)
-    return class_counts(df, label, [l for l, _ in rules])
+    staged = df.select(F.lower(F.concat(F.coalesce("description", F.lit("")), F.lit(" "),
+                                        F.coalesce("title", F.lit("")))).alias("_low"))
+    label = first_contains_label(F.col("_low"), [(kw, l) for l, kw in rules], default=None)
+    return class_counts(staged, label, [l for l, _ in rules])
 
 
 # ---------------------------------------------------------------- resumes
@@ -157,9 +158,10 @@ def _u(p: str) -> str:
     return "(?U)" + p
 
 
-def graduation_years_col(text: Column, as_of_year: int, patterns=V.RESUME_GRADUATION_PATTERNS) -> Column:
+def graduation_years_col(text: Column, as_of_year: int, patterns=V.RESUME_GRADUATION_PATTERNS,
+                         low: Column | None = None) -> Column:
     """Years since the first in-range graduation year (2000..as_of), else 0."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     picks = []
     for p in patterns:
         y = F.regexp_extract(low, _u(p), 1)
@@ -168,19 +170,20 @@ def graduation_years_col(text: Column, as_of_year: int, patterns=V.RESUME_GRADUA
     return F.coalesce(*picks, F.lit(0))
 
 
-def experience_years_col(text: Column, as_of_year: int) -> Column:
+def experience_years_col(text: Column, as_of_year: int, low: Column | None = None) -> Column:
     """Fresher -> 0; first experience pattern; else graduation estimate; else 0."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     found = [F.when(F.regexp_extract(low, _u(p), 1) != "", F.regexp_extract(low, _u(p), 1).cast("int"))
              for p in V.RESUME_EXPERIENCE_PATTERNS]
-    grad = graduation_years_col(text, as_of_year)
+    grad = graduation_years_col(text, as_of_year, low=low)
     return (F.when(low.rlike(_u(V.RESUME_FRESHER_PATTERN)), F.lit(0))
             .otherwise(F.coalesce(*found, F.when(grad > 0, grad), F.lit(0))).cast("int"))
 
 
-def resume_title_col(text: Column, titles=V.RESUME_TITLES, skill_titles=V.RESUME_SKILL_TITLES) -> Column:
+def resume_title_col(text: Column, titles=V.RESUME_TITLES, skill_titles=V.RESUME_SKILL_TITLES,
+                     low: Column | None = None) -> Column:
     """C14: longest known title contained; else the objective phrase; else skill -> title."""
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     by_len = sorted(titles, key=len, reverse=True)  # stable: ties keep list order
     known = first_contains_label(low, [((t,), t.title()) for t in by_len], default=None)
     obj = F.regexp_extract(low, V.RESUME_OBJECTIVE_PATTERN, 1)
@@ -189,25 +192,27 @@ def resume_title_col(text: Column, titles=V.RESUME_TITLES, skill_titles=V.RESUME
     return F.coalesce(known, objective, fallback)
 
 
-def resume_locations_col(text: Column, cities=V.RESUME_CITIES) -> Column:
+def resume_locations_col(text: Column, cities=V.RESUME_CITIES, low: Column | None = None) -> Column:
     """Known cities contained, in list order, then Remote."""
-    low = F.lower(text)
-    hits = [F.when(F.instr(low, c) > 0, F.lit(c.title())) for c in cities]
-    hits.append(F.when(F.instr(low, "remote") > 0, F.lit("Remote")))
+    low = F.lower(text) if low is None else low
+    hits = [F.when(low.contains(c), F.lit(c.title())) for c in cities]
+    hits.append(F.when(low.contains("remote"), F.lit("Remote")))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
 def parse_resumes(df: DataFrame, text_col: str = "text", id_col: str = "resume_id",
                   as_of_year: int = 2026, vocab: V.Vocab = V.VOCAB) -> DataFrame:
     """résumé texts -> profile rows (C3 + C14 + C12 + C15 + defaults)."""
-    t = F.col(text_col)
-    return df.select(
-        F.col(id_col).alias("profile_id"),
+    staged = df.select(F.col(id_col).alias("profile_id"), F.col(text_col).alias("_text"),
+                       F.lower(F.col(text_col)).alias("_low"))
+    t, low = F.col("_text"), F.col("_low")
+    return staged.select(
+        "profile_id",
         F.lit("").alias("name"),
-        resume_title_col(t).alias("title"),
-        experience_years_col(t, as_of_year).alias("experience_years"),
+        resume_title_col(t, low=low).alias("title"),
+        experience_years_col(t, as_of_year, low=low).alias("experience_years"),
         extract_skills_col(t, "lookaround", vocab).alias("skills"),
-        resume_locations_col(t).alias("preferred_locations"),
+        resume_locations_col(t, low=low).alias("preferred_locations"),
         F.array().cast("array<string>").alias("preferred_companies"),
         F.lit(0.0).alias("min_salary_lpa"),
         F.array().cast("array<string>").alias("job_types"),

@@ -42,9 +42,11 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
     (total_mentions) and metadata (total_jobs).
     """
     exp_rules = [(p, l) for l, p in V.EXPERIENCE_PATTERNS]
-    x = postings.select(
+    staged = postings.select("title", "company", "location", "job_type", "description",
+                             F.lower("description").alias("_low"))
+    x = staged.select(
         "title", "company", "location", "job_type",
-        F.when(F.col("description").isNotNull(), first_regex_label(F.lower("description"), exp_rules, None))
+        F.when(F.col("description").isNotNull(), first_regex_label(F.col("_low"), exp_rules, None))
         .alias("experience"),
         F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + V.SALARY_TEXT_PATTERN), 0))
         .alias("_sal"))

@@ -28,9 +28,9 @@ FEATURES = ["title_encoded", "location_encoded", "company_size_encoded",
             "skill_count", "premium_skill_count", "experience_level"]
 
 
-def salary_role_col(title: Column) -> Column:
+def salary_role_col(title: Column, low: Column | None = None) -> Column:
     """First table role contained in the title, then broad fallbacks (all parts)."""
-    low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    low = F.lower(F.trim(F.coalesce(title, F.lit("")))) if low is None else low
     rules = [((role,), role) for role, _, _ in V.SALARY_BASE] + list((tuple(k), r) for k, r in V.SALARY_ROLE_FALLBACKS)
     return first_contains_label(low, rules, F.lit(V.SALARY_ROLE_DEFAULT), all_of=True)
 
@@ -45,9 +45,9 @@ def plain_skills_col(skills: Column) -> Column:
     return split_list(skills)
 
 
-def experience_level_col(title: Column) -> Column:
+def experience_level_col(title: Column, low: Column | None = None) -> Column:
     """4 (head/director/...) > 3 (senior/lead/...) > 1 (junior/intern/...) > 2."""
-    low = F.lower(F.coalesce(title, F.lit("")))
+    low = F.lower(F.coalesce(title, F.lit(""))) if low is None else low
     out = F.lit(V.EXPERIENCE_LEVEL_DEFAULT)
     for level, keys in reversed(V.EXPERIENCE_LEVEL_KEYWORDS):
         out = F.when(contains_any(low, keys), F.lit(level)).otherwise(out)
@@ -76,11 +76,13 @@ def with_salary_inputs(df: DataFrame, title="title", location="location", size="
     loc = F.col(location) if location in df.columns else (F.col("city") if "city" in df.columns else F.lit(None))
     size_col = F.col(size) if size in df.columns else F.lit("Medium")
     sk = F.col(skills) if skills in df.columns else F.lit(None).cast("string")
-    return (df.withColumn("role", salary_role_col(F.col(title)))
+    staged = df.withColumn("_tl", F.lower(F.coalesce(F.col(title), F.lit(""))))
+    return (staged.withColumn("role", salary_role_col(F.col(title), low=F.trim(F.col("_tl"))))
             .withColumn("city_key", city_key_col(loc))
             .withColumn("size_key", size_col)
             .withColumn("skill_list", plain_skills_col(sk))
-            .withColumn("experience_level", experience_level_col(F.col(title))))
+            .withColumn("experience_level", experience_level_col(F.col(title), low=F.col("_tl")))
+            .drop("_tl"))
 
 
 def heuristic_salary(df: DataFrame, **cols) -> DataFrame:

@@ -17,7 +17,7 @@ TIE_COLS = ("job_id", "title", "company", "location", "description")
 
 
 def _contains_ci(c: str, q: str) -> Column:
-    return F.instr(F.lower(F.coalesce(F.col(c), F.lit(""))), q.strip().lower()) > 0
+    return F.lower(F.coalesce(F.col(c), F.lit(""))).contains(q.strip().lower())
 
 
 def newest_first(ts_col: str, tie_cols: Sequence[str] = TIE_COLS) -> list[Column]:
