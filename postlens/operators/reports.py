@@ -42,6 +42,9 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
     (total_mentions) and metadata (total_jobs).
     """
     exp_rules = [(p, l) for l, p in V.EXPERIENCE_PATTERNS]
+    text_job_types = "job_type" not in postings.columns
+    if text_job_types:  # no column: the six description classes, multi-label (C9)
+        postings = postings.withColumn("job_type", F.lit(None).cast("string"))
     staged = postings.select("title", "company", "location", "job_type", "description",
                              F.lower("description").alias("_low"))
     x = staged.select(
@@ -89,6 +92,13 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
         F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("skill"))).cast("bigint").alias("rank"),
         F.col("skill").alias("key"), F.col("count").alias("value"))
     cols_out = ["section", "rank", "key", "value"]
+    if text_job_types:
+        from postlens.operators.extract import job_types_from_text
+
+        jt = job_types_from_text(postings).select(
+            F.lit("job_types").alias("section"), (F.col("ordinal") + 1).cast("bigint").alias("rank"),
+            F.col("job_type").alias("key"), F.col("count").cast("bigint").alias("value"))
+        tops = tops.where(F.col("section") != "job_types").select(*cols_out).unionByName(jt)
     return (tops.select(*cols_out).unionByName(exp.select(*cols_out)).unionByName(uniq.select(*cols_out))
             .unionByName(totals.select(*cols_out)).unionByName(skills.select(*cols_out)))
 
