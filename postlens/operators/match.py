@@ -69,27 +69,33 @@ def _profile_sizes(profiles: DataFrame) -> DataFrame:
 
 def match_scores(postings: DataFrame, profiles: DataFrame, weights=V.MATCH_WEIGHTS,
                  job_cols: Sequence[str] = ("job_id", "title", "company", "location", "description", "job_type"),
-                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """G1: (profile_id, job columns..., score, parts, matched skills) for pairs with evidence.
+                 max_broadcast_rows: int = 2_000_000, with_jobs: bool = True) -> DataFrame:
+    """G1: (profile_id, [job columns...], n, score, parts, matched skills) for pairs with evidence.
 
-    Identical posting rows are scored once and carry their multiplicity ``n``.
+    Postings are folded once by a content digest (identical rows carry their
+    multiplicity ``n``); evidence rows, the needle join and the score
+    aggregate carry only the digest. Job columns are joined back at the end,
+    after any score filter the caller applies has been pushed below the join.
     """
     job_cols = [c for c in job_cols if c in postings.columns]
     needles = _profile_needles(profiles)
     distinct_needles = sorted({r["needle"] for r in small(needles.select("needle").distinct(), max_broadcast_rows,
                                                            collect=True)})
-    jobs = postings.groupBy(*job_cols).agg(F.count(F.lit(1)).alias("n"))
+    content = F.struct(*[F.col(c) for c in job_cols])
+    jobs = (postings.select(*job_cols).withColumn("digest", F.md5(F.to_json(content)))
+            .groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(content).alias("job")))
     terms = [(t, t) for t in distinct_needles]
+    fields = [f for f in JOB_FIELDS if f in job_cols]
     hits = F.array(*[
         F.struct(F.lit(f).alias("field"),
-                 match_terms(F.coalesce(F.col(f), F.lit("")), terms, "substring").alias("found"))
-        for f in JOB_FIELDS])
-    evidence = (jobs.select(*job_cols, "n", F.explode(hits).alias("h"))
-                .select(*job_cols, "n", "h.field", F.explode("h.found").alias("needle")))
+                 match_terms(F.coalesce(F.col(f"job.{f}"), F.lit("")), terms, "substring").alias("found"))
+        for f in fields])
+    evidence = (jobs.select("digest", F.explode(hits).alias("h"))
+                .select("digest", "h.field", F.explode("h.found").alias("needle")))
     pairs = evidence.join(small(needles, max_broadcast_rows), ["needle", "field"])
     w_sk, w_ti, w_lo, w_co, w_jt = weights
     # collect_set instead of count(DISTINCT ...): no Expand, one hash aggregate with a partial step
-    agg = pairs.groupBy("profile_id", *job_cols, "n").agg(
+    agg = pairs.groupBy("profile_id", "digest").agg(
         F.array_sort(F.collect_set(F.when(F.col("part") == "skills", F.col("pos")))).alias("skill_pos"),
         F.size(F.collect_set(F.when(F.col("part") == "title", F.col("pos")))).alias("m_words"),
         F.max((F.col("part") == "location").cast("int")).alias("m_location"),
@@ -105,13 +111,17 @@ def match_scores(postings: DataFrame, profiles: DataFrame, weights=V.MATCH_WEIGH
     s_jt = F.when((F.col("n_types") > 0) & (F.col("m_type") == 1), F.lit(w_jt)).otherwise(0.0)
     total = (((F.lit(0.0) + s_sk) + s_ti) + s_lo + s_co) + s_jt
     max_score = float(sum(weights))
-    return j.select(
-        "profile_id", *job_cols, "n",
+    scores = j.select(
+        "profile_id", "digest",
         (total / max_score * 100).alias("score"),
         s_sk.alias("skills_score"), s_ti.alias("title_score"), s_lo.alias("location_score"),
         s_co.alias("company_score"), s_jt.alias("job_type_score"),
         F.transform("skill_pos", lambda p: F.element_at("profile_skills", p + 1)).alias("matched_skills"),
     )
+    if not with_jobs:
+        return scores.join(jobs.select("digest", "n"), "digest").drop("digest")
+    return scores.join(jobs, "digest").select("profile_id", *[F.col(f"job.{c}").alias(c) for c in job_cols], "n",
+                                              *[c for c in scores.columns if c not in ("profile_id", "digest")])
 
 
 def find_matches(scores: DataFrame, min_score: float = 50.0, limit: int = 20,

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens import vocab as V
-from postlens.functions.text import first_regex_label
+from postlens.functions.text import first_contains_label, first_regex_label
 from postlens.operators.extract import substring_skill_counts
 
 # Report sentence templates, as worded in the reference.
@@ -33,7 +33,11 @@ SECTIONS = {"title": "top_titles", "company": "top_companies", "location": "top_
             "job_type": "job_types", "experience": "experience_levels"}
 
 
-def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V.VOCAB.tech_skills) -> DataFrame:
+EXTRA_SECTIONS = {"market_role": "market_roles", "exp_demand": "experience_demand"}
+
+
+def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V.VOCAB.tech_skills,
+                  extras: bool = False) -> DataFrame:
     """The whole analysis as (section, rank, key, value).
 
     Sections: top_titles / top_companies / top_locations (top N, nulls
@@ -46,14 +50,27 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
     if text_job_types:  # no column: the six description classes, multi-label (C9)
         postings = postings.withColumn("job_type", F.lit(None).cast("string"))
     staged = postings.select("title", "company", "location", "job_type", "description",
-                             F.lower("description").alias("_low"))
+                             F.lower("description").alias("_low"),
+                             F.lower(F.concat(F.coalesce("description", F.lit("")), F.lit(" "),
+                                              F.coalesce("title", F.lit("")))).alias("_dt"),
+                             F.lower("title").alias("_tl"))
+    extra_cols = []
+    if extras:  # C10 market roles and C11 experience demand in the same pass (market insights)
+        extra_cols = [
+            F.when(F.col("title").isNotNull() & (F.col("title") != ""),
+                   first_contains_label(F.col("_tl"), [(kw, c) for c, kw in V.MARKET_ROLE_CATEGORIES], None))
+            .alias("market_role"),
+            first_contains_label(F.col("_dt"), [(kw, l) for l, kw in V.EXPERIENCE_DEMAND_KEYWORDS], None)
+            .alias("exp_demand"),
+        ]
     x = staged.select(
         "title", "company", "location", "job_type",
         F.when(F.col("description").isNotNull(), first_regex_label(F.col("_low"), exp_rules, None))
         .alias("experience"),
         F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + V.SALARY_TEXT_PATTERN), 0))
-        .alias("_sal"))
-    cols = list(SECTIONS)
+        .alias("_sal"), *extra_cols)
+    sections = dict(SECTIONS, **(EXTRA_SECTIONS if extras else {}))
+    cols = list(sections)
     g = x.groupingSets([[c] for c in cols] + [[]], *cols).agg(
         F.count(F.lit(1)).alias("value"), F.sum("_sal").alias("_sal"), F.grouping_id().alias("_gid"))
     full = (1 << len(cols)) - 1
@@ -61,7 +78,7 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
     pieces = []
     for c in cols:
         part = g.where((F.col("_gid") == gid_of[c]) & F.col(c).isNotNull()).select(
-            F.lit(SECTIONS[c]).alias("section"), F.col(c).alias("key"), "value")
+            F.lit(sections[c]).alias("section"), F.col(c).alias("key"), "value")
         pieces.append(part)
     by_key = pieces[0]
     for p in pieces[1:]:
@@ -125,11 +142,24 @@ def _key_at(section: str, rank: int) -> Column:
     return F.max(F.when((F.col("section") == section) & (F.col("rank") == rank), F.col("key")))
 
 
-def market_insights(analysis: DataFrame, roles: DataFrame, experience: DataFrame) -> DataFrame:
+def market_insights(analysis: DataFrame, roles: DataFrame | None = None,
+                    experience: DataFrame | None = None) -> DataFrame:
     """Insight rows (category, insight, importance) from the analysis frame.
 
     ``roles``: C10 counts; ``experience``: C11 class counts (ordinal, level, count).
+    Both default to the sections of ``full_analysis(..., extras=True)``, so
+    the whole report is one scan of the postings.
     """
+    if roles is None:
+        roles = analysis.where(F.col("section") == "market_roles").select(
+            F.col("key").alias("category"), F.col("value").alias("count"))
+    if experience is None:
+        classes = analysis.sparkSession.createDataFrame(
+            [(i, l) for i, (l, _) in enumerate(V.EXPERIENCE_DEMAND_KEYWORDS)], "ordinal int, level string")
+        got = analysis.where(F.col("section") == "experience_demand").select(
+            F.col("key").alias("level"), F.col("value").alias("count"))
+        experience = F.broadcast(classes).join(got, "level", "left").select(
+            "ordinal", "level", F.coalesce("count", F.lit(0)).alias("count"))
     a = analysis.agg(
         _joined_top(analysis, "skills", 5, upper=True).alias("skills5"), _value_at("skills", 1).alias("skill1"),
         _joined_top(analysis, "top_locations", 3).alias("places3"), _key_at("top_locations", 1).alias("place1"),

@@ -57,7 +57,8 @@ def _scores(spark, sf_dir):
     "round(sum(score * n) / sum(n), 4) AS avg_score, CAST(sum(CASE WHEN score >= 40 THEN n ELSE 0 END) AS BIGINT) AS at_least_40 "
     "FROM scored WHERE score > 0 GROUP BY profile_id"))
 def q_match_score_summary(spark, sf_dir):
-    s = _scores(spark, sf_dir).where(F.col("score") > 0)
+    s = M.match_scores(fixtures.postings(spark, sf_dir), stored_profiles(spark, sf_dir), with_jobs=False) \
+        .where(F.col("score") > 0)
     return s.groupBy("profile_id").agg(
         F.sum("n").cast("bigint").alias("pairs"), F.round(F.max("score"), 4).alias("max_score"),
         F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 4).alias("avg_score"),

@@ -105,8 +105,7 @@ _EXPD_VALUES = ", ".join(f"({i}, {Q.s(l)})" for i, (l, _) in enumerate(V.EXPERIE
     f"UNION ALL SELECT 5, 'Experience', replace(replace(replace({Q.s(R.EXPERIENCE_INSIGHT)}, '{{level}}', b.level), '{{count}}', "
     "CAST(b.count AS VARCHAR)), '{entry}', CAST((SELECT count FROM ed WHERE ordinal = 0) AS VARCHAR)), 'medium' FROM best b)"))
 def q_market_insights(spark, sf_dir):
-    post = fixtures.postings(spark, sf_dir)
-    return R.market_insights(R.full_analysis(post), X.market_role_counts(post), X.experience_demand(post))
+    return R.market_insights(R.full_analysis(fixtures.postings(spark, sf_dir), extras=True))
 
 
 @query("recommendations", "J2", oracle=_P + ", " + _ANALYSIS + (
