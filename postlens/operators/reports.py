@@ -83,10 +83,17 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
     by_key = pieces[0]
     for p in pieces[1:]:
         by_key = by_key.unionByName(p)
-    # Per-section rank over an aggregated frame (distinct keys, not rows).
-    ranked = by_key.withColumn("rank", F.row_number().over(
-        Window.partitionBy("section").orderBy(F.col("value").desc(), F.col("key"))).cast("bigint"))
-    tops = ranked.where(~F.col("section").isin("top_titles", "top_companies", "top_locations") | (F.col("rank") <= top_n))
+    # Per-section rank over aggregated keys. The open-ended sections (titles,
+    # companies, locations: millions of keys at scale) use a plain rank <= N
+    # filter, which plans as a partial WindowGroupLimit before the shuffle; the
+    # closed sections (job types, experience classes) are small by definition.
+    order = Window.partitionBy("section").orderBy(F.col("value").desc(), F.col("key"))
+    open_ended = ["top_titles", "top_companies", "top_locations"]
+    tops_open = (by_key.where(F.col("section").isin(open_ended))
+                 .withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top_n))
+    ranked = (by_key.where(~F.col("section").isin(open_ended))
+              .withColumn("rank", F.row_number().over(order).cast("bigint")))
+    tops = tops_open.unionByName(ranked)
     exp_classes = postings.sparkSession.createDataFrame(
         [(i + 1, l) for i, (l, _) in enumerate(V.EXPERIENCE_PATTERNS)], "rank bigint, key string")
     exp = (F.broadcast(exp_classes).join(
