@@ -223,3 +223,27 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
     c = F.col(col).cast("string")
     return (df.where(c.isNotNull() & (F.length(F.trim(c)) > 0)).groupBy(c.alias("value"))
             .agg(F.count(F.lit(1)).alias("count")))
+
+
+def warehouse_stats(df: DataFrame, n: int = 10, ts_col: str = "posted_at", days: int = 7) -> DataFrame:
+    """Totals, distinct companies / locations, postings per day (last N days
+    present) and the top companies / locations, where null is a group (as SQL
+    GROUP BY keeps it). Long form (section, rank, key, value)."""
+    totals = df.agg(F.count(F.lit(1)).alias("total_jobs"), F.count_distinct("company").alias("unique_companies"),
+                    F.count_distinct("location").alias("unique_locations"))
+    tot_rows = totals.select(F.explode(F.array(*[
+        F.struct(F.lit("totals").alias("section"), F.lit(None).cast("bigint").alias("rank"),
+                 F.lit(k).alias("key"), F.col(k).alias("value"))
+        for k in ("total_jobs", "unique_companies", "unique_locations")])).alias("t")).select("t.*")
+
+    def top(col: str, section: str) -> DataFrame:
+        t = top_values(df, col, n, keep_null=True)
+        return t.select(F.lit(section).alias("section"), "rank", F.col("value").alias("key"),
+                        F.col("count").alias("value"))
+
+    daily = per_day(df, ts_col, days)
+    order = [F.col("day").desc()]
+    by_day = with_rank(daily, order).select(F.lit("jobs_by_date").alias("section"), "rank",
+                                            F.col("day").cast("string").alias("key"), F.col("count").alias("value"))
+    return tot_rows.unionByName(top("company", "top_companies")).unionByName(top("location", "top_locations")) \
+        .unionByName(by_day)

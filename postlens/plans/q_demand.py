@@ -215,3 +215,17 @@ def q_skill_demand_by_city(spark, sf_dir):
     from postlens.plans.flagship import skill_demand_by_city
 
     return skill_demand_by_city(cleaned(spark, sf_dir))
+
+
+@query("warehouse_stats", "D18 D19", oracle=_P + (
+    " SELECT 'totals' AS section, NULL::BIGINT AS rank, k AS key, v AS value FROM (VALUES "
+    "('total_jobs', (SELECT count(*) FROM postings)), ('unique_companies', (SELECT count(DISTINCT company) FROM postings)), "
+    "('unique_locations', (SELECT count(DISTINCT location) FROM postings))) AS t(k, v) "
+    "UNION ALL SELECT * FROM (SELECT 'top_companies', CAST(row_number() OVER (ORDER BY count(*) DESC, company ASC NULLS FIRST) AS BIGINT), "
+    "company, count(*) FROM postings GROUP BY company ORDER BY count(*) DESC, company ASC NULLS FIRST LIMIT 10) "
+    "UNION ALL SELECT * FROM (SELECT 'top_locations', CAST(row_number() OVER (ORDER BY count(*) DESC, location ASC NULLS FIRST) AS BIGINT), "
+    "location, count(*) FROM postings GROUP BY location ORDER BY count(*) DESC, location ASC NULLS FIRST LIMIT 10) "
+    "UNION ALL SELECT * FROM (SELECT 'jobs_by_date', CAST(row_number() OVER (ORDER BY d DESC) AS BIGINT), CAST(d AS VARCHAR), n "
+    "FROM (SELECT CAST(posted_at AS DATE) AS d, count(*) AS n FROM postings GROUP BY 1 ORDER BY d DESC NULLS LAST LIMIT 7))"))
+def q_warehouse_stats(spark, sf_dir):
+    return D.warehouse_stats(fixtures.postings(spark, sf_dir))

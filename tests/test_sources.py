@@ -72,3 +72,16 @@ def test_bridge_and_ids(spark):
     import hashlib
 
     assert got == hashlib.md5(b"T_None_L_20260102").hexdigest()[:12]
+
+
+def test_import_latest_upserts(spark):
+    base = tempfile.mkdtemp(prefix="pl-imp-")
+    with open(os.path.join(base, "jobs_1.json"), "w") as f:
+        json.dump([dict(JOBS[0], scraped_date="2026-01-01"), dict(JOBS[1], scraped_date="2026-01-01")], f)
+    time.sleep(1.1)
+    with open(os.path.join(base, "jobs_2.json"), "w") as f:
+        json.dump([dict(JOBS[0], title="Lead Data Scientist", scraped_date="2026-01-02")], f)
+    first = IO.read_postings(spark, os.path.join(base, "jobs_1.json"))
+    merged = IO.import_latest(spark, base, first, glob="jobs_2.json")
+    got = {r["job_id"]: r["title"] for r in merged.collect()}
+    assert got == {"job_001": "Lead Data Scientist", "job_002": "Frontend Developer"}
