@@ -30,13 +30,13 @@ def py_strip(c: str | Column) -> Column:
 def title_case(c: str | Column) -> Column:
     """Python ``str.title()``: upper-case the first letter of every letter run.
 
-    ``initcap`` only capitalises after spaces (``C++/java`` stays ``C++/java``);
-    Python capitalises after any non-letter, so split into letter and non-letter
-    runs and upper-case the head of each.
+    ``initcap`` only capitalises after spaces (``c++/java`` stays ``C++/java``);
+    Python capitalises after any non-letter. So a space is inserted after every
+    non-letter, ``initcap`` runs, and the inserted spaces are removed again --
+    three codegen'd string functions, no per-element lambda.
     """
-    runs = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    caps = F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 1 << 30)))
-    return F.when(col(c).isNull(), F.lit(None).cast("string")).otherwise(F.array_join(caps, ""))
+    marked = F.regexp_replace(F.lower(col(c)), r"([^\p{L}])", "$1 ")
+    return F.regexp_replace(F.initcap(marked), r"([^\p{L}]) ", "$1")
 
 
 def quote(term: str) -> str:
@@ -97,11 +97,88 @@ def contains_all(text: Column, needles: Iterable[str]) -> Column:
     return out
 
 
+_QUANT = set("?*{")
+_META = set("\\.^$|?*+()[]{}")
+
+
+def _top_level_alternatives(pattern: str) -> list[str] | None:
+    parts, depth, cur, i = [], 0, [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            cur.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if ch == "[":
+            return None  # character classes: no prefilter
+        if ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        if ch == "|" and depth == 0:
+            parts.append("".join(cur))
+            cur = []
+        else:
+            cur.append(ch)
+        i += 1
+    parts.append("".join(cur))
+    return parts
+
+
+def required_literal(alternative: str) -> str:
+    """Longest run of plain characters outside groups that every match contains.
+
+    A character followed by ``?``, ``*`` or ``{`` is optional and ends the run;
+    escapes and groups end it too. Returns '' when nothing is certain.
+    """
+    best, cur, depth, i = "", "", 0, 0
+    while i < len(alternative):
+        ch = alternative[i]
+        nxt = alternative[i + 1] if i + 1 < len(alternative) else ""
+        if ch == "\\":
+            best, cur = max(best, cur, key=len), ""
+            i += 2
+            continue
+        if ch in "()":
+            depth += 1 if ch == "(" else -1
+            best, cur = max(best, cur, key=len), ""
+        elif depth > 0 or ch in _META or nxt in _QUANT:
+            best, cur = max(best, cur, key=len), ""
+        else:
+            cur += ch
+            if nxt == "+":
+                best, cur = max(best, cur, key=len), ""
+        i += 1
+    return max(best, cur, key=len)
+
+
+def regex_prefilter(text: Column, pattern: str) -> Column | None:
+    """A cheap necessary condition for ``text RLIKE pattern`` (or None)."""
+    if pattern.startswith("(?"):
+        return None
+    alts = _top_level_alternatives(pattern)
+    if not alts:
+        return None
+    lits = [required_literal(a) for a in alts]
+    if any(len(x) < 2 for x in lits):
+        return None
+    return contains_any(text, lits)
+
+
+def guarded_rlike(text: Column, pattern: str) -> Column:
+    """``text RLIKE pattern``, skipped when a required literal is absent."""
+    pre = regex_prefilter(text, pattern)
+    return text.rlike(pattern) if pre is None else (pre & text.rlike(pattern))
+
+
 def first_regex_label(text: Column, rules: Sequence[tuple[str, str]], default: Column | None) -> Column:
-    """CASE WHEN text RLIKE p1 THEN l1 ... ELSE default (first match wins)."""
+    """CASE WHEN text RLIKE p1 THEN l1 ... ELSE default (first match wins).
+
+    Each regex is guarded by a literal prefilter (``guarded_rlike``).
+    """
     expr = None
     for pattern, label in rules:
-        cond = text.rlike(pattern)
+        cond = guarded_rlike(text, pattern)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     if expr is None:
         return default if default is not None else F.lit(None).cast("string")
