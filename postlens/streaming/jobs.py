@@ -54,9 +54,11 @@ def windowed_counts(df: DataFrame, ts_col: str, key_col: str, kind: str = "daily
     With ``delay`` the watermark bounds the state (streaming); the same call
     on a static frame is the batch result the stream must reproduce.
     """
-    x = event_time(df, ts_col)
+    # Batch: windows over TIMESTAMP_NTZ are wall-clock aligned and independent of
+    # the session time zone. Streams need TIMESTAMP for the watermark.
+    x = df
     if delay:
-        x = x.withWatermark(ts_col, delay)
+        x = event_time(df, ts_col).withWatermark(ts_col, delay)
     if kind == "daily":
         w = F.window(ts_col, size)
     elif kind == "sliding":
