@@ -83,19 +83,29 @@ def top_raw_skills(df: DataFrame, col: str = "skills", n: int = 100) -> DataFram
 
 
 def skill_share(df: DataFrame, skills_col: str = "skills_normalized", n: int = 30) -> DataFrame:
-    """Top-N skills with % of postings that mention them (2 decimals)."""
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    out = attach(top_skills(df, skills_col, n), total)
+    """Top-N skills with % of postings that mention them (2 decimals).
+
+    One scan: each posting adds a null marker to its skills, so the null
+    group's count is the number of postings.
+    """
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.col(skills_col), F.array().cast("array<string>")))
+    counts = df.select(F.explode(marked).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("count"))
+    total = counts.where(F.col("skill").isNull()).select(F.col("count").alias("_n"))
+    order = rank_order("count", "skill")
+    top = with_rank(counts.where(F.col("skill").isNotNull()).orderBy(*order).limit(n), order).select(
+        "rank", "skill", "count")
+    out = attach(top, total)
     return out.select("rank", "skill", "count",
                       F.round(F.try_divide(F.col("count") * 100.0, F.col("_n")), 2).alias("percentage"))
 
 
 def share_of_total(df: DataFrame, col: str, n: int | None = None, digits: int = 2) -> DataFrame:
     """Value counts with share of all rows (null rows stay in the denominator)."""
-    counts = value_counts(df, col)
+    all_counts = value_counts(df, col, keep_null=True)  # one scan: the total is the sum of all groups
+    total = all_counts.agg(F.sum("count").alias("_n"))
+    counts = all_counts.where(F.col("value").isNotNull())
     if n is not None:
         counts = counts.orderBy(*rank_order()).limit(n)
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
     return attach(counts, total).select(
         "value", "count", F.round(F.try_divide(F.col("count") * 100.0, F.col("_n")), digits).alias("percentage"))
 

@@ -2,8 +2,8 @@
 
 source -> normalisation -> dedup -> explode -> aggregate -> per-group top-k.
 Shuffles: one for the dedup (partial aggregation first), one for the
-(city, skill) counts; the top-k and the join to city sizes run on the
-aggregated frames, whose size is cities x skills, not postings.
+(city, skill) counts (city sizes come out of the same aggregate); the top-k
+and the join to city sizes run on aggregated frames of cities x skills rows.
 """
 
 from __future__ import annotations
@@ -16,9 +16,17 @@ from postlens.operators import demand as D
 
 def skill_demand_by_city(cleaned: DataFrame, k: int = 5, city_col: str = "city_standardized",
                          skills_col: str = "skills_normalized") -> DataFrame:
-    sizes = cleaned.groupBy(F.col(city_col).alias("city")).agg(F.count(F.lit(1)).alias("city_postings"))
-    pairs = (cleaned.select(F.col(city_col).alias("city"), F.explode(skills_col).alias("skill"))
-             .groupBy("city", "skill").agg(F.count(F.lit(1)).alias("count")))
+    """Top-k skills per city with each skill's share of the city's postings.
+
+    One aggregate gives both numbers: every posting contributes its skills
+    plus one null marker, so the (city, null) count is the city's posting
+    count. The cleaned postings are scanned once.
+    """
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.col(skills_col), F.array().cast("array<string>")))
+    counts = (cleaned.select(F.col(city_col).alias("city"), F.explode(marked).alias("skill"))
+              .groupBy("city", "skill").agg(F.count(F.lit(1)).alias("count")))
+    sizes = counts.where(F.col("skill").isNull()).select("city", F.col("count").alias("city_postings"))
+    pairs = counts.where(F.col("skill").isNotNull())
     ranked = D.top_k_per_group(pairs, "city", [F.col("count").desc(), F.col("skill")], k)
     return (ranked.join(sizes, "city")
             .select("city", "skill", "count", "city_postings",
