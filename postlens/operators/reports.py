@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from postlens import vocab as V
 from postlens.functions.text import first_contains_label, first_regex_label
 from postlens.operators.extract import substring_skill_counts
+from postlens.session import cut_lineage
 
 # Report sentence templates, as worded in the reference.
 SKILLS_INSIGHT = "The most in-demand skills are: {skills}."
@@ -73,6 +74,11 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
     cols = list(sections)
     g = x.groupingSets([[c] for c in cols] + [[]], *cols).agg(
         F.count(F.lit(1)).alias("value"), F.sum("_sal").alias("_sal"), F.grouping_id().alias("_gid"))
+    # Materialise the aggregate once (reliable checkpoint in the shared folder).
+    # Without it, each section's filter on the grouping id is pushed below the
+    # aggregate and every section would rescan and re-expand the postings.
+    # Its size is the number of distinct keys, not the number of postings.
+    g = cut_lineage(g)
     full = (1 << len(cols)) - 1
     gid_of = {c: full ^ (1 << (len(cols) - 1 - i)) for i, c in enumerate(cols)}
     pieces = []
