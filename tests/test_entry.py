@@ -27,3 +27,16 @@ def test_matching_plan_has_no_cartesian(spark):
     qs = E.queries()
     plan = qs["profile_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_package_functions_ship_by_value():
+    """UDF helpers must not need the package on the executors' path."""
+    import pickle
+
+    from pyspark import cloudpickle
+
+    from postlens.functions.dictionary import find_terms
+
+    blob = cloudpickle.dumps(find_terms)
+    assert b"postlens.functions.dictionary" not in blob or len(blob) > 500
+    assert pickle.loads(blob)("C++ dev", (("c++", "c++"),), "lookaround") == ["c++"]
