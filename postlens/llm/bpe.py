@@ -1,13 +1,18 @@
 """Byte-level BPE of whole Arrow columns with the tokenizers library.
 
 The tokenizer's own splitter never joins across a single space (or line feed) between
-two non-space characters. A batch is cut there, equal cuts are encoded once, and the
-ids are gathered back. The result equals encoding each text as a whole
+two non-space characters, nor a letter with the punctuation after it. A batch is cut
+there, equal units are encoded once (a worker keeps a bounded number of them for
+its next batches), and the ids are gathered back. The result equals encoding each text as a whole
 (tests/llm/test_tokens.py compares them).
 """
 
 from __future__ import annotations
 
+import os
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,6 +22,10 @@ _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _WIDE_LEAD = np.zeros(256, bool)  # may lead a Unicode space: then no cut is made beside it
 _WIDE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)  # ASCII punctuation but for the apostrophe of contractions
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum() and i != 39]] = True
 _JOIN = 2048
 
 
@@ -32,10 +41,19 @@ def _solid_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(b1 < 128, ~_WS[b1], ~(_WIDE_LEAD[b2] | _WIDE_LEAD[b3]))
 
 
+def worker_encoder(path: str) -> Encoder:
+    """This Python worker's encoder, kept between its tasks with the units that it has met."""
+    held = sys.modules.setdefault("_postlens_worker", types.ModuleType("_postlens_worker")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 class Encoder:
-    """``encode(column)`` -> (ids of all rows, row offsets). One object per task."""
+    """``encode(column)`` -> (ids of all rows, row offsets)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_units: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,6 +62,9 @@ class Encoder:
         self.spaced = np.zeros(self.size, bool)  # tokens that begin with a space byte
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token.startswith("Ġ")
+        # units met before: number of each, and its ids
+        self.most_units, self.known = most_units, {}
+        self.ids, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -54,11 +75,16 @@ class Encoder:
         at = at[~first[at] & ~first[at + 1]]
         after = data[at + 1]
         at = at[_solid_before(data, at) & ~_WS[after] & ~_WIDE_LEAD[after]]
+        at = np.concatenate([at, at[data[at] == 10] + 1])
+        # a letter, then punctuation: the splitter always parts them
+        mark = np.flatnonzero(_MARK[data])
+        before = data[np.maximum(mark - 1, 0)]
+        accented = (data[np.maximum(mark - 2, 0)] == 0xC3) & (before >= 128) & (before != 0x97) & (before != 0xB7)
+        first[mark[_LETTER[before] | accented]] = True
         first[at] = True
-        first[at[data[at] == 10] + 1] = True
         return np.flatnonzero(first[:-1])
 
-    def _encode_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _encode_new(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of the distinct units, in any order, with each unit's begin and size there."""
         data, offsets = binary_buffers(units)
         n, starts, ends = len(units), offsets[:-1], offsets[1:]
@@ -83,6 +109,22 @@ class Encoder:
         parts.append(np.fromiter((i for x in lists for i in x), np.uint32))
         return np.concatenate(parts), begin, size
 
+    def _encode_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = units.to_pylist()
+        number = np.fromiter((self.known.get(x, -1) for x in raw), np.int64, len(raw))
+        new = np.flatnonzero(number < 0)
+        if not len(new):
+            return self.ids, self.begin[number], self.length[number]
+        ids, begin, size = self._encode_new(units.take(pa.array(new)))
+        n = len(self.known)
+        all_ids, all_begin, all_size = np.concatenate([self.ids, ids]), np.concatenate([self.begin, len(self.ids) + begin]), np.concatenate([self.length, size])
+        number[new] = n + np.arange(len(new))
+        room = min(len(new), self.most_units - n)
+        if room > 0:
+            self.known.update(zip([raw[i] for i in new[:room]], range(n, n + room), strict=True))
+            self.ids, self.begin, self.length = all_ids, all_begin[:n + room], all_size[:n + room]
+        return all_ids, all_begin[number], all_size[number]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_buffers(column)
         if not len(data):

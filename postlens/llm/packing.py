@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.bpe import Encoder, default_path
+from postlens.llm.bpe import default_path, worker_encoder
 from postlens.llm.columns import slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -149,11 +149,11 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, end_id: int = 1,
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 36, max_tokens, max_segments, most_loss, waiting, slack)
         for batch in batches:
             keys, texts = batch["id"].to_pylist(), batch["text"]
-            for a, b in slices(texts, 32 << 20):
+            for a, b in slices(texts, 12 << 20):
                 ids, offsets = encoder.encode(texts.slice(a, b - a))
                 for k in range(b - a):
                     own = np.append(ids[offsets[k]:offsets[k + 1]], np.uint32(end_id))

@@ -31,3 +31,26 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), end_id=1)
+
+
+@query
+def op4_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.exact_dedup import duplicate_groups
+
+    return duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_bloom_dedup"] = """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents
+), g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+
+@query
+def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "times")

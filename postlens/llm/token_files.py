@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.bpe import Encoder, default_path
+from postlens.llm.bpe import default_path, worker_encoder
 from postlens.llm.columns import slices
 from postlens.llm.files import shared_path
 
@@ -75,7 +75,7 @@ def _blocks(path: str, end_id: int, block_ids: int, id_col: str, text_col: str):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, block, first = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, block, first = worker_encoder(path), TaskContext.get().partitionId(), 0, 0
         bits = width(max(encoder.size, end_id + 1))
         waiting, docs, ends, n = [], [], [], 0
 
@@ -84,7 +84,7 @@ def _blocks(path: str, end_id: int, block_ids: int, id_col: str, text_col: str):
 
         for batch in batches:
             keys, texts = batch[id_col].to_pylist(), batch[text_col]
-            for a, b in slices(texts, 32 << 20):
+            for a, b in slices(texts, 12 << 20):
                 ids, offsets = encoder.encode(texts.slice(a, b - a))
                 for k in range(b - a):
                     own = ids[offsets[k]:offsets[k + 1]]
