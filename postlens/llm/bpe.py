@@ -10,13 +10,12 @@ its next batches), and the ids are gathered back. The result equals encoding eac
 from __future__ import annotations
 
 import os
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 
 from postlens.llm.columns import binary_buffers, distinct_values, row_starts, text_buffers
+from postlens.llm.worker import kept
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -43,10 +42,7 @@ def _solid_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def worker_encoder(path: str) -> Encoder:
     """This Python worker's encoder, kept between its tasks with the units that it has met."""
-    held = sys.modules.setdefault("_postlens_worker", types.ModuleType("_postlens_worker")).__dict__
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 class Encoder:

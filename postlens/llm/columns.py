@@ -69,8 +69,8 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     """Index of each word and the distinct words (bytes)."""
     lengths = ends - starts
     keep = np.zeros(len(data) + 1, np.int8)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, ends, -1)
+    keep[starts] += 1
+    keep[ends] -= 1
     packed = data[np.cumsum(keep[:-1], dtype=np.int8).astype(bool)]
     return distinct_values(packed, np.concatenate([[0], np.cumsum(lengths)]))
 

@@ -54,3 +54,17 @@ def op10_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.llm.mixing import mixture
 
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
+@query
+def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
