@@ -68,3 +68,17 @@ def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.secrets import scan_digest
+
+    return scan_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.pii import pii_digest
+
+    return pii_digest(table(spark, sf_dir, "documents"))
