@@ -71,7 +71,10 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     again = flagged.where("maybe")
     groups = again.groupBy("sha").agg(F.max(F.struct("doc_id", "nth")).alias("stays"), F.count("*").alias("group_size"))
-    settled = again.join(groups, "sha").select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("nth") == F.col("stays.nth")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    # joined by the hex form: the sums are dealt out anew, so the rows of a hot hash can be split between tasks
+    text_sha = F.lower(F.hex("sha")).alias("text_sha256")
+    settled = again.select("doc_id", "nth", text_sha).join(groups.select("stays", "group_size", text_sha), "text_sha256")
+    settled = settled.select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("nth") == F.col("stays.nth")).alias("kept"), "text_sha256")
     return alone.union(settled)
 
 
@@ -92,6 +95,6 @@ def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     seen = docs.select(*[F.col(f"`{c}`") for c in columns], look(F.col(text_col).cast("string")).alias("_seen"))
     alone = seen.where("not _seen.maybe").select(*[F.col(f"`{c}`") for c in columns])
     again = seen.where("_seen.maybe").select(*[F.col(f"`{c}`") for c in columns], F.col("_seen.sha").alias("_sha"))
-    stays = again.groupBy("_sha").agg(F.max(F.col(id_col).cast("long")).alias("_stays"))
-    kept = again.join(stays, "_sha").where(F.col(id_col).cast("long").eqNullSafe(F.col("_stays"))).dropDuplicates(["_sha"])
+    stays = again.groupBy("_sha").agg(F.max(F.col(id_col).cast("long")).alias("_stays")).select(F.hex("_sha").alias("_key"), "_stays")
+    kept = again.withColumn("_key", F.hex("_sha")).join(stays, "_key").where(F.col(id_col).cast("long").eqNullSafe(F.col("_stays"))).dropDuplicates(["_key"])
     return alone.union(kept.select(*[F.col(f"`{c}`") for c in columns]))
