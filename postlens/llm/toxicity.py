@@ -282,10 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 2000, most_clea
     the id, as long as they come to ``most_chars`` characters together.
     """
     own = labelled(labels, label_col, folds, fold).select("y", F.col("doc_id").alias("_id"))
-    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("y", F.pmod(F.xxhash64("_id"), F.lit(64))).orderBy(F.xxhash64("_id"), "_id")))
-    most = F.when(F.col("y") == 1, most_toxic).otherwise(most_clean)
-    own = own.where(F.col("nth") <= most)
-    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id"))).where(F.col("nth") <= most)
+    kinds = [own.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
+    own = kinds[0].union(kinds[1])
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(own), "_id").select("_id", "text", "y")
     order = Window.orderBy(F.xxhash64("_id"), "_id", "text").rowsBetween(Window.unboundedPreceding, 0)
