@@ -82,3 +82,10 @@ def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.llm.pii import pii_digest
 
     return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
