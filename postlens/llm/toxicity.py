@@ -274,7 +274,7 @@ def train(texts: list[str], toxic: np.ndarray, most_landmarks: int = 48) -> Mode
     return Model(words, whiten @ w, b, slope, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 2000, most_clean: int = 6000, most_chars: int = 64_000_000, folds: int = 5, fold: int = 0,
+def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1500, most_clean: int = 4500, most_chars: int = 64_000_000, folds: int = 5, fold: int = 0,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Model from a bounded sample of labelled rows outside the held-out fold.
 
