@@ -89,3 +89,10 @@ def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.llm.embed_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.jaccard_join import components_of_documents
+
+    return components_of_documents(table(spark, sf_dir, "documents"))

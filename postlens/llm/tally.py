@@ -103,8 +103,8 @@ def merge(sparse: DataFrame, log_m: int, bits_each: int = 1, at_least: int = 1)
     n_ranges = 1 << (log_m - RANGE_BITS)
     each = (1 << RANGE_BITS) * bits_each // 8
     table = np.zeros(n_ranges * each, np.uint8)
-    spread = sparse.repartition(min(n_ranges, 256), "range")
-    for row in spread.mapInArrow(_merged(bits_each, at_least), "range int, body binary").toLocalIterator():
+    spread = sparse.repartition(min(n_ranges, 64), "range")
+    for row in spread.mapInArrow(_merged(bits_each, at_least), "range int, body binary").collect():  # MAX_BYTES at most
         table[row["range"] * each:(row["range"] + 1) * each] = np.frombuffer(row["body"], np.uint8)
     return table
 
