@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.columns import LOWER, text_buffers
-from postlens.llm.files import written
+from postlens.llm.files import as_rows, written
 from postlens.llm.tally import all_set, buckets_for, tally
 
 _PER_ROW, _K = 16, 2
@@ -91,10 +91,10 @@ def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         sha, h = digests(text)
         return pa.StructArray.from_arrays([pa.array(sha, pa.binary()), pa.array(all_set(shared.value, h, log_m, _K))], ["sha", "maybe"])
 
-    columns = docs.columns
-    seen = docs.select(*[F.col(f"`{c}`") for c in columns], look(F.col(text_col).cast("string")).alias("_seen"))
-    alone = seen.where("not _seen.maybe").select(*[F.col(f"`{c}`") for c in columns])
-    again = seen.where("_seen.maybe").select(*[F.col(f"`{c}`") for c in columns], F.col("_seen.sha").alias("_sha"))
-    stays = again.groupBy("_sha").agg(F.max(F.col(id_col).cast("long")).alias("_stays")).select(F.hex("_sha").alias("_key"), "_stays")
-    kept = again.withColumn("_key", F.hex("_sha")).join(stays, "_key").where(F.col(id_col).cast("long").eqNullSafe(F.col("_stays"))).dropDuplicates(["_key"])
-    return alone.union(kept.select(*[F.col(f"`{c}`") for c in columns]))
+    key = F.col("row")[id_col].cast("long")
+    seen = as_rows(docs).select("row", look(F.col("row")[text_col].cast("string")).alias("seen"))
+    alone = seen.where("not seen.maybe").select("row.*")
+    again = seen.where("seen.maybe").select("row", F.col("seen.sha").alias("sha"))
+    stays = again.groupBy("sha").agg(F.max(key).alias("stays")).select(F.hex("sha").alias("key"), "stays")
+    kept = again.select("row", F.hex("sha").alias("key")).join(stays, "key").where(key.eqNullSafe(F.col("stays"))).dropDuplicates(["key"])
+    return alone.union(kept.select("row.*"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postlens.session import checkpoint_dir
 
@@ -18,3 +19,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``row``: whatever its columns are called, they meet no name of ours. Undone by select("row.*")."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

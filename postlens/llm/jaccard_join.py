@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm.columns import LOWER, distinct_words, slices, text_buffers, word_spans
 from postlens.llm.components import components
-from postlens.llm.files import written
+from postlens.llm.files import as_rows, written
 from postlens.llm.tally import Sparse, all_set, buckets_for, levels, merge, tally
 
 BLOCK_SETS, BLOCK_SHINGLES = 64, 50_000
@@ -331,8 +331,7 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def maybe(ids: pa.Array) -> pa.Array:
         return pa.array(all_set(table.value, ids.fill_null(0).to_numpy(zero_copy_only=False), log_k, 2) & ids.is_valid().to_numpy(zero_copy_only=False))
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    seen = docs.withColumn("_maybe", maybe(F.col(id_col).cast("long")))
-    doubtful = seen.where("_maybe").withColumn("_key", F.col(id_col).cast("long"))
-    stay = doubtful.join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
-    return seen.where("not _maybe").select(*columns).union(stay.select(*columns))
+    key = F.col("row")[id_col].cast("long")
+    seen = as_rows(docs).select("row", key.alias("key"), maybe(key).alias("maybe"))
+    stay = seen.where("maybe").join(gone.withColumnRenamed("doc_id", "key"), "key", "left_anti")
+    return seen.where("not maybe").select("row.*").union(stay.select("row.*"))

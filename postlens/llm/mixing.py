@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.files import written
+from postlens.llm.files import as_rows, written
 
 SHARD = 250
 _EPS = 1e-9
@@ -143,13 +143,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **op
 
     Rows that share id and size are interchangeable: they share their times out evenly.
     """
-    drawn = mixture(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_n")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
-    drawn = drawn.where("_times > 0")
-    columns = docs.columns
-    own = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(id_col).cast("long").alias("_key"), word_count(F.col(text_col).cast("string")).alias("_size"))
-    both = own.join(drawn, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")))
-    nth = F.row_number().over(Window.partitionBy("_key", "_size").orderBy("_key"))
-    both = both.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(F.lit(1)))
-    each = F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
-    both = both.withColumn("_each", each.cast("int")).where("_each > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*[F.col(f"`{c}`") for c in columns])
+    drawn = mixture(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("id"), F.col("size").alias("n")).agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    row = F.col("row")
+    own = as_rows(docs).select("row", row[id_col].cast("long").alias("key"), word_count(row[text_col].cast("string")).alias("size"))
+    both = own.join(drawn.where("times > 0"), F.col("key").eqNullSafe(F.col("id")) & (F.col("size") == F.col("n")))
+    nth = F.row_number().over(Window.partitionBy("key", "size").orderBy("key"))
+    both = both.withColumn("nth", F.when(F.col("rows") > 1, nth).otherwise(F.lit(1)))
+    each = F.floor(F.col("times") / F.col("rows")) + F.when(F.col("nth") <= F.col("times") % F.col("rows"), 1).otherwise(0)
+    both = both.withColumn("each", each.cast("int")).where("each > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("each"))).alias("copy")).select("row.*")

@@ -30,14 +30,14 @@ HEX = r"[0-9a-f]{32,}"
 SENSITIVE = r"passw|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|signature|session[_-]?id|conn(?:ection)?[_-]?str"
 _VALUE = r"[A-Za-z0-9+/_.=~-]{16,}"
 _IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{3,47}")
-_HUMP = re.compile(rb"_[a-z0-9]|[a-z][A-Z]")
+_PIECE = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
 
 def identifier_dictionary(docs: DataFrame, text_col: str = "text", most_bytes: int = 32 << 10) -> bytes:
     """The corpus's most frequent identifiers (snake or camel case), the commonest last, in ``most_bytes`` at most.
 
-    Every text is counted; each task sends its own sums.
+    Every text is counted; each task sends its own sums. A repeated key is no identifier: its pieces are no words.
     """
 
     def count(batches):
@@ -57,7 +57,7 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", most_bytes: i
                 shaped = pc.match_substring_regex(words, "_[a-z0-9]|[a-z][A-Z]").to_numpy(zero_copy_only=False) if len(words) else []
                 for k in np.flatnonzero(shaped):
                     for name in _IDENTIFIER.findall(words[int(k)].as_py()):
-                        if _HUMP.search(name):
+                        if spelled(name):
                             total[name] = total.get(name, 0) + int(number[k])
                 if len(total) > 200_000:
                     yield sent()
@@ -75,6 +75,13 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", most_bytes: i
     return b"\n".join(out[::-1])
 
 
+def spelled(name: bytes) -> bool:
+    """Whether an identifier is put together from words: two pieces or more of three letters on average, few digits."""
+    pieces = _PIECE.findall(name)
+    letters = sum(map(len, pieces))
+    return len(pieces) > 1 and letters >= 3 * len(pieces) and sum(48 <= c < 58 for c in name) <= 3
+
+
 class Scanner:
     """Spans of whole texts. ``threshold``: marginal compressed bytes per character from which a string is reported."""
 
