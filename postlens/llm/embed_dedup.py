@@ -1,14 +1,15 @@
 """Near-duplicate embeddings by cross-polytope hashing (operator 8).
 
 A vector is turned by pseudo-random rotations (three rounds of sign flips and a fast Hadamard
-transform) and hashed to its nearest axis, with sign. A table's code joins two such hashes.
-Each vector stands in its own bucket of every table and asks, besides, in the buckets of its next
+transform) and hashed to its nearest axis, with sign. A table's code joins a few such hashes,
+so many that there are about as many buckets as vectors. Each vector stands in its own bucket of every table and asks, besides, in the buckets of its next
 nearest axes (multiprobe). All pairs that meet in a bucket are verified by cosine in double
 precision, block against block, and only sums leave the task: links per vector,
 and the edges of a spanning forest. A pair that meets more than once counts in the
 first place where it meets.
 
-Equal vectors are one representative with a multiplicity. Buckets larger than a block are
+Buckets are found with ids alone; only entries that share a bucket with its owner get their
+vectors. Equal vectors are one representative with a multiplicity. Buckets larger than a block are
 dealt out as pairs of blocks, so no bucket is capped and none is one task.
 """
 
@@ -23,7 +24,8 @@ from postlens.llm.components import components
 from postlens.llm.files import written
 
 BLOCK = 512
-_ENTRY = "bucket long, rep long, times long, main boolean, codes binary, v binary"
+_ENTRY = "bucket long, rep long, main boolean"
+_BODY = "rep long, times long, codes binary, v binary, width int"
 
 
 def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -40,35 +42,40 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def codes(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
-    """int64 [rows, tables, 1 + probes]: own code first, then the codes of the next nearest axes."""
+def codes(x: np.ndarray, hashes: int, tables: int, probes: int, seed: int) -> np.ndarray:
+    """int64 [rows, tables, 1 + probes]: own code first, then the codes with one hash at a next nearest axis."""
     n, width = x.shape
     d = max(2, 1 << (width - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - width)))
     rng = np.random.default_rng(seed)
     out = np.zeros((n, tables, 1 + probes), np.int64)
-    rows = np.arange(n)
+    near = min(probes, d - 1)
     for t in range(tables):
-        first, second, loss = [], [], []
-        for _ in range(2):
+        axes, steps = [], []
+        for _ in range(hashes):
             turned = rotate(x, rng.choice([-1.0, 1.0], (3, d)))
             size = np.abs(turned)
-            order = np.argpartition(-size, min(probes + 1, d - 1), axis=1)[:, :probes + 1]
+            order = np.argpartition(-size, near, axis=1)[:, :near + 1]
             order = np.take_along_axis(order, np.argsort(-np.take_along_axis(size, order, 1), axis=1, kind="stable"), 1)
-            axis = order * 2 + (np.take_along_axis(turned, order, 1) < 0)
             value = np.take_along_axis(size, order, 1)
-            first.append(axis)
-            second.append(value)
-        a, b = first
-        out[:, t, 0] = a[:, 0] * 2 * d + b[:, 0]
-        # one hash at its own axis, the other at its k-th: the smaller the step down, the sooner
-        loss = np.concatenate([second[0][:, :1] - second[0][:, 1:], second[1][:, :1] - second[1][:, 1:]], 1)
-        other = np.concatenate([a[:, 1:] * 2 * d + b[:, :1], a[:, :1] * 2 * d + b[:, 1:]], 1)
-        best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-        out[:, t, 1:] = other[rows[:, None], best]
+            axes.append(order * 2 + (np.take_along_axis(turned, order, 1) < 0))
+            steps.append(value[:, :1] - value[:, 1:])
+        place = [(2 * d) ** k for k in range(hashes)]
+        own = sum(a[:, 0] * p for a, p in zip(axes, place, strict=True))
+        other = np.concatenate([own[:, None] + (a[:, 1:] - a[:, :1]) * p for a, p in zip(axes, place, strict=True)], 1)
+        # the smaller the step down from the nearest axis, the likelier a neighbour lies there
+        best = np.argsort(np.concatenate(steps, 1), axis=1, kind="stable")[:, :probes]
+        out[:, t, 0] = own
+        out[:, t, 1:1 + best.shape[1]] = np.take_along_axis(other, best, 1)
+        out[:, t, 1 + best.shape[1]:] = own[:, None]
     return out
 
 
+def hashes_for(n: int, width: int) -> int:
+    """Hashes per code, so that the buckets of a table are about as many as the vectors."""
+    return max(2, int(np.ceil(np.log(max(2, n)) / np.log(2 * max(2, 1 << (width - 1).bit_length())))))
+
+
 def _usable(column: pa.Array) -> np.ndarray:
     """Rows that are not null, hold only finite components and are not zero."""
     good = np.zeros(len(column), bool)
@@ -83,42 +90,77 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [row.values.to_numpy(zero_copy_only=False).astype(float) for row in column]
 
 
-def _entries(tables: int, probes: int, seed: int):
-    names = [x.split()[0] for x in _ENTRY.split(", ")]
+def _bodies(hashes: dict[int, int], tables: int, probes: int, seed: int):
+    names = [x.split()[0] for x in _BODY.split(", ")]
 
     def run(batches):
         for batch in batches:
             vectors = _vectors(batch["v"])
             widths = np.array([len(v) for v in vectors])
-            for width in np.unique(widths):  # vectors of different lengths never link
+            for width in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == width)
+                x = _unit(np.stack([vectors[i] for i in at]))
+                own = codes(x, hashes[width], tables, probes, seed)
+                packed = [c.astype(_code_type(hashes[width], width)).tobytes() for c in own]
+                columns = [batch[c].take(pa.array(at)) for c in ("rep", "times")]
+                raw = [_narrow(vectors[i]).tobytes() for i in at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary()), pa.array(raw, pa.binary()), pa.array(np.full(len(at), width, np.int32))], names)
+
+    return run
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """As 32-bit floats if they hold the same values."""
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return short if (short == v).all() else v
+
+
+def _code_type(hashes: int, width: int) -> type:
+    return np.int32 if (2 * max(2, 1 << (width - 1).bit_length())) ** hashes < 2**31 else np.int64
+
+
+def _bucket(code: np.ndarray, table: int, width: int) -> np.ndarray:
+    """Number of a bucket: exact for codes below 2^42, mixed beyond (verification then tells mixed buckets apart)."""
+    return (code.astype(np.uint64) * np.uint64(64) + np.uint64(table)).view(np.int64) * 65536 + width
+
+
+def _entries(hashes: dict[int, int], tables: int, probes: int):
+    def run(batches):
+        for batch in batches:
+            rep, widths = batch["rep"].to_numpy(), batch["width"].to_numpy()
+            packed = batch["codes"].to_pylist()
+            for width in np.unique(widths).tolist():
                 at = np.flatnonzero(widths == width)
-                x = np.stack([vectors[i] / np.abs(vectors[i]).max() for i in at])
-                x /= np.sqrt((x * x).sum(1))[:, None]
-                own = codes(x, tables, probes, seed)
-                rep, times = batch["rep"].take(pa.array(at)).to_numpy(), batch["times"].take(pa.array(at)).to_numpy()
-                packed = [c.tobytes() for c in own]
-                body = [r.tobytes() for r in x]
+                own = np.stack([np.frombuffer(packed[i], _code_type(hashes[width], width)) for i in at]).astype(np.int64).reshape(len(at), tables, 1 + probes)
                 for t in range(tables):
                     for p in range(1 + probes):
-                        bucket = (own[:, t, p] * 64 + t) * 65536 + width
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rep), pa.array(times), pa.array(np.full(len(at), p == 0)), pa.array(packed, pa.binary()), pa.array(body, pa.binary())], names)
+                        ok = np.ones(len(at), bool) if p == 0 else own[:, t, p] != own[:, t, 0]
+                        n = int(ok.sum())
+                        yield pa.RecordBatch.from_arrays([pa.array(_bucket(own[ok, t, p], t, width)), pa.array(rep[at[ok]]), pa.array(np.full(n, p == 0))], ["bucket", "rep", "main"])
 
     return run
 
 
-def _first_meeting(ci: np.ndarray, cj: np.ndarray, table: int, code: np.ndarray) -> np.ndarray:
-    """Whether (table, code) is the first place where each pair meets. ci, cj: [pairs, tables, 1 + probes]."""
+def _first_meeting(ci: np.ndarray, cj: np.ndarray, table: int, bucket: int, width: int) -> np.ndarray:
+    """Whether the bucket is the first place where each pair meets. ci, cj: [pairs, tables, 1 + probes]."""
     seen = np.zeros(len(ci), bool)
     for t in range(table + 1):
         i_asks, j_asks = (ci[:, t] == cj[:, t, :1]).any(1), (cj[:, t] == ci[:, t, :1]).any(1)
         if t < table:
             seen |= i_asks | j_asks
         else:  # the places in this table: j's own bucket if i asks there, i's own bucket if j does
-            seen |= i_asks & (cj[:, t, 0] < code) | j_asks & (ci[:, t, 0] < code)
+            seen |= i_asks & (_bucket(cj[:, t, 0], t, width) < bucket) | j_asks & (_bucket(ci[:, t, 0], t, width) < bucket)
+            seen |= ~(i_asks | j_asks)  # codes that only share the bucket's number
     return ~seen
 
 
-def _links(group: dict, threshold: float, tables: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(group: dict, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rep, other, links): sums of links per vector of one pair of blocks, and forest edges (links 0)."""
     rep, side, main = group["rep"], group["side"], group["main"]
     left = np.flatnonzero(side != 1)
@@ -137,9 +179,7 @@ def _links(group: dict, threshold: float, tables: int, probes: int) -> tuple[np.
     if not len(i):
         return (np.zeros(0, np.int64),) * 3
     c = group["codes"]
-    table, code = group["table"], group["code"]
-    # within a bucket the same two vectors can meet twice only if one stands there twice, which it never does
-    first = _first_meeting(c[i], c[j], table, np.full(len(i), code))
+    first = _first_meeting(c[i], c[j], group["table"], group["bucket"], group["width"])
     i, j = i[first], j[first]
     total = np.zeros(len(rep))
     np.add.at(total, i, group["times"][j])
@@ -158,45 +198,43 @@ def _links(group: dict, threshold: float, tables: int, probes: int) -> tuple[np.
     return np.concatenate([rep[hit], rep[joined]]), np.concatenate([rep[hit], rep[parent[joined]]]), np.concatenate([total[hit], np.zeros(len(joined))]).astype(np.int64)
 
 
-def _verify(threshold: float, tables: int, probes: int):
+def _verify(threshold: float, hashes: dict[int, int], tables: int, probes: int):
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush(table: pa.Table):
-            unit = table["unit"].to_numpy()
-            cut = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1 if len(unit) else 0))
-            bounds = np.append(cut, len(unit))
-            bucket, side, rep, times, main = (table[c].to_numpy() for c in ("bucket", "side", "rep", "times", "main"))
+            unit, bucket, side, rep, times, main = (table[c].to_numpy() for c in ("unit", "bucket", "side", "rep", "times", "main"))
+            bounds = np.append(np.flatnonzero(np.diff(unit, prepend=unit[0] - 1)), len(unit))
             out = []
             for a, b in zip(bounds, bounds[1:], strict=False):
                 if b - a < 2:
                     continue
-                part = table.slice(a, b - a)
-                width = int(bucket[a] & 65535)
-                body = part["v"].combine_chunks()
-                x = np.frombuffer(b"".join(body.to_pylist()), float).reshape(b - a, width)
-                own = np.frombuffer(b"".join(part["codes"].combine_chunks().to_pylist()), np.int64).reshape(b - a, tables, 1 + probes)
-                key = int(bucket[a] >> 16)
-                group = {"rep": rep[a:b], "side": side[a:b], "main": main[a:b], "times": times[a:b], "x": x, "codes": own, "table": key % 64, "code": key // 64}
-                out.append(_links(group, threshold, tables, probes))
+                width, part = int(bucket[a] & 65535), table.slice(a, b - a)
+                raw = part["v"].to_pylist()
+                x = _unit(np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * width else float).astype(float) for v in raw]))
+                own = np.frombuffer(b"".join(part["codes"].to_pylist()), _code_type(hashes[width], width)).astype(np.int64).reshape(b - a, tables, 1 + probes)
+                group = {"rep": rep[a:b], "side": side[a:b], "main": main[a:b], "times": times[a:b], "x": x, "codes": own, "table": int(bucket[a] >> 16) % 64, "bucket": int(bucket[a]), "width": width}
+                out.append(_links(group, threshold))
             arrays = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rep", "other", "links"])
 
         for batch in batches:  # sorted by unit: a unit's rows are kept until the next begins
+            if not batch.num_rows:
+                continue
             held.append(batch)
             table = pa.Table.from_batches(held)
             unit = table["unit"].to_numpy()
-            last = int(np.searchsorted(unit, unit[-1])) if len(unit) else 0
+            last = int(np.searchsorted(unit, unit[-1]))
             if last:
                 yield flush(table.slice(0, last))
-                held = table.slice(last).to_batches()
+                held = table.slice(last).combine_chunks().to_batches()
         if held:
             yield flush(pa.Table.from_batches(held))
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, tables: int = 6, probes: int = 3, seed: int = 8,
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, tables: int = 8, probes: int = 4, seed: int = 8,
                     id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -213,22 +251,22 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, tables: int
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("good", usable("v"))
-    good = rows.where("good")
-    reps = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "vectors")
-    entries = written(reps.where("rep is not null").mapInArrow(_entries(tables, probes, seed), _ENTRY), "buckets")
-    size = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.max("main").alias("owned")).where("n > 1 and owned").select(F.col("bucket").alias("b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = entries.join(size, F.col("bucket") == F.col("b")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    placed = placed.select("*", other).withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with"))
-    side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") == F.col("lo"), 2).otherwise(1)
-    units = placed.select("bucket", "rep", "times", "main", "codes", "v", side.alias("side"), F.xxhash64("bucket", "lo", "hi").alias("unit"))
-    return _finish(rows, reps, units, threshold, tables, probes)
-
-
-def _finish(rows, reps, units, threshold, tables, probes):
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = written(rows.where("good").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "vectors")
+    own = reps.where("rep is not null")
+    hashes = {r["width"]: hashes_for(r["n"], r["width"]) for r in own.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}  # a row per vector length
+    bodies = written(own.mapInArrow(_bodies(hashes, tables, probes, seed), _BODY), "bodies")
+    entries = written(bodies.select("rep", "codes", "width").mapInArrow(_entries(hashes, tables, probes), _ENTRY), "buckets")
+    size = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.max("main").alias("owned")).where("n > 1 and owned")
+    # joined by a hash of the bucket: the sums are dealt out anew, so a hot bucket's rows can be split between tasks
+    size = size.select(F.xxhash64("bucket").alias("key"), F.col("bucket").alias("b"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = entries.withColumn("key", F.xxhash64("bucket")).join(size, "key").where("bucket = b").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.select("bucket", "rep", "main", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    lo, hi = F.least("own", "with"), F.greatest("own", "with")
+    side = F.when(F.col("own") == F.col("with"), 0).when(F.col("own") == lo, 2).otherwise(1)
+    units = placed.select("bucket", "rep", "main", side.alias("side"), F.xxhash64("bucket", lo, hi).alias("unit")).join(bodies.drop("width"), "rep")
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = units.repartition(n, "unit").sortWithinPartitions("unit")
-    found = written(dealt.mapInArrow(_verify(threshold, tables, probes), "rep long, other long, links long"), "links")
+    found = written(dealt.mapInArrow(_verify(threshold, hashes, tables, probes), "rep long, other long, links long"), "links")
     links = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("links = 0").select(F.col("rep").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("rep"), "component")
     of_rep = reps.join(links, "rep", "left").join(joined, "rep", "left").select(
