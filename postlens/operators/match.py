@@ -1,18 +1,18 @@
 """Profile-to-job matching, skill gaps, learning suggestions, semantic top-k.
 
-No cross join of profiles and postings. A pair can score only if the posting
-holds some evidence for the profile: one of its skills, title words, places,
-companies or job types occurs in the matching posting field. So:
-
-1. one Aho-Corasick scan per posting finds every profile needle in each field
-   (needles are the distinct lower-cased strings of all profiles);
-2. an equi-join on (needle, field) pairs postings with the profiles that own
-   the needle -- the profile side is small and broadcast after a size check;
-3. one aggregate per (posting, profile) sums the parts of the score;
-4. top-k per profile runs as a windowed group limit (partial top-k before the
-   shuffle), so a profile with many candidates never lands whole in one task.
-
-Pairs without evidence score 0, so every threshold above 0 is exact.
+A score depends only on what a profile lists and on which of those words the job's fields
+contain. So work is done per distinct value, not per row:
+
+1. profiles with equal lists are one signature;
+2. every distinct field value is looked up once: its 3-grams meet the first 3-gram
+   of the profiles' words, and a hit is verified with ``contains``. The
+   words are a stored table, broadcast only if its bytes are below Spark's threshold;
+3. jobs whose fields contain the same words are one signature with a count;
+4. signatures that share a word are scored once;
+5. for the best ``limit`` jobs, a profile signature keeps the job signatures down to the
+   score at which the counts reach ``limit`` (ties kept), and only those meet the jobs' rows.
+
+Pairs without a shared word score 0 and are added only where ``min_score`` allows 0.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 
 from postlens import vocab as V
 from postlens.functions.dictionary import match_terms
-from postlens.functions.joins import small
+from postlens.functions.numeric import py_round
 from postlens.functions.text import literal_array
+from postlens.session import stored
 
 JOB_FIELDS = ("title", "description", "location", "company")
+JOB_COLS = ("job_id", "title", "company", "location", "description", "job_type")
+TIE_COLS = ("job_id", "title", "company", "location", "description")
 # Score part -> posting fields its needles are looked up in.
 PART_FIELDS = {
     "skills": ("description", "title"),
@@ -38,112 +41,143 @@ PART_FIELDS = {
 }
 
 
-def _profile_needles(profiles: DataFrame) -> DataFrame:
-    """(profile_id, part, pos, needle, field) for every list item of every profile."""
-    words = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"\s+"), lambda w: F.length(w) > 0)
-    parts = F.array(
-        F.struct(F.lit("skills").alias("part"), F.col("skills").alias("items")),
-        F.struct(F.lit("title").alias("part"), words.alias("items")),
-        F.struct(F.lit("location").alias("part"), F.col("preferred_locations").alias("items")),
-        F.struct(F.lit("company").alias("part"), F.col("preferred_companies").alias("items")),
-        F.struct(F.lit("job_type").alias("part"), F.col("job_types").alias("items")),
-    )
-    per = profiles.select("profile_id", F.explode(parts).alias("p")).select(
-        "profile_id", "p.part", F.posexplode(F.coalesce("p.items", F.array().cast("array<string>"))).alias("pos", "item"))
-    fields = F.create_map(*[x for k, v in PART_FIELDS.items() for x in (F.lit(k), literal_array(list(v)))])
-    return per.select("profile_id", "part", "pos", F.lower("item").alias("needle"),
-                      F.explode(F.element_at(fields, F.col("part"))).alias("field")).where(F.length("needle") > 0)
+def _list(c: str) -> Column:
+    return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
 
-def _profile_sizes(profiles: DataFrame) -> DataFrame:
-    words = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"\s+"), lambda w: F.length(w) > 0)
+def profile_signatures(profiles: DataFrame) -> DataFrame:
+    """profile_id, ps and the lists that a score depends on (``ps`` is a digest of them)."""
+    words = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"(?U)\s+"), lambda w: F.length(w) > 0)
+    out = profiles.select("profile_id", _list("skills").alias("skills"), words.alias("words"),
+                          _list("preferred_locations").alias("locations"), _list("preferred_companies").alias("companies"),
+                          _list("job_types").alias("types"))
+    lists = ("skills", "words", "locations", "companies", "types")
+    return out.withColumn("ps", F.md5(F.to_json(F.struct(*lists))))
 
-    def n(c):
-        return F.size(F.coalesce(c, F.array().cast("array<string>")))
 
-    return profiles.select("profile_id", n(F.col("skills")).alias("n_skills"), F.size(words).alias("n_words"),
-                           n(F.col("preferred_locations")).alias("n_locations"),
-                           n(F.col("preferred_companies")).alias("n_companies"), n(F.col("job_types")).alias("n_types"),
-                           F.col("skills").alias("profile_skills"))
+_PARTS = {"skills": "skills", "title": "words", "location": "locations", "company": "companies", "job_type": "types"}
 
 
-def match_scores(postings: DataFrame, profiles: DataFrame, weights=V.MATCH_WEIGHTS,
-                 job_cols: Sequence[str] = ("job_id", "title", "company", "location", "description", "job_type"),
-                 max_broadcast_rows: int = 2_000_000, with_jobs: bool = True) -> DataFrame:
-    """G1: (profile_id, [job columns...], n, score, parts, matched skills) for pairs with evidence.
+def _needles(signatures: DataFrame) -> DataFrame:
+    """(ps, part, needle, field): every non-empty list item, lower-cased, per field that it is looked up in."""
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), F.col(c).alias("items"), literal_array(list(PART_FIELDS[p])).alias("fields"))
+                      for p, c in _PARTS.items()])
+    per = signatures.select("ps", F.explode(parts).alias("p")).select("ps", "p.part", "p.fields", F.explode("p.items").alias("item"))
+    return per.select("ps", "part", F.lower("item").alias("needle"), F.explode("fields").alias("field")).where(F.length("needle") > 0)
 
-    Postings are folded once by a content digest (identical rows carry their
-    multiplicity ``n``); evidence rows, the needle join and the score
-    aggregate carry only the digest. Job columns are joined back at the end,
-    after any score filter the caller applies has been pushed below the join.
-    """
-    job_cols = [c for c in job_cols if c in postings.columns]
-    needles = _profile_needles(profiles)
-    distinct_needles = sorted({r["needle"] for r in small(needles.select("needle").distinct(), max_broadcast_rows,
-                                                           collect=True)})
-    content = F.struct(*[F.col(c) for c in job_cols])
-    jobs = (postings.select(*job_cols).withColumn("digest", F.md5(F.to_json(content)))
-            .groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(content).alias("job")))
-    terms = [(t, t) for t in distinct_needles]
-    fields = [f for f in JOB_FIELDS if f in job_cols]
-    hits = F.array(*[
-        F.struct(F.lit(f).alias("field"),
-                 match_terms(F.coalesce(F.col(f"job.{f}"), F.lit("")), terms, "substring").alias("found"))
-        for f in fields])
-    evidence = (jobs.select("digest", F.explode(hits).alias("h"))
-                .select("digest", "h.field", F.explode("h.found").alias("needle")))
-    pairs = evidence.join(small(needles, max_broadcast_rows), ["needle", "field"])
-    w_sk, w_ti, w_lo, w_co, w_jt = weights
-    # collect_set instead of count(DISTINCT ...): no Expand, one hash aggregate with a partial step
-    agg = pairs.groupBy("profile_id", "digest").agg(
-        F.array_sort(F.collect_set(F.when(F.col("part") == "skills", F.col("pos")))).alias("skill_pos"),
-        F.size(F.collect_set(F.when(F.col("part") == "title", F.col("pos")))).alias("m_words"),
-        F.max((F.col("part") == "location").cast("int")).alias("m_location"),
-        F.max((F.col("part") == "company").cast("int")).alias("m_company"),
-        F.max((F.col("part") == "job_type").cast("int")).alias("m_type"),
-    ).withColumn("m_skills", F.size("skill_pos"))
-    sz = _profile_sizes(profiles)
-    j = agg.join(small(sz, max_broadcast_rows), "profile_id")
-    s_sk = F.when(F.col("n_skills") > 0, F.col("m_skills") / F.col("n_skills") * w_sk).otherwise(0.0)
-    s_ti = F.when(F.col("n_words") > 0, F.col("m_words") / F.col("n_words") * w_ti).otherwise(0.0)
-    s_lo = F.when((F.col("n_locations") > 0) & (F.col("m_location") == 1), F.lit(w_lo)).otherwise(0.0)
-    s_co = F.when((F.col("n_companies") > 0) & (F.col("m_company") == 1), F.lit(w_co)).otherwise(0.0)
-    s_jt = F.when((F.col("n_types") > 0) & (F.col("m_type") == 1), F.lit(w_jt)).otherwise(0.0)
-    total = (((F.lit(0.0) + s_sk) + s_ti) + s_lo + s_co) + s_jt
-    max_score = float(sum(weights))
-    scores = j.select(
-        "profile_id", "digest",
-        (total / max_score * 100).alias("score"),
-        s_sk.alias("skills_score"), s_ti.alias("title_score"), s_lo.alias("location_score"),
-        s_co.alias("company_score"), s_jt.alias("job_type_score"),
-        F.transform("skill_pos", lambda p: F.element_at("profile_skills", p + 1)).alias("matched_skills"),
-    )
-    if not with_jobs:
-        return scores.join(jobs.select("digest", "n"), "digest").drop("digest")
-    return scores.join(jobs, "digest").select("profile_id", *[F.col(f"job.{c}").alias(c) for c in job_cols], "n",
-                                              *[c for c in scores.columns if c not in ("profile_id", "digest")])
 
+def _evidence(postings: DataFrame, needles: DataFrame) -> DataFrame:
+    """(field, vkey, found): per distinct field value that contains any needle of its field, those needles."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(F.col(f), F.lit(""))).alias("v")) for f in JOB_FIELDS]))
+    values = postings.select(pairs.alias("x")).select("x.field", "x.v", F.md5("x.v").alias("vkey")).dropDuplicates(["field", "vkey"])
+    grams = F.array_distinct(F.concat(*[F.regexp_extract_all("v", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (1, 2, 3)]))
+    anchors = needles.select("field", "needle").distinct().withColumn("gram", F.substring("needle", 1, 3))
+    hits = values.select("field", "vkey", "v", F.explode(grams).alias("gram")).join(stored(anchors, "needles"), ["field", "gram"]) \
+        .where(F.col("v").contains(F.col("needle")))
+    return hits.groupBy("field", "vkey").agg(F.array_sort(F.collect_set("needle")).alias("found"))
 
-def find_matches(scores: DataFrame, min_score: float = 50.0, limit: int = 20,
-                 tie_cols: Sequence[str] = ("job_id", "title", "company", "location", "description")) -> DataFrame:
-    """Matches with score >= min_score, best first, at most ``limit`` per profile.
 
-    Identical postings (``n`` > 1) are expanded back before ranking.
+def job_signatures(postings: DataFrame, needles: DataFrame, job_cols: Sequence[str] = JOB_COLS) -> DataFrame:
+    """Job columns, js and the needles found in each field (``js`` is a digest of those)."""
+    job_cols = [c for c in job_cols if c in postings.columns]
+    found = stored(_evidence(postings, needles), "evidence")
+    out = postings.select(*job_cols)
+    for f in JOB_FIELDS:
+        own = found.where(F.col("field") == f).select(F.col("vkey").alias("_k"), F.col("found").alias(f"in_{f}"))
+        out = out.withColumn("_key", F.md5(F.lower(F.coalesce(F.col(f), F.lit(""))))).join(own, F.col("_key") == F.col("_k"), "left") \
+            .drop("_key", "_k").withColumn(f"in_{f}", F.coalesce(f"in_{f}", F.array().cast("array<string>")))
+    return out.withColumn("js", F.md5(F.to_json(F.struct(*[f"in_{f}" for f in JOB_FIELDS]))))
+
+
+def _scored(signatures: DataFrame, sets: DataFrame, needles: DataFrame, weights) -> DataFrame:
+    """(ps, js, score, parts, matched skills) of all pairs of signatures that share a needle."""
+    per_set = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"in_{f}").alias("needles")) for f in JOB_FIELDS]))
+    in_sets = sets.select("js", per_set.alias("x")).select("js", "x.field", F.explode("x.needles").alias("needle"))
+    pairs = in_sets.join(needles.select("ps", "needle", "field").distinct(), ["needle", "field"]).select("ps", "js").distinct()
+    j = pairs.join(signatures, "ps").join(sets.drop("n"), "js")
+
+    def hits(items: str, *fields: str) -> Column:
+        def within(x):
+            cond = F.lit(False)
+            for f in fields:
+                cond = cond | F.array_contains(F.col(f"in_{f}"), F.lower(x))
+            return cond
+        return F.filter(items, within)
+
+    w_sk, w_ti, w_lo, w_co, w_jt = weights
+    matched = hits("skills", "description", "title")
+    share = lambda found, items, w: F.when(F.size(items) > 0, F.size(found) / F.size(items) * w).otherwise(0.0)
+    flag = lambda found, w: F.when(F.size(found) > 0, F.lit(w)).otherwise(0.0)
+    s = j.select("ps", "js", share(matched, "skills", w_sk).alias("skills_score"), share(hits("words", "title"), "words", w_ti).alias("title_score"),
+                 flag(hits("locations", "location"), w_lo).alias("location_score"), flag(hits("companies", "company"), w_co).alias("company_score"),
+                 flag(hits("types", "description"), w_jt).alias("job_type_score"), matched.alias("matched_skills"))
+    total = (((F.lit(0.0) + F.col("skills_score")) + F.col("title_score")) + F.col("location_score") + F.col("company_score")) + F.col("job_type_score")
+    return s.withColumn("score", total / float(sum(weights)) * 100)
+
+
+class Scores:
+    """Signatures of profiles and jobs, and the scores of those pairs that share a word."""
+
+    def __init__(self, postings: DataFrame, profiles: DataFrame, weights=V.MATCH_WEIGHTS, job_cols: Sequence[str] = JOB_COLS):
+        self.job_cols = [c for c in job_cols if c in postings.columns]
+        self.profiles = stored(profile_signatures(profiles), "profiles")
+        self.signatures = self.profiles.drop("profile_id").dropDuplicates(["ps"])
+        needles = stored(_needles(self.signatures), "words")
+        self.jobs = stored(job_signatures(postings, needles, self.job_cols), "jobs")
+        fields = [f"in_{f}" for f in JOB_FIELDS]
+        self.sets = self.jobs.groupBy("js").agg(F.count(F.lit(1)).alias("n"), *[F.first(f).alias(f) for f in fields])
+        self.scored = _scored(self.signatures, self.sets, needles, weights).join(self.sets.select("js", "n"), "js")
+
+    def rows(self) -> DataFrame:
+        """G1: (profile_id, job columns, score, parts, matched skills) of every pair that shares a word."""
+        out = self.scored.drop("n").join(self.profiles.select("profile_id", "ps"), "ps").join(self.jobs.select("js", *self.job_cols), "js")
+        return out.select("profile_id", *self.job_cols, *[c for c in self.scored.columns if c not in ("ps", "js", "n")])
+
+
+def match_scores(postings: DataFrame, profiles: DataFrame, weights=V.MATCH_WEIGHTS, job_cols: Sequence[str] = JOB_COLS) -> DataFrame:
+    """G1: the scored pairs as rows (see :class:`Scores`). Top lists should use :func:`find_matches`."""
+    return Scores(postings, profiles, weights, job_cols).rows()
+
+
+def score_summary(postings: DataFrame, profiles: DataFrame, at_least: float = 40.0, weights=V.MATCH_WEIGHTS) -> DataFrame:
+    """G1 per profile: pairs above 0, largest and mean score, pairs of ``at_least`` or more; from signatures alone."""
+    s = Scores(postings, profiles, weights)
+    own = s.scored.where(F.col("score") > 0).groupBy("ps").agg(
+        F.sum("n").alias("pairs"), F.max("score").alias("max_score"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("avg_score"),
+        F.sum(F.when(F.col("score") >= at_least, F.col("n")).otherwise(0)).alias("at_least"))
+    return s.profiles.select("profile_id", "ps").join(own, "ps").drop("ps")
+
+
+def find_matches(postings: DataFrame, profiles: DataFrame, min_score: float = 50.0, limit: int = 20, weights=V.MATCH_WEIGHTS,
+                 job_cols: Sequence[str] = JOB_COLS, tie_cols: Sequence[str] = TIE_COLS) -> DataFrame:
+    """Jobs with score >= min_score, best first, ties by ``tie_cols``, at most ``limit`` per profile.
+
+    A ``min_score`` of 0 or less also admits pairs that share nothing. They rank last, so only a profile with
+    fewer than ``limit`` scored jobs takes them, from the first 2 * limit jobs in tie order.
     """
+    s = Scores(postings, profiles, weights, job_cols)
+    ties = [F.col(c).asc_nulls_first() for c in tie_cols if c in s.job_cols]
+    # job signatures that can reach the list: those above which fewer than ``limit`` jobs stand
+    better = Window.partitionBy("ps").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ok = s.scored.where(F.col("score") >= min_score)
+    ok = ok.withColumn("upto", F.sum("n").over(better)).withColumn("above", F.col("upto") - F.sum("n").over(Window.partitionBy("ps", "score")))
+    ok = ok.where(F.col("above") < limit).drop("upto", "above", "n")
+    first = s.jobs.select("js", *s.job_cols, F.row_number().over(Window.partitionBy("js").orderBy(*ties)).alias("nth")).where(F.col("nth") <= limit).drop("nth")
+    rows = ok.join(first, "js").drop("js")
     if min_score <= 0:
-        raise ValueError("min_score must be positive: pairs without evidence all score 0")
-    tie_cols = [c for c in tie_cols if c in scores.columns]
-    ok = scores.where(F.col("score") >= min_score)
-    ok = ok.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n", "_copy")
-    order = [F.col("score").desc()] + [F.col(c).asc_nulls_first() for c in tie_cols]
-    w = Window.partitionBy("profile_id").orderBy(*order)
-    return ok.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
+        scored = s.scored.where(F.col("score") > 0).groupBy("ps").agg(F.sum("n").alias("scored"))
+        few = s.signatures.select("ps").join(scored, "ps", "left").where(F.coalesce("scored", F.lit(0)) < limit).select("ps")
+        grid = few.crossJoin(F.broadcast(s.jobs.select("js", *s.job_cols).orderBy(*ties).limit(2 * limit)))
+        nothing = grid.join(s.scored.select("ps", "js"), ["ps", "js"], "left_anti").drop("js")
+        zero = {c: F.lit(0.0) for c in rows.columns if c.endswith("score")} | {"matched_skills": F.array().cast("array<string>")}
+        rows = rows.unionByName(nothing.withColumns(zero))
+    w = Window.partitionBy("ps").orderBy(F.col("score").desc(), *ties)
+    best = rows.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= limit)
+    return s.profiles.select("profile_id", "ps").join(best, "ps").drop("ps")
 
 
 def match_report(matches: DataFrame) -> DataFrame:
     """Rank, score (1 decimal), job fields and matched skills."""
-    from postlens.functions.numeric import py_round
-
     return matches.select("profile_id", "rank", py_round(F.col("score"), 1).alias("score"), "job_id", "title",
                           "company", "location", F.array_join("matched_skills", ", ").alias("matched_skills"))
 
@@ -192,8 +226,6 @@ def skill_gaps(profiles: DataFrame, market: DataFrame, categories=V.VOCAB.catego
         F.exists("user_skills", lambda us: (us == F.col("m.skill")) | (F.instr(us, F.col("m.skill")) > 0)).alias("have"))
     w = Window.partitionBy("profile_id", "have").orderBy("market_rank")
     tot = Window.partitionBy("profile_id")
-    from postlens.functions.numeric import py_round
-
     return rows.select(
         "profile_id", "skill", "demand", "market_rank",
         F.when(F.col("have"), "have").otherwise("learn").alias("status"),
@@ -270,19 +302,23 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def semantic_top_k(vectors: DataFrame, query: DataFrame, k: int = 15, id_col: str = "vec_id",
-                   vec_col: str = "embedding", eps: float = 1e-10) -> DataFrame:
-    """Cosine of one query vector with every vector, x100, clamped 0..100, 1 decimal, top k.
+                   vec_col: str = "embedding", eps: float = 1e-10, query_id: str | None = None) -> DataFrame:
+    """Cosine of every query vector with every vector, x100, clamped 0..100, 1 decimal, top k per query.
 
-    The query is one row (broadcast); norms get the reference's 1e-10.
+    Queries are a stated set, told apart by ``query_id`` (a column of ``query``; needed for more than one
+    row). They meet the vectors as rows; the top k is a partial limit before the shuffle.
+    Norms get the reference's 1e-10.
     """
-    from postlens.functions.numeric import py_round
-
-    dv = F.transform(vec_col, lambda x: x.cast("double"))
-    q = query.select(F.transform(vec_col, lambda x: x.cast("double")).alias("_q"))
-    v = vectors.select("*", dv.alias("_v")).crossJoin(F.broadcast(q.limit(1)))
+    double = F.transform(vec_col, lambda x: x.cast("double"))
+    if query_id is None:
+        n = query.limit(2).count()
+        if n > 1:
+            raise ValueError("several query vectors need a query_id")
+    q = query.select((F.col(query_id) if query_id else F.lit(0)).alias("query_id"), double.alias("_q"))
+    v = vectors.select("*", double.alias("_v")).crossJoin(q)
     cos = _dot("_v", "_q") / ((F.sqrt(_dot("_v", "_v")) + eps) * (F.sqrt(_dot("_q", "_q")) + eps))
-    scored = v.select(*[c for c in vectors.columns if c != vec_col], cos.alias("similarity"))
-    order = [F.col("similarity").desc(), F.col(id_col)]
-    top = scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    own = [c for c in vectors.columns if c != vec_col]
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(id_col))
+    top = v.select("query_id", *own, cos.alias("similarity")).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("similarity") * 100))
-    return top.select("rank", *[c for c in vectors.columns if c != vec_col], py_round(clamped, 1).alias("score"))
+    return top.select(*(["query_id"] if query_id else []), "rank", *own, py_round(clamped, 1).alias("score"))

@@ -117,69 +117,66 @@ _GRAM_SCHEMA = StructType([StructField("i", IntegerType()), StructField("j", Int
                            StructField("g", DoubleType())])
 
 
-def _gram_partitions(size: int):
-    def run(batches):
-        g = np.zeros((size, size))
-        for pdf in batches:
-            for idx, w, m in zip(pdf["idx"], pdf["w"], pdf["mult"]):
-                idx = np.asarray(idx, dtype=np.int64)
-                w = np.asarray(w, dtype=np.float64)
-                g[np.ix_(idx, idx)] += m * np.outer(w, w)
-        i, j = np.nonzero(np.triu(g))
-        if len(i):
-            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "g": g[i, j]})
-    return run
-
-
-def term_similarity(weights: DataFrame, vocab_size: int = V.TFIDF_MAX_FEATURES) -> DataFrame:
+def quadratic_cells(batches):
+    """Cells of W' M W over a partition's documents: one matrix product per Arrow batch, sized by the terms met."""
+    g = np.zeros((0, 0))
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        n = pdf["idx"].map(len).to_numpy()
+        idx = np.concatenate(pdf["idx"].to_list()).astype(np.int64)
+        size = max(len(g), int(idx.max()) + 1 if len(idx) else 0)
+        w = np.zeros((len(pdf), size))
+        w[np.repeat(np.arange(len(pdf)), n), idx] = np.concatenate(pdf["w"].to_list())
+        more = w.T @ (w * pdf["mult"].to_numpy(float)[:, None])
+        more[:len(g), :len(g)] += g
+        g = more
+    i, j = np.nonzero(np.triu(g))
+    if len(i):
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "g": g[i, j]})
+
+
+def term_similarity(weights: DataFrame) -> DataFrame:
     """Cosine between term columns of the TF-IDF matrix, (i, j, sim) for i < j.
 
-    Each partition adds its documents' outer products into one dense
-    ``size x size`` matrix (size = vocabulary bound) and emits its upper
-    triangle; a sum per cell finishes it. No per-document pair rows exist.
+    Each partition adds its documents up to the upper triangle of one matrix over
+    the vocabulary (bounded by ``max_features`` of the TF-IDF); a sum per cell finishes
+    it. Norms are the cells' own diagonal, taken by window over that small frame,
+    so the product runs once.
     """
     per_doc = weights.groupBy("doc", "mult").agg(F.collect_list(F.struct("idx", "w")).alias("e")).select(
         "mult", F.col("e.idx").alias("idx"), F.col("e.w").alias("w"))
-    cells = per_doc.mapInPandas(_gram_partitions(vocab_size), _GRAM_SCHEMA).groupBy("i", "j").agg(
-        F.sum("g").alias("g"))
-    diag = cells.where(F.col("i") == F.col("j")).select(F.col("i").alias("k"), F.sqrt("g").alias("norm"))
-    off = cells.where(F.col("i") < F.col("j"))
-    d1 = F.broadcast(diag.select(F.col("k").alias("i"), F.col("norm").alias("ni")))
-    d2 = F.broadcast(diag.select(F.col("k").alias("j"), F.col("norm").alias("nj")))
-    return off.join(d1, "i").join(d2, "j").select("i", "j", (F.col("g") / (F.col("ni") * F.col("nj"))).alias("sim"))
+    cells = per_doc.mapInPandas(quadratic_cells, _GRAM_SCHEMA).groupBy("i", "j").agg(F.sum("g").alias("g"))
+    norm = F.when(F.col("i") == F.col("j"), F.sqrt("g"))
+    cells = cells.select("*", F.max(norm).over(Window.partitionBy("i")).alias("ni"),
+                         F.max(norm).over(Window.partitionBy("j")).alias("nj"))
+    return cells.where(F.col("i") < F.col("j")).select("i", "j", (F.col("g") / (F.col("ni") * F.col("nj"))).alias("sim"))
 
 
-def skill_clusters(sims: DataFrame, vocab: DataFrame, threshold: float = V.CLUSTER_THRESHOLD,
-                   max_features: int = V.TFIDF_MAX_FEATURES) -> DataFrame:
+def skill_clusters(sims: DataFrame, vocab: DataFrame, threshold: float = V.CLUSTER_THRESHOLD) -> DataFrame:
     """Greedy leader clusters in term order at cosine >= threshold; singletons dropped.
 
-    The pass is sequential by definition (a term joins the first earlier
-    leader it is similar to), so it runs on the edge list above the threshold,
-    which has at most ``max_features^2 / 2`` rows (checked) -- never on documents.
+    A term joins the first earlier leader that it is similar to. The pass is
+    a fold over one row: the adjacency lists of the vocabulary (bounded by the
+    TF-IDF's ``max_features``), in term order. Fewer than 3 terms give no cluster.
     """
-    spark = sims.sparkSession
-    terms = [r["term"] for r in vocab.orderBy("idx").limit(max_features + 1).collect()]
-    if len(terms) > max_features:
-        raise ValueError("vocabulary exceeds its bound")
-    schema = "leader string, member string, member_order int"
-    if len(terms) < 3:
-        return spark.createDataFrame([], schema)
-    bound = max_features * max_features // 2
-    edges = sims.where(F.col("sim") >= threshold).select("i", "j").limit(bound + 1).collect()
-    adj: dict[int, set[int]] = {}
-    for e in edges:
-        adj.setdefault(e["i"], set()).add(e["j"])
-    assigned: set[int] = set()
-    rows = []
-    for i in range(len(terms)):
-        if i in assigned:
-            continue
-        assigned.add(i)
-        members = [i] + [j for j in sorted(adj.get(i, ())) if j not in assigned]
-        assigned.update(members)
-        if len(members) > 1:
-            rows += [(terms[i], terms[m], k) for k, m in enumerate(members)]
-    return spark.createDataFrame(rows, schema)
+    lists = sims.where(F.col("sim") >= threshold).groupBy("i").agg(F.array_sort(F.collect_list("j")).alias("js"))
+    one = lists.agg(F.array_sort(F.collect_list(F.struct("i", "js"))).alias("lists"))
+    start = F.expr("named_struct('used', cast(array() as array<int>), 'out', cast(array() as array<array<int>>))")
+
+    def step(acc, x):
+        members = F.concat(F.array(x["i"]), F.filter(x["js"], lambda j: ~F.array_contains(acc["used"], j)))
+        grown = F.struct(F.concat(acc["used"], members).alias("used"),
+                         F.when(F.size(members) > 1, F.concat(acc["out"], F.array(members))).otherwise(acc["out"]).alias("out"))
+        return F.when(F.array_contains(acc["used"], x["i"]), acc).otherwise(grown)
+
+    clusters = one.select(F.explode(F.aggregate("lists", start, step, lambda acc: acc["out"])).alias("members"))
+    rows = clusters.select(F.element_at("members", 1).alias("l"), F.posexplode("members").alias("member_order", "m"))
+    terms = vocab.select("idx", "term")
+    enough = vocab.agg((F.count(F.lit(1)) >= 3).alias("enough"))
+    named = rows.join(terms.select(F.col("idx").alias("l"), F.col("term").alias("leader")), "l") \
+        .join(terms.select(F.col("idx").alias("m"), F.col("term").alias("member")), "m")
+    return named.crossJoin(F.broadcast(enough)).where("enough").select("leader", "member", "member_order")
 
 
 def cooccurrence(docs: DataFrame, top: int = 15, mode: str = "token", seed_tokens: int = 64) -> DataFrame:
@@ -209,7 +206,7 @@ def cooccurrence(docs: DataFrame, top: int = 15, mode: str = "token", seed_token
     m_max = stats.agg(F.max("m").alias("m_max"))
 
     def pair_counts(keep: DataFrame) -> DataFrame:
-        sub = counts.join(F.broadcast(keep), "t")
+        sub = counts.join(keep, "t")
         per_doc = sub.groupBy("doc", "mult").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("e"))
         pairs = per_doc.select("mult", "e", F.explode(F.sequence(F.lit(0), F.size("e") - 1)).alias("p1"))
         pairs = pairs.select("mult", "e", "p1", F.explode(F.sequence("p1", F.size("e") - 1)).alias("p2"))

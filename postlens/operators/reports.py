@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postlens import vocab as V
 from postlens.functions.text import first_contains_label, first_regex_label
+from postlens.operators import trends as T
 from postlens.operators.extract import substring_skill_counts
 from postlens.session import cut_lineage
 
@@ -232,6 +233,22 @@ def report_rows(analysis: DataFrame) -> DataFrame:
         "key", F.when(F.col("section") == "skills", F.upper("key")).otherwise(F.col("key")))
 
 
+def trend_report(snap: DataFrame) -> DataFrame:
+    """(part, key, value, detail): period changes, first-last changes, forecasts and growth classes of a snapshot table."""
+    ser = T.series(snap)
+    fc = T.forecast(ser)
+    changes = T.compare_periods(snap).where(F.col("kind") == "key").select(
+        F.lit("change").alias("part"), "key", F.col("change").cast("double").alias("value"), F.col("trend").alias("detail"))
+    spans = T.first_last_change(ser).select(
+        F.lit("first_last").alias("part"), "key", F.col("change").cast("double").alias("value"),
+        F.concat(F.col("first").cast("string"), F.lit(" -> "), F.col("last").cast("string")).alias("detail"))
+    forecasts = fc.select(F.lit("forecast").alias("part"), "key", F.col("predicted_count").alias("value"),
+                          F.col("growth_rate").cast("string").alias("detail"))
+    growth = T.growth_classes(fc).select(F.lit("growth").alias("part"), "key", F.col("growth_rate").alias("value"),
+                                         F.col("growth_class").alias("detail"))
+    return changes.unionByName(spans).unionByName(forecasts).unionByName(growth)
+
+
 def digest_rows(analysis: DataFrame, alert_counts: DataFrame) -> DataFrame:
     """Totals, companies hiring, top-5 skills, alerts with at least one match."""
     head = analysis.where(

@@ -30,14 +30,36 @@ def _date_ranks(snap: DataFrame) -> DataFrame:
     return dates.withColumn("date_rank", F.row_number().over(Window.orderBy(F.col("snapshot_date").desc())))
 
 
-def compare_periods(snap: DataFrame, top: int = 10) -> DataFrame:
+def run_snapshot(df: DataFrame, ts_col: str, lists: dict[str, str], n: int = 10) -> DataFrame:
+    """One row per day: total rows, and per list its number of distinct keys and its top ``n`` (key, count).
+
+    ``lists`` maps a list's name to its column (skills, companies, locations). Each
+    list is counted with a partial aggregate; null keys are in the total alone.
+    """
+    day = F.to_date(ts_col).alias("snapshot_date")
+    out = df.groupBy(day).agg(F.count(F.lit(1)).alias("total"))
+    for name, c in lists.items():
+        counts = df.where(F.col(c).isNotNull()).groupBy(day, F.col(c).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("count"))
+        distinct = counts.groupBy("snapshot_date").agg(F.count(F.lit(1)).alias(f"unique_{name}"))
+        order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "key", "count")))
+        top = top_lists(counts, n).groupBy("snapshot_date").agg(
+            F.transform(order, lambda x: F.struct(x["key"].alias("key"), x["count"].alias("count"))).alias(f"top_{name}"))
+        out = out.join(distinct, "snapshot_date", "left").join(top, "snapshot_date", "left") \
+            .withColumn(f"unique_{name}", F.coalesce(f"unique_{name}", F.lit(0)))
+    return out
+
+
+def compare_periods(snap: DataFrame, top: int = 10, full_counts: bool = False) -> DataFrame:
     """Last two snapshots: total change and %, per-key deltas (non-zero, by |delta|, top N).
 
+    A snapshot records its top 10 keys, so a key outside that list counts as 0;
+    ``full_counts=True`` compares all keys. Totals are always those of all rows.
     Rows: ``kind`` = total | key. change % is 0 when the previous total is 0.
     """
     ranked = snap.join(F.broadcast(_date_ranks(snap).where(F.col("date_rank") <= 2)), "snapshot_date")
-    cur = ranked.where(F.col("date_rank") == 1).select("key", F.col("count").alias("current"))
-    prev = ranked.where(F.col("date_rank") == 2).select("key", F.col("count").alias("previous"))
+    listed = ranked if full_counts else top_lists(ranked, 10)
+    cur = listed.where(F.col("date_rank") == 1).select("key", F.col("count").alias("current"))
+    prev = listed.where(F.col("date_rank") == 2).select("key", F.col("count").alias("previous"))
     keys = (cur.join(prev, "key", "full_outer")
             .select("key", F.coalesce("current", F.lit(0)).alias("current"),
                     F.coalesce("previous", F.lit(0)).alias("previous"))
@@ -70,16 +92,16 @@ def top_lists(snap: DataFrame, n: int = 10) -> DataFrame:
 
 def new_keys(snap: DataFrame, n: int = 10, limit: int = 10) -> DataFrame:
     """Keys in the latest top-N list and not in the previous one, by name, at most ``limit``."""
-    tops = top_lists(snap, n).join(F.broadcast(_date_ranks(snap).where(F.col("date_rank") <= 2)), "snapshot_date")
+    tops = top_lists(snap.join(F.broadcast(_date_ranks(snap).where(F.col("date_rank") <= 2)), "snapshot_date"), n)
     cur = tops.where(F.col("date_rank") == 1).select("key")
     prev = tops.where(F.col("date_rank") == 2).select("key")
     return cur.join(prev, "key", "left_anti").orderBy("key").limit(limit)
 
 
-def series(snap: DataFrame, last: int = 30) -> DataFrame:
-    """I4: (key, snapshot_date, count) over the last N snapshot dates."""
-    dates = _date_ranks(snap).where(F.col("date_rank") <= last)
-    return snap.join(F.broadcast(dates), "snapshot_date").select("key", "snapshot_date", "count")
+def series(snap: DataFrame, last: int = 30, full_counts: bool = False) -> DataFrame:
+    """I4: (key, snapshot_date, count) over the last N snapshot dates, from each one's top 10 (or all keys)."""
+    recent = snap.join(F.broadcast(_date_ranks(snap).where(F.col("date_rank") <= last)), "snapshot_date")
+    return (recent if full_counts else top_lists(recent, 10)).select("key", "snapshot_date", "count")
 
 
 def forecast(series_df: DataFrame, horizon_days: int = 90) -> DataFrame:

@@ -12,11 +12,10 @@ from postlens.operators import reports as R
 def flow_sections(postings: DataFrame, profiles: DataFrame, min_score: float = 40.0, top_matches: int = 10
                   ) -> dict[str, DataFrame]:
     analysis = R.full_analysis(postings)
-    scores = M.match_scores(postings, profiles)
     market = M.market_skill_demand(postings)
     return {
         "summary": analysis.where(F.col("section").isin("metadata", "unique")),
-        "top_matches": M.match_report(M.find_matches(scores, min_score, top_matches)),
+        "top_matches": M.match_report(M.find_matches(postings, profiles, min_score, top_matches)),
         "skill_gaps": M.skill_gaps(profiles, market),
         "top_skills": analysis.where((F.col("section") == "skills") & (F.col("rank") <= 10)),
         "top_companies": analysis.where((F.col("section") == "top_companies") & (F.col("rank") <= 10)),

@@ -1,7 +1,7 @@
 """Registered queries: matching, gaps, learning plan, texts, semantic top-k.
 
-The oracle SQL scores every (profile, posting) pair by brute force; the
-Spark plans only ever build pairs that share evidence.
+The oracle SQL scores every pair of a distinct profile and a distinct job by brute force;
+the Spark plans only build pairs of signatures that share a word.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ _PROF = ("prof AS (SELECT profile_id, " + _split_keep("skills", True) + " AS sk,
          "list_filter(string_split_regex(lower(coalesce(title, '')), '\\s+'), lambda x: length(x) > 0) AS tw, "
          + _split_keep("preferred_locations", False) + " AS pl, " + _split_keep("preferred_companies", False) + " AS pc, "
          + _split_keep("job_types", False) + " AS jt FROM profiles)")
-_JOBS = ("jobs AS (SELECT job_id, title, company, location, description, job_type, count(*) AS n FROM postings "
-         "GROUP BY ALL)")
+_JOBS = ("jobs AS (SELECT title, company, location, description, count(*) AS n FROM postings GROUP BY ALL), "
+         "kinds AS (SELECT sk, tw, pl, pc, jt, count(*) AS members FROM prof GROUP BY ALL)")
 _PAIRS = (
-    "pairs AS (SELECT p.profile_id, j.*, p.sk, "
+    "pairs AS (SELECT p.sk, p.tw, p.pl, p.pc, p.jt, j.*, "
     "len(p.sk) AS n_sk, len(p.tw) AS n_tw, "
     "list_filter(p.sk, lambda s: contains(lower(coalesce(j.description, '')), lower(s)) "
     "OR contains(lower(coalesce(j.title, '')), lower(s))) AS msk, "
@@ -41,38 +41,37 @@ _PAIRS = (
     "len(p.pl) > 0 AND len(list_filter(p.pl, lambda l: contains(lower(coalesce(j.location, '')), lower(l)))) > 0 AS m_pl, "
     "len(p.pc) > 0 AND len(list_filter(p.pc, lambda c: contains(lower(coalesce(j.company, '')), lower(c)))) > 0 AS m_pc, "
     "len(p.jt) > 0 AND len(list_filter(p.jt, lambda t: contains(lower(coalesce(j.description, '')), lower(t)))) > 0 AS m_jt "
-    "FROM prof p CROSS JOIN jobs j)")
+    "FROM kinds p CROSS JOIN jobs j)")
 _SCORED = (
     "scored AS (SELECT *, ((((0.0 + CASE WHEN n_sk > 0 THEN len(msk) / n_sk * 40.0 ELSE 0.0 END) "
     "+ CASE WHEN n_tw > 0 THEN m_tw / n_tw * 25.0 ELSE 0.0 END) + CASE WHEN m_pl THEN 15.0 ELSE 0.0 END "
     "+ CASE WHEN m_pc THEN 10.0 ELSE 0.0 END) + CASE WHEN m_jt THEN 10.0 ELSE 0.0 END) / 100.0 * 100 AS score FROM pairs)")
 
 
-def _scores(spark, sf_dir):
-    return M.match_scores(fixtures.postings(spark, sf_dir), stored_profiles(spark, sf_dir))
+_SAME = "p.sk = k.sk AND p.tw = k.tw AND p.pl = k.pl AND p.pc = k.pc AND p.jt = k.jt"
 
 
 @query("match_score_summary", "G1", oracle=_PP + ", " + ", ".join([_PROF, _JOBS, _PAIRS, _SCORED]) + (
-    " SELECT profile_id, CAST(sum(n) AS BIGINT) AS pairs, round(max(score), 4) AS max_score, "
+    ", k AS (SELECT sk, tw, pl, pc, jt, CAST(sum(n) AS BIGINT) AS pairs, round(max(score), 4) AS max_score, "
     "round(sum(score * n) / sum(n), 4) AS avg_score, CAST(sum(CASE WHEN score >= 40 THEN n ELSE 0 END) AS BIGINT) AS at_least_40 "
-    "FROM scored WHERE score > 0 GROUP BY profile_id"))
+    "FROM scored WHERE score > 0 GROUP BY ALL) "
+    f"SELECT profile_id, pairs, max_score, avg_score, at_least_40 FROM prof p JOIN k ON {_SAME}"))
 def q_match_score_summary(spark, sf_dir):
-    s = M.match_scores(fixtures.postings(spark, sf_dir), stored_profiles(spark, sf_dir), with_jobs=False) \
-        .where(F.col("score") > 0)
-    return s.groupBy("profile_id").agg(
-        F.sum("n").cast("bigint").alias("pairs"), F.round(F.max("score"), 4).alias("max_score"),
-        F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 4).alias("avg_score"),
-        F.sum(F.when(F.col("score") >= 40, F.col("n")).otherwise(0)).cast("bigint").alias("at_least_40"))
+    out = M.score_summary(fixtures.postings(spark, sf_dir), stored_profiles(spark, sf_dir), at_least=40)
+    return out.select("profile_id", F.col("pairs").cast("bigint").alias("pairs"), F.round("max_score", 4).alias("max_score"),
+                      F.round("avg_score", 4).alias("avg_score"), F.col("at_least").cast("bigint").alias("at_least_40"))
 
 
 @query("profile_matches", "G2 G3", oracle=_PP + ", " + ", ".join([_PROF, _JOBS, _PAIRS, _SCORED]) + (
-    ", expanded AS (SELECT * EXCLUDE (n) FROM scored, range(n) WHERE score >= 40) "
-    "SELECT profile_id, rank, round(score * 10) / 10 AS score, job_id, title, company, location, matched_skills FROM ("
-    "SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, job_id NULLS FIRST, title NULLS FIRST, "
-    "company NULLS FIRST, location NULLS FIRST, description NULLS FIRST) AS BIGINT) AS rank, array_to_string(msk, ', ') AS matched_skills "
-    "FROM expanded) WHERE rank <= 15"))
+    ", rows AS (SELECT s.*, j.job_id FROM scored s JOIN postings j ON s.title IS NOT DISTINCT FROM j.title "
+    "AND s.company IS NOT DISTINCT FROM j.company AND s.location IS NOT DISTINCT FROM j.location "
+    "AND s.description IS NOT DISTINCT FROM j.description WHERE score >= 40), "
+    "k AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY sk, tw, pl, pc, jt ORDER BY score DESC, job_id NULLS FIRST, "
+    "title NULLS FIRST, company NULLS FIRST, location NULLS FIRST, description NULLS FIRST) AS BIGINT) AS rank FROM rows) WHERE rank <= 15) "
+    "SELECT profile_id, rank, round(score * 10) / 10 AS score, job_id, title, company, location, array_to_string(msk, ', ') AS matched_skills "
+    f"FROM prof p JOIN k ON {_SAME}"))
 def q_profile_matches(spark, sf_dir):
-    return M.match_report(M.find_matches(_scores(spark, sf_dir), min_score=40, limit=15))
+    return M.match_report(M.find_matches(fixtures.postings(spark, sf_dir), stored_profiles(spark, sf_dir), min_score=40, limit=15))
 
 
 _CATS = sorted({s for _, m in V.VOCAB.categories for s in m})

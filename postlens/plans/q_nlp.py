@@ -91,7 +91,22 @@ def q_term_similarity(spark, sf_dir):
     return sims.join(va, "i").join(vb, "j").select("term_a", "term_b", (F.round(F.col("sim") * 1e6, 0) / 1e6).alias("sim"))
 
 
-@query("skill_clusters", "E7")
+_CLUSTERS = (
+    ", g AS (SELECT a.idx AS i, b.idx AS j, sum(a.w * b.w * a.mult) AS g FROM w a JOIN w b ON a.doc = b.doc AND a.idx <= b.idx "
+    "GROUP BY 1, 2), d AS (SELECT i AS k, sqrt(g) AS norm FROM g WHERE i = j), "
+    "e AS (SELECT g.i, g.j FROM g JOIN d d1 ON d1.k = g.i JOIN d d2 ON d2.k = g.j "
+    f"WHERE g.i < g.j AND g.g / (d1.norm * d2.norm) >= {V.CLUSTER_THRESHOLD}), "
+    "adj AS (SELECT i, list(j ORDER BY j) AS js, row_number() OVER (ORDER BY i) AS r FROM e GROUP BY i), "
+    "fold AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS INTEGER[]) AS used, CAST([] AS INTEGER[]) AS members UNION ALL "
+    "SELECT a.r, CASE WHEN list_contains(f.used, a.i) THEN f.used ELSE list_concat(list_concat(f.used, [a.i]), "
+    "list_filter(a.js, lambda x: NOT list_contains(f.used, x))) END, CASE WHEN list_contains(f.used, a.i) THEN CAST([] AS INTEGER[]) "
+    "ELSE list_concat([a.i], list_filter(a.js, lambda x: NOT list_contains(f.used, x))) END FROM fold f JOIN adj a ON a.r = f.r + 1), "
+    "m AS (SELECT members[1] AS l, unnest(members) AS m, unnest(range(len(members))) AS o FROM fold WHERE len(members) > 1) "
+    "SELECT vl.term AS leader, vm.term AS member, CAST(o AS INTEGER) AS member_order FROM m JOIN voc vl ON vl.idx = m.l "
+    "JOIN voc vm ON vm.idx = m.m WHERE (SELECT count(*) FROM voc) >= 3")
+
+
+@query("skill_clusters", "E7", oracle=(_P + ", " + _DOCS + ", " + _TFIDF + _CLUSTERS).replace("WITH postings", "WITH RECURSIVE postings", 1))
 def q_skill_clusters(spark, sf_dir):
     weights, vocab, _ = N.tfidf(_docs(spark, sf_dir))
     return N.skill_clusters(N.term_similarity(weights), vocab)

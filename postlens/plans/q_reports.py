@@ -116,7 +116,7 @@ def q_recommendations(spark, sf_dir):
 
 
 @query("trend_report", "J4", oracle="WITH " + _FC + (
-    ", r AS (SELECT s.*, d.date_rank FROM snap s JOIN dates d USING (snapshot_date) WHERE d.date_rank <= 2), "
+    ", r AS (SELECT s.*, d.date_rank FROM tops s JOIN dates d USING (snapshot_date) WHERE d.date_rank <= 2), "
     "k AS (SELECT coalesce(c.key, p.key) AS key, coalesce(c.count, 0) - coalesce(p.count, 0) AS change "
     "FROM (SELECT * FROM r WHERE date_rank = 1) c FULL OUTER JOIN (SELECT * FROM r WHERE date_rank = 2) p ON c.key = p.key), "
     "fl AS (SELECT key, arg_min(count, snapshot_date) AS f, arg_max(count, snapshot_date) AS l FROM ser GROUP BY key HAVING count(*) >= 2) "
@@ -127,19 +127,8 @@ def q_recommendations(spark, sf_dir):
     "UNION ALL SELECT 'growth', key, growth_rate, CASE WHEN growth_rate > 0.1 THEN 'rising' WHEN growth_rate < -0.1 "
     "THEN 'declining' ELSE 'stable' END FROM fc"))
 def q_trend_report(spark, sf_dir):
-    snap = T.daily_snapshots(fixtures.table(spark, sf_dir, "events"), "ts", "event_type")
-    ser = T.series(snap)
-    fc = T.forecast(ser)
-    cmp_ = T.compare_periods(snap).where(F.col("kind") == "key").select(
-        F.lit("change").alias("part"), "key", F.col("change").cast("double").alias("value"), F.col("trend").alias("detail"))
-    fl = T.first_last_change(ser).select(
-        F.lit("first_last").alias("part"), "key", F.col("change").cast("double").alias("value"),
-        F.concat(F.col("first").cast("string"), F.lit(" -> "), F.col("last").cast("string")).alias("detail"))
-    f = fc.select(F.lit("forecast").alias("part"), "key", F.col("predicted_count").alias("value"),
-                  F.col("growth_rate").cast("string").alias("detail"))
-    g = T.growth_classes(fc).select(F.lit("growth").alias("part"), "key", F.col("growth_rate").alias("value"),
-                                    F.col("growth_class").alias("detail"))
-    return cmp_.unionByName(fl).unionByName(f).unionByName(g)
+    events = fixtures.table(spark, sf_dir, "events").withColumn("user", F.col("user_id").cast("string"))
+    return R.trend_report(T.daily_snapshots(events, "ts", "user"))
 
 
 @query("daily_digest", "J5", oracle=_P + ", " + _ANALYSIS + ", " + _alerts_sql() + ", " + _EVAL + (

@@ -1,7 +1,7 @@
 """Registered queries: snapshots, comparisons, series, forecasts (I1-I7) on ``events``.
 
-A day's event counts per ``event_type`` play the role of a snapshot's skill
-counts (30 days in the driver's table).
+A day's event counts per user play the role of a snapshot's skill counts (30 days
+in the driver's table, many more than 10 users a day), so that top-10 lists matter.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from postlens.operators import trends as T
 from postlens.plans.registry import query
 from postlens.sources import fixtures
 
-_SNAP = ("snap AS (SELECT CAST(ts AS DATE) AS snapshot_date, event_type AS key, count(*) AS count FROM events "
+_SNAP = ("snap AS (SELECT CAST(ts AS DATE) AS snapshot_date, CAST(user_id AS VARCHAR) AS key, count(*) AS count FROM events "
          "GROUP BY 1, 2), dates AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) AS date_rank "
-         "FROM (SELECT DISTINCT snapshot_date FROM snap))")
+         "FROM (SELECT DISTINCT snapshot_date FROM snap)), tops AS (SELECT snapshot_date, key, count FROM (SELECT *, row_number() OVER "
+         "(PARTITION BY snapshot_date ORDER BY count DESC, key) AS r FROM snap) WHERE r <= 10)")
 
 
-def _snap(spark, sf_dir, key="event_type"):
-    ev = fixtures.table(spark, sf_dir, "events")
-    return T.daily_snapshots(ev, "ts", key)
+def _snap(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events").withColumn("user", F.col("user_id").cast("string"))
+    return T.daily_snapshots(ev, "ts", "user")
 
 
 @query("daily_snapshots", "I1", oracle="WITH " + _SNAP + " SELECT snapshot_date, key, count FROM snap")
@@ -27,10 +28,29 @@ def q_daily_snapshots(spark, sf_dir):
     return _snap(spark, sf_dir)
 
 
+_LISTS = {"users": "user_id", "types": "event_type"}
+
+
+@query("run_snapshot", "I1", oracle="WITH d AS (SELECT CAST(ts AS DATE) AS snapshot_date, count(*) AS total FROM events GROUP BY 1)" + "".join(
+    f", {n}0 AS (SELECT CAST(ts AS DATE) AS snapshot_date, CAST({c} AS VARCHAR) AS key, count(*) AS count FROM events WHERE {c} IS NOT NULL GROUP BY 1, 2), "
+    f"{n}1 AS (SELECT snapshot_date, count(*) AS u FROM {n}0 GROUP BY 1), "
+    f"{n}2 AS (SELECT snapshot_date, string_agg(key || ':' || count, ',' ORDER BY count DESC, key) AS t FROM (SELECT *, row_number() OVER "
+    f"(PARTITION BY snapshot_date ORDER BY count DESC, key) AS r FROM {n}0) WHERE r <= 10 GROUP BY 1)" for n, c in _LISTS.items()) + (
+    " SELECT d.snapshot_date, d.total, users1.u AS unique_users, users2.t AS top_users, types1.u AS unique_types, types2.t AS top_types FROM d "
+    "LEFT JOIN users1 USING (snapshot_date) LEFT JOIN users2 USING (snapshot_date) LEFT JOIN types1 USING (snapshot_date) "
+    "LEFT JOIN types2 USING (snapshot_date)"))
+def q_run_snapshot(spark, sf_dir):
+    out = T.run_snapshot(fixtures.table(spark, sf_dir, "events"), "ts", _LISTS)
+    for n in _LISTS:
+        out = out.withColumn(f"top_{n}", F.array_join(F.transform(f"top_{n}", lambda x: F.concat_ws(":", x["key"], x["count"])), ","))
+    return out
+
+
 @query("compare_periods", "I2", oracle="WITH " + _SNAP + (
     ", r AS (SELECT s.*, d.date_rank FROM snap s JOIN dates d USING (snapshot_date) WHERE d.date_rank <= 2), "
+    "rt AS (SELECT s.*, d.date_rank FROM tops s JOIN dates d USING (snapshot_date) WHERE d.date_rank <= 2), "
     "k AS (SELECT coalesce(c.key, p.key) AS key, coalesce(c.count, 0) AS current, coalesce(p.count, 0) AS previous "
-    "FROM (SELECT * FROM r WHERE date_rank = 1) c FULL OUTER JOIN (SELECT * FROM r WHERE date_rank = 2) p ON c.key = p.key), "
+    "FROM (SELECT * FROM rt WHERE date_rank = 1) c FULL OUTER JOIN (SELECT * FROM rt WHERE date_rank = 2) p ON c.key = p.key), "
     "kk AS (SELECT *, current - previous AS change FROM k WHERE current - previous <> 0 ORDER BY abs(current - previous) DESC, key LIMIT 10), "
     "t AS (SELECT coalesce(sum(count) FILTER (WHERE date_rank = 1), 0) AS current, "
     "coalesce(sum(count) FILTER (WHERE date_rank = 2), 0) AS previous FROM r) "
@@ -50,11 +70,10 @@ def q_compare_periods(spark, sf_dir):
     "SELECT key FROM tops JOIN dates USING (snapshot_date) WHERE date_rank = 1 AND key NOT IN "
     "(SELECT key FROM tops JOIN dates USING (snapshot_date) WHERE date_rank = 2) ORDER BY key LIMIT 10"))
 def q_new_top_users(spark, sf_dir):
-    ev = fixtures.table(spark, sf_dir, "events").withColumn("user", F.col("user_id").cast("string"))
-    return T.new_keys(T.daily_snapshots(ev, "ts", "user"))
+    return T.new_keys(_snap(spark, sf_dir))
 
 
-_SERIES = _SNAP + ", ser AS (SELECT key, snapshot_date, count FROM snap JOIN dates USING (snapshot_date) WHERE date_rank <= 30)"
+_SERIES = _SNAP + ", ser AS (SELECT key, snapshot_date, count FROM tops JOIN dates USING (snapshot_date) WHERE date_rank <= 30)"
 
 
 @query("skill_series", "I4", oracle="WITH " + _SERIES + " SELECT * FROM ser")

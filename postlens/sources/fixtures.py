@@ -42,7 +42,7 @@ SELECT c_custkey AS profile_id,
   split_part('Bangalore|Remote,Pune|Mumbai|', '|', CAST(1 + c_custkey % 4 AS INT)) AS preferred_locations,
   concat('Supplier#00000000', CAST(c_custkey % 10 AS STRING)) AS preferred_companies,
   split_part('remote|hybrid|office', '|', CAST(1 + c_custkey % 3 AS INT)) AS job_types
-FROM {customer} WHERE c_custkey < 20
+FROM {customer}
 """
 
 RESUMES_SQL = """

@@ -1,5 +1,7 @@
 import itertools
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from postlens.operators import match as M
@@ -49,16 +51,40 @@ def test_evidence_join_equals_brute_force(spark):
 
 def test_find_matches_limits_and_orders(spark):
     jobs = spark.createDataFrame(JOBS)
-    m = M.find_matches(M.match_scores(jobs, _profiles(spark)), min_score=10, limit=1).collect()
+    m = M.find_matches(jobs, _profiles(spark), min_score=10, limit=1).collect()
     assert all(r["rank"] == 1 for r in m)
     assert {r["profile_id"] for r in m} == {1, 2}
 
 
+def test_find_matches_equals_brute_force(spark):
+    rows = JOBS * 7 + [dict(j, job_id=f"x{k}", title=None if k % 3 else j["title"]) for k, j in enumerate(JOBS * 3)]
+    jobs, prof = spark.createDataFrame(rows, spark.createDataFrame(JOBS).schema), _profiles(spark)
+    for min_score, limit in ((40, 4), (10, 15), (0, 5), (0, 60), (-1, 3)):
+        got = {}
+        for r in M.find_matches(jobs, prof, min_score=min_score, limit=limit).collect():
+            got.setdefault(r["profile_id"], []).append((r["rank"], round(r["score"], 6), r["job_id"]))
+        for p in prof.collect():
+            want = sorted(((-_brute(tuple(p), j), j["job_id"], j["title"] or "") for j in rows if _brute(tuple(p), j) >= min_score))[:limit]
+            assert sorted(got.get(p["profile_id"], [])) == [(k + 1, round(-s, 6), i) for k, (s, i, _) in enumerate(want)], (p, min_score, limit)
+
+
+def test_equal_profiles_share_one_signature(spark):
+    prof = _profiles(spark)
+    many = prof.unionByName(prof.withColumn("profile_id", F.col("profile_id") + 100))
+    got = M.find_matches(spark.createDataFrame(JOBS), many, min_score=1).groupBy("profile_id").count().collect()
+    n = {r["profile_id"]: r["count"] for r in got}
+    assert n[1] == n[101] and n[2] == n[102]
+
+
 def test_semantic_top_k(spark):
     vecs = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [-1.0, 0.0], 0)],
                                  "vec_id int, embedding array<float>, label int")
     out = M.semantic_top_k(vecs.where("vec_id != 0"), vecs.where("vec_id = 0"), k=2).collect()
     assert [(r["vec_id"], r["score"]) for r in out] == [(1, 100.0), (2, 0.0)]
+    with pytest.raises(ValueError):
+        M.semantic_top_k(vecs, vecs.where("vec_id < 2"))
+    two = M.semantic_top_k(vecs, vecs.where("vec_id in (1, 2)").withColumnRenamed("vec_id", "q"), k=1, query_id="q").collect()
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in two} == {(1, 0, 100.0), (2, 2, 100.0)}
 
 
 def test_texts(spark):
