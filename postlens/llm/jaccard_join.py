@@ -4,7 +4,9 @@
    shingles) as a digest and a size, and a bounded table of how many sets meet in each hash bucket.
 2. A second pass orders every set rarest bucket first and posts its prefix (the first
    n - ceil(0.8 n) + 1 shingles: two sets that link share one of them). A shingle
-   whose bucket was met once is in no other set and is not posted. The table only
+   whose bucket was met once is in no other set and is not posted. Postings are dealt
+   out by token once, and tokens that only one set has go no further; the few in
+   crowded buckets skip that step, so no token gathers in one task. The table only
    orders and proves uniqueness, so results don't depend on its size.
 3. Lists are blocked: sets that share tokens come into blocks of bounded size, and a
    list is a list of blocks with their least size and most remaining positions. Block pairs
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from postlens.llm.columns import LOWER, distinct_words, slices, text_buffers, word_spans
 from postlens.llm.components import components
 from postlens.llm.files import as_rows, written
-from postlens.llm.tally import Sparse, all_set, buckets_for, levels, merge, tally
+from postlens.llm.tally import Sparse, all_set, buckets_for, level_of, levels, merge, tally
 
 BLOCK_SETS, BLOCK_SHINGLES = 64, 50_000
+BUCKETS_PER_TEXT = 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -114,11 +117,18 @@ def _first_pass(width: int, log_m: int):
     return run
 
 
-def _postings(width: int, percent: int, shared, log_m: int):
-    names = ["token", "digest", "n", "pos"]
+_POSTING = "token long, digest long, n int, pos int"
+
+
+def _postings(width: int, percent: int, shared, log_m: int, crowded: int):
+    names = ["token", "digest", "n", "pos", "sure"]
 
     def run(batches):
-        seen, out, waiting = set(), [[], [], [], []], 0
+        seen, out, waiting = set(), [[], [], [], [], []], 0
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+
         for _, digest, s in _sets_of(batches, width):
             if not len(s) or digest in seen:
                 continue
@@ -130,23 +140,53 @@ def _postings(width: int, percent: int, shared, log_m: int):
             pos = np.flatnonzero(level[order] != 1)
             if not len(pos):
                 continue
-            for column, x in zip(out, (s[order[pos]].view(np.int64), np.full(len(pos), digest), np.full(len(pos), n, np.int32), pos.astype(np.int32)), strict=True):
+            at = order[pos]
+            for column, x in zip(out, (s[at].view(np.int64), np.full(len(pos), digest), np.full(len(pos), n, np.int32), pos.astype(np.int32), level[at] >= crowded), strict=True):
                 column.append(x)
             waiting += len(pos)
             if waiting > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
-                out, waiting = [[], [], [], []], 0
+                yield sent()
+                out, waiting = [[], [], [], [], []], 0
         if waiting:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+            yield sent()
 
     return run
 
 
+def _repeated(batches):
+    """Rows in order of (sure, token): sure ones as they are, of the others those whose token two sets have."""
+    held: list[pa.RecordBatch] = []
+
+    def shared_tokens(table: pa.Table):
+        token, digest = table["token"].to_numpy(), table["digest"].to_numpy()
+        head = np.flatnonzero(np.diff(token, prepend=token[0] ^ 1))
+        many = np.minimum.reduceat(digest, head) != np.maximum.reduceat(digest, head)
+        keep = np.repeat(many, np.diff(head, append=len(token)))
+        return table.filter(pa.array(keep)).drop_columns(["sure"]).combine_chunks().to_batches()
+
+    for batch in batches:
+        sure = batch["sure"].to_numpy(zero_copy_only=False)
+        if sure.any():
+            yield batch.filter(batch["sure"]).drop_columns(["sure"])
+            batch = batch.filter(pa.array(~sure))
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        token = table["token"].to_numpy()
+        last = int(np.searchsorted(token, token[-1]))
+        if last:
+            yield from shared_tokens(table.slice(0, last))
+            held = table.slice(last).combine_chunks().to_batches()
+    if held:
+        yield from shared_tokens(pa.Table.from_batches(held))
+
+
 def _bodies(width: int, shared, log_m: int):
     def run(batches):
         seen, held, size = set(), [], 0
-        for _, digest, s in _sets_of(batches, width):
-            if len(s) and digest not in seen and all_set(shared.value, np.array([digest]), log_m, 2)[0]:
+        for key, digest, s in _sets_of(batches, width):
+            if len(s) and digest not in seen and all_set(shared.value, np.array([(digest ^ (key or 0) << 21) & 0xFFFFFFFFFFFFFFFF], np.uint64), log_m, 2)[0]:
                 seen.add(digest)
                 held.append((digest, s.tobytes()))
                 size += s.nbytes
@@ -229,10 +269,22 @@ def _verify(percent: int):
     return run
 
 
-def _edges(bodies: DataFrame, blocks: DataFrame, units: DataFrame, percent: int, name: str) -> DataFrame:
-    """Verified spanning edges (a, b) of all units(unit, block) over blocks(digest, block)."""
-    n = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = bodies.join(blocks.select("digest", "block"), "digest").join(units, "block").select("unit", "digest", "body")
+def _edges(bodies: DataFrame, members: DataFrame, percent: int, name: str) -> DataFrame:
+    """Verified spanning edges (a, b) of all units, from members(unit, digest).
+
+    Sets that no unit wants are left behind by a Bloom table before anything is shuffled.
+    """
+    spark = bodies.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = written(members.select("unit", "digest").distinct(), f"{name}-members")
+    log_k = buckets_for(members.count(), 16, 1)
+    wanted = spark.sparkContext.broadcast(tally(members, "digest", log_k, k=2))
+
+    @F.arrow_udf("boolean")
+    def maybe(digest: pa.Array) -> pa.Array:
+        return pa.array(all_set(wanted.value, digest.to_numpy(zero_copy_only=False), log_k, 2))
+
+    rows = bodies.where(maybe("digest")).join(members, "digest").select("unit", "digest", "body")
     dealt = rows.repartition(n, "unit").sortWithinPartitions("unit")
     return written(dealt.mapInArrow(_verify(percent), "a long, b long"), name)
 
@@ -261,13 +313,14 @@ def _chunks(count, total):
 def _components_of_sets(listed: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     sets = listed.groupBy("digest").agg(F.min("lo").alias("label"), F.max("n").alias("n"))
     of_label = sets.groupBy("label").agg(_chunks(F.count("*"), F.sum("n")).alias("chunks"))
-    blocks = sets.join(of_label, "label").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+    of_label = of_label.select(F.xxhash64("label").alias("key"), F.col("label").alias("_label"), "chunks")  # dealt out anew, so a hot label can be split
+    blocks = sets.withColumn("key", F.xxhash64("label")).join(of_label, "key").where("label = _label").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     blocks = written(blocks.select("digest", "n", "label", "chunks", "chunk", F.xxhash64("label", "chunk").alias("block")), "blocks")
     every = blocks.select("label", "chunk", "block").distinct()
     hub = F.xxhash64("label", F.lit(0))
     first = every.select(F.col("block").alias("unit"), "block")
     first = first.union(_units(every.where("chunk > 0").select(hub.alias("lo"), F.col("block").alias("hi"))))
-    edges = _edges(bodies, blocks, first, percent, "edges1")
+    edges = _edges(bodies, blocks.select("digest", "block").join(first, "block"), percent, "edges1")
     # second round: sets of a large component only meet sets of others
     comp = components(edges).select(F.col("node").alias("digest"), "component")
     comp = blocks.join(comp, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
@@ -282,7 +335,7 @@ def _components_of_sets(listed: DataFrame, bodies: DataFrame, percent: int) -> D
     again = written(again.select("digest", "one", "chunks", block.alias("block")), "blocks2")
     inside = again.where("one is null and chunks > 1").select(F.col("block").alias("unit"), "block").distinct()
     second = inside.union(_units(_sharing(listed, again, percent)))
-    return components(edges.union(_edges(bodies, again, second, percent, "edges2")))
+    return components(edges.union(_edges(bodies, again.select("digest", "block").join(second, "block"), percent, "edges2")))
 
 
 def components_of_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,21 +347,28 @@ def components_of_documents(docs: DataFrame, *, width: int = 5, percent: int = 8
     """
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    log_m = buckets_for(docs.count() * 512, 1, 4)
+    log_m = buckets_for(docs.count() * BUCKETS_PER_TEXT, 1, 4)
     first = written(texts.mapInArrow(_first_pass(width, log_m), "doc_id long, n long, digest long, range int, body binary"), "sets")
     own = first.where("range is null").select("doc_id", "n", "digest")
     rarity = spark.sparkContext.broadcast(merge(first.where("range is not null").select("range", "body"), log_m, bits_each=4))
-    posted = written(texts.mapInArrow(_postings(width, percent, rarity, log_m), "token long, digest long, n int, pos int"), "postings")
+    # buckets eight times as full as the mean, and those of 64 sets: their tokens are kept without a look at who else has them
+    load = (own.agg(F.sum("n")).first()[0] or 0) / (1 << log_m)
+    crowded = int(level_of(max(64.0, 8 * load))) + 1
+    posted = texts.mapInArrow(_postings(width, percent, rarity, log_m, crowded), _POSTING + ", sure boolean")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = posted.repartition(n, F.when(F.col("sure"), F.xxhash64("token", "digest")).otherwise(F.col("token"))).sortWithinPartitions("sure", "token")
+    posted = written(dealt.mapInArrow(_repeated, _POSTING), "postings")
     lists = posted.groupBy("token").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
     # joined by a hash of the token: the sums are dealt out anew, so a hot token's rows can be split between tasks
     lists = lists.select(F.xxhash64("token").alias("key"), F.col("token").alias("_token"), "lo")
     listed = posted.withColumn("key", F.xxhash64("token")).join(lists, "key").where("token = _token").select("token", "digest", "n", "pos", "lo")
     listed = written(listed, "lists")
-    members = listed.select("digest").distinct()
+    # of the documents with an equal set the one with the least id sends it
+    members = listed.select("digest").distinct().join(own.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "digest")
+    members = written(members.select(F.col("digest").bitwiseXOR(F.shiftleft(F.coalesce("doc_id", F.lit(0)), 21)).alias("mark")), "members")
     log_k = buckets_for(members.count(), 16, 1)
-    wanted = spark.sparkContext.broadcast(tally(members, "digest", log_k, k=2))
-    bodies = texts.mapInArrow(_bodies(width, wanted, log_k), "digest long, body binary").groupBy("digest").agg(F.first("body").alias("body"))
-    bodies = written(bodies.join(members, "digest", "left_semi"), "bodies")
+    wanted = spark.sparkContext.broadcast(tally(members, "mark", log_k, k=2))
+    bodies = written(texts.mapInArrow(_bodies(width, wanted, log_k), "digest long, body binary"), "bodies")
     found = _components_of_sets(listed, bodies, percent).select(F.col("node").alias("digest"), "component")
     full = own.where("n > 0").join(found, "digest", "left").select("doc_id", "n", F.coalesce("component", "digest").alias("group"))
     low = full.groupBy("group").agg(F.min("doc_id").alias("component_id")).select(F.xxhash64("group").alias("key"), F.col("group").alias("_group"), "component_id")

@@ -36,6 +36,12 @@ def positions(hashes: np.ndarray, log_m: int, k: int) -> list[np.ndarray]:
     return out
 
 
+def level_of(count) -> np.ndarray:
+    """0, 1 and 2 as they are, then powers of two: 3 for 3 and 4, 4 for 5 to 8, up to 15."""
+    count = np.asarray(count)
+    return np.where(count < 3, count, np.minimum(15, 1 + np.ceil(np.log2(np.maximum(count, 1))))).astype(np.uint8)
+
+
 class Sparse:
     """Counts of one task: buckets met, each with its number, at most 255."""
 
@@ -91,7 +97,7 @@ def _merged(bits_each: int, at_least: int):
             if bits_each == 1:
                 body = np.packbits(table >= at_least, bitorder="little")
             else:  # nibbles: 0, 1, 2, then powers of two
-                level = np.where(table < 3, table, np.minimum(15, 2 + np.ceil(np.log2(np.maximum(table, 1)) - 1))).astype(np.uint8)
+                level = level_of(table)
                 body = level[::2] | (level[1::2] << 4)
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([body.tobytes()], pa.binary())], schema=_SCHEMA)
 
