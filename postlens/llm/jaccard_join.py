@@ -78,7 +78,7 @@ def _digest(s: np.ndarray) -> int:
 def _sets_of(batches, width: int):
     """(doc_id, digest, set) of all rows; the digest of an empty set is 0."""
     for batch in batches:
-        for a, b in slices(batch["text"], 8 << 20):
+        for a, b in slices(batch["text"], 4 << 20):
             for key, s in zip(batch["doc_id"].slice(a, b - a).to_pylist(), shingle_sets(batch["text"].slice(a, b - a), width), strict=True):
                 yield key, _digest(s) if len(s) else 0, s
 

@@ -84,7 +84,7 @@ def _blocks(path: str, end_id: int, block_ids: int, id_col: str, text_col: str):
 
         for batch in batches:
             keys, texts = batch[id_col].to_pylist(), batch[text_col]
-            for a, b in slices(texts, 12 << 20):
+            for a, b in slices(texts, 8 << 20):
                 ids, offsets = encoder.encode(texts.slice(a, b - a))
                 for k in range(b - a):
                     own = ids[offsets[k]:offsets[k + 1]]

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
+import pyarrow as pa
+
 
 def kept(key, make):
-    """``make()`` on the first call with this key in this worker process, the same object afterwards."""
+    """``make()`` on the first call with this key in this worker process, the same object afterwards.
+
+    One object is kept at a time: a worker that goes on to another operator gives the memory back.
+    """
     held = sys.modules.setdefault("_postlens_worker", types.ModuleType("_postlens_worker")).__dict__.setdefault("held", {})
     if key not in held:
+        held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         held[key] = make()
     return held[key]
