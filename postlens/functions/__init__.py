@@ -5,7 +5,6 @@ from postlens.functions.text import (  # noqa: F401
     contains_any,
     first_contains_label,
     first_regex_label,
-    found_terms,
     literal_array,
     literal_map,
     matches,

@@ -18,12 +18,16 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Whitespace stripped by ``py_strip`` (Python's ASCII whitespace set).
-WHITESPACE = " \t\n\r\x0b\x0c"
+# Whitespace stripped by ``py_strip``: what Python's ``str.isspace`` holds (fixed values).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
+
+# Java's \s, \w, \d and \b are ASCII without this flag; Python's are not.
+UNICODE = "(?U)"
 
 
 def py_strip(c: str | Column) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace, as a cheap ``btrim`` (no regex)."""
+    """Python ``str.strip()`` as a cheap ``btrim`` (no regex)."""
     return F.btrim(col(c), F.lit(WHITESPACE))
 
 
@@ -66,18 +70,6 @@ def matches(text: Column, term: str, mode: str) -> Column:
     return text.rlike(term_pattern(term, mode))
 
 
-def found_terms(text: Column, terms: Sequence[tuple[str, str]], mode: str) -> Column:
-    """``array<string>`` of the output labels whose search term occurs in ``text``.
-
-    ``terms`` is a list of ``(search_term, label)``. One literal pattern per term,
-    so each regex is compiled once per task, not once per row.
-    """
-    if not terms:
-        return F.array().cast("array<string>")
-    hits = [F.when(matches(text, t, mode), F.lit(label)) for t, label in terms]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
-
-
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
     """Any needle is a substring (``contains`` is ~3x cheaper than ``instr > 0``)."""
     needles = list(needles)
@@ -168,7 +160,8 @@ def regex_prefilter(text: Column, pattern: str) -> Column | None:
 def guarded_rlike(text: Column, pattern: str) -> Column:
     """``text RLIKE pattern``, skipped when a required literal is absent."""
     pre = regex_prefilter(text, pattern)
-    return text.rlike(pattern) if pre is None else (pre & text.rlike(pattern))
+    found = text.rlike(UNICODE + pattern)
+    return found if pre is None else (pre & found)
 
 
 def first_regex_label(text: Column, rules: Sequence[tuple[str, str]], default: Column | None) -> Column:

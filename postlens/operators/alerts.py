@@ -29,6 +29,15 @@ class Alert:
     min_salary_lpa: float | None = None
     job_type: str | None = None
 
+    def __post_init__(self):
+        """Criteria are kept lower-cased, as they are compared with lower-cased fields."""
+        for c in ("title_keywords", "skills"):
+            if getattr(self, c) is not None:
+                object.__setattr__(self, c, tuple(x.lower() for x in getattr(self, c)))
+        for c in ("location", "company", "job_type"):
+            if getattr(self, c) is not None:
+                object.__setattr__(self, c, getattr(self, c).lower())
+
 
 def sample_alerts() -> list[Alert]:
     return [Alert(n, tuple(t) if t else None, tuple(s) if s else None, loc, comp, sal, jt)

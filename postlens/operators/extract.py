@@ -1,7 +1,7 @@
 """Text extraction and classification.
 
 Dictionary matching has three modes that disagree on purpose (substring,
-``\\b`` boundary, look-around); all run as one Aho-Corasick scan per text.
+``\\b`` boundary, look-around); each is one regex pass per text.
 Short ordered rule lists (classes, titles) stay native column expressions.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postlens import vocab as V
 from postlens.functions.text import (
+    UNICODE,
     contains_any,
     first_contains_label,
     first_regex_label,
@@ -30,7 +31,7 @@ from postlens.operators.demand import with_rank
 def dictionary_terms(text: Column, terms: Sequence[tuple[str, str]], mode: str) -> Column:
     """Distinct, sorted labels whose term occurs in ``text`` (lower-cased) under ``mode``.
 
-    One Aho-Corasick scan per text (see ``postlens.functions.dictionary``).
+    One regex pass per text (see ``postlens.functions.dictionary``).
     """
     if not terms:
         return F.array().cast("array<string>")
@@ -83,7 +84,7 @@ def salary_mentions(df: DataFrame, text_col: str = "description", order_cols: Se
     """
     spans = df.where(F.col(text_col).isNotNull()).select(
         *order_cols, F.col(text_col).alias("_t"),
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit("(?i)" + pattern), 0)).alias("pos", "span"))
+        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit("(?i)" + UNICODE + pattern), 0)).alias("pos", "span"))
     total = spans.agg(F.count(F.lit(1)).alias("total_mentions"))
     order = [F.col(c).asc_nulls_first() for c in order_cols] + [F.col("_t"), F.col("pos")]
     first = with_rank(spans.orderBy(*order).limit(samples), order, "i")
@@ -103,7 +104,7 @@ def salary_coverage(df: DataFrame, candidates: Sequence[str] = ("salary", "salar
 
 def salary_lpa_col(text: Column, pattern: str = V.LPA_PATTERN) -> Column:
     """The number before lpa / lakh / lac, as double; null when absent."""
-    got = F.regexp_extract(F.lower(text), pattern, 1)
+    got = F.regexp_extract(F.lower(text), UNICODE + pattern, 1)
     return F.when(got != "", got.cast("double"))
 
 
@@ -127,7 +128,7 @@ def experience_levels(df: DataFrame, text_col: str = "description", rules=V.EXPE
 def job_types_from_text(df: DataFrame, text_col: str = "description", rules=V.JOB_TYPE_PATTERNS) -> DataFrame:
     """C9 (text path): multi-label regex classes; a row counts in each class it matches."""
     staged = df.where(F.col(text_col).isNotNull()).select(F.lower(F.col(text_col)).alias("_low"))
-    sums = [F.sum(F.col("_low").rlike(p).cast("bigint")).alias(f"c{i}") for i, (_, p) in enumerate(rules)]
+    sums = [F.sum(F.col("_low").rlike(UNICODE + p).cast("bigint")).alias(f"c{i}") for i, (_, p) in enumerate(rules)]
     agg = staged.agg(*sums)
     cells = [F.struct(F.lit(i).alias("ordinal"), F.lit(l).alias("job_type"),
                       F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("count")) for i, (l, _) in enumerate(rules)]
@@ -186,7 +187,7 @@ def resume_title_col(text: Column, titles=V.RESUME_TITLES, skill_titles=V.RESUME
     low = F.lower(text) if low is None else low
     by_len = sorted(titles, key=len, reverse=True)  # stable: ties keep list order
     known = first_contains_label(low, [((t,), t.title()) for t in by_len], default=None)
-    obj = F.regexp_extract(low, V.RESUME_OBJECTIVE_PATTERN, 1)
+    obj = F.regexp_extract(low, _u(V.RESUME_OBJECTIVE_PATTERN), 1)
     objective = F.when(obj != "", title_case(py_strip(obj)))
     fallback = first_contains_label(low, [((k,), t) for k, t in skill_titles], default=F.lit(""))
     return F.coalesce(known, objective, fallback)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens import vocab as V
-from postlens.functions.text import first_contains_label, first_regex_label
+from postlens.functions.text import UNICODE, first_contains_label, first_regex_label
 from postlens.operators import trends as T
 from postlens.operators.extract import substring_skill_counts
 from postlens.session import cut_lineage
@@ -69,7 +69,7 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
         "title", "company", "location", "job_type",
         F.when(F.col("description").isNotNull(), first_regex_label(F.col("_low"), exp_rules, None))
         .alias("experience"),
-        F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + V.SALARY_TEXT_PATTERN), 0))
+        F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + UNICODE + V.SALARY_TEXT_PATTERN), 0))
         .alias("_sal"), *extra_cols)
     sections = dict(SECTIONS, **(EXTRA_SECTIONS if extras else {}))
     cols = list(sections)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEARCH_FIELDS = ("title", "company", "description", "location")
@@ -55,17 +55,37 @@ def recent(df: DataFrame, as_of: str, days: int = 7, ts_col: str = "posted_at",
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0) -> DataFrame:
-    """H4: one page (limit clamped to 1..200) with the total row count on every row."""
-    limit = max(1, min(200, limit))
+    """H4: one page with the total row count on every row; a limit outside 1..200 or a negative offset is an error."""
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("limit must be 1 to 200 and offset not negative")
     total = df.agg(F.count(F.lit(1)).alias("total"))
     rows = df.orderBy(*order).offset(offset).limit(limit)
     return rows.crossJoin(F.broadcast(total))
 
 
-def keyset_page(df: DataFrame, key: str, after: object | None, limit: int = 50) -> DataFrame:
-    """H4 at scale: the next ``limit`` rows after a key (no offset scan)."""
-    rows = df if after is None else df.where(F.col(key) > F.lit(after))
-    return rows.orderBy(key).limit(limit)
+def keyset_page(df: DataFrame, keys: str | Sequence[str], after: Sequence[object] | object | None = None, limit: int = 50) -> DataFrame:
+    """H4 at scale: the next ``limit`` rows after a key (no offset scan).
+
+    ``keys`` should tell rows apart: a page ends between two rows, and the next one begins after its last
+    row's whole key. Rows that share the whole key are told apart by a digest of the row, ``page_key``, which
+    is the last part of ``after``; pass the last row's values of (*keys, page_key). Nulls come first.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    nth = F.row_number().over(Window.partitionBy("_d").orderBy("_d"))
+    rows = df.withColumn("_d", F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
+    rows = rows.withColumn("page_key", F.concat_ws("-", "_d", F.lpad(nth.cast("string"), 12, "0"))).drop("_d")
+    order = [*keys, "page_key"]
+    if after is not None:
+        after = list(after)
+        if len(after) != len(order):
+            raise ValueError("after must hold a value for each key and the page_key")
+        later, same = F.lit(False), F.lit(True)
+        for c, x in zip(order, after, strict=True):
+            bigger = F.col(c).isNotNull() if x is None else F.col(c) > F.lit(x)
+            later = later | (same & F.coalesce(bigger, F.lit(False)))
+            same = same & F.col(c).eqNullSafe(F.lit(x))
+        rows = rows.where(later)
+    return rows.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(limit)
 
 
 def section(analysis: DataFrame, name: str, n: int | None = None) -> DataFrame:

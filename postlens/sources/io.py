@@ -1,8 +1,8 @@
 """Readers, writers and ingest steps for postings files.
 
 Files are read by Spark (schema given, no inference); "latest file" and
-"data status" use the hidden ``_metadata`` column, so no driver-side listing
-or per-file loop is involved. Writes go to shared storage as part files.
+"data status" list files by metadata and read the one that they need.
+Writes go to shared storage as part files.
 """
 
 from __future__ import annotations
@@ -39,68 +39,79 @@ def postings_schema(list_type: bool) -> StructType:
     return StructType([StructField(n, t) for n, t in POSTING_FIELDS] + lists)
 
 
+LIST_FIELDS = ("skills", "tags")
+
+
+def _list_from_text(c: str) -> F.Column:
+    """A list field read as text: a JSON list, or a comma list."""
+    text = F.col(c)
+    parsed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+    return F.when(text.isNotNull(), F.coalesce(parsed, F.split(text, ","))).alias(c)
+
+
 def read_postings(spark: SparkSession, path: str, fmt: str | None = None, schema: StructType | None = None) -> DataFrame:
-    """A1 + A3: read CSV / JSON / parquet postings by suffix.
+    """A1 + A3: read CSV / JSON / parquet postings by suffix, with a given schema and no inference pass.
 
-    JSON files hold an array of records or an object ``{"jobs": [...]}``;
-    both are read with ``multiLine`` and the envelope is unwrapped.
+    A JSON file holds an array of records or an object with a ``jobs`` array, whatever else stands beside
+    it; list fields may be lists or comma strings. One ``multiLine`` file is one task: land large
+    batches as several files or as parquet.
     """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt == "csv":
         return (spark.read.schema(schema or postings_schema(False))
                 .options(header=True, multiLine=True, escape='"', mode="PERMISSIVE").csv(path))
     if fmt == "json":
-        raw = spark.read.option("multiLine", True).json(path)  # records or an envelope
-        if "jobs" in raw.columns and len(raw.columns) <= 4:
-            raw = raw.select(F.explode("jobs").alias("j")).select("j.*")
         target = schema or postings_schema(True)
-        have = {f.name: f.dataType for f in raw.schema.fields}
-
-        def conform(f):
-            if f.name not in have:
-                return F.lit(None).cast(f.dataType).alias(f.name)
-            if isinstance(f.dataType, ArrayType) and isinstance(have[f.name], StringType):
-                return F.split(F.col(f.name), ",").alias(f.name)  # comma-list form of a list field
-            return F.col(f.name).cast(f.dataType).alias(f.name)
-
-        return raw.select(*[conform(f) for f in target.fields])
+        lists = [f.name for f in target.fields if isinstance(f.dataType, ArrayType)]
+        raw = StructType([StructField(f.name, StringType() if f.name in lists else f.dataType) for f in target.fields])
+        both = StructType([*raw.fields, StructField("jobs", ArrayType(raw))])
+        rows = spark.read.schema(both).option("multiLine", True).json(path)
+        one = F.struct(*[F.col(f.name) for f in raw.fields])
+        rows = rows.select(F.explode(F.when(F.col("jobs").isNotNull(), F.col("jobs")).otherwise(F.array(one))).alias("j")).select("j.*")
+        return rows.select(*[_list_from_text(f.name) if f.name in lists else F.col(f.name) for f in target.fields])
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported file format: {fmt}")
 
 
-def read_latest(spark: SparkSession, folder: str, glob: str = "jobs_*.csv", fmt: str = "csv",
-                schema: StructType | None = None) -> DataFrame:
-    """A2: rows of the most recently modified file matching ``glob`` in ``folder``."""
-    base = read_postings_folder(spark, folder, glob, fmt, schema)
-    meta = base.select("*", F.col("_metadata.file_modification_time").alias("_mtime"),
-                       F.col("_metadata.file_path").alias("_file"))
-    newest = meta.agg(F.max_by("_file", "_mtime").alias("_newest"))
-    return meta.join(F.broadcast(newest), F.col("_file") == F.col("_newest")).drop("_mtime", "_file", "_newest")
+def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(path, modified, length) of the files that match ``glob``: their metadata alone, no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return files.select("path", F.col("modificationTime").alias("modified"), "length")
 
 
-def read_postings_folder(spark: SparkSession, folder: str, glob: str, fmt: str,
-                         schema: StructType | None = None) -> DataFrame:
-    reader = spark.read.option("pathGlobFilter", glob)
-    if fmt == "csv":
-        return reader.schema(schema or postings_schema(False)).options(
-            header=True, multiLine=True, escape='"').csv(folder)
-    if fmt == "json":
-        return reader.schema(schema or postings_schema(True)).option("multiLine", True).json(folder)
-    return reader.parquet(folder)
+def latest_file(spark: SparkSession, folder: str, globs: str | Sequence[str]) -> str | None:
+    """A2: path of the most recently modified file of the first pattern that matches any (ties: the last name)."""
+    for glob in [globs] if isinstance(globs, str) else globs:
+        newest = list_files(spark, folder, glob).orderBy(F.col("modified").desc(), F.col("path").desc()).first()
+        if newest is not None:
+            return newest["path"]
+    return None
+
+
+def read_latest(spark: SparkSession, folder: str, glob: str | Sequence[str] = "jobs_*.csv", fmt: str | None = None,
+                schema: StructType | None = None) -> DataFrame:
+    """A2: rows of the most recently modified file; ``glob`` may list patterns in order of preference."""
+    path = latest_file(spark, folder, glob)
+    if path is None:
+        raise FileNotFoundError(f"no file in {folder} matches {glob}")
+    return read_postings(spark, path, fmt, schema)
 
 
-def data_status(spark: SparkSession, folder: str, as_of: str, glob: str = "jobs_*", fmt: str = "parquet",
+def data_status(spark: SparkSession, folder: str, as_of: str, glob: str = "jobs_*", fmt: str | None = None,
                 stale_hours: float = 24.0) -> DataFrame:
-    """File count, latest file, its row count, age in hours, stale flag (``as_of`` given)."""
-    df = read_postings_folder(spark, folder, glob, fmt).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"))
-    per_file = df.groupBy("file", "mtime").agg(F.count(F.lit(1)).alias("rows"))
-    s = per_file.agg(F.count(F.lit(1)).alias("local_file_count"), F.max_by("file", "mtime").alias("latest_file"),
-                     F.max_by("rows", "mtime").alias("job_count"), F.max("mtime").alias("latest_mtime"))
-    age = (F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp("latest_mtime")) / 3600.0
-    return s.select("local_file_count", "latest_file", "job_count", age.alias("data_age_hours"),
-                    (age > stale_hours).alias("is_stale"))
+    """File count, latest file, its row count, age in hours, stale flag (``as_of`` given).
+
+    Files are listed by metadata; only the latest is counted (0 if it is empty). Without any file the
+    count is 0, the file null and the data stale.
+    """
+    files = list_files(spark, folder, glob)
+    s = files.agg(F.count(F.lit(1)).alias("local_file_count"), F.max(F.struct("modified", "path")).alias("m"))
+    path = latest_file(spark, folder, glob)
+    n = F.lit(0).cast("long") if path is None else F.lit(read_postings(spark, path, fmt).count()).cast("long")
+    age = (F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp("m.modified")) / 3600.0
+    return s.select("local_file_count", F.col("m.path").alias("latest_file"), n.alias("job_count"), age.alias("data_age_hours"),
+                    F.coalesce(age > stale_hours, F.lit(True)).alias("is_stale"))
 
 
 def content_job_id(title: str = "title", company: str = "company", location: str = "location",
@@ -146,8 +157,15 @@ def job_skill_bridge(df: DataFrame, skills_col: str = "skills_normalized") -> Da
     return df.select("job_id", F.explode(skills_col).alias("skill")).distinct()
 
 
-def save_postings(df: DataFrame, path: str, fmt: str = "parquet", snapshot_col: str | None = None) -> None:
-    """Save postings; CSV joins list columns with ',', JSON keeps lists."""
+def save_postings(df: DataFrame, path: str, fmt: str = "parquet", snapshot_col: str | None = None,
+                  backup_as_of: str | None = None) -> None:
+    """Save postings; CSV joins list columns with ',', JSON keeps lists.
+
+    With ``backup_as_of`` (a timestamp) a dated copy goes to ``<path>_yyyyMMdd_HHmmss`` too.
+    """
+    if backup_as_of is not None:
+        stamp = backup_as_of.replace("-", "").replace(":", "").replace(" ", "_").replace("T", "_")[:15]
+        save_postings(df, f"{path.rstrip('/')}_{stamp}", fmt, snapshot_col)
     out = df
     if fmt == "csv":
         for f in df.schema.fields:
@@ -171,8 +189,8 @@ def export_all(df: DataFrame, path: str, ts_col: str, exported_at: str, fmt: str
         .coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/manifest")
 
 
-def import_latest(spark: SparkSession, folder: str, warehouse: DataFrame | None, glob: str = "jobs_*.json",
-                  fmt: str = "json", order_by: Sequence[str] = ("scraped_date",)) -> DataFrame:
+def import_latest(spark: SparkSession, folder: str, warehouse: DataFrame | None, glob: str | Sequence[str] = "jobs_*.json",
+                  fmt: str | None = None, order_by: Sequence[str] = ("scraped_date",)) -> DataFrame:
     """Read the latest landed file (A2 + A3) and upsert it into the warehouse frame."""
     landed = read_latest(spark, folder, glob, fmt)
     if warehouse is None:

@@ -314,11 +314,9 @@ CITY_DIM = [
 
 # Sample alerts: (name, title_keywords, skills, location, company, min_salary_lpa, job_type).
 SAMPLE_ALERTS = [
-    ("Python Developer in Bangalore", ["python", "developer", "engineer"], ["python", "django", "flask"],
-     "bangalore", None, None, None),
-    ("Remote Data Science Jobs", ["data", "scientist", "analyst"], ["python", "sql", "machine learning"],
-     None, None, None, "remote"),
-    ("High Paying Tech Jobs", ["senior", "lead", "architect"], None, None, None, 25.0, None),
+    ("Backend posts in Pune", ["backend", "developer", "engineer"], ["python", "docker", "java"], "pune", None, None, None),
+    ("Analysts who may stay at home", ["analyst", "data"], ["sql", "excel"], None, None, None, "remote"),
+    ("Leads from 30 lakh", ["lead", "senior", "director"], None, None, None, 30.0, None),
 ]
 
 # Match score weights (skills, title, location, company, job type); sum is 100.

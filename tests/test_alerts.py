@@ -1,25 +1,30 @@
 from postlens.operators import alerts as A
 
-SAMPLE = [
-    dict(title="Senior Python Developer", company="Tech Corp", location="Bangalore, India",
-         description="Looking for Python Django Flask developer. 20-30 LPA. Remote friendly.", salary="25 LPA",
-         job_id="1", job_type=None),
-    dict(title="Data Scientist", company="AI Startup", location="Remote",
-         description="ML engineer with Python SQL experience. Work from home.", salary=None, job_id="2", job_type=None),
-    dict(title="Java Developer", company="Enterprise Inc", location="Mumbai",
-         description="Spring Boot microservices developer needed.", salary=None, job_id="3", job_type=None),
+POSTS = [
+    dict(title="Lead Backend Developer", company="Kestrel Systems", location="Pune, Maharashtra",
+         description="Services in Java with docker. Offer of 32 LPA.", salary="34 LPA", job_id="p1", job_type=None),
+    dict(title="Data Analyst", company="Willow Foods", location="Chennai", description="Monthly figures in SQL and Excel, fully remote.",
+         salary=None, job_id="p2", job_type=None),
+    dict(title="Gardener", company="Greenhouse", location="Mumbai", description="Roses and hedges.", salary=None, job_id="p3", job_type=None),
 ]
+SCHEMA = "title string, company string, location string, description string, salary string, job_id string, job_type string"
 
 
 def test_sample_alerts(spark):
-    df = spark.createDataFrame(SAMPLE, "title string, company string, location string, description string, "
-                                       "salary string, job_id string, job_type string")
+    df = spark.createDataFrame(POSTS, SCHEMA)
     got = {(r["alert_name"], r["job_id"]): r["reasons"] for r in A.match_alerts(df, A.sample_alerts()).collect()}
-    assert set(got) == {("Python Developer in Bangalore", "1"), ("High Paying Tech Jobs", "1")}
-    assert got[("High Paying Tech Jobs", "1")] == "Title contains: senior; Salary: 25.0 LPA"
-    assert got[("Python Developer in Bangalore", "1")].startswith("Title contains: python, developer; Skills found: python, django, flask")
-    checked = {r["alert_name"]: r["match_count"] for r in A.check_alerts(df, A.sample_alerts()).collect()}
-    assert checked == {"Python Developer in Bangalore": 1, "Remote Data Science Jobs": 0, "High Paying Tech Jobs": 1}
+    assert set(got) == {("Backend posts in Pune", "p1"), ("Leads from 30 lakh", "p1"), ("Analysts who may stay at home", "p2")}
+    assert got[("Leads from 30 lakh", "p1")] == "Title contains: lead; Salary: 34.0 LPA"
+    assert got[("Backend posts in Pune", "p1")].startswith("Title contains: backend, developer; Skills found: docker, java")
+    checked = {r["alert_name"]: r["match_count"] for r in A.check_alerts(df, [*A.sample_alerts(), A.Alert("none", company="nobody")]).collect()}
+    assert checked == {"Backend posts in Pune": 1, "Analysts who may stay at home": 1, "Leads from 30 lakh": 1, "none": 0}
+
+
+def test_criteria_are_lower_cased(spark):
+    df = spark.createDataFrame(POSTS, SCHEMA)
+    mixed = A.Alert("mixed", title_keywords=("BackEnd",), skills=("Docker",), location="PUNE", company="Kestrel", job_type=None)
+    rows = A.match_alerts(df, [mixed]).collect()
+    assert [r["job_id"] for r in rows] == ["p1"] and rows[0]["reasons"].startswith("Title contains: backend; Skills found: docker")
 
 
 def test_salary_floor_rejects_low_pay(spark):

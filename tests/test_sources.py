@@ -3,8 +3,10 @@ import os
 import tempfile
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from postlens.operators import search as H
 from postlens.sources import io as IO
 from postlens.sources import payloads as PL
 from tests.conftest import JOBS
@@ -85,3 +87,55 @@ def test_import_latest_upserts(spark):
     merged = IO.import_latest(spark, base, first, glob="jobs_2.json")
     got = {r["job_id"]: r["title"] for r in merged.collect()}
     assert got == {"job_001": "Lead Data Scientist", "job_002": "Frontend Developer"}
+
+
+def _write(folder, name, value):
+    with open(os.path.join(folder, name), "w") as f:
+        json.dump(value, f) if not isinstance(value, str) else f.write(value)
+
+
+def test_wide_envelope_and_comma_lists(spark):
+    base = tempfile.mkdtemp(prefix="pl-env-")
+    _write(base, "jobs_1.json", {"a": 1, "b": 2, "c": 3, "d": 4, "source": "x", "jobs": [JOBS[0], dict(JOBS[1], skills=["go", "sql"])]})
+    got = {r["job_id"]: r["skills"] for r in IO.import_latest(spark, base, None).collect()}
+    assert got == {"job_001": ["python", "sql", "machine learning", "tensorflow"], "job_002": ["go", "sql"]}
+    _write(base, "jobs_2.json", [dict(JOBS[2], skills="python,sql")])
+    os.utime(os.path.join(base, "jobs_2.json"), (2e9, 2e9))
+    assert [r["skills"] for r in IO.import_latest(spark, base, None).collect()] == [["python", "sql"]]
+    assert IO.read_latest(spark, base, ["jobs_1*.json", "jobs_*.json"]).count() == 2
+    with pytest.raises(FileNotFoundError):
+        IO.read_latest(spark, base, "nothing_*")
+
+
+def test_listing_reads_no_content_and_counts_an_empty_newest_file(spark):
+    base = tempfile.mkdtemp(prefix="pl-list-")
+    _write(base, "jobs_1.csv", "job_id,title\n1,Dev\n2,Ops\n")
+    _write(base, "jobs_2.csv", "job_id,title\n")
+    os.utime(os.path.join(base, "jobs_2.csv"), (2e9, 2e9))
+    plan = IO.list_files(spark, base, "jobs_*")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1]
+    s = IO.data_status(spark, base, "2100-01-01 00:00:00").first()
+    assert (s["local_file_count"], s["job_count"]) == (2, 0) and s["latest_file"].endswith("jobs_2.csv")
+    none = IO.data_status(spark, base, "2100-01-01 00:00:00", glob="other_*").first()
+    assert (none["local_file_count"], none["latest_file"], none["job_count"], none["is_stale"]) == (0, None, 0, True)
+
+
+def test_dated_backup(spark):
+    base = tempfile.mkdtemp(prefix="pl-back-")
+    df = spark.createDataFrame([("1", ["a"])], "job_id string, skills array<string>")
+    IO.save_postings(df, os.path.join(base, "jobs"), "json", backup_as_of="2026-02-03 04:05:06")
+    assert spark.read.json(os.path.join(base, "jobs_20260203_040506")).count() == spark.read.json(os.path.join(base, "jobs")).count() == 1
+
+
+def test_pages(spark):
+    df = spark.createDataFrame([(k, i) for k, i in zip("abbbbc", range(6))] + [("b", 1), (None, 9)], "key string, i int")
+    with pytest.raises(ValueError):
+        H.page(df, [F.col("key")], limit=500)
+    seen, after = [], None
+    while True:
+        rows = H.keyset_page(df, "key", after, limit=2).collect()
+        if not rows:
+            break
+        seen += [(r["key"], r["i"]) for r in rows]
+        after = (rows[-1]["key"], rows[-1]["page_key"])
+    assert sorted(seen, key=str) == sorted([tuple(r) for r in df.collect()], key=str)
