@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.session import stored
+
 
 def _one_row(df: DataFrame) -> DataFrame:
     """Mark a one-row aggregate for broadcast (its size is one row by construction)."""
@@ -115,6 +117,21 @@ def _top_keys(counts: DataFrame, key: str, n: int) -> DataFrame:
     return with_rank(counts.orderBy(*order).limit(n), order, "key_rank").select(key, "key_rank")
 
 
+def group_skill_counts(df: DataFrame, group_col: str, skills_col: str = "skills_normalized") -> DataFrame:
+    """(grp, skill, count): mentions per group and skill, and under a null skill the group's postings.
+
+    One pass over the postings, stored: matrices, sizes and top lists all come from this frame, whose size
+    is the number of distinct (group, skill) pairs.
+    """
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.col(skills_col), F.array().cast("array<string>")))
+    counts = df.select(F.col(group_col).alias("grp"), F.explode(marked).alias("skill")).groupBy("grp", "skill").agg(F.count(F.lit(1)).alias("count"))
+    return stored(counts, "pairs")
+
+
+def _skill_totals(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.col("skill").isNotNull()).groupBy("skill").agg(F.sum("count").alias("count"))
+
+
 def skill_group_matrix(df: DataFrame, group_col: str, skills_col: str = "skills_normalized",
                        top_n_skills: int = 10) -> DataFrame:
     """(skill, group, count) for the top-N skills, zero-filled over every group.
@@ -122,27 +139,19 @@ def skill_group_matrix(df: DataFrame, group_col: str, skills_col: str = "skills_
     The grid is groups x N skills, N a parameter; the top skills are joined in
     as a broadcast of at most N rows.
     """
-    counts = skill_counts(df, skills_col)
-    top = _top_keys(counts, "skill", top_n_skills)
-    groups = df.select(F.col(group_col).alias("grp")).distinct()
-    grid = groups.crossJoin(F.broadcast(top))
-    pairs = (explode_skills(df, skills_col, keep=[F.col(group_col).alias("grp")])
-             .join(F.broadcast(top.select("skill")), "skill", "left_semi")
-             .groupBy("grp", "skill").agg(F.count(F.lit(1)).alias("count")))
-    return (grid.join(pairs, ["grp", "skill"], "left")
-            .select("skill", F.col("grp").alias("grp"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
+    counts = group_skill_counts(df, group_col, skills_col)
+    grid = counts.select("grp").distinct().crossJoin(F.broadcast(_top_keys(_skill_totals(counts), "skill", top_n_skills)))
+    return (grid.join(counts, ["grp", "skill"], "left")
+            .select("skill", "grp", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
 def title_group_pivot(df: DataFrame, title_col: str, group_col: str, top_n: int = 8) -> DataFrame:
     """(group, title, count) for the top-N titles; zero-filled over groups that hold any of them."""
-    counts = value_counts(df, title_col, name="title")
-    top = _top_keys(counts, "title", top_n)
-    filt = df.select(F.col(group_col).alias("grp"), F.col(title_col).alias("title")).join(
-        F.broadcast(top.select("title")), "title", "left_semi")
-    pairs = filt.groupBy("grp", "title").agg(F.count(F.lit(1)).alias("count"))
-    groups = filt.select("grp").distinct()
-    titles = pairs.select("title").distinct()
-    grid = groups.crossJoin(F.broadcast(titles))
+    counts = stored(df.where(F.col(title_col).isNotNull()).groupBy(F.col(group_col).alias("grp"), F.col(title_col).alias("title"))
+                    .agg(F.count(F.lit(1)).alias("count")), "pairs")
+    top = F.broadcast(_top_keys(counts.groupBy("title").agg(F.sum("count").alias("count")), "title", top_n).select("title"))
+    pairs = counts.join(top, "title", "left_semi")
+    grid = pairs.select("grp").distinct().crossJoin(top)
     return grid.join(pairs, ["grp", "title"], "left").select(
         "grp", "title", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
@@ -154,16 +163,12 @@ def skill_pct_by_group(df: DataFrame, group_col: str, skills_col: str = "skills_
     Groups are the top-N by posting count (all groups when ``top_groups`` is
     None); skills are the top-M overall. Both sides are bounded by parameters.
     """
-    sizes = value_counts(df, group_col, name="grp").withColumnRenamed("count", "grp_size")
+    counts = group_skill_counts(df, group_col, skills_col)
+    sizes = counts.where(F.col("skill").isNull() & F.col("grp").isNotNull()).select("grp", F.col("count").alias("grp_size"))
     if top_groups is not None:
-        sizes = with_rank(sizes.orderBy(F.col("grp_size").desc(), F.col("grp").asc()).limit(top_groups),
-                          [F.col("grp_size").desc(), F.col("grp").asc()], "grp_rank").drop("grp_rank")
-    top = _top_keys(skill_counts(df, skills_col), "skill", top_skills_n)
-    grid = sizes.crossJoin(F.broadcast(top))
-    pairs = (explode_skills(df, skills_col, keep=[F.col(group_col).alias("grp")])
-             .join(F.broadcast(top.select("skill")), "skill", "left_semi")
-             .groupBy("grp", "skill").agg(F.count(F.lit(1)).alias("count")))
-    out = grid.join(pairs, ["grp", "skill"], "left").select(
+        sizes = sizes.orderBy(F.col("grp_size").desc(), F.col("grp").asc()).limit(top_groups)
+    grid = sizes.crossJoin(F.broadcast(_top_keys(_skill_totals(counts), "skill", top_skills_n)))
+    out = grid.join(counts, ["grp", "skill"], "left").select(
         "grp", "skill", "key_rank", "grp_size", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
     return out.withColumn("percentage", F.round(F.col("count") * 100.0 / F.col("grp_size"), 4))
 

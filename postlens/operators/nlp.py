@@ -60,12 +60,13 @@ def tfidf(docs: DataFrame, token_pattern: str = V.TFIDF_TOKEN_PATTERN, max_featu
     ``max_features`` rows, so it is broadcast by construction);
     n_docs: one row (n).
     """
-    docs = docs.groupBy("doc").agg(F.sum("mult").alias("mult"))
-    n_docs = docs.agg(F.sum("mult").alias("n"))
-    # Token rows carry a 128-bit digest of the document, never the text itself.
-    toks = docs.select("doc", "mult", F.explode(F.regexp_extract_all(F.lower("doc"), F.lit(token_pattern), 0))
-                       .alias("term")).withColumn("doc", F.md5("doc"))
-    tf = toks.groupBy("doc", "mult", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Every shuffle carries a 128-bit digest of the document, never the text: equal texts may come as
+    # several rows, whose token counts are then divided by the number of rows.
+    keyed = docs.select(F.md5("doc").alias("doc"), "mult", F.regexp_extract_all(F.lower("doc"), F.lit(token_pattern), 0).alias("t"))
+    folded = keyed.groupBy("doc").agg(F.sum("mult").alias("mult"), F.count(F.lit(1)).alias("rows"))
+    n_docs = folded.agg(F.sum("mult").alias("n"))
+    toks = keyed.select("doc", F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("c"))
+    tf = toks.join(folded, "doc").select("doc", "mult", "term", F.expr("c div rows").alias("tf"))
     stats = tf.groupBy("term").agg(F.sum("mult").alias("df"), F.sum(F.col("tf") * F.col("mult")).alias("total"))
     stats = stats.crossJoin(F.broadcast(n_docs)).where(
         (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n")))

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from postlens import vocab as V
 from postlens.functions.text import UNICODE, first_contains_label, first_regex_label
+from postlens.functions.numeric import py_round
+from postlens.operators import nlp as N
 from postlens.operators import trends as T
 from postlens.operators.extract import substring_skill_counts
-from postlens.session import cut_lineage
+from postlens.session import cut_lineage, stored
 
 # Report sentence templates, as worded in the reference.
 SKILLS_INSIGHT = "The most in-demand skills are: {skills}."
@@ -39,19 +41,23 @@ EXTRA_SECTIONS = {"market_role": "market_roles", "exp_demand": "experience_deman
 
 
 def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V.VOCAB.tech_skills,
-                  extras: bool = False) -> DataFrame:
+                  extras: bool = False, discover: bool = False) -> DataFrame:
     """The whole analysis as (section, rank, key, value).
 
     Sections: top_titles / top_companies / top_locations (top N, nulls
     skipped), unique (distinct counts), job_types (all), experience_levels
-    (all four classes, zeros kept), skills (all found terms), salary
-    (total_mentions) and metadata (total_jobs).
+    (all four classes, zeros kept), skills (all found terms), salary and metadata (total_jobs).
+    Salary is total_with_salary and the percentage (as text, 1 decimal) where one of SALARY_COLUMNS is
+    there, else total_mentions in descriptions. ``discover`` adds the first 20 salary samples and, from the
+    ``skills`` column, emerging skills, clusters ("leader > member") and co-occurrences ("a + b").
     """
     exp_rules = [(p, l) for l, p in V.EXPERIENCE_PATTERNS]
     text_job_types = "job_type" not in postings.columns
     if text_job_types:  # no column: the six description classes, multi-label (C9)
         postings = postings.withColumn("job_type", F.lit(None).cast("string"))
+    salary_col = next((c for c in SALARY_COLUMNS if c in postings.columns), None)
     staged = postings.select("title", "company", "location", "job_type", "description",
+                             (F.col(salary_col).isNotNull().cast("int") if salary_col else F.lit(0)).alias("_paid"),
                              F.lower("description").alias("_low"),
                              F.lower(F.concat(F.coalesce("description", F.lit("")), F.lit(" "),
                                               F.coalesce("title", F.lit("")))).alias("_dt"),
@@ -69,7 +75,8 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
         "title", "company", "location", "job_type",
         F.when(F.col("description").isNotNull(), first_regex_label(F.col("_low"), exp_rules, None))
         .alias("experience"),
-        F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + UNICODE + V.SALARY_TEXT_PATTERN), 0))
+        (F.col("_paid") if salary_col else
+         F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + UNICODE + V.SALARY_TEXT_PATTERN), 0)))
         .alias("_sal"), *extra_cols)
     sections = dict(SECTIONS, **(EXTRA_SECTIONS if extras else {}))
     cols = list(sections)
@@ -115,8 +122,11 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
     totals = g.where(F.col("_gid") == full).select(
         F.explode(F.array(
             F.struct(F.lit("metadata").alias("section"), F.lit("total_jobs").alias("key"), F.col("value").alias("value")),
-            F.struct(F.lit("salary").alias("section"), F.lit("total_mentions").alias("key"),
-                     F.coalesce(F.col("_sal"), F.lit(0)).cast("bigint").alias("value")))).alias("t")).select(
+            F.struct(F.lit("salary").alias("section"), F.lit("total_with_salary" if salary_col else "total_mentions").alias("key"),
+                     F.coalesce(F.col("_sal"), F.lit(0)).cast("bigint").alias("value")),
+            *([F.struct(F.lit("salary_percentage").alias("section"),
+                        py_round(F.try_divide(F.col("_sal") * 100.0, F.col("value")), 1).cast("string").alias("key"),
+                        F.lit(None).cast("bigint").alias("value"))] if salary_col else []))).alias("t")).select(
         "t.section", F.lit(None).cast("bigint").alias("rank"), "t.key", "t.value")
     skills = substring_skill_counts(postings, terms=terms).select(
         F.lit("skills").alias("section"),
@@ -130,8 +140,54 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
             F.lit("job_types").alias("section"), (F.col("ordinal") + 1).cast("bigint").alias("rank"),
             F.col("job_type").alias("key"), F.col("count").cast("bigint").alias("value"))
         tops = tops.where(F.col("section") != "job_types").select(*cols_out).unionByName(jt)
-    return (tops.select(*cols_out).unionByName(exp.select(*cols_out)).unionByName(uniq.select(*cols_out))
-            .unionByName(totals.select(*cols_out)).unionByName(skills.select(*cols_out)))
+    out = (tops.select(*cols_out).unionByName(exp.select(*cols_out)).unionByName(uniq.select(*cols_out))
+           .unionByName(totals.select(*cols_out)).unionByName(skills.select(*cols_out)))
+    if discover:
+        if not salary_col:
+            out = out.unionByName(_salary_samples(postings))
+        if "skills" in postings.columns:
+            out = out.unionByName(_discovered(postings))
+    return out
+
+
+SALARY_COLUMNS = ("salary", "salary_range", "compensation")
+
+
+def _salary_samples(postings: DataFrame) -> DataFrame:
+    """The first 20 salary mentions of descriptions, by job id and place."""
+    pattern = F.lit("(?i)" + UNICODE + V.SALARY_TEXT_PATTERN)
+    job = F.col("job_id") if "job_id" in postings.columns else F.lit(None).cast("string")
+    spans = postings.where(F.col("description").isNotNull()).select(
+        job.alias("j"), F.col("description").alias("d"), F.posexplode(F.regexp_extract_all("description", pattern, 0)).alias("pos", "key"))
+    order = [F.col("j").asc_nulls_first(), F.col("d"), F.col("pos")]
+    first = spans.orderBy(*order).limit(20).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    return first.select(F.lit("salary_samples").alias("section"), "rank", "key", F.lit(None).cast("bigint").alias("value"))
+
+
+def _discovered(postings: DataFrame) -> DataFrame:
+    """Emerging skills, clusters and co-occurrences of the ``skills`` column; its folded lists are read once."""
+    docs = stored(N.skill_documents(postings), "skills")
+    weights, vocab, n = N.tfidf(docs)
+    weights, vocab = stored(weights, "weights"), stored(vocab, "terms")
+    emerging = N.emerging_skills(docs, N.mean_tfidf(weights, n)).select(
+        F.lit("emerging").alias("section"), F.col("rank").cast("bigint").alias("rank"), F.col("skill").alias("key"), F.col("frequency").cast("bigint").alias("value"))
+    clusters = N.skill_clusters(N.term_similarity(weights), vocab)
+    nth = F.row_number().over(Window.orderBy("leader", "member_order")).cast("bigint")  # at most the vocabulary
+    clusters = clusters.select(F.lit("clusters").alias("section"), nth.alias("rank"), F.concat_ws(" > ", "leader", "member").alias("key"),
+                               F.col("member_order").cast("bigint").alias("value"))
+    pairs = N.cooccurrence(docs).select(F.lit("cooccurrence").alias("section"), F.col("rank").cast("bigint").alias("rank"),
+                                        F.concat_ws(" + ", "a", "b").alias("key"), F.col("count").cast("bigint").alias("value"))
+    return emerging.unionByName(clusters).unionByName(pairs)
+
+
+def analysis_overview(analysis: DataFrame) -> DataFrame:
+    """H5: (section, key, value): totals, distinct companies and locations, skills found, experience levels and job types."""
+    totals = analysis.where((F.col("section") == "metadata") | ((F.col("section") == "unique") & F.col("key").isin("companies", "locations")))
+    found = analysis.where(F.col("section") == "skills").agg(F.count(F.lit(1)).alias("value"))
+    rest = analysis.where(F.col("section").isin("experience_levels", "job_types"))
+    return (totals.select(F.lit("overview").alias("section"), "key", "value")
+            .unionByName(found.select(F.lit("overview").alias("section"), F.lit("skills_identified").alias("key"), "value"))
+            .unionByName(rest.select("section", "key", "value")))
 
 
 def section_top(analysis: DataFrame, section: str, n: int) -> DataFrame:
@@ -264,32 +320,34 @@ def digest_rows(analysis: DataFrame, alert_counts: DataFrame) -> DataFrame:
 
 
 def summary_statistics(cleaned: DataFrame, city_col: str = "city_standardized") -> DataFrame:
-    """Totals and distincts, jobs per city with %, top-10 titles and skills (section, key, value, pct)."""
-    n = cleaned.agg(F.count(F.lit(1)).alias("_n"))
-    skills = cleaned.select(F.explode("skills_normalized").alias("skill"))
-    totals = cleaned.agg(
-        F.count(F.lit(1)).alias("total_jobs"), F.count_distinct(city_col).alias("cities"),
-        F.count_distinct("company").alias("companies"), F.count_distinct("title").alias("unique_titles")
-    ).crossJoin(skills.agg(F.count_distinct("skill").alias("unique_skills")))
-    tot_rows = totals.select(F.explode(F.array(*[
-        F.struct(F.lit("totals").alias("section"), F.lit(k).alias("key"), F.col(k).alias("value"))
-        for k in ("total_jobs", "cities", "companies", "unique_titles", "unique_skills")])).alias("t")).select(
-        "t.*", F.lit(None).cast("double").alias("pct"))
-    cities = (cleaned.where(F.col(city_col).isNotNull()).groupBy(F.col(city_col).alias("key"))
-              .agg(F.count(F.lit(1)).alias("value")).crossJoin(F.broadcast(n))
-              .select(F.lit("jobs_per_city").alias("section"), "key", "value",
-                      F.round(F.col("value") * 100.0 / F.col("_n"), 4).alias("pct")))
+    """Totals and distincts, jobs per city with %, top-10 titles and skills (section, key, value, pct).
+
+    One pass: every posting gives a row for itself, its city, company and title and each of its skills, counted
+    by (kind, key); all sections come from that frame, which is as large as the distinct keys.
+    """
+    item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    fixed = F.array(item("row", F.lit(None)), item("cities", F.col(city_col)), item("companies", F.col("company")), item("unique_titles", F.col("title")))
+    skills = F.transform(F.coalesce("skills_normalized", F.array().cast("array<string>")), lambda x: item("unique_skills", x))
+    counts = cleaned.select(F.explode(F.concat(fixed, skills)).alias("x")).select("x.*").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("value"))
+    counts = stored(counts.where((F.col("kind") == "row") | F.col("key").isNotNull()), "statistics")
+    none = F.lit(None).cast("double").alias("pct")
+    n = counts.where(F.col("kind") == "row").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("_n"))
+    distinct = counts.agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("cities", "companies", "unique_titles", "unique_skills")])
+    totals = n.crossJoin(F.broadcast(distinct)).select(F.explode(F.array(*[
+        F.struct(F.lit("totals").alias("section"), F.lit("total_jobs" if k == "_n" else k).alias("key"), F.col(k).cast("bigint").alias("value"))
+        for k in ("_n", "cities", "companies", "unique_titles", "unique_skills")])).alias("t")).select("t.*", none)
+    cities = counts.where(F.col("kind") == "cities").crossJoin(F.broadcast(n)).select(
+        F.lit("jobs_per_city").alias("section"), "key", "value", F.round(F.col("value") * 100.0 / F.col("_n"), 4).alias("pct"))
     order = [F.col("value").desc(), F.col("key")]
-    titles = (cleaned.where(F.col("title").isNotNull()).groupBy(F.col("title").alias("key"))
-              .agg(F.count(F.lit(1)).alias("value")).orderBy(*order).limit(10)
-              .select(F.lit("top_titles").alias("section"), "key", "value", F.lit(None).cast("double").alias("pct")))
-    top_sk = (skills.groupBy(F.col("skill").alias("key")).agg(F.count(F.lit(1)).alias("value")).orderBy(*order).limit(10)
-              .select(F.lit("top_skills").alias("section"), "key", "value", F.lit(None).cast("double").alias("pct")))
-    return tot_rows.unionByName(cities).unionByName(titles).unionByName(top_sk)
+
+    def top10(kind: str, section: str) -> DataFrame:
+        return counts.where(F.col("kind") == kind).orderBy(*order).limit(10).select(F.lit(section).alias("section"), "key", "value", none)
+
+    return totals.unionByName(cities).unionByName(top10("unique_titles", "top_titles")).unionByName(top10("unique_skills", "top_skills"))
 
 
-def export_sheets(postings: DataFrame, analysis: DataFrame) -> dict[str, DataFrame]:
-    """The four export sheets (jobs, summary, top-20 companies, top-20 locations).
+def export_sheets(postings: DataFrame) -> dict[str, DataFrame]:
+    """The export sheets (jobs, summary, top-10 skills, top-20 companies, top-20 locations); each runs on its own.
 
     Company and location counts keep null as a group, as the export does.
     """
@@ -303,8 +361,9 @@ def export_sheets(postings: DataFrame, analysis: DataFrame) -> dict[str, DataFra
     summary = postings.agg(F.count(F.lit(1)).alias("total_jobs"),
                            F.count_distinct(F.coalesce(F.col("company"), F.lit("\u0000null"))).alias("unique_companies"),
                            F.count_distinct(F.coalesce(F.col("location"), F.lit("\u0000null"))).alias("unique_locations"))
-    top_sk = analysis.where((F.col("section") == "skills") & (F.col("rank") <= 10)).select(
-        F.upper("key").alias("skill"), F.col("value").alias("count"), "rank")
+    by_count = [F.col("count").desc(), F.col("skill")]
+    top_sk = substring_skill_counts(postings).orderBy(*by_count).limit(10)
+    top_sk = top_sk.select(F.upper("skill").alias("skill"), "count", F.row_number().over(Window.orderBy(*by_count)).cast("bigint").alias("rank"))
     return {"jobs": postings.select(*cols), "summary": summary, "top_skills": top_sk,
             "companies": top20("company"), "locations": top20("location")}
 

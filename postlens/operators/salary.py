@@ -137,10 +137,16 @@ def build_features(df: DataFrame, train: DataFrame) -> DataFrame:
             .withColumn("premium_skill_count", premium_count_col(F.col("skill_list"))))
 
 
-def synthetic_labels(df: DataFrame, seed: int = 42) -> DataFrame:
-    """heuristic average x uniform noise in [0.9, 1.1] (seeded), rounded to 2."""
+def synthetic_labels(df: DataFrame, seed: int = 42, key_cols: Sequence[str] = ("job_id", "title", "company", "location")) -> DataFrame:
+    """heuristic average x uniform noise in [0.9, 1.1], rounded to 2.
+
+    The noise is a hash of the seed and the row's key, so it depends neither on partitioning nor on reruns.
+    """
     h = heuristic_salary(df)
-    noisy = py_round((F.col("salary_avg_pred") * (F.lit(0.9) + F.rand(seed) * 0.2)), 2)
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols if c in df.columns]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *keys))
+    uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    noisy = py_round((F.col("salary_avg_pred") * (F.lit(0.9) + uniform * 0.2)), 2)
     return h.withColumn("target", noisy).drop("salary_min_pred", "salary_max_pred", "salary_avg_pred",
                                               "confidence", "method")
 
@@ -178,7 +184,9 @@ def train_model(df: DataFrame, min_labelled: int = 5, min_rows: int = 3, seed: i
     pred = model.transform(feats)
     mae = RegressionEvaluator(labelCol="target", metricName="mae").evaluate(pred)
     r2 = RegressionEvaluator(labelCol="target", metricName="r2").evaluate(pred)
-    metrics = {"mode": "ml", "samples": n, "mae_lpa": round(mae, 2), "r2_score": round(r2, 4)}
+    mean = feats.agg(F.avg("target").alias("m"))
+    plain = feats.crossJoin(F.broadcast(mean)).agg(F.avg(F.abs(F.col("target") - F.col("m")))).first()[0]
+    metrics = {"mode": "ml", "samples": n, "mae_lpa": round(mae, 2), "r2_score": round(r2, 4), "mae_of_mean": round(plain, 2)}
     if model_path:
         save_model(model, model_path, metrics)
     return model, train, metrics
@@ -187,17 +195,20 @@ def train_model(df: DataFrame, min_labelled: int = 5, min_rows: int = 3, seed: i
 def ml_predict(model, df: DataFrame, train: DataFrame) -> DataFrame:
     """avg floored at 1; spread max(15 %, 2); confidence high when avg > 3."""
     pred = model.transform(build_features(df, train))
-    avg = F.greatest(F.col("prediction"), F.lit(1.0))
+    return pred.select(*[c for c in df.columns], F.col("role"), F.col("city_key"), *prediction_columns(F.col("prediction")))
+
+
+def prediction_columns(prediction: F.Column) -> list[F.Column]:
+    """the output columns of a raw prediction."""
+    avg = F.greatest(prediction, F.lit(1.0))
     spread = F.greatest(avg * 0.15, F.lit(2.0))
-    return pred.select(
-        *[c for c in df.columns],
-        F.col("role"), F.col("city_key"),
+    return [
         py_round(avg - spread, 2).alias("salary_min_pred"),
         py_round(avg + spread, 2).alias("salary_max_pred"),
         py_round(avg, 2).alias("salary_avg_pred"),
         F.when(avg > 3, "high").otherwise("medium").alias("confidence"),
         F.lit("ml_model").alias("method"),
-    )
+    ]
 
 
 def predict(df: DataFrame, model=None, train: DataFrame | None = None) -> DataFrame:

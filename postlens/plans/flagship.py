@@ -22,9 +22,7 @@ def skill_demand_by_city(cleaned: DataFrame, k: int = 5, city_col: str = "city_s
     plus one null marker, so the (city, null) count is the city's posting
     count. The cleaned postings are scanned once.
     """
-    marked = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.col(skills_col), F.array().cast("array<string>")))
-    counts = (cleaned.select(F.col(city_col).alias("city"), F.explode(marked).alias("skill"))
-              .groupBy("city", "skill").agg(F.count(F.lit(1)).alias("count")))
+    counts = D.group_skill_counts(cleaned, city_col, skills_col).withColumnRenamed("grp", "city")
     sizes = counts.where(F.col("skill").isNull()).select("city", F.col("count").alias("city_postings"))
     pairs = counts.where(F.col("skill").isNotNull())
     ranked = D.top_k_per_group(pairs, "city", [F.col("count").desc(), F.col("skill")], k)

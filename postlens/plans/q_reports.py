@@ -8,12 +8,14 @@ from postlens import vocab as V
 from postlens.operators import alerts as A
 from postlens.operators import extract as X
 from postlens.operators import reports as R
+from postlens.operators import search as H
 from postlens.operators import trends as T
 from postlens.plans import sqlgen as Q
 from postlens.plans.q_alerts import _EVAL, _alerts_sql
 from postlens.plans.q_clean import cleaned
 from postlens.plans.q_trends import _FC
-from postlens.plans.registry import query
+from postlens.plans import q_nlp  # noqa: F401 - its oracles are parts of ours
+from postlens.plans.registry import ORACLES, query
 from postlens.sources import fixtures
 
 _P = "WITH postings AS (\n" + fixtures.duckdb_view("postings") + "\n)"
@@ -51,9 +53,52 @@ def _analysis(spark, sf_dir):
 
 
 @query("full_analysis", "D22 H5", oracle=_P + ", " + _ANALYSIS + (
-    " SELECT section, CAST(rank AS BIGINT) AS rank, key, CAST(value AS BIGINT) AS value FROM analysis"))
+    " SELECT section, CAST(rank AS BIGINT) AS rank, key, CAST(value AS BIGINT) AS value FROM analysis "
+    "UNION ALL SELECT 'salary_samples', row_number() OVER (ORDER BY job_id NULLS FIRST, description, pos), span, NULL FROM (SELECT * FROM ("
+    f"SELECT job_id, description, unnest(regexp_extract_all(description, {Q.s(_SAL)}, 0)) AS span, "
+    f"unnest(range(len(regexp_extract_all(description, {Q.s(_SAL)}, 0)))) AS pos FROM postings WHERE description IS NOT NULL) "
+    "ORDER BY job_id NULLS FIRST, description, pos LIMIT 20) "
+    f"UNION ALL SELECT 'emerging', rank, skill, CAST(frequency AS BIGINT) FROM ({ORACLES['emerging_skills']}) "
+    "UNION ALL SELECT 'clusters', row_number() OVER (ORDER BY leader, member_order), leader || ' > ' || member, member_order "
+    f"FROM ({ORACLES['skill_clusters']}) "
+    f"UNION ALL SELECT 'cooccurrence', rank, a || ' + ' || b, count FROM ({ORACLES['skill_cooccurrence']})"))
 def q_full_analysis(spark, sf_dir):
-    return _analysis(spark, sf_dir)
+    return R.full_analysis(fixtures.postings(spark, sf_dir), discover=True)
+
+
+@query("analysis_overview", "H5", oracle=_P + ", " + _ANALYSIS + (
+    " SELECT 'overview' AS section, key, CAST(value AS BIGINT) AS value FROM analysis WHERE section = 'metadata' "
+    "OR (section = 'unique' AND key IN ('companies', 'locations')) "
+    "UNION ALL SELECT 'overview', 'skills_identified', count(*) FROM analysis WHERE section = 'skills' "
+    "UNION ALL SELECT section, key, CAST(value AS BIGINT) FROM analysis WHERE section IN ('experience_levels', 'job_types')"))
+def q_analysis_overview(spark, sf_dir):
+    return R.analysis_overview(_analysis(spark, sf_dir))
+
+
+@query("analysis_top_skills", "H5", oracle=_P + ", " + _ANALYSIS + (
+    " SELECT section, CAST(rank AS BIGINT) AS rank, key, CAST(value AS BIGINT) AS value FROM analysis WHERE section = 'skills' AND rank <= 10"))
+def q_analysis_top_skills(spark, sf_dir):
+    return H.section(_analysis(spark, sf_dir), "skills", 10)
+
+
+@query("analysis_companies", "H5", oracle=_P + ", " + _ANALYSIS + (
+    " SELECT section, CAST(rank AS BIGINT) AS rank, key, CAST(value AS BIGINT) AS value FROM analysis WHERE section = 'top_companies'"))
+def q_analysis_companies(spark, sf_dir):
+    return H.section(_analysis(spark, sf_dir), "top_companies")
+
+
+@query("analysis_locations", "H5", oracle=_P + ", " + _ANALYSIS + (
+    " SELECT section, CAST(rank AS BIGINT) AS rank, key, CAST(value AS BIGINT) AS value FROM analysis WHERE section = 'top_locations'"))
+def q_analysis_locations(spark, sf_dir):
+    return H.section(_analysis(spark, sf_dir), "top_locations")
+
+
+@query("analysis_salary_column", "D22", oracle=_P + (
+    " SELECT 'salary' AS section, 'total_with_salary' AS key, count(salary_min) AS value FROM postings "
+    "UNION ALL SELECT 'salary_percentage', CAST(round(count(salary_min) * 100.0 / count(*), 1) AS VARCHAR), NULL FROM postings"))
+def q_analysis_salary_column(spark, sf_dir):
+    paid = fixtures.postings(spark, sf_dir).withColumn("salary", F.col("salary_min").cast("string"))
+    return R.full_analysis(paid).where(F.col("section").startswith("salary")).select("section", "key", "value")
 
 
 @query("report_rows", "J3", oracle=_P + ", " + _ANALYSIS + (
@@ -165,11 +210,22 @@ def q_summary_statistics(spark, sf_dir):
     "count(DISTINCT coalesce(location, chr(0) || 'null')) AS unique_locations FROM postings"))
 def q_export_summary(spark, sf_dir):
     post = fixtures.postings(spark, sf_dir)
-    return R.export_sheets(post, R.full_analysis(post))["summary"]
+    return R.export_sheets(post)["summary"]
+
+
+@query("export_jobs", "D23", oracle=_P + " SELECT title, company, location, job_type FROM postings")
+def q_export_jobs(spark, sf_dir):
+    return R.export_sheets(fixtures.postings(spark, sf_dir))["jobs"]
+
+
+@query("export_top_locations", "D23", oracle=_P + (
+    " SELECT location AS key, count(*) AS count FROM postings GROUP BY location ORDER BY count DESC, key NULLS FIRST LIMIT 20"))
+def q_export_top_locations(spark, sf_dir):
+    return R.export_sheets(fixtures.postings(spark, sf_dir))["locations"]
 
 
 @query("export_top_companies", "D23", oracle=_P + (
     " SELECT company AS key, count(*) AS count FROM postings GROUP BY company ORDER BY count DESC, key NULLS FIRST LIMIT 20"))
 def q_export_top_companies(spark, sf_dir):
     post = fixtures.postings(spark, sf_dir)
-    return R.export_sheets(post, R.full_analysis(post))["companies"]
+    return R.export_sheets(post)["companies"]

@@ -106,3 +106,31 @@ def q_salary_model_predictions(spark, sf_dir):
     model, train, _ = S.train_model(post)
     return S.predict(post, model, train).select("job_id", "role", "salary_min_pred", "salary_max_pred",
                                                 "salary_avg_pred", "confidence", "method")
+
+
+@query("salary_synthetic_labels", "F3", oracle=_P + ", " + _heuristic_ctes() + (
+    " SELECT job_id, round(salary_avg_pred * (0.9 + CAST(('0x' || substr(md5(concat_ws('|', '42', coalesce(job_id, ''), coalesce(title, ''), "
+    "coalesce(company, ''), coalesce(location, ''))), 1, 8)) AS UBIGINT) / 4294967296.0 * 0.2), 2) AS target FROM heur"))
+def q_salary_synthetic_labels(spark, sf_dir):
+    return S.synthetic_labels(fixtures.postings(spark, sf_dir)).select("job_id", "target")
+
+
+@query("salary_prediction_columns", "F5", oracle=_P + (
+    ", t AS (SELECT job_id, (salary_min - 9.0) / 3 AS raw FROM postings WHERE salary_min IS NOT NULL), "
+    "a AS (SELECT job_id, greatest(raw, 1.0) AS avg, greatest(greatest(raw, 1.0) * 0.15, 2.0) AS spread FROM t) "
+    "SELECT job_id, round(avg - spread, 2) AS salary_min_pred, round(avg + spread, 2) AS salary_max_pred, round(avg, 2) AS salary_avg_pred, "
+    "CASE WHEN avg > 3 THEN 'high' ELSE 'medium' END AS confidence, 'ml_model' AS method FROM a"))
+def q_salary_prediction_columns(spark, sf_dir):
+    """What is made of a raw prediction (here a line through the salaries, from below 1 to over 3)."""
+    raw = fixtures.postings(spark, sf_dir).where(F.col("salary_min").isNotNull()).select("job_id", ((F.col("salary_min") - 9.0) / 3).alias("raw"))
+    return raw.select("job_id", *S.prediction_columns(F.col("raw")))
+
+
+@query("salary_model_summary", "F4", oracle=_P + (
+    " SELECT 'ml' AS mode, count(*) AS samples, true AS better_than_mean FROM postings WHERE CASE WHEN coalesce(salary_min, 0) <> 0 "
+    "AND coalesce(salary_max, 0) <> 0 THEN (salary_min + salary_max) / 2 WHEN coalesce(salary_min, 0) <> 0 THEN salary_min "
+    "WHEN coalesce(salary_max, 0) <> 0 THEN salary_max END > 0"))
+def q_salary_model_summary(spark, sf_dir):
+    """The trained model in one row: rows used, and whether its error is below that of the mean."""
+    _, _, m = S.train_model(fixtures.postings(spark, sf_dir))
+    return spark.createDataFrame([(m["mode"], m["samples"], m["mae_lpa"] < m["mae_of_mean"])], "mode string, samples long, better_than_mean boolean")
