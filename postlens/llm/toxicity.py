@@ -128,20 +128,22 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return index, words + list(extra), row
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int) -> list[str]:
+def _plain_words(text: str) -> set[str]:
+    own = {w.strip(".,;:!?\"'()*-_") for w in text.lower().split()}
+    return {w for w in own if 3 <= len(w) <= LONGEST}
+
+
+def choose_landmarks(texts: pa.Array, toxic: np.ndarray, most: int) -> list[str]:
     """Words that mark toxic texts: each next one is in the most toxic texts that the earlier ones leave open, three times over."""
-    df: list[Counter] = [Counter(), Counter()]
-    sets = []
-    for text, y in zip(texts, toxic, strict=True):
-        own = {w.strip(".,;:!?\"'()*-_") for w in text.lower().split()}
-        own = {w for w in own if 3 <= len(w) <= LONGEST}
-        df[int(y)].update(own)
-        if y:
-            sets.append(own)
     n0, n1 = max(1, int((toxic == 0).sum())), max(1, int(toxic.sum()))
-    lift = {w: (c + 0.5) / n1 / ((df[0][w] + 0.5) / n0) for w, c in df[1].items() if c >= max(3, n1 // 400)}
-    good = {w for w, x in lift.items() if x >= 8}
-    has = [s & good for s in sets]
+    in_toxic, in_clean = Counter(), Counter()
+    for k in np.flatnonzero(toxic).tolist():
+        in_toxic.update(_plain_words(texts[k].as_py()))
+    in_toxic = {w: c for w, c in in_toxic.items() if c >= max(3, n1 // 400)}
+    for k in np.flatnonzero(toxic == 0).tolist():
+        in_clean.update(w for w in _plain_words(texts[k].as_py()) if w in in_toxic)
+    good = {w for w, c in in_toxic.items() if (c + 0.5) / n1 >= 8 * (in_clean[w] + 0.5) / n0}
+    has = [_plain_words(texts[k].as_py()) & good for k in np.flatnonzero(toxic).tolist()]
     covered, chosen = np.zeros(len(has), int), []
     while len(chosen) < most:
         count = Counter(w for s, c in zip(has, covered, strict=True) if c < 3 for w in s)
@@ -225,8 +227,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -30, 30)))
 
 
-def train(texts: list[str], toxic: np.ndarray, most_landmarks: int = 48) -> Model:
-    """Model of labelled texts; without both kinds of label, or without any telling word, a constant one."""
+def train(texts: pa.Array | list[str], toxic: np.ndarray, most_landmarks: int = 48) -> Model:
+    """Model of labelled texts; without both kinds of label, or without any telling word, a constant one.
+
+    Texts stay in their Arrow buffers, and of their words only those near a landmark are held.
+    """
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     share = (toxic.sum() + 0.5) / (len(toxic) + 1) if len(toxic) else 0.25
     constant = Model([], np.zeros(0), 0.0, 1.0, float(np.log(share / (1 - share))))
     words = choose_landmarks(texts, toxic, most_landmarks) if len(texts) and 0 < toxic.sum() < len(toxic) else []
@@ -237,24 +243,23 @@ def train(texts: list[str], toxic: np.ndarray, most_landmarks: int = 48) -> Mode
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
     number: dict[str, int] = {}
-    rows, kinds = [], []
-    column = pa.array(texts, pa.large_string())
-    for a, b in slices(column, 4 << 20):
-        index, own, row = tokens(column.slice(a, b - a))
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own))
-        pair = np.unique((row + a) * (1 << 40) + ids[index])
+    rows, kinds, kernels = [], [], []
+    for a, b in slices(texts, 4 << 20):
+        index, own, row = tokens(texts.slice(a, b - a))
+        some = landmarks.kernel(own)
+        near = some.max(1, initial=0) >= ACTIVE
+        place = np.full(len(own), -1)
+        for k in np.flatnonzero(near).tolist():
+            if own[k] not in number:
+                kernels.append(some[k])
+            place[k] = number.setdefault(own[k], len(number))
+        at = np.flatnonzero(near[index]) if len(index) else np.zeros(0, np.int64)
+        pair = np.unique((row[at] + a) * (1 << 40) + place[index[at]])
         rows.append(pair >> 40)
         kinds.append(pair & ((1 << 40) - 1))
-    row, kind = np.concatenate(rows), np.concatenate(kinds)
-    every, kernels, near = list(number), [], np.zeros(len(number), bool)
-    for i in range(0, len(every), 100_000):
-        some = landmarks.kernel(every[i:i + 100_000])
-        near[i:i + 100_000] = some.max(1) >= ACTIVE
-        kernels.append(some[some.max(1) >= ACTIVE])
-    place = np.cumsum(near) - 1
-    row, kind = row[near[kind]], place[kind[near[kind]]]
-    kernel = np.concatenate(kernels)
-    x, n = kernel @ whiten, int(near.sum())
+    row, kind, n = np.concatenate(rows), np.concatenate(kinds), len(number)
+    kernel = np.stack(kernels)
+    x = kernel @ whiten
     in_toxic = np.bincount(kind[toxic[row] == 1], minlength=n)
     in_clean = np.bincount(kind[toxic[row] == 0], minlength=n)
     positive = (in_clean == 0) & (kernel.max(1) > 0.8) & (in_toxic > 0)
@@ -287,8 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1500, most_clea
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(own), "_id").select("_id", "text", "y")
     order = Window.orderBy(F.xxhash64("_id"), "_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sample.withColumn("upto", F.sum(F.length("text")).over(order)).where(F.col("upto") <= most_chars).select("_id", "text", "y").toPandas()
-    return train(rows["text"].to_list(), rows["y"].to_numpy(int))
+    rows = sample.withColumn("upto", F.sum(F.length("text")).over(order)).where(F.col("upto") <= most_chars).select("text", "y").toArrow()
+    return train(rows["text"].cast(pa.large_string()).combine_chunks(), rows["y"].to_numpy().astype(int))
 
 
 def _scorer(model: Model):
