@@ -34,7 +34,7 @@ from postlens.llm.files import as_rows, written
 from postlens.llm.tally import Sparse, all_set, buckets_for, level_of, levels, merge, tally
 
 BLOCK_SETS, BLOCK_SHINGLES = 64, 50_000
-BUCKETS_PER_TEXT = 256
+BUCKETS_PER_TEXT = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -153,16 +153,29 @@ def _postings(width: int, percent: int, shared, log_m: int, crowded: int):
     return run
 
 
-def _repeated(batches):
-    """Rows in order of (sure, token): sure ones as they are, of the others those whose token two sets have."""
+def _repeated(percent: int):
+    """From rows in order of (sure, token): sure ones as they are, of the others those whose token two sets have."""
+
+    def run(batches):
+        return _repeated_rows(batches, percent)
+
+    return run
+
+
+def _repeated_rows(batches, percent: int):
     held: list[pa.RecordBatch] = []
 
     def shared_tokens(table: pa.Table):
-        token, digest = table["token"].to_numpy(), table["digest"].to_numpy()
+        token, digest, n, pos = (table[c].to_numpy() for c in ("token", "digest", "n", "pos"))
         head = np.flatnonzero(np.diff(token, prepend=token[0] ^ 1))
+        size = np.diff(head, append=len(token))
         many = np.minimum.reduceat(digest, head) != np.maximum.reduceat(digest, head)
-        keep = np.repeat(many, np.diff(head, append=len(token)))
-        return table.filter(pa.array(keep)).drop_columns(["sure"]).combine_chunks().to_batches()
+        # two sets alone: they stay only if their sizes and the shingles left to them allow a link
+        a = head[many & (size == 2)]
+        fits = (100 * np.minimum(n[a], n[a + 1]) >= percent * np.maximum(n[a], n[a + 1])) & \
+            ((100 + percent) * np.minimum(n[a] - pos[a], n[a + 1] - pos[a + 1]) >= percent * (n[a] + n[a + 1]))
+        many[many & (size == 2)] = fits
+        return table.filter(pa.array(np.repeat(many, size))).drop_columns(["sure"]).combine_chunks().to_batches()
 
     for batch in batches:
         sure = batch["sure"].to_numpy(zero_copy_only=False)
@@ -357,7 +370,7 @@ def components_of_documents(docs: DataFrame, *, width: int = 5, percent: int = 8
     posted = texts.mapInArrow(_postings(width, percent, rarity, log_m, crowded), _POSTING + ", sure boolean")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = posted.repartition(n, F.when(F.col("sure"), F.xxhash64("token", "digest")).otherwise(F.col("token"))).sortWithinPartitions("sure", "token")
-    posted = written(dealt.mapInArrow(_repeated, _POSTING), "postings")
+    posted = written(dealt.mapInArrow(_repeated(percent), _POSTING), "postings")
     lists = posted.groupBy("token").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
     # joined by a hash of the token: the sums are dealt out anew, so a hot token's rows can be split between tasks
     lists = lists.select(F.xxhash64("token").alias("key"), F.col("token").alias("_token"), "lo")
