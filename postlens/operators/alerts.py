@@ -112,3 +112,46 @@ def check_alerts(df: DataFrame, alerts: Sequence[Alert], first: int = 20,
     return (F.broadcast(names).join(counts, "alert_name", "left").join(firsts, "alert_name", "left")
             .select("alert_order", "alert_name", F.coalesce("match_count", F.lit(0)).cast("bigint").alias("match_count"),
                     "match_rank", "job_id", "reasons"))
+
+
+ALERT_SCHEMA = ("alert_name string, title_keywords array<string>, skills array<string>, location string, company string, "
+                "min_salary_lpa double, job_type string")
+
+
+def match_alert_table(df: DataFrame, alerts: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """G10 for alerts kept as a table (ALERT_SCHEMA; null criteria do not count): the rows of :func:`match_alerts`.
+
+    The table is attached as one array and tested by a lambda, so thousands of alerts are data and not
+    one huge expression. Its size should be that of a parameter table (a few MB).
+    """
+    keep = list(keep or df.columns)
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
+    lows = lambda c: F.transform(F.col(c), lambda x: F.lower(x)).alias(c)
+    criteria = alerts.select("alert_name", lows("title_keywords"), lows("skills"), F.lower("location").alias("location"),
+                             F.lower("company").alias("company"), "min_salary_lpa", F.lower("job_type").alias("job_type"))
+    one = criteria.agg(F.collect_list(F.struct(*criteria.columns)).alias("_alerts"))
+    text = F.coalesce(F.when(F.length(F.col("salary")) > 0, F.col("salary")), F.col("description")) if "salary" in df.columns else F.col("description")
+    staged = df.select("*", *[low(c).alias(f"_low_{c}") for c in ("title", "description", "location", "company", "job_type")],
+                       salary_lpa_col(text).alias("_lpa")).crossJoin(F.broadcast(one))
+    paid = F.col("_lpa").isNotNull() & (F.col("_lpa") != 0)
+
+    def verdict(a):
+        title = F.filter(a["title_keywords"], lambda k: F.col("_low_title").contains(k))
+        skill = F.filter(a["skills"], lambda k: F.col("_low_description").contains(k))
+        ok = (a["title_keywords"].isNull() | (F.size(title) > 0)) & (a["skills"].isNull() | (F.size(skill) > 0))
+        ok = ok & (a["location"].isNull() | F.col("_low_location").contains(a["location"]))
+        ok = ok & (a["company"].isNull() | F.col("_low_company").contains(a["company"]))
+        ok = ok & (a["job_type"].isNull() | F.col("_low_description").contains(a["job_type"]) | F.col("_low_job_type").contains(a["job_type"]))
+        ok = ok & (a["min_salary_lpa"].isNull() | ~paid | (F.col("_lpa") >= a["min_salary_lpa"]))
+        shown = lambda c: F.coalesce(F.col(c), F.lit("None")) if c in df.columns else F.lit("None")
+        reasons = F.array(
+            F.when(a["title_keywords"].isNotNull(), F.concat(F.lit("Title contains: "), F.array_join(title, ", "))),
+            F.when(a["skills"].isNotNull(), F.concat(F.lit("Skills found: "), F.array_join(skill, ", "))),
+            F.when(a["location"].isNotNull(), F.concat(F.lit("Location: "), shown("location"))),
+            F.when(a["company"].isNotNull(), F.concat(F.lit("Company: "), shown("company"))),
+            F.when(a["job_type"].isNotNull(), F.concat(F.lit("Job type: "), a["job_type"])),
+            F.when(a["min_salary_lpa"].isNotNull() & paid, F.concat(F.lit("Salary: "), F.col("_lpa").cast("string"), F.lit(" LPA"))))
+        return F.struct(a["alert_name"].alias("alert_name"), F.coalesce(ok, F.lit(False)).alias("ok"), F.array_compact(reasons).alias("reasons"))
+
+    hits = F.filter(F.transform("_alerts", verdict), lambda v: v["ok"])
+    return staged.select(*keep, F.explode(hits).alias("v")).select("v.alert_name", *keep, F.array_join("v.reasons", "; ").alias("reasons"))

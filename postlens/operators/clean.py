@@ -73,29 +73,6 @@ def parse_skills(df: DataFrame, col: str = "skills", out: str = "skills_normaliz
     return df.withColumn(out, parse_skills_col(F.col(col), is_array, normalization))
 
 
-def standardize_location_cols(loc: Column, city_aliases=V.CITY_ALIASES, state_names=V.STATE_NAMES,
-                              state_map: bool = False) -> tuple[Column, Column]:
-    """B4: "City, State" -> (city, state).
-
-    Null -> (Unknown, Unknown); any 'remote' -> (Remote, USA); state is the
-    first two upper-case characters of the second part. The state-name map is
-    unreachable after that cut (kept so); ``state_map=True`` applies it first.
-    """
-    stripped = py_strip(loc)
-    parts = F.split(stripped, ",")
-    city_raw = py_strip(F.element_at(parts, 1))
-    second = py_strip(F.element_at(parts, 2))
-    cut = F.substring(F.upper(second), 1, 2)
-    if state_map:
-        cut = F.coalesce(F.element_at(literal_map(state_names), F.lower(second)), cut)
-    state = F.when(F.size(parts) >= 2, cut).otherwise(F.lit("Unknown"))
-    city = F.coalesce(F.element_at(literal_map(city_aliases), F.lower(city_raw)), title_case(city_raw))
-    is_remote = F.instr(F.lower(stripped), "remote") > 0
-    city_out = F.when(loc.isNull(), "Unknown").when(is_remote, "Remote").otherwise(city)
-    state_out = F.when(loc.isNull(), "Unknown").when(is_remote, "USA").otherwise(state)
-    return city_out, state_out
-
-
 def standardize_location(df: DataFrame, col: str = "location", state_map: bool = False) -> DataFrame:
     """B4 as a frame step: the split parts are computed once for both outputs."""
     staged = df.withColumn("_loc_parts", F.split(py_strip(F.col(col)), ","))
@@ -126,10 +103,9 @@ def fill_missing(df: DataFrame, defaults: dict[str, str] | None = None) -> DataF
 def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Keep the first row per key under an explicit order.
 
-    Written as ``min(struct(order..., rest...))`` per key: a hash aggregate
-    with a map-side partial step, so a key that holds a third of all rows is
-    folded before the shuffle instead of being sorted in one task. Ascending
-    order, nulls first (Spark's struct ordering).
+    Written as ``min(struct(order..., rest...))`` per key. Strings make it a sort
+    aggregate; its map-side partial step still folds a key that holds a third of
+    all rows before the shuffle. Ascending order, nulls first (Spark's struct ordering).
     """
     order = [c for c in order_by if c not in keys]
     rest = [c for c in df.columns if c not in keys and c not in order]

@@ -243,22 +243,23 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
 def warehouse_stats(df: DataFrame, n: int = 10, ts_col: str = "posted_at", days: int = 7) -> DataFrame:
     """Totals, distinct companies / locations, postings per day (last N days
     present) and the top companies / locations, where null is a group (as SQL
-    GROUP BY keeps it). Long form (section, rank, key, value)."""
-    totals = df.agg(F.count(F.lit(1)).alias("total_jobs"), F.count_distinct("company").alias("unique_companies"),
-                    F.count_distinct("location").alias("unique_locations"))
+    GROUP BY keeps it). Long form (section, rank, key, value). One pass counts (kind, key); the sections
+    come from that frame."""
+    item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    items = F.array(item("row", F.lit(None)), item("company", F.col("company")), item("location", F.col("location")), item("day", F.to_date(ts_col)))
+    counts = stored(df.select(F.explode(items).alias("x")).select("x.*").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("value")), "warehouse")
+    own = lambda kind: counts.where(F.col("kind") == kind).select("key", "value")
+    totals = counts.agg(F.coalesce(F.sum(F.when(F.col("kind") == "row", F.col("value"))), F.lit(0)).alias("total_jobs"),
+                        F.count(F.when(F.col("kind") == "company", F.col("key"))).alias("unique_companies"),
+                        F.count(F.when(F.col("kind") == "location", F.col("key"))).alias("unique_locations"))
     tot_rows = totals.select(F.explode(F.array(*[
         F.struct(F.lit("totals").alias("section"), F.lit(None).cast("bigint").alias("rank"),
                  F.lit(k).alias("key"), F.col(k).alias("value"))
         for k in ("total_jobs", "unique_companies", "unique_locations")])).alias("t")).select("t.*")
 
-    def top(col: str, section: str) -> DataFrame:
-        t = top_values(df, col, n, keep_null=True)
-        return t.select(F.lit(section).alias("section"), "rank", F.col("value").alias("key"),
-                        F.col("count").alias("value"))
-
-    daily = per_day(df, ts_col, days)
-    order = [F.col("day").desc()]
-    by_day = with_rank(daily, order).select(F.lit("jobs_by_date").alias("section"), "rank",
-                                            F.col("day").cast("string").alias("key"), F.col("count").alias("value"))
-    return tot_rows.unionByName(top("company", "top_companies")).unionByName(top("location", "top_locations")) \
-        .unionByName(by_day)
+    def top(kind: str, section: str, order: Sequence[Column], most: int) -> DataFrame:
+        return with_rank(own(kind).orderBy(*order).limit(most), order).select(F.lit(section).alias("section"), "rank", "key", "value")
+
+    by_value, by_day = rank_order("value", "key"), [F.col("key").desc_nulls_last()]
+    return (tot_rows.unionByName(top("company", "top_companies", by_value, n)).unionByName(top("location", "top_locations", by_value, n))
+            .unionByName(top("day", "jobs_by_date", by_day, days)))

@@ -182,11 +182,17 @@ def experience_years_col(text: Column, as_of_year: int, low: Column | None = Non
 
 
 def resume_title_col(text: Column, titles=V.RESUME_TITLES, skill_titles=V.RESUME_SKILL_TITLES,
-                     low: Column | None = None) -> Column:
-    """C14: longest known title contained; else the objective phrase; else skill -> title."""
+                     low: Column | None = None, boundary: bool = False) -> Column:
+    """C14: longest known title contained; else the objective phrase; else skill -> title.
+
+    ``boundary`` accepts titles only as whole words (so "director" holds no "cto").
+    """
     low = F.lower(text) if low is None else low
     by_len = sorted(titles, key=len, reverse=True)  # stable: ties keep list order
-    known = first_contains_label(low, [((t,), t.title()) for t in by_len], default=None)
+    if boundary:
+        known = first_regex_label(low, [(r"\b" + quote(t) + r"\b", t.title()) for t in by_len], None)
+    else:
+        known = first_contains_label(low, [((t,), t.title()) for t in by_len], default=None)
     obj = F.regexp_extract(low, _u(V.RESUME_OBJECTIVE_PATTERN), 1)
     objective = F.when(obj != "", title_case(py_strip(obj)))
     fallback = first_contains_label(low, [((k,), t) for k, t in skill_titles], default=F.lit(""))
@@ -260,10 +266,6 @@ def merge_profiles(stored: DataFrame, parsed: DataFrame, key: str = "profile_id"
     )
 
 
-def quote_terms(terms: Sequence[str]) -> list[str]:
-    return [quote(t) for t in terms]
-
-
 __all__ = [
     "categorize_skills", "class_counts", "contains_any", "dictionary_terms", "experience_demand",
     "experience_levels", "experience_years_col", "extract_skills_col", "graduation_years_col",

@@ -190,10 +190,6 @@ def analysis_overview(analysis: DataFrame) -> DataFrame:
             .unionByName(rest.select("section", "key", "value")))
 
 
-def section_top(analysis: DataFrame, section: str, n: int) -> DataFrame:
-    return analysis.where((F.col("section") == section) & (F.col("rank") <= n))
-
-
 def _scalar(analysis: DataFrame, section: str, key: str) -> Column:
     return F.max(F.when((F.col("section") == section) & (F.col("key") == key), F.col("value")))
 

@@ -28,10 +28,14 @@ FEATURES = ["title_encoded", "location_encoded", "company_size_encoded",
             "skill_count", "premium_skill_count", "experience_level"]
 
 
-def salary_role_col(title: Column, low: Column | None = None) -> Column:
-    """First table role contained in the title, then broad fallbacks (all parts)."""
+def salary_role_col(title: Column, low: Column | None = None, longest_first: bool = False) -> Column:
+    """First table role contained in the title, then broad fallbacks (all parts).
+
+    In table order a short role hides longer ones below it; ``longest_first`` tries long names first.
+    """
     low = F.lower(F.trim(F.coalesce(title, F.lit("")))) if low is None else low
-    rules = [((role,), role) for role, _, _ in V.SALARY_BASE] + list((tuple(k), r) for k, r in V.SALARY_ROLE_FALLBACKS)
+    names = [role for role, _, _ in V.SALARY_BASE]
+    rules = [((role,), role) for role in (sorted(names, key=len, reverse=True) if longest_first else names)] + list((tuple(k), r) for k, r in V.SALARY_ROLE_FALLBACKS)
     return first_contains_label(low, rules, F.lit(V.SALARY_ROLE_DEFAULT), all_of=True)
 
 
@@ -54,6 +58,16 @@ def experience_level_col(title: Column, low: Column | None = None) -> Column:
     return out
 
 
+UNITS = {"lpa": 1.0, "inr_per_year": 1e-5, "inr_per_month": 12e-5, "thousand_inr_per_month": 0.12}
+
+
+def to_lpa(amount: Column, unit: str = "lpa") -> Column:
+    """An amount in lakhs per annum; sources that hold raw currency are converted where they are read."""
+    if unit not in UNITS:
+        raise ValueError(f"unknown unit {unit!r}: {sorted(UNITS)}")
+    return amount if unit == "lpa" else amount * UNITS[unit]
+
+
 def salary_target_col(avg: Column | None, lo: Column, hi: Column) -> Column:
     """Avg, else mid of min and max, else min, else max; zero and null are missing."""
     def ok(c):

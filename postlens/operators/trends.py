@@ -49,13 +49,23 @@ def run_snapshot(df: DataFrame, ts_col: str, lists: dict[str, str], n: int = 10)
     return out
 
 
-def compare_periods(snap: DataFrame, top: int = 10, full_counts: bool = False) -> DataFrame:
+def _latest_days(snap: DataFrame, days: int | None) -> DataFrame:
+    """Snapshots of the last ``days`` days before the newest one (all when None)."""
+    if days is None:
+        return snap
+    newest = snap.agg(F.max("snapshot_date").alias("_newest"))
+    return snap.crossJoin(F.broadcast(newest)).where(F.datediff("_newest", "snapshot_date") < days).drop("_newest")
+
+
+def compare_periods(snap: DataFrame, top: int = 10, full_counts: bool = False, days: int | None = None) -> DataFrame:
     """Last two snapshots: total change and %, per-key deltas (non-zero, by |delta|, top N).
 
     A snapshot records its top 10 keys, so a key outside that list counts as 0;
     ``full_counts=True`` compares all keys. Totals are always those of all rows.
-    Rows: ``kind`` = total | key. change % is 0 when the previous total is 0.
+    ``days`` leaves out snapshots that are older. Rows: ``kind`` = total | key. change % is 0 when the
+    previous total is 0.
     """
+    snap = _latest_days(snap, days)
     ranked = snap.join(F.broadcast(_date_ranks(snap).where(F.col("date_rank") <= 2)), "snapshot_date")
     listed = ranked if full_counts else top_lists(ranked, 10)
     cur = listed.where(F.col("date_rank") == 1).select("key", F.col("count").alias("current"))
@@ -98,8 +108,9 @@ def new_keys(snap: DataFrame, n: int = 10, limit: int = 10) -> DataFrame:
     return cur.join(prev, "key", "left_anti").orderBy("key").limit(limit)
 
 
-def series(snap: DataFrame, last: int = 30, full_counts: bool = False) -> DataFrame:
-    """I4: (key, snapshot_date, count) over the last N snapshot dates, from each one's top 10 (or all keys)."""
+def series(snap: DataFrame, last: int = 30, full_counts: bool = False, days: int | None = None) -> DataFrame:
+    """I4: (key, snapshot_date, count) over the last N snapshot dates (within ``days``), from each one's top 10 (or all keys)."""
+    snap = _latest_days(snap, days)
     recent = snap.join(F.broadcast(_date_ranks(snap).where(F.col("date_rank") <= last)), "snapshot_date")
     return (recent if full_counts else top_lists(recent, 10)).select("key", "snapshot_date", "count")
 

@@ -1,8 +1,7 @@
 """Distributed synthetic postings.
 
-Rows come from ``spark.range(n)``; every random choice is a seeded function of
-the row id (``rand(seed)`` for weighted picks, ``xxhash64(id, item)`` to order
-optional skills), so the output is reproducible and any task can be rerun.
+Rows come from ``spark.range(n)``; every random choice is a hash of the seed and the
+row id, so neither the number of partitions nor a rerun changes the output.
 Tables are parameters; the defaults are built from the vocabulary.
 """
 
@@ -17,6 +16,11 @@ from postlens import vocab as V
 from postlens.functions.text import literal_array
 
 
+def _uniform(seed: int) -> Column:
+    """A number in [0, 1) that depends on the seed and the row id alone."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
 def _weighted(u: Column, items: Sequence[tuple[str, float]]) -> Column:
     total = float(sum(w for _, w in items))
     acc, expr = 0.0, None
@@ -44,18 +48,18 @@ def generate_postings(spark: SparkSession, n: int, seed: int = 42, as_of: str =
     base = spark.range(0, n, numPartitions=partitions) if partitions else spark.range(0, n)
     opt = literal_array(optional)
     ranked = F.transform(opt, lambda s: F.struct(F.xxhash64(F.col("id"), F.lit(seed), s).alias("k"), s.alias("s")))
-    k_opt = (F.floor(F.rand(seed + 3) * 4) + 1).cast("int")
+    k_opt = (F.floor(_uniform(seed + 3) * 4) + 1).cast("int")
     req_map = F.create_map(*[x for t, skills in required.items() for x in (F.lit(t), literal_array(list(skills)))]) \
         if required else None
-    title = _weighted(F.rand(seed), titles)
+    title = _weighted(_uniform(seed), titles)
     df = base.select(
         "id",
         title.alias("title"),
-        _weighted(F.rand(seed + 1), cities).alias("city"),
-        F.element_at(literal_array(companies), (F.floor(F.rand(seed + 2) * len(companies)) + 1).cast("int"))
+        _weighted(_uniform(seed + 1), cities).alias("city"),
+        F.element_at(literal_array(companies), (F.floor(_uniform(seed + 2) * len(companies)) + 1).cast("int"))
         .alias("company"),
         F.transform(F.slice(F.array_sort(ranked), 1, k_opt), lambda x: x["s"]).alias("_opt"),
-        F.date_sub(F.to_date(F.lit(as_of)), (F.floor(F.rand(seed + 4) * days)).cast("int")).alias("post_date"),
+        F.date_sub(F.to_date(F.lit(as_of)), (F.floor(_uniform(seed + 4) * days)).cast("int")).alias("post_date"),
     )
     req = F.coalesce(F.element_at(req_map, F.col("title")), F.array().cast("array<string>")) if req_map is not None \
         else F.array().cast("array<string>")

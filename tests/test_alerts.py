@@ -32,3 +32,16 @@ def test_salary_floor_rejects_low_pay(spark):
     df = spark.createDataFrame([("a", "Dev", "pays 10 lpa"), ("b", "Dev", "no number")],
                                "job_id string, title string, description string")
     assert [r["job_id"] for r in A.match_alerts(df, alerts).collect()] == ["b"]
+
+
+def test_alert_table_equals_alert_list(spark):
+    df = spark.createDataFrame(POSTS, SCHEMA)
+    alerts = [*A.sample_alerts(), A.Alert("here", location="Chennai"), A.Alert("both", skills=("Java",), company="kestrel", min_salary_lpa=40.0),
+              A.Alert("rich", min_salary_lpa=30.0), A.Alert("all")]
+    rows = [(a.name, a.title_keywords and list(a.title_keywords), a.skills and list(a.skills), a.location, a.company,
+             a.min_salary_lpa, a.job_type) for a in alerts]
+    table = spark.createDataFrame(rows, A.ALERT_SCHEMA)
+    key = lambda r: (r["alert_name"], r["job_id"], r["reasons"])
+    got, want = sorted(map(key, A.match_alert_table(df, table).collect())), sorted(map(key, A.match_alerts(df, alerts).collect()))
+    assert got == want and got
+    assert A.match_alert_table(df, table.limit(0)).count() == 0

@@ -46,3 +46,42 @@ def test_market_grouping_sets(spark):
     assert levels == ["location", "overall", "role", "role"]
     overall = [r for r in out if r["level"] == "overall"][0]
     assert overall["count"] == 2
+
+
+def _postings(spark, n, paid=True):
+    rows = [dict(job_id=str(k), title=["Data Scientist", "Data Analyst", "DevOps Engineer"][k % 3], location=["Pune", "Bangalore"][k % 2], company="c",
+                 skills="python,sql" if k % 4 else "aws", company_size="Medium", description="", salary_min=float(5 + 10 * (k % 3) + k % 2) if paid else None,
+                 salary_max=float(9 + 10 * (k % 3) + k % 2) if paid else None) for k in range(n)]
+    return spark.createDataFrame(rows, "job_id string, title string, location string, company string, skills string, company_size string, "
+                                       "description string, salary_min double, salary_max double")
+
+
+def test_synthetic_labels_do_not_depend_on_partitions(spark):
+    df = _postings(spark, 40, paid=False)
+    a, b = ({r.job_id: r.target for r in S.synthetic_labels(df.repartition(n)).collect()} for n in (1, 4))
+    assert a == b and a != {r.job_id: r.target for r in S.synthetic_labels(df, seed=7).collect()}
+    base = {r.job_id: r.salary_avg_pred for r in S.heuristic_salary(df).collect()}
+    assert all(0.9 * base[k] - 0.01 <= v <= 1.1 * base[k] + 0.01 for k, v in a.items()) and len(set(a.values())) > 10
+
+
+def test_model_modes_save_and_load(spark, tmp_path):
+    assert S.train_model(_postings(spark, 0))[2]["mode"] == "heuristic"
+    few = _postings(spark, 4)  # under five labels: synthetic ones are added
+    assert S.train_model(few)[2]["samples"] == 8
+    df = _postings(spark, 60)
+    model, train, m = S.train_model(df, model_path=str(tmp_path / "m"))
+    assert (m["mode"], m["samples"]) == ("ml", 60) and m["mae_lpa"] < m["mae_of_mean"]
+    key = lambda d: sorted((r.job_id, r.salary_avg_pred, r.confidence, r.method) for r in d.collect())
+    assert key(S.predict(df, model, train)) == key(S.predict(df, S.load_model(str(tmp_path / "m")), train))
+    assert {r.method for r in S.predict(df).collect()} == {"heuristic"}
+    assert "GBTRegressor" in spark.read.text(str(tmp_path / "m_metadata")).first()[0]
+
+
+def test_units_and_longest_role(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1_200_000.0, "senior data scientist")], "x double, title string")
+    assert df.select(S.to_lpa(F.col("x"), "inr_per_year")).first()[0] == pytest.approx(12.0)
+    with pytest.raises(ValueError):
+        S.to_lpa(F.col("x"), "euro")
+    assert df.select(S.salary_role_col(F.col("title"), longest_first=True)).first()[0] == "senior data scientist"

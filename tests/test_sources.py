@@ -139,3 +139,10 @@ def test_pages(spark):
         seen += [(r["key"], r["i"]) for r in rows]
         after = (rows[-1]["key"], rows[-1]["page_key"])
     assert sorted(seen, key=str) == sorted([tuple(r) for r in df.collect()], key=str)
+
+
+def test_generated_rows_do_not_depend_on_partitions(spark):
+    from postlens.sources.generate import generate_postings
+
+    a, b = (sorted(tuple(map(str, r)) for r in generate_postings(spark, 200, partitions=n).collect()) for n in (1, 5))
+    assert a == b and len({r[1] for r in a}) > 3

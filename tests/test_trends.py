@@ -38,3 +38,15 @@ def test_compare_periods(spark):
 def test_empty_history(spark):
     snap = _snap(spark, [("2026-01-01", "a", 1)]).limit(0)
     assert T.forecast(T.series(snap)).count() == 0
+
+
+def test_top_ten_is_what_a_snapshot_holds(spark):
+    rows = [("2026-01-01", f"k{i:02d}", 100 - i) for i in range(12)] + [("2026-01-02", f"k{i:02d}", 100 - i) for i in range(9)]
+    rows += [("2026-01-02", "k11", 200), ("2025-06-01", "old", 5)]
+    snap = spark.createDataFrame(rows, "d string, key string, count long").selectExpr("cast(d as date) as snapshot_date", "key", "count")
+    got = {r["key"]: (r["previous"], r["current"]) for r in T.compare_periods(snap).where("kind = 'key'").collect()}
+    assert got == {"k11": (0, 200), "k09": (91, 0)}
+    full = {r["key"]: (r["previous"], r["current"]) for r in T.compare_periods(snap, full_counts=True).where("kind = 'key'").collect()}
+    assert full == {"k11": (89, 200), "k09": (91, 0), "k10": (90, 0)}
+    assert "k10" not in {r["key"] for r in T.series(snap).collect()} and "k10" in {r["key"] for r in T.series(snap, full_counts=True).collect()}
+    assert "old" in {r["key"] for r in T.series(snap).collect()} and "old" not in {r["key"] for r in T.series(snap, days=30).collect()}
