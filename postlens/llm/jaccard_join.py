@@ -8,6 +8,10 @@
    out by token once, and tokens that only one set has go no further; the few in
    crowded buckets skip that step, so no token gathers in one task. The table only
    orders and proves uniqueness, so results don't depend on its size.
+   Short lists are paired there and then. All tokens that two prefixes share come before
+   any other that the two sets share, so a pair's count and last positions bound its
+   whole overlap; pairs that cannot reach the threshold are dropped, and with
+   them most sets that only have a passage in common.
 3. Lists are blocked: sets that share tokens come into blocks of bounded size, and a
    list is a list of blocks with their least size and most remaining positions. Block pairs
    that fail the size or position bound are skipped as a whole.
@@ -32,6 +36,7 @@ from postlens.llm.columns import LOWER, distinct_words, slices, text_buffers, wo
 from postlens.llm.components import components
 from postlens.llm.files import as_rows, written
 from postlens.llm.tally import Sparse, all_set, buckets_for, level_of, levels, merge, tally
+from postlens.llm.worker import trim
 
 BLOCK_SETS, BLOCK_SHINGLES = 64, 50_000
 BUCKETS_PER_TEXT = 64
@@ -81,6 +86,7 @@ def _sets_of(batches, width: int):
         for a, b in slices(batch["text"], 4 << 20):
             for key, s in zip(batch["doc_id"].slice(a, b - a).to_pylist(), shingle_sets(batch["text"].slice(a, b - a), width), strict=True):
                 yield key, _digest(s) if len(s) else 0, s
+        trim()
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -153,46 +159,90 @@ def _postings(width: int, percent: int, shared, log_m: int, crowded: int):
     return run
 
 
+SHORT = 16
+_LISTED = "token long, digest long, n int, pos int, other long, other_n int, other_pos int"
+
+
 def _repeated(percent: int):
-    """From rows in order of (sure, token): sure ones as they are, of the others those whose token two sets have."""
+    """From rows in order of (sure, token): lists of more than SHORT rows as they are (and sure rows, by themselves a
+    list's part), shorter ones as pairs (digest < other) whose sizes allow a link; tokens of one set go no further."""
+    names = [x.split()[0] for x in _LISTED.split(", ")]
 
     def run(batches):
-        return _repeated_rows(batches, percent)
+        held: list[pa.RecordBatch] = []
 
-    return run
+        def rows(token, digest, n, pos, other=None, other_n=None, other_pos=None):
+            none = pa.nulls(len(token), pa.int64())
+            ints = [pa.array(x, pa.int64()) if x is not None else none for x in (token, digest, n, pos, other, other_n, other_pos)]
+            kinds = (None, None, pa.int32(), pa.int32(), None, pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([x.cast(k) if k else x for x, k in zip(ints, kinds, strict=True)], names)
+
+        def lists(table: pa.Table):
+            token, digest, n, pos = (table[c].to_numpy() for c in ("token", "digest", "n", "pos"))
+            order = np.lexsort((digest, token))  # a set that several tasks have posted stands once
+            token, digest, n, pos = token[order], digest[order], n[order], pos[order]
+            once = np.ones(len(token), bool)
+            once[1:] = (np.diff(token) != 0) | (np.diff(digest) != 0)
+            token, digest, n, pos = token[once], digest[once], n[once], pos[once]
+            head = np.flatnonzero(np.diff(token, prepend=token[0] ^ 1))
+            size = np.diff(head, append=len(token))
+            long = np.repeat(size > SHORT, size)
+            if long.any():
+                yield rows(token[long], digest[long], n[long], pos[long])
+            for k in range(2, SHORT + 1):
+                at = head[size == k]
+                for i in range(k if len(at) else 0):
+                    for j in range(i + 1, k):
+                        x, y = at + i, at + j
+                        ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+                        x, y = x[ok], y[ok]
+                        if len(x):
+                            yield rows(token[x], digest[x], n[x], pos[x], digest[y], n[y], pos[y])
+
+        for batch in batches:
+            sure = batch["sure"].to_numpy(zero_copy_only=False)
+            if sure.any():
+                own = batch.filter(batch["sure"])
+                yield rows(*(own[c].to_numpy() for c in ("token", "digest", "n", "pos")))
+                batch = batch.filter(pa.array(~sure))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            token = table["token"].to_numpy()
+            last = int(np.searchsorted(token, token[-1]))
+            if last:
+                yield from lists(table.slice(0, last))
+                held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from lists(pa.Table.from_batches(held))
+        trim()
 
+    return run
 
-def _repeated_rows(batches, percent: int):
-    held: list[pa.RecordBatch] = []
 
-    def shared_tokens(table: pa.Table):
-        token, digest, n, pos = (table[c].to_numpy() for c in ("token", "digest", "n", "pos"))
-        head = np.flatnonzero(np.diff(token, prepend=token[0] ^ 1))
-        size = np.diff(head, append=len(token))
-        many = np.minimum.reduceat(digest, head) != np.maximum.reduceat(digest, head)
-        # two sets alone: they stay only if their sizes and the shingles left to them allow a link
-        a = head[many & (size == 2)]
-        fits = (100 * np.minimum(n[a], n[a + 1]) >= percent * np.maximum(n[a], n[a + 1])) & \
-            ((100 + percent) * np.minimum(n[a] - pos[a], n[a + 1] - pos[a + 1]) >= percent * (n[a] + n[a + 1]))
-        many[many & (size == 2)] = fits
-        return table.filter(pa.array(np.repeat(many, size))).drop_columns(["sure"]).combine_chunks().to_batches()
+def _listed(posted: DataFrame, percent: int) -> DataFrame:
+    """(token, digest, n, pos, lo): rows of the lists of two sets or more, ``lo`` the least digest of each.
 
-    for batch in batches:
-        sure = batch["sure"].to_numpy(zero_copy_only=False)
-        if sure.any():
-            yield batch.filter(batch["sure"]).drop_columns(["sure"])
-            batch = batch.filter(pa.array(~sure))
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        token = table["token"].to_numpy()
-        last = int(np.searchsorted(token, token[-1]))
-        if last:
-            yield from shared_tokens(table.slice(0, last))
-            held = table.slice(last).combine_chunks().to_batches()
-    if held:
-        yield from shared_tokens(pa.Table.from_batches(held))
+    Long lists keep their tokens; a pair of sets that can still link is a list of its own.
+    """
+    long = posted.where("other is null")
+    lists = long.groupBy("token").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
+    # joined by a hash of the token: the sums are dealt out anew, so a hot token's rows can be split between tasks
+    lists = lists.select(F.xxhash64("token").alias("key"), F.col("token").alias("_token"), "lo")
+    long = long.withColumn("key", F.xxhash64("token")).join(lists, "key").where("token = _token").select("token", "digest", "n", "pos", "lo")
+    long = written(long.distinct(), "long-lists")
+    in_long = long.groupBy("digest").agg(F.count("*").alias("more"))
+    pairs = posted.where("other is not null").groupBy("digest", "other").agg(
+        F.count("*").alias("c"), F.max("pos").alias("i"), F.max("other_pos").alias("j"), F.max("n").alias("n"), F.max("other_n").alias("m"))
+    both = pairs.join(in_long, "digest", "left").join(in_long.select(F.col("digest").alias("other"), F.col("more").alias("other_more")), "other", "left")
+    # of the shared tokens: those paired here, at most the fewer of the two sets' tokens in long lists, and what comes after
+    most = F.col("c") + F.least(F.coalesce("more", F.lit(0)), F.coalesce("other_more", F.lit(0))) + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))
+    able = both.where(most * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    token = F.xxhash64("digest", "other").alias("token")
+    ends = F.explode(F.array(F.struct(F.col("digest").alias("d"), F.col("n").alias("n")), F.struct(F.col("other").alias("d"), F.col("m").alias("n")))).alias("x")
+    short = able.select(token, ends, F.col("digest").alias("lo")).select("token", F.col("x.d").alias("digest"), F.col("x.n").alias("n"), F.lit(0).alias("pos"), "lo")
+    return written(long.union(short), "lists")
 
 
 def _bodies(width: int, shared, log_m: int):
@@ -370,12 +420,7 @@ def components_of_documents(docs: DataFrame, *, width: int = 5, percent: int = 8
     posted = texts.mapInArrow(_postings(width, percent, rarity, log_m, crowded), _POSTING + ", sure boolean")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = posted.repartition(n, F.when(F.col("sure"), F.xxhash64("token", "digest")).otherwise(F.col("token"))).sortWithinPartitions("sure", "token")
-    posted = written(dealt.mapInArrow(_repeated(percent), _POSTING), "postings")
-    lists = posted.groupBy("token").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
-    # joined by a hash of the token: the sums are dealt out anew, so a hot token's rows can be split between tasks
-    lists = lists.select(F.xxhash64("token").alias("key"), F.col("token").alias("_token"), "lo")
-    listed = posted.withColumn("key", F.xxhash64("token")).join(lists, "key").where("token = _token").select("token", "digest", "n", "pos", "lo")
-    listed = written(listed, "lists")
+    listed = _listed(written(dealt.mapInArrow(_repeated(percent), _LISTED), "postings"), percent)
     # of the documents with an equal set the one with the least id sends it
     members = listed.select("digest").distinct().join(own.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "digest")
     members = written(members.select(F.col("digest").bitwiseXOR(F.shiftleft(F.coalesce("doc_id", F.lit(0)), 21)).alias("mark")), "members")

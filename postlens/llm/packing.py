@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm.bpe import default_path, worker_encoder
 from postlens.llm.columns import slices
+from postlens.llm.worker import trim
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
@@ -161,6 +162,7 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, end_id: int = 1,
                     loss[0] = False
                     packer.add(keys[a + k], own, loss)
                 yield packer.take()
+            trim()
         packer.finish()
         yield packer.take()
 

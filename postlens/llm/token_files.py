@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from postlens.llm.bpe import default_path, worker_encoder
 from postlens.llm.columns import slices
 from postlens.llm.files import shared_path
+from postlens.llm.worker import trim
 
 _HEAD, _HEAD_SIZE = "<4sBBHQ", 16
 _BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<bigint>, ends array<bigint>, payload binary"
@@ -96,6 +97,7 @@ def _blocks(path: str, end_id: int, block_ids: int, id_col: str, text_col: str):
                     n += len(own) + 1
                     docs.append(keys[a + k])
                     ends.append(n)
+            trim()
         if n:
             yield flush()
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm.columns import LOWER, distinct_words, slices, text_buffers, word_spans
 from postlens.llm.quality import held_out, labelled
-from postlens.llm.worker import kept
+from postlens.llm.worker import kept, trim
 
 SPAN, DECAY, LONGEST, ACTIVE = 6, 0.7, 32, 0.35
 _LETTERS = "abcdefghijklmnopqrstuvwxyzáàâäçéèêëíìîïñóòôöúùûüß"
@@ -201,7 +201,7 @@ class Model:
         kernel = self.landmarks.kernel(words)
         return np.where(kernel.max(1, initial=0) >= ACTIVE, kernel @ self.direction + self.bias, self.bias)
 
-    def decide(self, words: list[str], most: int = 300_000) -> np.ndarray:
+    def decide(self, words: list[str], most: int = 200_000) -> np.ndarray:
         """Decision value of each word, also read without what separates its letters; a bounded number of words is remembered."""
         out = np.fromiter((self.known.get(w, np.nan) for w in words), float, len(words))
         new = np.flatnonzero(np.isnan(out))
@@ -303,7 +303,9 @@ def _scorer(model: Model):
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         own = kept(key, lambda: Model(*params))
-        return pa.array(np.concatenate([own.score(text.slice(a, b - a)) for a, b in slices(text, 4 << 20)] or [np.zeros(0)]))
+        scores = [own.score(text.slice(a, b - a)) for a, b in slices(text, 4 << 20)]
+        trim()
+        return pa.array(np.concatenate(scores or [np.zeros(0)]))
 
     return score
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -9,6 +10,14 @@ import types
 import pyarrow as pa
 
 
+def trim() -> None:
+    """Give freed memory back to the system (the C library keeps it else); call it when a batch is done."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept(key, make):
     """``make()`` on the first call with this key in this worker process, the same object afterwards.
 
@@ -17,7 +26,6 @@ def kept(key, make):
     held = sys.modules.setdefault("_postlens_worker", types.ModuleType("_postlens_worker")).__dict__.setdefault("held", {})
     if key not in held:
         held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        trim()
         held[key] = make()
     return held[key]
