@@ -171,11 +171,12 @@ def _repeated(percent: int):
     def run(batches):
         held: list[pa.RecordBatch] = []
 
-        def rows(token, digest, n, pos, other=None, other_n=None, other_pos=None):
-            none = pa.nulls(len(token), pa.int64())
-            ints = [pa.array(x, pa.int64()) if x is not None else none for x in (token, digest, n, pos, other, other_n, other_pos)]
-            kinds = (None, None, pa.int32(), pa.int32(), None, pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([x.cast(k) if k else x for x, k in zip(ints, kinds, strict=True)], names)
+        def sent(parts: list):
+            """One batch of (token, digest, n, pos, other, other_n, other_pos) columns; the last three are null in long lists."""
+            arrays = []
+            for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())):
+                arrays.append(pa.concat_arrays([pa.array(x[k], kind) if k < len(x) else pa.nulls(len(x[0]), kind) for x in parts]))
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         def lists(table: pa.Table):
             token, digest, n, pos = (table[c].to_numpy() for c in ("token", "digest", "n", "pos"))
@@ -187,8 +188,7 @@ def _repeated(percent: int):
             head = np.flatnonzero(np.diff(token, prepend=token[0] ^ 1))
             size = np.diff(head, append=len(token))
             long = np.repeat(size > SHORT, size)
-            if long.any():
-                yield rows(token[long], digest[long], n[long], pos[long])
+            parts = [(token[long], digest[long], n[long], pos[long])]
             for k in range(2, SHORT + 1):
                 at = head[size == k]
                 for i in range(k if len(at) else 0):
@@ -196,24 +196,29 @@ def _repeated(percent: int):
                         x, y = at + i, at + j
                         ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
                         x, y = x[ok], y[ok]
-                        if len(x):
-                            yield rows(token[x], digest[x], n[x], pos[x], digest[y], n[y], pos[y])
+                        parts.append((token[x], digest[x], n[x], pos[x], digest[y], n[y], pos[y]))
+            yield sent(parts)
 
+        waiting = 0
         for batch in batches:
             sure = batch["sure"].to_numpy(zero_copy_only=False)
             if sure.any():
                 own = batch.filter(batch["sure"])
-                yield rows(*(own[c].to_numpy() for c in ("token", "digest", "n", "pos")))
+                yield sent([tuple(own[c].to_numpy() for c in ("token", "digest", "n", "pos"))])
                 batch = batch.filter(pa.array(~sure))
             if not batch.num_rows:
                 continue
             held.append(batch)
+            waiting += batch.num_rows
+            if waiting < 500_000:  # numpy's calls cost the same for few rows as for many
+                continue
             table = pa.Table.from_batches(held)
             token = table["token"].to_numpy()
             last = int(np.searchsorted(token, token[-1]))
             if last:
                 yield from lists(table.slice(0, last))
                 held = table.slice(last).combine_chunks().to_batches()
+            waiting = table.num_rows - last
         if held:
             yield from lists(pa.Table.from_batches(held))
         trim()
