@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from postlens import vocab as V
 from postlens.operators.extract import salary_lpa_col
+from postlens.session import stored
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,8 @@ def check_alerts(df: DataFrame, alerts: Sequence[Alert], first: int = 20,
                  order_cols: Sequence[str] = ("job_id", "title", "company", "location", "description")) -> DataFrame:
     """Per alert the match count and its first N matches; alerts without matches kept."""
     spark = df.sparkSession
-    m = match_alerts(df, alerts)
+    # the alert projection runs once: counts and first matches read its rows
+    m = stored(match_alerts(df, alerts).select("alert_name", *order_cols, "reasons"), "alerts")
     order = [F.col(c).asc_nulls_first() for c in order_cols]
     counts = m.groupBy("alert_name").agg(F.count(F.lit(1)).alias("match_count"))
     firsts = (m.withColumn("match_rank", F.row_number().over(Window.partitionBy("alert_name").orderBy(*order))
