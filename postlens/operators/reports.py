@@ -295,7 +295,7 @@ def trend_report(snap: DataFrame) -> DataFrame:
         F.lit("first_last").alias("part"), "key", F.col("change").cast("double").alias("value"),
         F.concat(F.col("first").cast("string"), F.lit(" -> "), F.col("last").cast("string")).alias("detail"))
     forecasts = fc.select(F.lit("forecast").alias("part"), "key", F.col("predicted_count").alias("value"),
-                          F.col("growth_rate").cast("string").alias("detail"))
+                          F.format_string("%.4f", F.col("growth_rate")).alias("detail"))
     growth = T.growth_classes(fc).select(F.lit("growth").alias("part"), "key", F.col("growth_rate").alias("value"),
                                          F.col("growth_class").alias("detail"))
     return changes.unionByName(spans).unionByName(forecasts).unionByName(growth)

@@ -168,7 +168,7 @@ def q_recommendations(spark, sf_dir):
     "SELECT 'change' AS part, key, CAST(change AS DOUBLE) AS value, CASE WHEN change > 0 THEN 'up' ELSE 'down' END AS detail FROM "
     "(SELECT * FROM k WHERE change <> 0 ORDER BY abs(change) DESC, key LIMIT 10) "
     "UNION ALL SELECT 'first_last', key, CAST(l - f AS DOUBLE), CAST(f AS VARCHAR) || ' -> ' || CAST(l AS VARCHAR) FROM fl "
-    "UNION ALL SELECT 'forecast', key, predicted_count, CAST(growth_rate AS VARCHAR) FROM fc "
+    "UNION ALL SELECT 'forecast', key, predicted_count, printf('%.4f', growth_rate) FROM fc "
     "UNION ALL SELECT 'growth', key, growth_rate, CASE WHEN growth_rate > 0.1 THEN 'rising' WHEN growth_rate < -0.1 "
     "THEN 'declining' ELSE 'stable' END FROM fc"))
 def q_trend_report(spark, sf_dir):
