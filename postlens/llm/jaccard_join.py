@@ -36,7 +36,7 @@ from postlens.llm.columns import LOWER, distinct_words, slices, text_buffers, wo
 from postlens.llm.components import components
 from postlens.llm.files import as_rows, written
 from postlens.llm.tally import Sparse, all_set, buckets_for, level_of, levels, merge, tally
-from postlens.llm.worker import trim
+from postlens.llm.worker import kept, trim
 
 BLOCK_SETS, BLOCK_SHINGLES = 64, 50_000
 BUCKETS_PER_TEXT = 64
@@ -82,6 +82,7 @@ def _digest(s: np.ndarray) -> int:
 
 def _sets_of(batches, width: int):
     """(doc_id, digest, set) of all rows; the digest of an empty set is 0."""
+    kept("shingles", dict)  # what an earlier operator kept in this worker goes
     for batch in batches:
         for a, b in slices(batch["text"], 4 << 20):
             for key, s in zip(batch["doc_id"].slice(a, b - a).to_pylist(), shingle_sets(batch["text"].slice(a, b - a), width), strict=True):
