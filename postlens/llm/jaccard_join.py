@@ -211,7 +211,7 @@ def _repeated(percent: int):
                 continue
             held.append(batch)
             waiting += batch.num_rows
-            if waiting < 500_000:  # numpy's calls cost the same for few rows as for many
+            if waiting < 200_000:  # numpy's calls cost the same for few rows as for many
                 continue
             table = pa.Table.from_batches(held)
             token = table["token"].to_numpy()

@@ -45,7 +45,7 @@ def level_of(count) -> np.ndarray:
 class Sparse:
     """Counts of one task: buckets met, each with its number, at most 255."""
 
-    def __init__(self, log_m: int, k: int, most: int = 4_000_000):
+    def __init__(self, log_m: int, k: int, most: int = 1_500_000):
         self.log_m, self.k, self.most, self.parts, self.n = log_m, k, most, [], 0
 
     def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
