@@ -21,23 +21,37 @@ from postlens.llm.packing import pack_documents
 from postlens.llm.toxicity import drop_toxic
 
 
+#: Whole texts go to the Python workers in batches of so many rows, for JVM and Python both hold a batch. The
+#: pipeline sets this for its session; Spark's own 10,000 rows are made for short ones.
+ROWS_PER_BATCH = 2_000
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return keep_one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return pack_documents(docs, end_id=1)
 
 

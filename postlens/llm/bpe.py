@@ -48,7 +48,7 @@ def worker_encoder(path: str) -> Encoder:
 class Encoder:
     """``encode(column)`` -> (ids of all rows, row offsets)."""
 
-    def __init__(self, path: str, most_units: int = 250_000):
+    def __init__(self, path: str, most_units: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
