@@ -52,7 +52,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _bound_batches(spark)
-    return pack_documents(docs, end_id=1)
+    return pack_documents(docs, end_id=1, keep_encoder=False)
 
 
 STAGES = [("toxicity", toxicity), ("exact", exact), ("near", near), ("mix", mixed), ("pack", packed)]

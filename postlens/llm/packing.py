@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm.bpe import default_path, worker_encoder
 from postlens.llm.columns import slices
-from postlens.llm.worker import trim
+from postlens.llm.worker import drop, trim
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
@@ -132,14 +132,16 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, *, path: str | None = None, end_id: int = 1, max_tokens: int = 2048, max_segments: int = 256,
-                   max_loss: int | None = None, waiting: int = 1024, slack: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   max_loss: int | None = None, waiting: int = 1024, slack: float = 0.01, keep_encoder: bool = True,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every whole text's ids (with ``end_id`` appended), placed in sequences: rows of PIECES.
 
     A null text is empty and gives its end id alone; rows that share an id are packed each for
     itself; an empty table gives no piece. A document's first id has no context and
     bears no loss. ``sequence_id`` holds the task's number in its high bits.
     Sequences are at most ``max_tokens`` long, of at most ``max_segments`` pieces and
-    ``max_loss`` loss-bearing ids (by default ``max_tokens``).
+    ``max_loss`` loss-bearing ids (by default ``max_tokens``). Workers keep the encoder for their next
+    task unless ``keep_encoder`` is false (then other operators find its memory free).
     """
     if max_tokens < 1 or max_segments < 1 or waiting < 2:
         raise ValueError("max_tokens, max_segments and waiting must be positive")
@@ -165,5 +167,7 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, end_id: int = 1,
             trim()
         packer.finish()
         yield packer.take()
+        if not keep_encoder:
+            drop()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)

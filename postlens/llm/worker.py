@@ -29,3 +29,11 @@ def kept(key, make):
         trim()
         held[key] = make()
     return held[key]
+
+
+def drop() -> None:
+    """Give up what this worker keeps."""
+    module = sys.modules.get("_postlens_worker")
+    if module is not None:
+        module.__dict__.get("held", {}).clear()
+    trim()
