@@ -2,7 +2,8 @@
 
 Three fixed kinds are found by pattern. The method adds strings that no pattern knows: a run of
 16 or more value characters, with letters and digits, that follows a sensitive word
-closely on its line. Its novelty is what it adds, per character, to the compressed size of the
+closely on its line (it begins within ``reach`` characters behind any such word; every such run
+is measured, once). Its novelty is what it adds, per character, to the compressed size of the
 text around it, under zstandard primed with a dictionary of the corpus's own
 identifiers. What its surroundings or the identifiers can spell adds little; what
 nothing predicts adds nearly a byte a character and is reported.
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +92,9 @@ class Scanner:
         import zstandard
 
         self.assign, self.access, self.hex = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
-        self.sensitive = re.compile(rf"(?:{SENSITIVE})[^\n]{{0,{reach}}}?(?<![A-Za-z0-9+/_.=~@-])({_VALUE})(?![A-Za-z0-9+/_.=~@-])", re.I | re.A)
-        self.threshold, self.around = threshold, around
+        self.sensitive = re.compile(rf"(?=({SENSITIVE}))", re.I | re.A)  # words may share letters
+        self.value = re.compile(rf"(?<![A-Za-z0-9+/_.=~@-]){_VALUE}(?![A-Za-z0-9+/_.=~@-])")
+        self.threshold, self.around, self.reach = threshold, around, reach
         primer = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False)
 
@@ -100,15 +104,23 @@ class Scanner:
         alone = len(self.compressor.compress(near.encode()))
         return (len(self.compressor.compress((near + "\n" + text[start:end]).encode())) - alone) / (end - start)
 
+    def candidates(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of each value run that begins within reach of a sensitive word before it on its line."""
+        ends = sorted(m.end(1) for m in self.sensitive.finditer(text))
+        for m in self.value.finditer(text, ends[0]) if ends else ():
+            a, b = m.span()
+            word = ends[bisect_right(ends, a) - 1]  # the nearest: if it is too far, all are
+            if a - word <= self.reach and "\n" not in text[word:a]:
+                yield a, b
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, number of the kind, end), sorted."""
         found = [(m.start(), 0, m.end()) for m in self.assign.finditer(text) if len(m[2]) >= 8]
         found += [(m.start(), 1, m.end()) for m in self.access.finditer(text)]
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         base = list(found)
-        for m in self.sensitive.finditer(text):
-            a, b = m.span(1)
-            value = m[1]
+        for a, b in self.candidates(text):
+            value = text[a:b]
             if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(s < b and a < e for s, _, e in base) and self.novelty(text, a, b) >= self.threshold:
                 found.append((a, 3, b))
         return sorted(found)

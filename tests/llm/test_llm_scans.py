@@ -60,6 +60,27 @@ def test_novel_strings_are_reported_and_plain_ones_not(spark):
     assert not got[2].spans and not got[3].spans
 
 
+def test_every_value_run_in_reach_is_measured(spark):
+    a, b, c = "q7Zt9LmXw2RbVk8sYc4NfHp6JdGu3TeA", "Xc5vBn8mKl2jHg4fDs9aPo7iUy3tRe6w", "Wq8nTz3kLr6yHd5xMf9bSg2vJc7pEa4u"
+    texts = [
+        (1, f"the credential of billing-service-account is {a}"),
+        (2, f"credential pair {a} {b}"),
+        (3, f"credential pair\n{a} and {'so on ' * 9}{b}\nbearer {c}"),
+        (4, f"secretoken{'.' * 3} {'x ' * 20}{a}, credential {'x ' * 22}{b} and {c}"),
+        (5, f"credential {'x ' * 24}{a}"),
+    ]
+    got = {r.doc_id: [s.value for s in r.spans] for r in secrets.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: [a], 2: [a, b], 3: [c], 4: [a, b], 5: []}
+    scanner, rng = secrets.Scanner(b""), random.Random(6)
+    parts = ["secretoken", "conn_str", "api-key", "q7Zt9LmXw2RbVk8sYc4", "billing-service-account", " ", " is ", "\n", "@", "x" * 15, "é"]
+    solid = "A-Za-z0-9+/_.=~@-"
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 16)))
+        runs = [m.span() for m in re.finditer(rf"(?<![{solid}])[{solid.replace('@', '')}]{{16,}}(?![{solid}])", t)]
+        near = [(i, j) for i, j in runs if any(re.fullmatch(rf"(?ai:{secrets.SENSITIVE})[^\n]{{0,48}}", t[k:i]) for k in range(max(0, i - 80), i))]
+        assert list(scanner.candidates(t)) == near, t
+
+
 def test_identifier_dictionary_counts_the_corpus(spark):
     docs = spark.createDataFrame([(i, "call loadUserName with max_retry_count, see loadUserName") for i in range(50)], "doc_id long, text string")
     words = secrets.identifier_dictionary(docs).split(b"\n")
