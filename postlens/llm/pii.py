@@ -31,7 +31,7 @@ _TERM = r"(?<![\p{L}\p{N}_.@%+-])\p{L}{4,}(?![\p{L}\p{N}_@-])"
 
 
 def _pieces(text: Column, pattern: str, kind: int, likely: Column) -> Column:
-    """[(kind, nth, length of the piece before, match, text just before, text just after)], empty unless ``likely``."""
+    """[(kind, nth, length of the piece before, match, end of the piece before, start of the piece after)], empty unless ``likely``."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     zipped = F.transform(F.arrays_zip(matches.alias("m"), F.slice(between, F.lit(1), F.size(matches)).alias("p"), F.slice(between, F.lit(2), F.size(matches)).alias("q")),
@@ -52,7 +52,7 @@ def _luhn(digits: Column) -> Column:
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, doc_id, kind, start, end, value, before, after: one row per base match; a document without any has one row with a null kind.
 
-    ``rid`` numbers the rows of ``docs``. Only matches are shuffled, never texts.
+    ``before`` and ``after`` are the REACH characters of the text on either side. ``rid`` numbers the rows of ``docs``. Only matches are shuffled, never texts.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
@@ -66,9 +66,16 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     none = F.expr("cast(array() as array<struct<kind:int,nth:int,gap:int,value:string,before:string,after:string>>)")
     found = rows.select("rid", "doc_id", F.explode_outer(F.concat(*[F.coalesce(k, none) for k in kinds])).alias("x")).select("rid", "doc_id", "x.*")
     found = found.repartition("rid")
-    earlier = Window.partitionBy("rid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("rid", "kind")
+    nth = own.orderBy("nth")
     size = F.length("value")
-    found = found.withColumn("start", (F.sum(F.col("gap") + size).over(earlier) - size).cast("long")).withColumn("end", F.col("start") + size)
+    found = found.withColumn("start", (F.sum(F.col("gap") + size).over(nth.rowsBetween(Window.unboundedPreceding, 0)) - size).cast("long")).withColumn("end", F.col("start") + size)
+    # the neighbouring match joins the piece between; such parts of all matches within REACH make up the text on either side
+    reach = F.lit(REACH)
+    found = found.withColumns({"before": F.right(F.concat(F.coalesce(F.lag("value").over(nth), F.lit("")), "before"), reach),
+                               "after": F.left(F.concat("after", F.coalesce(F.lead("value").over(nth), F.lit(""))), reach)})
+    found = found.withColumn("before", F.right(F.array_join(F.collect_list("before").over(own.orderBy("start").rangeBetween(-REACH, 0)), ""), reach))
+    found = found.withColumn("after", F.left(F.array_join(F.collect_list("after").over(own.orderBy("end").rangeBetween(0, REACH)), ""), reach))
     digits = F.regexp_replace("value", "[^0-9]", "")
     n = F.length(digits)
     valid = (F.when(F.col("kind") == 1, F.col("value").rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"))
@@ -87,7 +94,7 @@ def entity() -> Column:
 def _near_terms(side: str, at: Column) -> Column:
     """Terms of a short context string with their places; ``at`` is where the string starts in the text."""
     own = F.col(side)
-    own = F.regexp_extract(own, r"[^\n]*$" if side == "before" else r"^[^\n]*", 0)
+    own = F.regexp_extract(own, r"[^\n]*\z" if side == "before" else r"^[^\n]*", 0)
     skipped = F.length(side) - F.length(own) if side == "before" else F.lit(0)
     words, gaps = F.regexp_extract_all(own, F.lit(_TERM), F.lit(0)), F.split(own, _TERM, -1)
     return F.transform(words, lambda w, i: F.struct(

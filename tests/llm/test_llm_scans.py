@@ -110,6 +110,26 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[100] == texts[6][1]
 
 
+def test_context_is_the_text_on_either_side(spark):
+    rng = random.Random(8)
+    parts = ["a@b.org", "zed.long-name@example.com", "+1 (663) 555-6869", "4465758382889437", "10.0.0.1", "999.1.1.1", "12", "33", "é日", "word", "\n", " ", " ", ", ", "x" * 78, "7" * 90, "y" * 90 + "@z.com"]
+    texts = {i: "".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for i in range(600)}
+    found = pii.matches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("kind is not null").collect()
+    assert len(found) > 1000
+    for r in found:
+        t = texts[r.doc_id]
+        assert (r.before, r.value, r.after) == (t[max(0, r.start - 80):r.start], t[r.start:r.end], t[r.end:r.end + 80])
+
+
+def test_terms_behind_other_matches_and_line_feeds(spark):
+    texts = [(i, f"{prose(8, i)}\nquibble\n4465758382889437 at vextor 12 and 33 zorblax unit 12 on floor 33 card 4465 7583 8288 9437 or 12, 33 mumbro\nfrobnitz") for i in range(4)]
+    texts += [(100 + i, f"{prose(40, 200 + i)} at some time") for i in range(200)]
+    found = pii.all_spans(spark.createDataFrame(texts, "doc_id long, text string")).where("doc_id = 0").collect()[0].spans
+    terms = {s.value for s in found if s.kind == 4}
+    assert {"zorblax", "vextor", "mumbro"} <= terms and not terms & {"quibble", "frobnitz"}
+    assert all(texts[0][1][s.start:s.end].lower() == s.value for s in found if s.kind == 4)
+
+
 def test_pii_plan_is_native(spark):
     plan = pii.pii_digest(odd_docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
