@@ -3,13 +3,15 @@
 The tokenizer's own splitter never joins across a single space (or line feed) between
 two non-space characters, nor a letter with the punctuation after it. A batch is cut
 there, equal units are encoded once (a worker keeps a bounded number of them for
-its next batches), and the ids are gathered back. The result equals encoding each text as a whole
+its next batches), and the ids are gathered back. The name of an added token (as
+"<|endoftext|>") is a unit of its own, as the library takes it out of a text first. The result equals encoding each text as a whole
 (tests/llm/test_tokens.py compares them).
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that depend on the text around them are not supported")
+        self.names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.name = re.compile(b"|".join(map(re.escape, self.names)))
         self.size = self.tokenizer.get_vocab_size()
         self.spaced = np.zeros(self.size, bool)  # tokens that begin with a space byte
         for token, i in self.tokenizer.get_vocab().items():
@@ -65,6 +71,17 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _named(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the added tokens' names within the rows."""
+        raw, hits = data.tobytes(), []
+        for name in self.names:
+            at = raw.find(name)
+            while at >= 0:
+                hits.append(at)
+                at = raw.find(name, at + 1)
+        rows = np.unique(np.searchsorted(offsets, hits, "right") - 1).tolist() if hits else []
+        return [(int(offsets[r]) + m.start(), int(offsets[r]) + m.end()) for r in rows for m in self.name.finditer(raw[offsets[r]:offsets[r + 1]])]
+
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         first = row_starts(len(data), offsets)
         at = np.flatnonzero((data == 32) | (data == 10))
@@ -78,6 +95,9 @@ class Encoder:
         accented = (data[np.maximum(mark - 2, 0)] == 0xC3) & (before >= 128) & (before != 0x97) & (before != 0xB7)
         first[mark[_LETTER[before] | accented]] = True
         first[at] = True
+        for a, b in self._named(data, offsets):
+            first[a + 1:b] = False
+            first[[a, b]] = True
         return np.flatnonzero(first[:-1])
 
     def _encode_new(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

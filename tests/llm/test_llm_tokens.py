@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from test_llm_fixtures import empty_docs, odd_docs
+from tokenizers import Tokenizer
 
 from postlens.llm import token_files
 from postlens.llm.bpe import Encoder, default_path
@@ -31,6 +32,22 @@ def test_units_equal_whole_texts(encoder):
         assert ids[offsets[i]:offsets[i + 1]].tolist() == plain(encoder, t), t
 
 
+def test_added_token_names_equal_the_library(spark, encoder):
+    fresh = Tokenizer.from_file(default_path())
+    rng = random.Random(2)
+    name = "<|endoftext|>"
+    parts = [name, name, "<|endo", "ftext|>", "<|", "|>", " ", "  ", "\n", "a", "don", "'t", "é", "日", "!", " b", "12", "\t", "　"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + ["<|endo", "ftext|>", None, name, "", name + name]
+    ids, offsets = encoder.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[offsets[i]:offsets[i + 1]].tolist() == fresh.encode(t or "", add_special_tokens=False).ids, t
+    docs = spark.createDataFrame([(1, f"a {name} b"), (2, "c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in token_files.token_digest(docs, end_id=2).collect()}
+    assert got[1].ids_crc32 == zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes()) and got[2].start == 5
+    packed = pack_documents(docs.where("doc_id = 1"), end_id=1).collect()
+    assert sum(r.length for r in packed) == packed[0].doc_tokens == 5
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 15, 16, 17, 31, 32])
 def test_pack_round_trip_and_random_access(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
