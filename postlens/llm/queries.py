@@ -96,3 +96,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.llm.jaccard_join import components_of_documents
 
     return components_of_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
