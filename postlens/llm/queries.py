@@ -103,3 +103,28 @@ def op11_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from postlens.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.ranked_search import top_documents
+
+    return top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+ORACLES["op12_best_position_search"] = f"""
+WITH d AS (SELECT doc_id, ts, len(ts) AS n FROM (SELECT doc_id, {_TERMS} AS ts FROM documents) WHERE len(ts) > 0),
+g AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+o AS (SELECT doc_id, n, unnest(ts) AS term FROM d),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll))))) AS BIGINT) AS score
+      FROM p JOIN w USING (term) JOIN q USING (term), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
