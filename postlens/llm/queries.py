@@ -128,3 +128,10 @@ s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
 FROM s WHERE score > 0 QUALIFY rank <= 50
 """
+
+
+@query
+def op13_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from postlens.llm.language import languages
+
+    return languages(table(spark, sf_dir, "documents"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm.files import written
 from postlens.llm.spectrum import leading
+from postlens.llm.sums import SCHEMA, blocks, matrix_sum
 
 #: Entries at or beyond this (after scaling) are no whole numbers of 64 bits.
 TOO_LARGE = 2.0**62
@@ -39,26 +40,6 @@ def whole_numbers(column: pa.Array, scale: float, shift: int, width: int | None
     return length, rows, x.astype(np.int64) + shift
 
 
-def _matrix_sum(partials: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Sum of the matrices that tasks have sent in blocks of rows, ``part int, body binary``; a block is added up in one place."""
-    parts = -(-shape[0] // _BLOCK)
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, body in zip(batch["part"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                own = np.frombuffer(body, float)
-                total[part] = total[part] + own if part in total else own
-        for part, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "body"])
-
-    out = np.zeros(shape)
-    dealt = partials.repartition(min(parts, 64), "part")
-    for row in dealt.mapInArrow(add, "part int, body binary").collect():  # width x width numbers
-        out[row["part"] * _BLOCK:(row["part"] + 1) * _BLOCK] += np.frombuffer(row["body"], float).reshape(-1, shape[1])
-    return out
-
-
 def _products(rows: DataFrame, read, center: np.ndarray) -> np.ndarray:
     """Sum over all rows of (y - center)(y - center)'."""
     k = len(center)
@@ -70,10 +51,9 @@ def _products(rows: DataFrame, read, center: np.ndarray) -> np.ndarray:
             for a in range(0, len(y), 4096):
                 own = y[a:a + 4096] - center
                 total += own.T @ own
-        for part, at in enumerate(range(0, k, _BLOCK)):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total[at:at + _BLOCK].tobytes()], pa.binary())], ["part", "body"])
+        yield from blocks(total, _BLOCK)
 
-    return _matrix_sum(rows.mapInArrow(run, "part int, body binary"), (k, k))
+    return matrix_sum(rows.mapInArrow(run, SCHEMA), (k, k), _BLOCK)
 
 
 def _sums(rows: DataFrame, read, width: int) -> tuple[int, list[int]]:
