@@ -9,7 +9,7 @@ and the edges of a spanning forest. A pair that meets more than once counts in t
 first place where it meets.
 
 Buckets are found with ids alone; only entries that share a bucket with its owner get their
-vectors. Equal vectors are one representative with a multiplicity. Buckets larger than a block are
+vectors. Equal vectors are one representative, a 64-bit hash of the vector, with a multiplicity. Buckets larger than a block are
 dealt out as pairs of blocks, so no bucket is capped and none is one task.
 """
 
@@ -76,6 +76,11 @@ def hashes_for(n: int, width: int) -> int:
     return max(2, int(np.ceil(np.log(max(2, n)) / np.log(2 * max(2, 1 << (width - 1).bit_length())))))
 
 
+def tables_for(hashes: int) -> int:
+    """Tables that keep the recall at the threshold, as longer codes meet more seldom (measured in tests/llm/test_llm_dedup.py)."""
+    return max(8, 4 * (hashes - 1))
+
+
 def _usable(column: pa.Array) -> np.ndarray:
     """Rows that are not null, hold only finite components and are not zero."""
     good = np.zeros(len(column), bool)
@@ -234,16 +239,17 @@ def _verify(threshold: float, hashes: dict[int, int], tables: int, probes: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, tables: int = 8, probes: int = 4, seed: int = 8,
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, tables: int | None = None, probes: int = 4, seed: int = 8,
                     id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing. Equal
-    vectors link; vectors of different lengths never do. Rows that share an id are vectors each for itself
-    (they are told apart by row, and share a component if they link). An empty table gives an empty table.
+    vectors link; vectors of different lengths never do. Rows that share an id are vectors each for itself: they
+    link, and share a component, if their vectors do. A row without an id is compared like any other; a component
+    is named by its smallest id that is not null, null if it has none. An empty table gives an empty table.
     """
-    if tables > 64:
-        raise ValueError("at most 64 tables")
+    if tables is not None and not 1 <= tables <= 64:
+        raise ValueError("1 to 64 tables")
 
     @F.arrow_udf("boolean")
     def usable(column: pa.Array) -> pa.Array:
@@ -251,9 +257,10 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, tables: int
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("good", usable("v"))
-    reps = written(rows.where("good").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), "vectors")
-    own = reps.where("rep is not null")
+    own = rows.where("good").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"))
+    own = written(own.select("v", F.xxhash64("v").alias("rep"), "id", "times"), "vectors")
     hashes = {r["width"]: hashes_for(r["n"], r["width"]) for r in own.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}  # a row per vector length
+    tables = tables or min(64, tables_for(max(hashes.values(), default=2)))
     bodies = written(own.mapInArrow(_bodies(hashes, tables, probes, seed), _BODY), "bodies")
     entries = written(bodies.select("rep", "codes", "width").mapInArrow(_entries(hashes, tables, probes), _ENTRY), "buckets")
     size = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.max("main").alias("owned")).where("n > 1 and owned")
@@ -269,8 +276,11 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, tables: int
     found = written(dealt.mapInArrow(_verify(threshold, hashes, tables, probes), "rep long, other long, links long"), "links")
     links = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("links = 0").select(F.col("rep").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("rep"), "component")
-    of_rep = reps.join(links, "rep", "left").join(joined, "rep", "left").select(
-        F.col("v").alias("rv"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of_rep = own.join(links, "rep", "left").join(joined, "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    low = of_rep.groupBy("group").agg(F.min("id").alias("component_id")).withColumn("key", F.xxhash64("group"))
+    # joined by a hash of the group, dealt out anew, so that a large component's rows can be split
+    of_rep = of_rep.withColumn("key", F.xxhash64("group")).join(low, ["key", "group"]).select(
+        F.col("v").alias("rv"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
     linked = rows.where("good").join(of_rep, F.col("v") == F.col("rv")).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -64,6 +64,14 @@ def test_exact_groups(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
+def test_drop_duplicates_keeps_one_row_of_repeated_ids(spark):
+    texts = [(1, "Hot"), (2, "hot"), (2, "HOT"), (2, "hot"), (None, "hot"), (3, "alone"), (None, None), (None, ""), (4, "null"), (None, "null"), (5, "x"), (5, "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'c' as sha", "'c' as key", "'c' as stays", "'c' as once").repartition(4)
+    kept = exact_dedup.drop_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str) == sorted([(2, "hot"), (3, "alone"), (None, ""), (4, "null"), (5, "x")], key=str)
+
+
 def test_exact_empty(spark):
     assert exact_dedup.duplicate_groups(empty_docs(spark)).count() == exact_dedup.drop_duplicates(empty_docs(spark)).count() == 0
 
@@ -169,6 +177,34 @@ def test_embedding_links(spark, vectors, monkeypatch):
     assert all(got[i].kept == (got[i].component_id == i) for i in range(len(unit)))
 
 
+def test_embedding_repeated_and_null_ids(spark):
+    def rows(pairs):
+        df = spark.createDataFrame(pairs, "vec_id long, embedding array<double>")
+        return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()), key=str)
+
+    a, b, near = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [1.0, 0.05, 0.0, 0.0]
+    assert rows([(1, a), (1, b), (2, near)]) == sorted([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False)], key=str)
+    assert rows([(1, a), (1, near)]) == [(1, 1, 1, True), (1, 1, 1, True)]
+    assert rows([(None, a), (5, near), (None, b), (7, a)]) == sorted([(None, 2, 5, False), (5, 2, 5, True), (None, 0, None, True), (7, 2, 5, False)], key=str)
+    assert rows([(None, a), (None, near)]) == [(None, 1, None, True), (None, 1, None, True)]
+
+
+@pytest.mark.parametrize("hashes", [2, 3, 4, 5])
+def test_embedding_recall_by_hashes(hashes):
+    """Share of pairs at cosine 0.95 that meet in some bucket, for as many hashes as 10^2 to 10^10 vectors of 64 dimensions take."""
+    rng = np.random.default_rng(hashes)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * side
+    tables = embed_dedup.tables_for(hashes)
+    a, b = (embed_dedup.codes(v, hashes, tables, 4, 8) for v in (x, y))
+    meet = ((a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)).any(1)
+    assert meet.mean() >= 0.97
+
+
 def test_embedding_empty(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
