@@ -48,8 +48,7 @@ def _repeat_table(rows: DataFrame) -> tuple[np.ndarray, int]:
     return tally(rows, "h", log_m, k=_K, at_least=2), log_m
 
 
-def _maybe_repeated(rows: DataFrame) -> DataFrame:
-    table, log_m = _repeat_table(rows)
+def _maybe_repeated(rows: DataFrame, table: np.ndarray, log_m: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -67,7 +66,8 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null id is less than any other); of rows that share id and text exactly one is ``kept``. An
     empty table gives an empty table; other columns are not read.
     """
-    flagged = _maybe_repeated(hashed(docs, id_col, text_col))
+    rows = hashed(docs, id_col, text_col)
+    flagged = _maybe_repeated(rows, *_repeat_table(rows))
     alone = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     again = flagged.where("maybe")
     groups = again.groupBy("sha").agg(F.max(F.struct("doc_id", "nth")).alias("stays"), F.count("*").alias("group_size"))
@@ -78,23 +78,41 @@ def duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return alone.union(settled)
 
 
+def _marks(h: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """A number of a text and an id together; a null id counts as 0."""
+    return h ^ (ids.fill_null(0).to_numpy(zero_copy_only=False) << 21)
+
+
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (all columns) without the rows that :func:`duplicate_groups` does not keep.
 
-    Texts that are certainly alone are not shuffled; of the others, each text's own row stays.
+    Texts that are certainly alone are not shuffled. Of the others the id that stays is settled by hash and id; a
+    Bloom table of these pairs drops the copies where they are read, and what it passes is held against the pairs exactly.
     """
-    table, log_m = _repeat_table(hashed(docs, id_col, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    rows = hashed(docs, id_col, text_col)
+    table, log_m = _repeat_table(rows)
+    again = _maybe_repeated(rows, table, log_m).where("maybe")
+    stays = written(again.groupBy("sha").agg(F.max("doc_id").alias("stays")), "stays")
+    log_k = buckets_for(stays.count(), _PER_ROW, 1)
+
+    def marked(batches):
+        for batch in batches:
+            h = np.frombuffer(b"".join(batch["sha"].to_pylist()), "<i8")[::4]
+            yield pa.RecordBatch.from_arrays([pa.array(_marks(h, batch["stays"]))], ["mark"])
+
+    context = docs.sparkSession.sparkContext
+    repeated, staying = context.broadcast(table), context.broadcast(tally(stays.mapInArrow(marked, "mark long"), "mark", log_k, k=_K))
 
-    @F.arrow_udf("struct<sha: binary, maybe: boolean>")
-    def look(text: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<sha: binary, alone: boolean, stays: boolean>")
+    def look(text: pa.Array, ids: pa.Array) -> pa.Array:
         sha, h = digests(text)
-        return pa.StructArray.from_arrays([pa.array(sha, pa.binary()), pa.array(all_set(shared.value, h, log_m, _K))], ["sha", "maybe"])
+        found = ~all_set(repeated.value, h, log_m, _K), all_set(staying.value, _marks(h, ids), log_k, _K)
+        return pa.StructArray.from_arrays([pa.array(sha, pa.binary()), *map(pa.array, found)], ["sha", "alone", "stays"])
 
     key = F.col("row")[id_col].cast("long")
-    seen = as_rows(docs).select("row", look(F.col("row")[text_col].cast("string")).alias("seen"))
-    alone = seen.where("not seen.maybe").select("row.*")
-    again = seen.where("seen.maybe").select("row", F.col("seen.sha").alias("sha"))
-    stays = again.groupBy("sha").agg(F.max(key).alias("stays")).select(F.hex("sha").alias("key"), "stays")
-    kept = again.select("row", F.hex("sha").alias("key")).join(stays, "key").where(key.eqNullSafe(F.col("stays"))).dropDuplicates(["key"])
-    return alone.union(kept.select("row.*"))
+    seen = as_rows(docs).select("row", look(F.col("row")[text_col].cast("string"), key).alias("seen"))
+    alone = seen.where("seen.alone").select("row.*")
+    maybe = seen.where("not seen.alone and seen.stays").select("row", F.hex("seen.sha").alias("key"))
+    kept = maybe.join(stays.select(F.hex("sha").alias("key"), "stays"), "key").where(key.eqNullSafe(F.col("stays")))
+    # rows that repeat text and id fold under another key than the join's, which may so be split
+    return alone.union(kept.withColumn("once", F.md5("key")).dropDuplicates(["once"]).select("row.*"))
