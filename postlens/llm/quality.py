@@ -188,7 +188,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, most_rows: int = 20_00
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     measured = written(rows.mapInArrow(measure, "doc_id long, x array<float>"), "statistics")
-    sample = measured.join(labelled(labels, label_col, folds, fold), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select("x", "y").toPandas()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = written(labelled(labels, label_col, folds, fold).join(measured.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(most_rows), "chosen")
+    # most_rows ids at most; of rows that share an id one is learned from
+    sample = measured.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy(*order).select("x", "y").toPandas()
     x = np.stack(sample["x"].to_list()).astype(np.float32) if len(sample) else np.zeros((0, k), np.float32)
     model = Trees().fit(x, sample["y"].to_numpy(float))
 
