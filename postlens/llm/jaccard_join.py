@@ -84,7 +84,7 @@ def _sets_of(batches, width: int):
     """(doc_id, digest, set) of all rows; the digest of an empty set is 0."""
     kept("shingles", dict)  # what an earlier operator kept in this worker goes
     for batch in batches:
-        for a, b in slices(batch["text"], 4 << 20):
+        for a, b in slices(batch["text"], 1 << 20):
             for key, s in zip(batch["doc_id"].slice(a, b - a).to_pylist(), shingle_sets(batch["text"].slice(a, b - a), width), strict=True):
                 yield key, _digest(s) if len(s) else 0, s
         trim()
@@ -398,7 +398,8 @@ def _components_of_sets(listed: DataFrame, bodies: DataFrame, percent: int) -> D
     large = large.select(F.col("component").alias("one"), "parts")
     again = comp.join(large, F.col("component") == F.col("one"), "left")
     rest = again.where("one is null and chunks > 1").groupBy("label").agg(_chunks(F.count("*"), F.sum("n")).alias("rest_parts"))
-    again = again.join(rest, "label", "left")
+    # joined by a hash of the label, dealt out anew, so that a hot label's rows can be split
+    again = again.withColumn("key", F.xxhash64("label")).join(rest.withColumn("key", F.xxhash64("label")), ["key", "label"], "left")
     block = (F.when(F.col("one").isNotNull(), F.xxhash64("one", F.pmod(F.xxhash64("digest"), F.col("parts")), F.lit(1)))
              .when(F.col("chunks") > 1, F.xxhash64("label", F.pmod(F.xxhash64("digest"), F.col("rest_parts")), F.lit(2))).otherwise(F.col("block")))
     again = written(again.select("digest", "one", "chunks", block.alias("block")), "blocks2")

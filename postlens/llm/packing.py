@@ -156,7 +156,7 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, end_id: int = 1,
         packer = Packer(TaskContext.get().partitionId() << 36, max_tokens, max_segments, most_loss, waiting, slack)
         for batch in batches:
             keys, texts = batch["id"].to_pylist(), batch["text"]
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 1 << 20):
                 ids, offsets = encoder.encode(texts.slice(a, b - a))
                 for k in range(b - a):
                     own = np.append(ids[offsets[k]:offsets[k + 1]], np.uint32(end_id))

@@ -23,14 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.llm.columns import LOWER, distinct_words, slices, text_buffers, word_spans
+from postlens.llm.files import written
 from postlens.llm.quality import held_out, labelled
 from postlens.llm.worker import kept, trim
 
 SPAN, DECAY, LONGEST, ACTIVE = 6, 0.7, 32, 0.35
+#: Words whose kernel values are found at once, and bytes of text that are scored at once.
+CHUNK, PART = 10_000, 1 << 20
 _LETTERS = "abcdefghijklmnopqrstuvwxyzáàâäçéèêëíìîïñóòôöúùûüß"
 _PARTED = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]")
 _BASE = len(_LETTERS) + 1
-_CLASS = np.zeros(0x250, np.int64)
+_CLASS = np.zeros(0x250, np.uint8)
 for _i, _c in enumerate(_LETTERS):
     _CLASS[ord(_c)] = _i + 1
     if len(_c.upper()) == 1:
@@ -50,7 +53,7 @@ def _triples(codes: np.ndarray):
         n = codes.shape[1] - j
         if n <= 0:
             continue
-        a, b, c = codes[:, :n], codes[:, i:i + n], codes[:, j:j + n]
+        a, b, c = (codes[:, k:k + n].astype(np.int32) for k in (0, i, j))
         yield DECAY ** (j + 1), np.where((a > 0) & (b > 0) & (c > 0), (a * _BASE + b) * _BASE + c, 0)
 
 
@@ -72,14 +75,12 @@ class Landmarks:
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """float32 [words, landmarks], in 0..1 (about 1: the same)."""
-        codes = letter_codes(words)
         out = np.zeros((len(words), len(self.words)), np.float32)
-        used = (codes > 0) * np.arange(1, LONGEST + 1)
-        length = used.max(1) if len(words) else np.zeros(0, int)
-        order = np.argsort(length, kind="stable")
-        for i in range(0, len(order), 20_000):
-            rows = order[i:i + 20_000]
-            own = codes[rows][:, :max(1, int(length[rows].max()))]
+        order = np.argsort([len(w) for w in words], kind="stable")
+        for i in range(0, len(order), CHUNK):
+            rows = order[i:i + CHUNK]
+            codes = letter_codes([words[k] for k in rows])
+            own = codes[:, :max(1, int(((codes > 0) * np.arange(1, LONGEST + 1, dtype=np.uint8)).max()))]
             norm, sums = np.zeros(len(rows), np.float32), np.zeros((len(rows), len(self.words)), np.float32)
             for weight, keys in _triples(own):
                 norm += np.float32(weight**2) * (keys > 0).sum(1)
@@ -91,6 +92,32 @@ class Landmarks:
         return out
 
 
+class Remembered:
+    """Decision values of words met before: sorted 64-bit hashes, 16 bytes a word, at most ``most`` of them."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.keys, self.values = most, np.zeros(0, np.uint64), np.zeros(0)
+
+    @staticmethod
+    def hashes(words: list[str]) -> np.ndarray:
+        import xxhash
+
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, nan where it is new."""
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], np.nan)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        room = self.most - len(self.keys)
+        if room > 0 and len(keys):
+            keys, first = np.unique(np.concatenate([self.keys, keys[:room]]), return_index=True)
+            self.keys, self.values = keys, np.concatenate([self.values, values[:room]])[first]
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Word number of each occurrence, distinct lower-cased words, and row of each occurrence, rows in order.
 
@@ -191,19 +218,23 @@ class Model:
 
     def __init__(self, words: list[str], direction: np.ndarray, bias: float, slope: float, shift: float):
         self.landmarks, self.direction, self.bias, self.slope, self.shift = Landmarks(words), direction, bias, slope, shift
-        self.known: dict[str, float] = {}
+        self.known = Remembered()
 
     def params(self) -> tuple:
         """What the constructor takes: a few numbers per landmark, small enough for a closure."""
         return self.landmarks.words, self.direction, self.bias, self.slope, self.shift
 
     def _judge(self, words: list[str]) -> np.ndarray:
-        kernel = self.landmarks.kernel(words)
-        return np.where(kernel.max(1, initial=0) >= ACTIVE, kernel @ self.direction + self.bias, self.bias)
+        out = np.empty(len(words))
+        for i in range(0, len(words), CHUNK):
+            kernel = self.landmarks.kernel(words[i:i + CHUNK])
+            out[i:i + CHUNK] = np.where(kernel.max(1, initial=0) >= ACTIVE, kernel @ self.direction + self.bias, self.bias)
+        return out
 
-    def decide(self, words: list[str], most: int = 200_000) -> np.ndarray:
+    def decide(self, words: list[str]) -> np.ndarray:
         """Decision value of each word, also read without what separates its letters; a bounded number of words is remembered."""
-        out = np.fromiter((self.known.get(w, np.nan) for w in words), float, len(words))
+        keys = Remembered.hashes(words)
+        out = self.known.look(keys)
         new = np.flatnonzero(np.isnan(out))
         if len(new):
             own = [words[i] for i in new]
@@ -212,8 +243,7 @@ class Model:
             if parted:
                 closed = self._judge(["".join(c for c in own[k] if c.isalpha())[:LONGEST] for k in parted])
                 out[new[parted]] = np.maximum(out[new[parted]], closed)
-            room = most - len(self.known)
-            self.known.update(zip(own[:room], out[new[:room]].tolist(), strict=True)) if room > 0 else None
+            self.known.add(keys[new], out[new])
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -244,7 +274,7 @@ def train(texts: pa.Array | list[str], toxic: np.ndarray, most_landmarks: int =
     whiten = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
     number: dict[str, int] = {}
     rows, kinds, kernels = [], [], []
-    for a, b in slices(texts, 4 << 20):
+    for a, b in slices(texts, PART):
         index, own, row = tokens(texts.slice(a, b - a))
         some = landmarks.kernel(own)
         near = some.max(1, initial=0) >= ACTIVE
@@ -288,11 +318,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 1500, most_clea
     """
     own = labelled(labels, label_col, folds, fold).select("y", F.col("doc_id").alias("_id"))
     kinds = [own.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
-    own = kinds[0].union(kinds[1])
+    own = written(kinds[0].union(kinds[1]), "chosen")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = texts.join(F.broadcast(own), "_id").select("_id", "text", "y")
-    order = Window.orderBy(F.xxhash64("_id"), "_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sample.withColumn("upto", F.sum(F.length("text")).over(order)).where(F.col("upto") <= most_chars).select("text", "y").toArrow()
+    texts = texts.withColumn("size", F.length("text")).join(F.broadcast(own), "_id")
+    # the bound on characters is drawn over sizes alone; rows of one id and size stand or fall together
+    sizes = texts.groupBy("_id", "size").agg(F.count("*").alias("times"))
+    upto = F.sum(F.col("size") * F.col("times")).over(Window.orderBy(F.xxhash64("_id"), "_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    bounded = sizes.withColumn("upto", upto).where(F.col("upto") <= most_chars).select("_id", "size")
+    rows = texts.join(F.broadcast(bounded), ["_id", "size"]).orderBy(F.xxhash64("_id"), "_id", "text").select("text", "y").toArrow()
     return train(rows["text"].cast(pa.large_string()).combine_chunks(), rows["y"].to_numpy().astype(int))
 
 
@@ -303,7 +336,7 @@ def _scorer(model: Model):
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         own = kept(key, lambda: Model(*params))
-        scores = [own.score(text.slice(a, b - a)) for a, b in slices(text, 4 << 20)]
+        scores = [own.score(text.slice(a, b - a)) for a, b in slices(text, PART)]
         trim()
         return pa.array(np.concatenate(scores or [np.zeros(0)]))
 
