@@ -4,8 +4,7 @@ A score depends only on what a profile lists and on which of those words the job
 contain. So work is done per distinct value, not per row:
 
 1. profiles with equal lists are one signature;
-2. every distinct field value is looked up once: its 3-grams meet the first 3-gram
-   of the profiles' words, and a hit is verified with ``contains``. The
+2. every distinct field value is looked up once, by :mod:`postlens.functions.needles`. The
    words are a stored table, broadcast only if its bytes are below Spark's threshold;
 3. jobs whose fields contain the same words are one signature with a count;
 4. signatures that share a word are scored once;
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from postlens import vocab as V
 from postlens.functions.dictionary import match_terms
+from postlens.functions.needles import found_needles, with_found
 from postlens.functions.numeric import py_round
 from postlens.functions.text import literal_array
 from postlens.session import stored
@@ -66,26 +66,11 @@ def _needles(signatures: DataFrame) -> DataFrame:
     return per.select("ps", "part", F.lower("item").alias("needle"), F.explode("fields").alias("field")).where(F.length("needle") > 0)
 
 
-def _evidence(postings: DataFrame, needles: DataFrame) -> DataFrame:
-    """(field, vkey, found): per distinct field value that contains any needle of its field, those needles."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(F.col(f), F.lit(""))).alias("v")) for f in JOB_FIELDS]))
-    values = postings.select(pairs.alias("x")).select("x.field", "x.v", F.md5("x.v").alias("vkey")).dropDuplicates(["field", "vkey"])
-    grams = F.array_distinct(F.concat(*[F.regexp_extract_all("v", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (1, 2, 3)]))
-    anchors = needles.select("field", "needle").distinct().withColumn("gram", F.substring("needle", 1, 3))
-    hits = values.select("field", "vkey", "v", F.explode(grams).alias("gram")).join(stored(anchors, "needles"), ["field", "gram"]) \
-        .where(F.col("v").contains(F.col("needle")))
-    return hits.groupBy("field", "vkey").agg(F.array_sort(F.collect_set("needle")).alias("found"))
-
-
 def job_signatures(postings: DataFrame, needles: DataFrame, job_cols: Sequence[str] = JOB_COLS) -> DataFrame:
     """Job columns, js and the needles found in each field (``js`` is a digest of those)."""
     job_cols = [c for c in job_cols if c in postings.columns]
-    found = stored(_evidence(postings, needles), "evidence")
-    out = postings.select(*job_cols)
-    for f in JOB_FIELDS:
-        own = found.where(F.col("field") == f).select(F.col("vkey").alias("_k"), F.col("found").alias(f"in_{f}"))
-        out = out.withColumn("_key", F.md5(F.lower(F.coalesce(F.col(f), F.lit(""))))).join(own, F.col("_key") == F.col("_k"), "left") \
-            .drop("_key", "_k").withColumn(f"in_{f}", F.coalesce(f"in_{f}", F.array().cast("array<string>")))
+    found = stored(found_needles(postings, JOB_FIELDS, needles), "evidence")
+    out = with_found(postings, job_cols, JOB_FIELDS, found)
     return out.withColumn("js", F.md5(F.to_json(F.struct(*[f"in_{f}" for f in JOB_FIELDS]))))
 
 

@@ -24,14 +24,15 @@ def _alerts_sql() -> str:
             "location_c, company_c, min_salary, job_type_c))")
 
 
-_EVAL = (
+_EV = (
     "ev AS (SELECT a.alert_order, a.alert_name, p.job_id, p.title, p.company, p.location, p.description, "
     "list_filter(a.title_keywords, lambda k: contains(lower(coalesce(p.title, '')), k)) AS tk, "
     "list_filter(a.skills, lambda k: contains(lower(coalesce(p.description, '')), k)) AS sk, "
     f"CASE WHEN regexp_extract(lower(p.description), {Q.s(V.LPA_PATTERN)}, 1) <> '' "
     f"THEN CAST(regexp_extract(lower(p.description), {Q.s(V.LPA_PATTERN)}, 1) AS DOUBLE) END AS lpa, "
     "a.title_keywords, a.skills AS skills_c, a.location_c, a.company_c, a.min_salary, a.job_type_c, p.job_type "
-    "FROM postings p CROSS JOIN alerts a), "
+    "FROM postings p CROSS JOIN alerts a), ")
+_OK = (
     "ok AS (SELECT *, array_to_string(list_filter(["
     "CASE WHEN title_keywords IS NOT NULL THEN 'Title contains: ' || array_to_string(tk, ', ') END, "
     "CASE WHEN skills_c IS NOT NULL THEN 'Skills found: ' || array_to_string(sk, ', ') END, "
@@ -47,6 +48,8 @@ _EVAL = (
     "OR contains(lower(coalesce(job_type, '')), job_type_c)) "
     "AND (min_salary IS NULL OR lpa IS NULL OR lpa = 0 OR lpa >= min_salary))")
 
+_EVAL = _EV + _OK
+
 
 @query("alert_matches", "G10", oracle=_P + ", " + _alerts_sql() + ", " + _EVAL + (
     " SELECT alert_name, job_id, title, company, location, reasons FROM ok"))
@@ -67,3 +70,32 @@ def q_alert_matches(spark, sf_dir):
 def q_check_alerts(spark, sf_dir):
     df = fixtures.postings(spark, sf_dir)
     return A.check_alerts(df, A.sample_alerts())
+
+
+# The alert table: every alert names a company, so the oracle tests alerts on the distinct companies first.
+_T = (
+    _P + ", stored AS (" + fixtures.duckdb_view("alerts") + "), "
+    "alerts AS (SELECT DISTINCT alert_name, list_transform(title_keywords, lambda k: lower(k)) AS title_keywords, "
+    "list_transform(skills, lambda k: lower(k)) AS skills, lower(location) AS location_c, lower(company) AS company_c, "
+    "min_salary_lpa AS min_salary, lower(job_type) AS job_type_c, 0 AS alert_order FROM stored), "
+    "firms AS (SELECT DISTINCT company FROM postings), "
+    "near AS (SELECT f.company AS firm, a.* FROM firms f JOIN alerts a ON contains(lower(coalesce(f.company, '')), a.company_c)), "
+    + _EV.replace("FROM postings p CROSS JOIN alerts a", "FROM postings p JOIN near a ON a.firm = p.company") + _OK)
+
+
+@query("alert_table_matches", "G10", oracle=_T + " SELECT alert_name, job_id, title, company, location, reasons FROM ok")
+def q_alert_table_matches(spark, sf_dir):
+    df = fixtures.postings(spark, sf_dir).select("job_id", "title", "company", "location", "description", "job_type")
+    return A.match_alert_table(df, fixtures.alerts(spark, sf_dir), keep=["job_id", "title", "company", "location"])
+
+
+@query("alert_table_checks", "G11", oracle=_T + (
+    ", cnt AS (SELECT alert_name, count(*) AS match_count FROM ok GROUP BY alert_name), "
+    "firsts AS (SELECT * FROM (SELECT alert_name, job_id, reasons, CAST(row_number() OVER (PARTITION BY alert_name ORDER BY "
+    "job_id NULLS FIRST, title NULLS FIRST, company NULLS FIRST, location NULLS FIRST, description NULLS FIRST, reasons) AS BIGINT) AS match_rank "
+    "FROM ok) WHERE match_rank <= 5) "
+    "SELECT a.alert_name, CAST(coalesce(c.match_count, 0) AS BIGINT) AS match_count, f.match_rank, f.job_id, f.reasons "
+    "FROM (SELECT DISTINCT alert_name FROM alerts) a LEFT JOIN cnt c USING (alert_name) LEFT JOIN firsts f USING (alert_name)"))
+def q_alert_table_checks(spark, sf_dir):
+    df = fixtures.postings(spark, sf_dir).select("job_id", "title", "company", "location", "description", "job_type")
+    return A.check_alert_table(df, fixtures.alerts(spark, sf_dir), first=5)

@@ -55,10 +55,23 @@ SELECT c_custkey AS resume_id,
 FROM {customer}
 """
 
+ALERTS_SQL = """
+SELECT concat('alert ', CAST(o_orderkey AS STRING)) AS alert_name,
+  split(CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN split_part('Data,SDE|Senior|developer,analyst|Lead,Owner', '|', CAST(1 + o_custkey % 4 AS INT))
+    WHEN 1 THEN split_part('engineer|scientist,analyst', '|', CAST(1 + o_custkey % 2 AS INT)) WHEN 2 THEN 'II,Junior' END, ',') AS title_keywords,
+  split(CASE WHEN o_orderkey % 4 = 1 THEN split_part('python,SQL|docker|c++,react', '|', CAST(1 + o_custkey % 3 AS INT)) END, ',') AS skills,
+  CASE WHEN o_orderkey % 4 <> 2 THEN split_part('bangalore|Pune|mumbai|NYC|Delhi', '|', CAST(1 + o_custkey % 5 AS INT)) END AS location,
+  concat('supplier#', lpad(CAST(1 + o_custkey % 100 AS STRING), 9, '0')) AS company,
+  CASE WHEN o_orderkey % 4 IN (1, 3) THEN CAST(10 + o_custkey % 30 AS DOUBLE) END AS min_salary_lpa,
+  CASE WHEN o_orderkey % 4 = 2 THEN split_part('Remote|contract|Part-time', '|', CAST(1 + o_custkey % 3 AS INT)) END AS job_type
+FROM {orders}
+"""
+
 _VIEWS = {
     "postings": (POSTINGS_SQL, ("lineitem", "supplier")),
     "profiles": (PROFILES_SQL, ("customer",)),
     "resumes": (RESUMES_SQL, ("customer",)),
+    "alerts": (ALERTS_SQL, ("orders",)),
 }
 
 
@@ -68,7 +81,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived fixture view (``postings``, ``profiles``, ``resumes``)."""
+    """A derived fixture view (``postings``, ``profiles``, ``resumes``, ``alerts``)."""
     sql, deps = _VIEWS[name]
     frames = {d: table(spark, sf_dir, d) for d in deps}
     return spark.sql(sql, **frames)
@@ -86,6 +99,11 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "resumes")
 
 
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alert per row of ``orders`` (15,000 at sf0.01)."""
+    return view(spark, sf_dir, "alerts")
+
+
 def duckdb_view(name: str) -> str:
     """The same view text for DuckDB, where base tables are registered by name."""
     sql, deps = _VIEWS[name]

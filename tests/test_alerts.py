@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from postlens.operators import alerts as A
 
 POSTS = [
@@ -34,14 +38,63 @@ def test_salary_floor_rejects_low_pay(spark):
     assert [r["job_id"] for r in A.match_alerts(df, alerts).collect()] == ["b"]
 
 
-def test_alert_table_equals_alert_list(spark):
+def _table(spark, alerts):
+    rows = [(a.name, None if a.title_keywords is None else list(a.title_keywords), None if a.skills is None else list(a.skills), a.location, a.company,
+             a.min_salary_lpa, a.job_type) for a in alerts]
+    return spark.createDataFrame(rows, A.ALERT_SCHEMA)
+
+
+def _key(r):
+    return r["alert_name"], r["job_id"] or "", r["reasons"]
+
+
+FORMS = [A.match_alert_table, A.join_alert_table]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_alert_table_equals_alert_list(spark, form):
     df = spark.createDataFrame(POSTS, SCHEMA)
     alerts = [*A.sample_alerts(), A.Alert("here", location="Chennai"), A.Alert("both", skills=("Java",), company="kestrel", min_salary_lpa=40.0),
-              A.Alert("rich", min_salary_lpa=30.0), A.Alert("all")]
-    rows = [(a.name, a.title_keywords and list(a.title_keywords), a.skills and list(a.skills), a.location, a.company,
-             a.min_salary_lpa, a.job_type) for a in alerts]
-    table = spark.createDataFrame(rows, A.ALERT_SCHEMA)
-    key = lambda r: (r["alert_name"], r["job_id"], r["reasons"])
-    got, want = sorted(map(key, A.match_alert_table(df, table).collect())), sorted(map(key, A.match_alerts(df, alerts).collect()))
+              A.Alert("rich", min_salary_lpa=30.0), A.Alert("all"), A.Alert("none", title_keywords=()), A.Alert("empty word", title_keywords=("zzz", "")),
+              A.Alert("short", title_keywords=("d",), location="p"), A.Alert("twice", skills=("java", "java", "ava")), A.Alert("type", job_type="remote")]
+    table = _table(spark, alerts)
+    got, want = sorted(map(_key, form(df, table.union(table.limit(3))).collect())), sorted(map(_key, A.match_alerts(df, alerts).collect()))
     assert got == want and got
-    assert A.match_alert_table(df, table.limit(0)).count() == 0
+    assert form(df, table.limit(0)).count() == 0
+    assert form(df.limit(0), table).count() == 0
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_alert_table_on_random_rows(spark, form):
+    rng = random.Random(5)
+    words = ["data", "date", "ata", "lead", "ops", "dev", "devops", "java", "javascript", "sql", "go", "c", "Pune", "pu", "new delhi", "né"]
+    text = lambda n: None if rng.random() < 0.1 else " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    some = lambda: None if rng.random() < 0.4 else tuple(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    one = lambda: None if rng.random() < 0.6 else rng.choice(words)
+    posts = [(str(i), text(4), text(3), text(3), (text(8) or "") + rng.choice(["", " 12 lpa", " 40 LPA"]), rng.choice([None, "", "20 lpa"]), rng.choice([None, "dev", "go"]))
+             for i in range(150)] * 2
+    alerts = [A.Alert(f"a{i}", some(), some(), one(), one(), rng.choice([None, None, 15.0, 30.0]), one()) for i in range(80)]
+    df = spark.createDataFrame(posts, "job_id string, title string, company string, location string, description string, salary string, job_type string")
+    got, want = sorted(map(_key, form(df, _table(spark, alerts)).collect())), sorted(map(_key, A.match_alerts(df, alerts).collect()))
+    assert len(got) > 1000 and got == want
+
+
+def test_alert_index_meets_few_pairs(spark):
+    """No alert is tested on every posting: the join of signatures and anchors gives about as many rows as there are matches."""
+    posts = [(str(i), f"title {i % 50}", f"firm{i % 200:04d} ltd", "pune", "java") for i in range(4000)]
+    df = spark.createDataFrame(posts, "job_id string, title string, company string, location string, description string")
+    alerts = [A.Alert(f"a{i}", title_keywords=(f"title {i % 50}",), company=f"firm{i % 200:04d}", skills=("java",), location="pune") for i in range(1000)]
+    index = A.AlertIndex(df, _table(spark, alerts))
+    best = index._anchors().select("alert_id", "field").distinct().groupBy("field").count().collect()
+    assert {r["field"] for r in best} == {"company"}
+    assert index.matches().count() == sum(1 for a in range(1000) for i in range(4000) if i % 200 == a % 200 and str(i % 50).startswith(str(a % 50)))
+    plan = index.pairs_met()._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_check_alert_table(spark):
+    df = spark.createDataFrame(POSTS, SCHEMA)
+    alerts = [*A.sample_alerts(), A.Alert("none", company="nobody")]
+    got = {(r["alert_name"], r["match_count"], r["match_rank"], r["job_id"], r["reasons"]) for r in A.check_alert_table(df, _table(spark, alerts)).collect()}
+    want = {(r["alert_name"], r["match_count"], r["match_rank"], r["job_id"], r["reasons"]) for r in A.check_alerts(df, alerts).collect()}
+    assert got == want
