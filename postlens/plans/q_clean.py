@@ -137,14 +137,16 @@ def q_collect_sources(spark, sf_dir):
     "posted_at DESC NULLS LAST, _gen DESC, " + ", ".join(f"{c} DESC NULLS LAST" for c in POSTING_COLUMNS if c not in ("job_id", "posted_at"))
     + ") AS rn FROM u) WHERE rn = 1"))
 def q_upsert_postings(spark, sf_dir):
-    from postlens.sources.io import upsert
+    from postlens.session import shared_path
+    from postlens.sources.warehouse import Warehouse
 
     p = fixtures.postings(spark, sf_dir)
-    old = p.where(F.col("posted_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    new = p.where(F.col("posted_at") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
     rest = [c for c in POSTING_COLUMNS if c not in ("job_id", "posted_at")]
-    return upsert(old, new, "job_id", ["posted_at", "_gen", *rest]).select(
-        "job_id", "title", "company", "location", "posted_at", "source")
+    warehouse = Warehouse(shared_path(spark, "warehouse"), "job_id", ["posted_at", "_gen", *rest], parts=32)
+    warehouse.upsert(p.where(F.col("posted_at") < cut), "old")
+    warehouse.upsert(p.where(F.col("posted_at") >= cut), "new")
+    return warehouse.read(spark).select("job_id", "title", "company", "location", "posted_at", "source")
 
 
 @query("job_skill_bridge", "A14", oracle=_P + (

@@ -64,13 +64,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table of our own in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/postlens/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Unlike a checkpoint its size is known to the planner, so later joins broadcast it only
     below ``spark.sql.autoBroadcastJoinThreshold`` (bytes).
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/postlens/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
