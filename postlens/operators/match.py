@@ -1,4 +1,4 @@
-"""Profile-to-job matching, skill gaps, learning suggestions, semantic top-k.
+"""Profile-to-job matching, skill gaps, learning suggestions (G1-G8; G9 is in semantic.py).
 
 A score depends only on what a profile lists and on which of those words the job's fields
 contain. So work is done per distinct value, not per row:
@@ -280,30 +280,3 @@ def job_text(df: DataFrame, max_chars: int = 500) -> Column:
         F.when(present(F.col("description")), F.substring("description", 1, max_chars)).otherwise(skills),
     )
     return F.array_join(F.array_compact(parts), " ")
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def semantic_top_k(vectors: DataFrame, query: DataFrame, k: int = 15, id_col: str = "vec_id",
-                   vec_col: str = "embedding", eps: float = 1e-10, query_id: str | None = None) -> DataFrame:
-    """Cosine of every query vector with every vector, x100, clamped 0..100, 1 decimal, top k per query.
-
-    Queries are a stated set, told apart by ``query_id`` (a column of ``query``; needed for more than one
-    row). They meet the vectors as rows; the top k is a partial limit before the shuffle.
-    Norms get the reference's 1e-10.
-    """
-    double = F.transform(vec_col, lambda x: x.cast("double"))
-    if query_id is None:
-        n = query.limit(2).count()
-        if n > 1:
-            raise ValueError("several query vectors need a query_id")
-    q = query.select((F.col(query_id) if query_id else F.lit(0)).alias("query_id"), double.alias("_q"))
-    v = vectors.select("*", double.alias("_v")).crossJoin(q)
-    cos = _dot("_v", "_q") / ((F.sqrt(_dot("_v", "_v")) + eps) * (F.sqrt(_dot("_q", "_q")) + eps))
-    own = [c for c in vectors.columns if c != vec_col]
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(id_col))
-    top = v.select("query_id", *own, cos.alias("similarity")).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("similarity") * 100))
-    return top.select(*(["query_id"] if query_id else []), "rank", *own, py_round(clamped, 1).alias("score"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postlens import vocab as V
 from postlens.operators import extract as X
 from postlens.operators import match as M
+from postlens.operators.semantic import semantic_top_k
 from postlens.plans import sqlgen as Q
 from postlens.plans.q_extract import stored_profiles
 from postlens.plans.registry import query
@@ -157,13 +158,14 @@ def q_job_texts(spark, sf_dir):
 
 
 @query("semantic_matches", "G9", oracle=(
-    "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0), "
-    "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS ev FROM embeddings WHERE vec_id <> 0), "
-    "s AS (SELECT vec_id, label, list_reduce(list_transform(list_zip(ev, qv), lambda z: z[1] * z[2]), lambda a, b: a + b) / "
+    "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0), "
+    "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS ev FROM embeddings), "
+    "s AS (SELECT query_id, vec_id, label, list_reduce(list_transform(list_zip(ev, qv), lambda z: z[1] * z[2]), lambda a, b: a + b) / "
     "((sqrt(list_reduce(list_transform(ev, lambda x: x * x), lambda a, b: a + b)) + 1e-10) * "
-    "(sqrt(list_reduce(list_transform(qv, lambda x: x * x), lambda a, b: a + b)) + 1e-10)) AS sim FROM v, q) "
-    "SELECT CAST(row_number() OVER (ORDER BY sim DESC, vec_id) AS BIGINT) AS rank, vec_id, label, "
-    "round(greatest(0.0, least(100.0, sim * 100)) * 10) / 10 AS score FROM s ORDER BY sim DESC, vec_id LIMIT 15"))
+    "(sqrt(list_reduce(list_transform(qv, lambda x: x * x), lambda a, b: a + b)) + 1e-10)) AS sim FROM v, q WHERE vec_id <> query_id) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS BIGINT) AS rank, vec_id, label, "
+    "round(greatest(0.0, least(100.0, sim * 100)) * 10) / 10 AS score FROM s QUALIFY rank <= 15"))
 def q_semantic_matches(spark, sf_dir):
     emb = fixtures.table(spark, sf_dir, "embeddings")
-    return M.semantic_top_k(emb.where(F.col("vec_id") != 0), emb.where(F.col("vec_id") == 0))
+    asked = emb.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return semantic_top_k(emb, asked, query_id="query_id", exclude_self=True)

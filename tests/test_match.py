@@ -1,10 +1,12 @@
 import itertools
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from postlens.operators import match as M
+from postlens.operators import semantic
 from tests.conftest import JOBS
 
 
@@ -79,14 +81,42 @@ def test_equal_profiles_share_one_signature(spark):
 def test_semantic_top_k(spark):
     vecs = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [-1.0, 0.0], 0)],
                                  "vec_id int, embedding array<float>, label int")
-    out = M.semantic_top_k(vecs.where("vec_id != 0"), vecs.where("vec_id = 0"), k=2).collect()
+    out = semantic.semantic_top_k(vecs.where("vec_id != 0"), vecs.where("vec_id = 0"), k=2).collect()
     assert [(r["vec_id"], r["score"]) for r in out] == [(1, 100.0), (2, 0.0)]
     with pytest.raises(ValueError):
-        M.semantic_top_k(vecs, vecs.where("vec_id < 2"))
-    two = M.semantic_top_k(vecs, vecs.where("vec_id in (1, 2)").withColumnRenamed("vec_id", "q"), k=1, query_id="q").collect()
+        semantic.semantic_top_k(vecs, vecs.where("vec_id < 2"))
+    two = semantic.semantic_top_k(vecs, vecs.where("vec_id in (1, 2)").withColumnRenamed("vec_id", "q"), k=1, query_id="q").collect()
     assert {(r["query_id"], r["vec_id"], r["score"]) for r in two} == {(1, 0, 100.0), (2, 2, 100.0)}
 
 
+@pytest.mark.parametrize("chunk,exclude", [(8 << 20, False), (100, True)])
+def test_semantic_top_k_equals_brute_force(spark, monkeypatch, chunk, exclude):
+    monkeypatch.setattr(semantic, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(semantic, "_ROWS", 16)
+    monkeypatch.setattr(semantic, "_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    base = rng.integers(-3, 4, (60, 5)).astype(float)  # many equal cosines
+    vecs = [(i, base[i % 40].tolist()) for i in range(120)] + [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0]), (502, [float("nan")] * 5), (503, [1.0, 2.0]), (504, [0.0] * 5)]
+    df = spark.createDataFrame([(i, v, f"n{i}") for i, v in vecs], "vec_id int, embedding array<double>, note string").repartition(4)
+    asked = df.where("vec_id % 7 = 0 or vec_id >= 500").withColumnRenamed("vec_id", "q")
+    got = {}
+    for r in semantic.semantic_top_k(df, asked, k=9, query_id="q", exclude_self=exclude).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["note"], r["score"]))
+
+    def cosine(a, b):
+        dot = lambda x, y: sum((p * q for p, q in zip(x, y, strict=True)), 0.0)
+        return dot(a, b) / ((dot(a, a) ** 0.5 + 1e-10) * (dot(b, b) ** 0.5 + 1e-10))
+
+    usable = [(i, v) for i, v in vecs if v and None not in v and v[0] == v[0]]
+    for q, v in usable:
+        if q % 7 == 0 or q >= 500:
+            sims = sorted((-cosine(x, v), i) for i, x in usable if len(x) == len(v) and not (exclude and i == q))[:9]
+            own = sorted(got.pop(q, []))
+            assert [(r, i, n) for r, i, n, _ in own] == [(k + 1, i, f"n{i}") for k, (_, i) in enumerate(sims)]
+            assert all(abs(x[3] - max(0.0, min(100.0, -s * 100))) <= 0.0501 for x, (s, _) in zip(own, sims, strict=True))
+    assert not got
+
+
 def test_texts(spark):
     p = spark.createDataFrame([("Data Scientist", ["python", "sql"], ["Bangalore"], 5), ("", [], [], 0)],
                               "title string, skills array<string>, preferred_locations array<string>, experience_years int")
