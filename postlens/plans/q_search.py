@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import search as H
-from postlens.plans.registry import query
+from postlens.operators.text_index import TextIndex
+from postlens.plans.registry import ORACLES, query
+from postlens.session import shared_path
 from postlens.sources import fixtures
 
 _P = "WITH postings AS (\n" + fixtures.duckdb_view("postings") + "\n)"
@@ -67,3 +69,16 @@ def q_search_documents(spark, sf_dir):
     docs = fixtures.table(spark, sf_dir, "documents")
     return H.search(docs, "ouen", fields=("text",), ts_col="doc_id", limit=50, tie_cols=()).select(
         "doc_id", "lang", "n_chars")
+
+
+@query("indexed_search_documents", "H1", oracle=ORACLES["search_documents"])
+def q_indexed_search_documents(spark, sf_dir):
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    index = TextIndex.build(docs, shared_path(spark, "index"), ["text"])
+    return index.search("ouen", ts_col="doc_id", tie_cols=()).select("doc_id", "lang", "n_chars")
+
+
+@query("indexed_jobs_by_company", "H2", oracle=ORACLES["jobs_by_company"])
+def q_indexed_jobs_by_company(spark, sf_dir):
+    jobs = fixtures.postings(spark, sf_dir).select(*_OUT, "description", "posted_at")
+    return _proj(TextIndex.build(jobs, shared_path(spark, "index"), ["company", "location"]).search("#00000001", ["company"]))
