@@ -180,7 +180,7 @@ def skill_clusters(sims: DataFrame, vocab: DataFrame, threshold: float = V.CLUST
     return named.crossJoin(F.broadcast(enough)).where("enough").select("leader", "member", "member_order")
 
 
-def cooccurrence(docs: DataFrame, top: int = 15, mode: str = "token", seed_tokens: int = 64) -> DataFrame:
+def cooccurrence(docs: DataFrame, top: int = 15, mode: str = "token", seed_tokens: int = 64, block: int = 256) -> DataFrame:
     """The most frequent unordered pairs inside documents, with multiplicity.
 
     ``mode="token"`` pairs the space-split tokens of the joined skills (the
@@ -192,7 +192,9 @@ def cooccurrence(docs: DataFrame, top: int = 15, mode: str = "token", seed_token
     and M_max the largest per-document count of any token. Pairs among the
     ``seed_tokens`` most frequent tokens give a lower bound tau on the N-th
     largest count; only tokens with F * M_max >= tau can be in the answer, and
-    pairs are counted among those tokens only.
+    pairs are counted among those tokens only. A document with more than ``block`` of
+    them is cut into blocks, and its pairs of blocks are counted apart, so no row pairs a long
+    document's tokens all by itself.
     """
     if mode == "token":
         by_doc = docs.groupBy("doc").agg(F.sum("mult").alias("mult"))
@@ -208,12 +210,24 @@ def cooccurrence(docs: DataFrame, top: int = 15, mode: str = "token", seed_token
 
     def pair_counts(keep: DataFrame) -> DataFrame:
         sub = counts.join(keep, "t")
-        per_doc = sub.groupBy("doc", "mult").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("e"))
-        pairs = per_doc.select("mult", "e", F.explode(F.sequence(F.lit(0), F.size("e") - 1)).alias("p1"))
-        pairs = pairs.select("mult", "e", "p1", F.explode(F.sequence("p1", F.size("e") - 1)).alias("p2"))
-        a, b = F.element_at("e", F.col("p1") + 1), F.element_at("e", F.col("p2") + 1)
-        n = F.when(F.col("p1") == F.col("p2"), a["c"] * (a["c"] - 1) / 2).otherwise(a["c"] * b["c"])
-        return (pairs.select(a["t"].alias("a"), b["t"].alias("b"), (n * F.col("mult")).cast("bigint").alias("n"))
+        own = Window.partitionBy("doc", "mult")
+        sub = sub.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(own) / block).cast("int"))
+        sub = sub.withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+        blocked = sub.groupBy("doc", "mult", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("e"))
+        short = blocked.where("blocks = 1").select("mult", "e", F.col("e").alias("f"), F.lit(True).alias("same"))
+        # of a long document every pair of blocks is a row of its own, dealt out over the tasks
+        meets = blocked.where("blocks > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        meets = meets.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+        # (grouping alone would leave them where the document is)
+        two = meets.repartition("doc", "lo", "hi").groupBy("doc", "mult", "lo", "hi").agg(
+            F.first(F.when(F.col("block") <= F.col("other"), F.col("e")), ignorenulls=True).alias("e"),
+            F.first(F.when(F.col("block") >= F.col("other"), F.col("e")), ignorenulls=True).alias("f"))
+        both = short.union(two.select("mult", "e", "f", (F.col("lo") == F.col("hi")).alias("same")))
+        one = both.select("mult", "f", "same", F.posexplode("e").alias("p", "a"))
+        one = one.select("mult", "a", F.explode(F.when(F.col("same"), F.slice("f", F.col("p") + 1, F.size("f"))).otherwise(F.col("f"))).alias("b"))
+        a, b = F.least("a.t", "b.t"), F.greatest("a.t", "b.t")
+        n = F.when(F.col("a.t") == F.col("b.t"), F.col("a.c") * (F.col("a.c") - 1) / 2).otherwise(F.col("a.c") * F.col("b.c"))
+        return (one.select(a.alias("a"), b.alias("b"), (n * F.col("mult")).cast("bigint").alias("n"))
                 .where(F.col("n") > 0).groupBy("a", "b").agg(F.sum("n").alias("count")))
 
     order = [F.col("count").desc(), F.col("a"), F.col("b")]

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens import vocab as V
@@ -23,6 +23,8 @@ from postlens.functions.text import (
     split_list,
 )
 from postlens.functions.numeric import py_round
+from postlens.functions.ordinals import ordinals
+from postlens.session import stored
 
 FEATURES = ["title_encoded", "location_encoded", "company_size_encoded",
             "skill_count", "premium_skill_count", "experience_level"]
@@ -127,10 +129,13 @@ def heuristic_salary(df: DataFrame, **cols) -> DataFrame:
 
 
 def encode(df: DataFrame, train: DataFrame, key: str, out: str) -> DataFrame:
-    """Position of ``key`` in the sorted distinct training values; unseen -> -1."""
-    classes = (train.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-               .withColumn("_pos", (F.dense_rank().over(Window.orderBy("_k")) - 1).cast("int")))
-    joined = df.join(classes, df[key].eqNullSafe(classes["_k"]), "left")
+    """Position of ``key`` in the sorted distinct training values; unseen -> -1.
+
+    The classes are a stored table: broadcast if its bytes allow, else joined by key, where AQE can split
+    a frequent key's rows (each has one class).
+    """
+    classes = stored(ordinals(train, key, "_pos"), "classes").withColumnRenamed(key, "_k")
+    joined = df.join(classes, df[key] == classes["_k"], "left")
     return joined.withColumn(out, F.coalesce(F.col("_pos"), F.lit(-1))).drop("_k", "_pos")
 
 

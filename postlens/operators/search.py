@@ -64,28 +64,40 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int =
 
 
 def keyset_page(df: DataFrame, keys: str | Sequence[str], after: Sequence[object] | object | None = None, limit: int = 50) -> DataFrame:
-    """H4 at scale: the next ``limit`` rows after a key (no offset scan).
+    """H4 at scale: the next ``limit`` rows after a key (no offset scan, no shuffle of rows).
 
     ``keys`` should tell rows apart: a page ends between two rows, and the next one begins after its last
-    row's whole key. Rows that share the whole key are told apart by a digest of the row, ``page_key``, which
-    is the last part of ``after``; pass the last row's values of (*keys, page_key). Nulls come first.
+    row's whole key. Rows that share the whole key are told apart by ``page_key``, a digest of the row and, for equal
+    rows, their number; it is the last part of ``after``, so pass the last row's values of (*keys, page_key). Nulls come first.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    nth = F.row_number().over(Window.partitionBy("_d").orderBy("_d"))
-    rows = df.withColumn("_d", F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))
-    rows = rows.withColumn("page_key", F.concat_ws("-", "_d", F.lpad(nth.cast("string"), 12, "0"))).drop("_d")
-    order = [*keys, "page_key"]
+    order = [F.col(c).asc_nulls_first() for c in keys]
+    digest = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    rows, seen, last = df, 0, None
     if after is not None:
-        after = list(after)
-        if len(after) != len(order):
+        *values, page_key = list(after)
+        if len(values) != len(keys):
             raise ValueError("after must hold a value for each key and the page_key")
+        last, number = page_key.rsplit("-", 1)
+        seen = int(number)  # rows equal to the last one that earlier pages have shown
         later, same = F.lit(False), F.lit(True)
-        for c, x in zip(order, after, strict=True):
+        for c, x in zip(keys, values, strict=True):
             bigger = F.col(c).isNotNull() if x is None else F.col(c) > F.lit(x)
             later = later | (same & F.coalesce(bigger, F.lit(False)))
             same = same & F.col(c).eqNullSafe(F.lit(x))
-        rows = rows.where(later)
-    return rows.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(limit)
+        rows = rows.where(later | (same & (digest >= last)))
+    most = limit + seen
+    # the page's last key by the keys alone: only rows up to it are digested
+    packed = F.struct(*[F.col(c) for c in keys])
+    bound = rows.select(*keys).orderBy(*order).limit(most).agg(F.max(packed).alias("_bound"))
+    near = rows.crossJoin(F.broadcast(bound)).where(packed <= F.col("_bound")).drop("_bound").withColumn("_d", digest)
+    first = near.orderBy(*order, "_d").limit(most)
+    nth = F.row_number().over(Window.partitionBy("_d").orderBy("_d"))
+    paged = first.withColumn("_n", nth)
+    if last is not None:
+        paged = paged.where((F.col("_d") != last) | (F.col("_n") > seen))
+    paged = paged.withColumn("page_key", F.concat_ws("-", "_d", F.lpad(F.col("_n").cast("string"), 12, "0"))).drop("_d", "_n")
+    return paged.orderBy(*order, "page_key").limit(limit)
 
 
 def section(analysis: DataFrame, name: str, n: int | None = None) -> DataFrame:

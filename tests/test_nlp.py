@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+import re
 from collections import Counter
 
 from postlens.operators import nlp as N
@@ -26,9 +28,24 @@ def test_cooccurrence_pruned_equals_brute_force(spark):
         assert got == want, seeds
 
 
-def _tfidf_reference(docs):
-    import re
+def test_cooccurrence_of_a_long_document_in_blocks(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(900)), "w1 w2 w2", "w1 w2"]
+    pairs = Counter()
+    for text, mult in zip(texts, (1, 2, 5), strict=True):
+        toks = text.split()
+        for i, j in itertools.combinations(range(len(toks)), 2):
+            pairs[tuple(sorted((toks[i], toks[j])))] += mult
+    want = sorted(pairs.items(), key=lambda kv: (-kv[1], kv[0]))[:40]
+    docs = spark.createDataFrame([(t, t.split(), m) for t, m in zip(texts, (1, 2, 5), strict=True)], "doc string, skills array<string>, mult bigint")
+    for block in (7, 64, 1000):
+        out = N.cooccurrence(docs, 40, "token", 16, block)
+        assert [((r["a"], r["b"]), r["count"]) for r in out.orderBy("rank").collect()] == want, block
+    plan = N.cooccurrence(docs, 40, "token", 16, 64)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(doc#\w+, lo#\w+, hi#", plan)  # pairs of blocks are dealt out
 
+
+def _tfidf_reference(docs):
     toks = [re.findall(r"[a-zA-Z0-9#+.\-]+", d.lower()) for d in docs]
     n = len(docs)
     df = Counter(t for ts in toks for t in set(ts))

@@ -1,6 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
+from postlens.functions.ordinals import ordinals
 from postlens.operators import salary as S
+from tests.conftest import JOBS
 
 
 def _pred(spark, **job):
@@ -85,3 +89,27 @@ def test_units_and_longest_role(spark):
     with pytest.raises(ValueError):
         S.to_lpa(F.col("x"), "euro")
     assert df.select(S.salary_role_col(F.col("title"), longest_first=True)).first()[0] == "senior data scientist"
+
+
+def test_ordinals_are_dense_ranks_without_one_task(spark):
+    rng = random.Random(2)
+    words = [None] + ["".join(rng.choice("abcé日Z") for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r["w"]: r["pos"] for r in ordinals(df, "w", "pos").collect()}
+    assert got == {w: i for i, w in enumerate(sorted({w for w in words if w}, key=lambda x: x.encode()))}
+    jobs = spark.createDataFrame(JOBS)
+    plan = S.build_features(S.with_salary_inputs(jobs), S.with_salary_inputs(jobs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan and "dense_rank" not in plan
+    assert ordinals(df.limit(0), "w", "pos").count() == 0
+
+
+def test_encoders_with_a_hot_city(spark):
+    """Half of the rows share a city; each row meets its one class, whether broadcast or shuffled."""
+    rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 'hot', concat('city', id % 1000)) as k")
+    want = {k: i for i, k in enumerate(sorted({"hot"} | {f"city{i}" for i in range(1, 1000, 2)}))}
+    for size in ("10m", "-1"):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        got = S.encode(rows, rows, "k", "e").groupBy("k", "e").count().collect()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert {r["k"]: r["e"] for r in got} == want and {r["k"]: r["count"] for r in got}["hot"] == 10_000

@@ -141,6 +141,24 @@ def test_pages(spark):
     assert sorted(seen, key=str) == sorted([tuple(r) for r in df.collect()], key=str)
 
 
+def test_pages_over_many_equal_rows_and_keys(spark):
+    rows = [(i % 3 if i % 7 else None, f"t{i % 2}", i % 5) for i in range(200)] + [(1, "same", 0)] * 30
+    df = spark.createDataFrame(rows, "k int, t string, i int").repartition(5)
+    for keys, size in ((["k"], 7), (["t", "k"], 50), (["k", "t", "i"], 11)):
+        seen, after = [], None
+        while got := H.keyset_page(df, keys, after, limit=size).collect():
+            seen += [tuple(r)[:3] for r in got]
+            after = (*[got[-1][c] for c in keys], got[-1]["page_key"])
+            assert len(got) <= size
+        assert sorted(seen, key=str) == sorted(rows, key=str)
+    at = [list(df.columns).index(c) for c in keys]
+    order = [tuple((r[i] is not None, r[i] if r[i] is not None else 0) for i in at) for r in seen]
+    assert order == sorted(order)
+    plan = H.keyset_page(df, "k", (1, "f" * 32 + "-000000000003"))._jdf.queryExecution().executedPlan().toString()
+    before_limit = plan.split("TakeOrderedAndProject")[-1]
+    assert "hashpartitioning" not in before_limit  # rows are not shuffled by their digest
+
+
 def test_generated_rows_do_not_depend_on_partitions(spark):
     from postlens.sources.generate import generate_postings
 
