@@ -55,10 +55,15 @@ def extract_skills_col(text: Column, mode: str = "lookaround", vocab: V.Vocab =
     return dictionary_terms(F.coalesce(text, F.lit("")), skill_terms(vocab, aliases, variants), mode)
 
 
+def substring_skills_col(text: Column, terms: Sequence[str] = V.VOCAB.tech_skills) -> Column:
+    """C1 per text: the terms that its lower-cased form contains."""
+    return dictionary_terms(text, [(t, t) for t in terms], "substring")
+
+
 def substring_skill_counts(df: DataFrame, text_col: str = "description",
                            terms: Sequence[str] = V.VOCAB.tech_skills) -> DataFrame:
     """Per term, the number of rows whose lower-cased text contains it (count > 0)."""
-    hits = dictionary_terms(F.col(text_col), [(t, t) for t in terms], "substring")
+    hits = substring_skills_col(F.col(text_col), terms)
     return (df.where(F.col(text_col).isNotNull()).select(F.explode(hits).alias("skill"))
             .groupBy("skill").agg(F.count(F.lit(1)).alias("count")))
 

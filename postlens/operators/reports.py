@@ -1,10 +1,10 @@
 """Composite analysis and report tables.
 
 The full analysis (D22) is one long frame ``(section, rank, key, value)``.
-Its categorical sections come from a single ``GROUPING SETS`` aggregate --
-one scan and one shuffle for titles, companies, locations, job types,
-experience classes and the totals -- plus one scan for the skills found in
-descriptions. Every report below is a filter or a small top-k over it.
+Its sections come from a single aggregate over (section, key) -- one scan and
+one shuffle for titles, companies, locations, job types, experience classes,
+the skills found in descriptions and the totals. Every report below is a filter
+or a small top-k over it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from postlens.functions.text import UNICODE, first_contains_label, first_regex_l
 from postlens.functions.numeric import py_round
 from postlens.operators import nlp as N
 from postlens.operators import trends as T
-from postlens.operators.extract import substring_skill_counts
+from postlens.operators.extract import substring_skill_counts, substring_skills_col
 from postlens.session import cut_lineage, stored
 
 # Report sentence templates, as worded in the reference.
@@ -77,26 +77,17 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
         .alias("experience"),
         (F.col("_paid") if salary_col else
          F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + UNICODE + V.SALARY_TEXT_PATTERN), 0)))
-        .alias("_sal"), *extra_cols)
+        .alias("_sal"), substring_skills_col(F.col("description"), terms).alias("_skills"), *extra_cols)
     sections = dict(SECTIONS, **(EXTRA_SECTIONS if extras else {}))
-    cols = list(sections)
-    g = x.groupingSets([[c] for c in cols] + [[]], *cols).agg(
-        F.count(F.lit(1)).alias("value"), F.sum("_sal").alias("_sal"), F.grouping_id().alias("_gid"))
-    # Materialise the aggregate once (reliable checkpoint in the shared folder).
-    # Without it, each section's filter on the grouping id is pushed below the
-    # aggregate and every section would rescan and re-expand the postings.
-    # Its size is the number of distinct keys, not the number of postings.
+    # One row per posting and section with that section's key alone: one scan, narrow rows, partial sums before the shuffle.
+    one = lambda section, key, n: F.struct(F.lit(section).alias("section"), key.alias("key"), n.cast("bigint").alias("n"))
+    single = [F.when(F.col(c).isNotNull(), one(name, F.col(c), F.lit(1))) for c, name in sections.items()]
+    single += [one("_jobs", F.lit(""), F.lit(1)), one("_salary", F.lit(""), F.col("_sal"))]
+    rows = F.concat(F.array_compact(F.array(*single)), F.transform("_skills", lambda t: one("skills", t, F.lit(1))))
+    g = x.select(F.explode(rows).alias("r")).groupBy("r.section", "r.key").agg(F.sum("r.n").alias("value"))
+    # Kept once in the shared folder (a row per distinct key): every section below reads it.
     g = cut_lineage(g)
-    full = (1 << len(cols)) - 1
-    gid_of = {c: full ^ (1 << (len(cols) - 1 - i)) for i, c in enumerate(cols)}
-    pieces = []
-    for c in cols:
-        part = g.where((F.col("_gid") == gid_of[c]) & F.col(c).isNotNull()).select(
-            F.lit(sections[c]).alias("section"), F.col(c).alias("key"), "value")
-        pieces.append(part)
-    by_key = pieces[0]
-    for p in pieces[1:]:
-        by_key = by_key.unionByName(p)
+    by_key = g.where(F.col("section").isin(list(sections.values()))).select("section", "key", "value")
     # Per-section rank over aggregated keys. The open-ended sections (titles,
     # companies, locations: millions of keys at scale) use a plain rank <= N
     # filter, which plans as a partial WindowGroupLimit before the shuffle; the
@@ -119,19 +110,20 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
         F.count(F.lit(1)).alias("value")).select(
         F.lit("unique").alias("section"), F.lit(None).cast("bigint").alias("rank"),
         F.regexp_replace("section", "^top_", "").alias("key"), "value")
-    totals = g.where(F.col("_gid") == full).select(
+    total = g.where(F.col("section").isin("_jobs", "_salary")).agg(
+        F.coalesce(F.sum(F.when(F.col("section") == "_jobs", F.col("value"))), F.lit(0)).alias("value"),
+        F.coalesce(F.sum(F.when(F.col("section") == "_salary", F.col("value"))), F.lit(0)).alias("_sal"))
+    totals = total.select(
         F.explode(F.array(
             F.struct(F.lit("metadata").alias("section"), F.lit("total_jobs").alias("key"), F.col("value").alias("value")),
             F.struct(F.lit("salary").alias("section"), F.lit("total_with_salary" if salary_col else "total_mentions").alias("key"),
-                     F.coalesce(F.col("_sal"), F.lit(0)).cast("bigint").alias("value")),
+                     F.col("_sal").alias("value")),
             *([F.struct(F.lit("salary_percentage").alias("section"),
                         py_round(F.try_divide(F.col("_sal") * 100.0, F.col("value")), 1).cast("string").alias("key"),
                         F.lit(None).cast("bigint").alias("value"))] if salary_col else []))).alias("t")).select(
         "t.section", F.lit(None).cast("bigint").alias("rank"), "t.key", "t.value")
-    skills = substring_skill_counts(postings, terms=terms).select(
-        F.lit("skills").alias("section"),
-        F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("skill"))).cast("bigint").alias("rank"),
-        F.col("skill").alias("key"), F.col("count").alias("value"))
+    skills = g.where(F.col("section") == "skills").select(
+        "section", F.row_number().over(Window.orderBy(F.col("value").desc(), F.col("key"))).cast("bigint").alias("rank"), "key", "value")
     cols_out = ["section", "rank", "key", "value"]
     if text_job_types:
         from postlens.operators.extract import job_types_from_text

@@ -21,6 +21,7 @@ from pyspark.sql.types import (
 )
 
 from postlens.operators.clean import keep_first, keep_last
+from postlens.sources.json_array import json_records
 
 # Postings schema (union over the producers); lists are arrays in JSON files and
 # comma strings in CSV files.
@@ -53,8 +54,7 @@ def read_postings(spark: SparkSession, path: str, fmt: str | None = None, schema
     """A1 + A3: read CSV / JSON / parquet postings by suffix, with a given schema and no inference pass.
 
     A JSON file holds an array of records or an object with a ``jobs`` array, whatever else stands beside
-    it; list fields may be lists or comma strings. One ``multiLine`` file is one task: land large
-    batches as several files or as parquet.
+    it; list fields may be lists or comma strings. A large file is read by many tasks (:mod:`postlens.sources.json_array`).
     """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt == "csv":
@@ -64,10 +64,7 @@ def read_postings(spark: SparkSession, path: str, fmt: str | None = None, schema
         target = schema or postings_schema(True)
         lists = [f.name for f in target.fields if isinstance(f.dataType, ArrayType)]
         raw = StructType([StructField(f.name, StringType() if f.name in lists else f.dataType) for f in target.fields])
-        both = StructType([*raw.fields, StructField("jobs", ArrayType(raw))])
-        rows = spark.read.schema(both).option("multiLine", True).json(path)
-        one = F.struct(*[F.col(f.name) for f in raw.fields])
-        rows = rows.select(F.explode(F.when(F.col("jobs").isNotNull(), F.col("jobs")).otherwise(F.array(one))).alias("j")).select("j.*")
+        rows = json_records(spark, path).select(F.from_json("text", raw).alias("j")).select("j.*")
         return rows.select(*[_list_from_text(f.name) if f.name in lists else F.col(f.name) for f in target.fields])
     if fmt == "parquet":
         return spark.read.parquet(path)

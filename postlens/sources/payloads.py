@@ -1,28 +1,28 @@
 """Flatten landed API payloads into postings (A4, A5).
 
 The network client is out of scope; these read the JSON the client landed
-and turn it into postings with Spark expressions.
+and turn it into postings with Spark expressions; a large file is read by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens import vocab as V
 from postlens.operators.extract import extract_skills_col
+from postlens.sources.json_array import json_records
 
 
 def flatten_list_payload(spark: SparkSession, path: str, limit: int = 100, as_of: str | None = None) -> DataFrame:
-    """A4: a JSON array whose first element is metadata; take elements 1..limit.
+    """A4: a JSON array of objects of which the first is metadata; take objects 1..limit.
 
     Skills are the boundary-mode matches in the description, plus those in
     each tag; the description is cut to 500 characters.
     """
-    raw = spark.read.text(path, wholetext=True)
-    items = raw.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "item"))
-    items = items.where((F.col("pos") >= 1) & (F.col("pos") <= limit))
-    rec = F.from_json("item", "id string, position string, company string, location string, description string, "
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("block", "seq"))
+    items = json_records(spark, path).withColumn("nth", nth).where(F.col("nth") <= limit + 1).where("nth > 1")
+    rec = F.from_json("text", "id string, position string, company string, location string, description string, "
                               "tags array<string>, salary_min double, salary_max double, date string, url string")
     j = items.select(rec.alias("r")).select("r.*")
     desc = F.coalesce("description", F.lit(""))
@@ -48,11 +48,9 @@ def flatten_results_payload(spark: SparkSession, path: str, city_key: str, as_of
     """A5: ``{"results": [...]}`` with nested company / location names, city from the dimension."""
     dim = {k: (c, s) for k, c, s in V.CITY_DIM}
     city, state = dim.get(city_key, (city_key.title(), ""))
-    schema = ("results array<struct<id: string, title: string, company: struct<display_name: string>, "
-              "location: struct<display_name: string>, description: string, salary_min: double, "
-              "salary_max: double, created: string, redirect_url: string>>")
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    items = raw.select(F.explode("results").alias("r")).select("r.*")
+    schema = ("id string, title string, company struct<display_name: string>, location struct<display_name: string>, "
+              "description string, salary_min double, salary_max double, created string, redirect_url string")
+    items = json_records(spark, path, "results").select(F.from_json("text", schema).alias("r")).select("r.*")
     desc = F.coalesce(F.col("description"), F.lit(""))
     day = F.lit(as_of) if as_of else F.date_format(F.current_date(), "yyyy-MM-dd")
 
