@@ -5,7 +5,7 @@ two non-space characters, nor a letter with the punctuation after it. A batch is
 there, equal units are encoded once (a worker keeps a bounded number of them for
 its next batches), and the ids are gathered back. The name of an added token (as
 "<|endoftext|>") is a unit of its own, as the library takes it out of a text first. The result equals encoding each text as a whole
-(tests/llm/test_tokens.py compares them).
+(tests/llm/test_llm_tokens.py compares them).
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Secret scan with dictionary-primed zstandard novelty (operator 1).
 
 Three fixed kinds are found by pattern. The method adds strings that no pattern knows: a run of
-16 or more value characters, with letters and digits, that follows a sensitive word
+16 or more value characters, letters with digits or of both cases, that follows a sensitive word
 closely on its line (it begins within ``reach`` characters behind any such word; every such run
 is measured, once). Its novelty is what it adds, per character, to the compressed size of the
 text around it, under zstandard primed with a dictionary of the corpus's own
@@ -32,6 +32,7 @@ HEX = r"[0-9a-f]{32,}"
 # words that make what follows them sensitive
 SENSITIVE = r"passw|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|signature|session[_-]?id|conn(?:ection)?[_-]?str"
 _VALUE = r"[A-Za-z0-9+/_.=~-]{16,}"
+_MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z]")
 _IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_]{3,47}")
 _PIECE = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
@@ -93,7 +94,8 @@ class Scanner:
 
         self.assign, self.access, self.hex = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
         self.sensitive = re.compile(rf"(?=({SENSITIVE}))", re.I | re.A)  # words may share letters
-        self.value = re.compile(rf"(?<![A-Za-z0-9+/_.=~@-]){_VALUE}(?![A-Za-z0-9+/_.=~@-])")
+        # runs beside an "@" are parts of addresses, but for the password of "user:password@host"
+        self.value = re.compile(rf"(?<![A-Za-z0-9+/_.=~@-]){_VALUE}(?![A-Za-z0-9+/_.=~@-])|(?<=:){_VALUE}(?=@)")
         self.threshold, self.around, self.reach = threshold, around, reach
         primer = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False)
@@ -121,7 +123,7 @@ class Scanner:
         base = list(found)
         for a, b in self.candidates(text):
             value = text[a:b]
-            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(s < b and a < e for s, _, e in base) and self.novelty(text, a, b) >= self.threshold:
+            if _MIXED.search(value) and not any(s < b and a < e for s, _, e in base) and self.novelty(text, a, b) >= self.threshold:
                 found.append((a, 3, b))
         return sorted(found)
 

@@ -60,6 +60,18 @@ def test_novel_strings_are_reported_and_plain_ones_not(spark):
     assert not got[2].spans and not got[3].spans
 
 
+def test_passwords_in_addresses_and_runs_without_digits(spark):
+    a, b = "q7Zt9LmXw2RbVk8sYc4NfHp6", "qZtLmXwRbVksYcNfHpJdGuTeAqWxEvRyBzKo"
+    texts = [
+        (1, f"conn_str postgres://svc:{a}@db.host/x"),
+        (2, f"credential {b} end"),
+        (3, "credential process_billing_account_number end, credential thisisaplainlowercaseword"),
+        (4, f"credential someone.with.a.long.{a}@mail.example"),
+    ]
+    got = {r.doc_id: [s.value for s in r.spans] for r in secrets.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: [a], 2: [b], 3: [], 4: []}
+
+
 def test_every_value_run_in_reach_is_measured(spark):
     a, b, c = "q7Zt9LmXw2RbVk8sYc4NfHp6JdGu3TeA", "Xc5vBn8mKl2jHg4fDs9aPo7iUy3tRe6w", "Wq8nTz3kLr6yHd5xMf9bSg2vJc7pEa4u"
     texts = [
