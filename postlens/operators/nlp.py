@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from postlens import vocab as V
+from postlens.session import stored
 from postlens.functions.numeric import py_round
 from postlens.functions.text import py_strip
 
@@ -160,6 +161,7 @@ def skill_clusters(sims: DataFrame, vocab: DataFrame, threshold: float = V.CLUST
     A term joins the first earlier leader that it is similar to. The pass is
     a fold over one row: the adjacency lists of the vocabulary (bounded by the
     TF-IDF's ``max_features``), in term order. Fewer than 3 terms give no cluster.
+    :func:`leader_clusters` does the same in rounds for larger vocabularies.
     """
     lists = sims.where(F.col("sim") >= threshold).groupBy("i").agg(F.array_sort(F.collect_list("j")).alias("js"))
     one = lists.agg(F.array_sort(F.collect_list(F.struct("i", "js"))).alias("lists"))
@@ -180,6 +182,39 @@ def skill_clusters(sims: DataFrame, vocab: DataFrame, threshold: float = V.CLUST
     return named.crossJoin(F.broadcast(enough)).where("enough").select("leader", "member", "member_order")
 
 
+def leader_clusters(edges: DataFrame) -> DataFrame:
+    """E7 for vocabularies of any size: (leader, member, member_order) of the graph ``edges(i, j)``, i < j, in number order.
+
+    The leaders of the fold in :func:`skill_clusters` are the lexicographically first independent set. Each round decides, all
+    at once, the nodes whose smaller neighbours are all members (they lead) and those with a leading smaller
+    neighbour (they are members), and drops their edges; a member joins its smallest leader. Rounds are few (they
+    follow the longest chain of undecided neighbours) and each is stored in the shared folder.
+    """
+    every = stored(edges.select("i", "j").distinct(), "edges")
+    nodes = every.select(F.explode(F.array("i", "j")).alias("v")).distinct()
+    open_, waiting, leads = every, stored(nodes, "nodes"), []
+    while waiting.limit(1).count():
+        # no undecided smaller neighbour: a leader
+        new = stored(waiting.join(open_.select(F.col("j").alias("v")).distinct(), "v", "left_anti"), "leaders")
+        leads.append(new)
+        members = open_.join(new.withColumnRenamed("v", "i"), "i", "left_semi").select(F.col("j").alias("v")).distinct()
+        decided = stored(new.union(members), "decided")
+        waiting = stored(waiting.join(decided, "v", "left_anti"), "waiting")
+        for end in ("i", "j"):
+            open_ = open_.join(decided.withColumnRenamed("v", end), end, "left_anti")
+        open_ = stored(open_, "open")
+    if not leads:
+        return edges.select(F.col("i").alias("leader"), F.col("j").alias("member"), F.lit(0).alias("member_order")).limit(0)
+    leaders = leads[0]
+    for x in leads[1:]:
+        leaders = leaders.union(x)
+    joined = every.join(leaders.withColumnRenamed("v", "i"), "i", "left_semi").groupBy(F.col("j").alias("member")).agg(F.min("i").alias("leader"))
+    own = joined.select(F.col("leader").alias("member"), "leader").distinct()
+    rows = joined.select("member", "leader").union(own)
+    nth = F.row_number().over(Window.partitionBy("leader").orderBy("member")) - 1
+    return rows.select("leader", "member", nth.alias("member_order"))
+
+
 def cooccurrence(docs: DataFrame, top: int = 15, mode: str = "token", seed_tokens: int = 64, block: int = 256) -> DataFrame:
     """The most frequent unordered pairs inside documents, with multiplicity.
 

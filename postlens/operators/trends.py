@@ -7,7 +7,7 @@ snapshot dates only -- a few hundred rows -- never on the raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.numeric import py_round
@@ -49,6 +49,25 @@ def run_snapshot(df: DataFrame, ts_col: str, lists: dict[str, str], n: int = 10)
     return out
 
 
+def sketch_snapshot(df: DataFrame, ts_col: str, lists: dict[str, str], lg_k: int = 12) -> DataFrame:
+    """I1, mergeable: (snapshot_date, list, sketch), a HyperLogLog sketch of each list's keys per day.
+
+    A sketch of 2^lg_k buckets takes some KB, and the union of any days' sketches is the sketch of their rows together, so
+    distinct counts over a span need no raw rows. Its standard error is about 1.04 / sqrt(2^lg_k) (1.6 % for 12). Exact
+    daily counts stay in :func:`run_snapshot`.
+    """
+    day = F.to_date(ts_col).alias("snapshot_date")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("list"), F.col(c).cast("string").alias("key")) for name, c in lists.items()]))
+    keys = df.select(day, each.alias("x")).select("snapshot_date", "x.list", "x.key").where("key is not null")
+    return keys.groupBy("snapshot_date", "list").agg(F.hll_sketch_agg("key", lg_k).alias("sketch"))
+
+
+def distincts_over(sketches: DataFrame, span: Column) -> DataFrame:
+    """(span, list, estimate): distinct keys of each list over the days of each ``span`` (an expression of snapshot_date)."""
+    union = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy(span.alias("span"), "list").agg(union.alias("estimate"))
+
+
 def _latest_days(snap: DataFrame, days: int | None) -> DataFrame:
     """Snapshots of the last ``days`` days before the newest one (all when None)."""
     if days is None:

@@ -77,6 +77,16 @@ def q_emerging_skills(spark, sf_dir):
     return out.select("skill", "frequency", "tfidf_score", F.col("rank").cast("int").alias("rank"))
 
 
+@query("emerging_skills_fallback", "E5", oracle=_P + ", " + _DOCS + (
+    ", fr AS (SELECT s AS skill, sum(mult) AS frequency FROM (SELECT unnest(sk) AS s, mult FROM docs) GROUP BY s "
+    "ORDER BY frequency DESC, skill LIMIT 100) SELECT skill, CAST(frequency AS BIGINT) AS frequency, 0.0::DOUBLE AS tfidf_score, "
+    "CAST(row_number() OVER (ORDER BY frequency DESC, skill) AS INTEGER) AS rank FROM fr "
+    f"WHERE skill NOT IN (SELECT unnest({Q.str_list(V.VOCAB.known_skills())})) AND length(skill) > 1 ORDER BY frequency DESC, skill LIMIT 20"))
+def q_emerging_skills_fallback(spark, sf_dir):
+    out = N.emerging_skills(_docs(spark, sf_dir), None)
+    return out.select("skill", "frequency", "tfidf_score", F.col("rank").cast("int").alias("rank"))
+
+
 @query("term_similarity", "E6", oracle=_P + ", " + _DOCS + ", " + _TFIDF + (
     ", g AS (SELECT a.idx AS i, b.idx AS j, sum(a.w * b.w * a.mult) AS g FROM w a JOIN w b ON a.doc = b.doc AND a.idx <= b.idx "
     "GROUP BY 1, 2), d AS (SELECT i AS k, sqrt(g) AS norm FROM g WHERE i = j) "

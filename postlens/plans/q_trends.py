@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.operators import trends as T
+from postlens.operators.search import latest_partition
 from postlens.plans.registry import query
+from postlens.session import stored
 from postlens.sources import fixtures
 
 _SNAP = ("snap AS (SELECT CAST(ts AS DATE) AS snapshot_date, CAST(user_id AS VARCHAR) AS key, count(*) AS count FROM events "
@@ -46,6 +48,22 @@ def q_run_snapshot(spark, sf_dir):
     return out
 
 
+@query("latest_snapshot", "H6", oracle="WITH " + _SNAP + " SELECT key, count FROM snap WHERE snapshot_date = (SELECT max(snapshot_date) FROM snap)")
+def q_latest_snapshot(spark, sf_dir):
+    return latest_partition(_snap(spark, sf_dir)).select("key", "count")
+
+
+# The estimate is compared with the exact count: three standard errors of a sketch with 2^12 buckets are 4.9 %.
+@query("sketched_distincts", "I1", oracle=(
+    "SELECT date_trunc('week', ts)::DATE AS span, count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY 1"))
+def q_sketched_distincts(spark, sf_dir):
+    ev = fixtures.table(spark, sf_dir, "events")
+    week = F.to_date(F.date_trunc("week", F.col("snapshot_date"))).alias("span")
+    estimate = T.distincts_over(stored(T.sketch_snapshot(ev, "ts", {"users": "user_id"}), "sketches"), week)
+    exact = ev.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("span")).agg(F.count_distinct("user_id").alias("exact"))
+    return exact.join(estimate, "span").select("span", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.049 * F.col("exact")).alias("close"))
+
+
 @query("compare_periods", "I2", oracle="WITH " + _SNAP + (
     ", r AS (SELECT s.*, d.date_rank FROM snap s JOIN dates d USING (snapshot_date) WHERE d.date_rank <= 2), "
     "rt AS (SELECT s.*, d.date_rank FROM tops s JOIN dates d USING (snapshot_date) WHERE d.date_rank <= 2), "

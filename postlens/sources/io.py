@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -178,6 +178,27 @@ def save_postings(df: DataFrame, path: str, fmt: str = "parquet", snapshot_col:
         w.parquet(path)
 
 
+def save_with_report(df: DataFrame, path: str, snapshot_col: str | None = None) -> DataFrame:
+    """A9 + B10: save cleaned postings as parquet and return their quality report (:func:`data_quality_report`) without cleaning again.
+
+    Counts and means are observed while the rows are written; the distinct counts read the written columns.
+    """
+    seen = Observation("quality")
+    watched = df.observe(seen, F.count(F.lit(1)).alias("total_records"), F.avg("skill_count").alias("avg_skills_per_job"),
+                         F.count_if(F.col("skill_count") == 0).alias("jobs_with_no_skills"))
+    save_postings(watched, path, snapshot_col=snapshot_col)
+    own, back = seen.get, df.sparkSession.read.schema(df.schema).parquet(path)
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, ArrayType)]
+    distinct = back.agg(F.count_distinct("title_standardized").alias("unique_titles"), F.count_distinct("company").alias("unique_companies"),
+                        F.count_distinct("city_standardized").alias("unique_cities"))
+    rows = back.select(*plain).distinct().agg(F.count(F.lit(1)).alias("_distinct"))
+    total = F.lit(own["total_records"]).cast("bigint")
+    return distinct.crossJoin(rows).select(
+        total.alias("total_records"), "unique_titles", "unique_companies", "unique_cities",
+        F.lit(own["avg_skills_per_job"]).cast("double").alias("avg_skills_per_job"),
+        F.lit(own["jobs_with_no_skills"]).cast("bigint").alias("jobs_with_no_skills"), (total - F.col("_distinct")).alias("duplicate_count"))
+
+
 def export_all(df: DataFrame, path: str, ts_col: str, exported_at: str, fmt: str = "json") -> None:
     """A10: every posting newest first, and a manifest (exported_at, total_jobs) beside the part files."""
     ordered = df.orderBy(F.col(ts_col).desc_nulls_last())

@@ -99,3 +99,24 @@ def test_emerging(spark):
     got = [r["skill"] for r in N.emerging_skills(docs, N.mean_tfidf(weights, n)).collect()]
     assert "newtool" in got and "python" not in got
     assert [r["skill"] for r in N.emerging_skills(docs, None).collect()] == got
+
+
+def _fold(edges):
+    later, used, out = {}, set(), set()
+    for i, j in edges:
+        later.setdefault(i, set()).add(j)
+    for i in sorted(later):
+        if i not in used:
+            members = [i, *sorted(later[i] - used)]
+            used |= set(members)
+            out |= {(i, m, k) for k, m in enumerate(members)} if len(members) > 1 else set()
+    return out
+
+
+def test_leader_clusters_equal_the_fold(spark):
+    rng = random.Random(6)
+    for n, m in ((12, 14), (60, 150), (20_000, 30_000)):
+        edges = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}
+        df = spark.createDataFrame([*edges, next(iter(edges))], "i int, j int")
+        assert {(r.leader, r.member, r.member_order) for r in N.leader_clusters(df).collect()} == _fold(edges)
+    assert N.leader_clusters(df.limit(0)).count() == 0

@@ -164,3 +164,16 @@ def test_generated_rows_do_not_depend_on_partitions(spark):
 
     a, b = (sorted(tuple(map(str, r)) for r in generate_postings(spark, 200, partitions=n).collect()) for n in (1, 5))
     assert a == b and len({r[1] for r in a}) > 3
+
+
+def test_report_on_the_write_equals_the_report(spark):
+    from postlens.operators import clean as C
+
+    rows = [dict(j, skills=None if i % 4 == 0 else j["skills"]) for i, j in enumerate(JOBS * 3)]
+    schema = ", ".join(f"{k} string" for k in JOBS[0])
+    for part in (rows, []):
+        cleaned = C.clean_postings(spark.createDataFrame(part, schema), dedup=False)
+        path = tempfile.mkdtemp(prefix="pl-report-") + "/x"
+        got, want = IO.save_with_report(cleaned, path), C.data_quality_report(cleaned)
+        assert got.columns == want.columns and got.collect() == want.collect()
+        assert spark.read.schema(cleaned.schema).parquet(path).count() == len(part)

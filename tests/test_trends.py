@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from postlens.operators import trends as T
 
 
@@ -50,3 +52,12 @@ def test_top_ten_is_what_a_snapshot_holds(spark):
     assert full == {"k11": (89, 200), "k09": (91, 0), "k10": (90, 0)}
     assert "k10" not in {r["key"] for r in T.series(snap).collect()} and "k10" in {r["key"] for r in T.series(snap, full_counts=True).collect()}
     assert "old" in {r["key"] for r in T.series(snap).collect()} and "old" not in {r["key"] for r in T.series(snap, days=30).collect()}
+
+
+def test_sketches_of_days_make_those_of_spans(spark):
+    rows = spark.range(60_000).selectExpr("timestamp_seconds(id * 60) as ts", "cast(id * 7919 % 9001 as string) as user", "if(id % 3 = 0, null, id % 5) as kind")
+    days = T.sketch_snapshot(rows, "ts", {"users": "user", "kinds": "kind"})
+    got = {(r.span, r.list): r.estimate for r in T.distincts_over(days, F.month("snapshot_date")).collect()}
+    for r in rows.groupBy(F.month("ts").alias("m")).agg(F.count_distinct("user").alias("users"), F.count_distinct("kind").alias("kinds")).collect():
+        assert abs(got[r.m, "users"] - r.users) <= 0.049 * r.users and got[r.m, "kinds"] == r.kinds
+    assert {r.estimate for r in T.distincts_over(days, F.lit(1)).where("list = 'kinds'").collect()} == {5}
