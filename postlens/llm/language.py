@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.columns import distinct_values, slices, text_buffers
+from postlens.llm.columns import binary_buffers, distinct_values, slices, text_buffers
 from postlens.llm.quality import held_out
 from postlens.llm.sums import SCHEMA, blocks, matrix_sum
 from postlens.llm.worker import trim
@@ -52,22 +52,21 @@ class Pieces:
             column = pa.array([x.decode("utf-8", "replace") if x is not None else None for x in column.cast(pa.large_binary()).to_pylist()], pa.large_string())
             data, offsets = text_buffers(column)
         chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        head = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        self.rows = head[offsets]  # where each text begins, in characters
+        inner = np.flatnonzero((data & 0xC0) == 0x80)
+        self.rows = offsets - np.searchsorted(inner, offsets)  # where each text begins, in characters
         used = np.flatnonzero(np.bincount(chars, minlength=1))
-        alphabet = np.zeros(used[-1] + 1 if len(used) else 1, bool)
-        alphabet[[c for c in used.tolist() if chr(c).isalpha()]] = True
-        letter = alphabet[chars]
-        numbers = np.zeros(len(alphabet), np.int8)
-        numbers[used] = _NUMBERS[np.searchsorted(_STARTS, used, "right")]
-        script = np.where(letter, numbers[chars], 0).astype(np.int8)
+        is_letter = np.array([chr(c).isalpha() for c in used.tolist()], bool)
+        kinds_of = np.zeros(used[-1] + 1 if len(used) else 1, np.int8)  # 0: no letter, else the number of its script and 1
+        kinds_of[used] = np.where(is_letter, _NUMBERS[np.searchsorted(_STARTS, used, "right")] + 1, 0)
+        kind = kinds_of[chars]
+        letter = kind > 0
         solid = ~((chars == 32) | (chars >= 9) & (chars <= 13))
         edge = np.zeros(len(chars) + 1, bool)
         edge[self.rows] = True
         first = solid.copy()
         first[1:] &= ~solid[:-1] | edge[1:-1]
         turn = np.zeros(len(chars), bool)
-        turn[1:] = letter[1:] & letter[:-1] & (script[1:] != script[:-1])
+        turn[1:] = letter[1:] & letter[:-1] & (kind[1:] != kind[:-1])
         first |= turn & solid
         start = np.flatnonzero(first)
         last = solid.copy()
@@ -81,23 +80,26 @@ class Pieces:
         self.start, self.end = start, end
         self.bounds = np.searchsorted(start, self.rows)  # of each text among the pieces
         keep = np.zeros(len(chars) + 1, np.int8)
-        np.add.at(keep, start, 1)
-        np.add.at(keep, end, -1)
+        keep[start] += 1  # no place begins, or ends, two pieces
+        keep[end] -= 1
         packed = chars[np.cumsum(keep[:-1], dtype=np.int8).astype(bool)]
         self.index, kinds = distinct_values(packed.view(np.uint8), np.concatenate([[0], np.cumsum(end - start)]) * 4)
-        count = np.concatenate([[0], np.cumsum(letter)])
         n = len(kinds)
         one = np.zeros(n, np.int64)
         one[self.index] = np.arange(len(self.index))  # some place where the distinct piece stands
-        self.letters = (count[end] - count[start])[one]
-        at = np.searchsorted(np.flatnonzero(letter), start[one]) if n else one
-        where = np.append(np.flatnonzero(letter), 0)
-        self.script = np.where(self.letters > 0, script[where[at]], 0) if n else np.zeros(0, np.int8)
-        self.text = b" \0\0\0" + b"".join(k + b" \0\0\0" for k in kinds.to_pylist())
+        at = np.flatnonzero(letter)
+        first, last = np.searchsorted(at, start[one]), np.searchsorted(at, end[one])
+        self.letters = last - first
+        self.script = np.where(self.letters > 0, kind[np.append(at, 0)[first]] - 1, 0) if n else np.zeros(0, np.int8)
+        # the distinct pieces, a blank before and behind each
+        flat, ends = binary_buffers(kinds)
+        size = np.diff(ends) // 4
+        self.text = np.full(int(size.sum()) + n + 1, 32, np.uint32)
+        self.text[np.arange(size.sum()) + np.repeat(np.arange(1, n + 1), size)] = flat[ends[0]:ends[-1]].view(np.uint32) if n else 0
 
     def grams(self, bits: int):
         """(bucket, distinct piece) of each n-gram of the lower-cased distinct pieces with a blank on either side, order by order."""
-        c = np.frombuffer(self.text.decode("utf-32-le").lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
+        c = np.frombuffer(self.text.tobytes().decode("utf-32-le").lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
         blank = c == 32
         piece = np.cumsum(blank) - 1
         value, inner = np.zeros(len(c), np.uint64), np.zeros(len(c), bool)
@@ -119,13 +121,13 @@ def _bits(languages: int) -> int:
 
 
 class Model:
-    """Languages, log scores of n-gram buckets [buckets, languages], and the candidates of each script [scripts, languages]."""
+    """Languages, log scores of n-gram buckets [languages, buckets], and the candidates of each script [scripts, languages]."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, letters: np.ndarray):
         self.languages = languages
         total = counts.sum(0) + 0.5 * len(counts)
         self.bits = int(np.log2(len(counts)))
-        self.scores = (np.log((counts + 0.5) / total) / len(ORDERS)).astype(np.float32)
+        self.scores = np.ascontiguousarray((np.log((counts + 0.5) / total) / len(ORDERS)).T, np.float32)
         able = letters >= WRITES * np.maximum(1, letters.sum(0))
         able[~able.any(1)] = True
         able[0] = True
@@ -137,7 +139,7 @@ class Model:
         out = np.zeros((n, k))
         for bucket, piece in pieces.grams(self.bits):
             for j in range(k):
-                out[:, j] += np.bincount(piece, self.scores[bucket, j], n)[:n]
+                out[:, j] += np.bincount(piece, self.scores[j][bucket], n)[:n]
         out[~self.able[pieces.script]] += BARRED
         out[pieces.letters == 0] = 0
         return out

@@ -90,7 +90,7 @@ def test_pieces():
 
 def test_grams_are_those_of_each_piece():
     p = L.Pieces(pa.array(["Ab c", "abcd ñ"]))
-    names = p.text.decode("utf-32-le").lower().split()
+    names = p.text.tobytes().decode("utf-32-le").lower().split()
     count = {n: 0 for n in names}
     for _, piece in p.grams(16):
         for i in piece.tolist():
