@@ -131,25 +131,42 @@ TEXT_FIELDS = ("title", "description", "location", "company", "job_type")
 SALTS = 16
 
 
-def alert_criteria(alerts: DataFrame) -> DataFrame:
-    """alert_id (a digest), the lower-cased criteria, and ``looks``: per text criterion its (field, needle) pairs in order.
+RULE = ("title_keywords", "skills", "location", "company", "min_salary_lpa", "job_type")
+#: Alert names that share their criteria are dealt out over the tasks in lots of about so many.
+NAMES_A_LOT = 4096
 
-    Repeated alert rows count once. An alert with an empty list matches nothing and is left out. A criterion with
-    an empty needle holds for every posting, so it looks for nothing.
-    """
+
+def _digest(*columns: str) -> Column:
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+def _lowered_alerts(alerts: DataFrame) -> DataFrame:
+    """Alert names and lower-cased criteria, without the alerts that have an empty list (they match nothing)."""
     low_list = lambda c: F.transform(F.col(c).cast("array<string>"), lambda x: F.lower(x)).alias(c)
     low = lambda c: F.lower(c).alias(c)
     a = alerts.select("alert_name", low_list("title_keywords"), low_list("skills"), low("location"), low("company"),
                       F.col("min_salary_lpa").cast("double").alias("min_salary_lpa"), low("job_type"))
-    a = a.where((F.coalesce(F.size("title_keywords"), F.lit(1)) != 0) & (F.coalesce(F.size("skills"), F.lit(1)) != 0))
-    a = a.withColumn("alert_id", F.md5(F.to_json(F.struct(*a.columns), {"ignoreNullFields": "false"}))).dropDuplicates(["alert_id"])
+    return a.where((F.coalesce(F.size("title_keywords"), F.lit(1)) != 0) & (F.coalesce(F.size("skills"), F.lit(1)) != 0))
 
+
+def _looks() -> Column:
+    """Per text criterion its (field, needle) pairs in order."""
     def pairs(c):
         items = F.col(c) if c in ("title_keywords", "skills") else F.array(c)
         looks = F.flatten(F.transform(items, lambda x: F.array(*[F.struct(F.lit(f).alias("field"), x.alias("needle")) for f in LOOKS_IN[c]])))
         return F.when(F.col(c).isNotNull() & ~F.array_contains(items, ""), F.struct(F.lit(c).alias("criterion"), looks.alias("pairs")))
 
-    return a.withColumn("looks", F.array_compact(F.array(*[pairs(c) for c in CRITERIA])))
+    return F.array_compact(F.array(*[pairs(c) for c in CRITERIA]))
+
+
+def alert_criteria(alerts: DataFrame) -> DataFrame:
+    """alert_id (a digest), the lower-cased criteria, and ``looks``: per text criterion its (field, needle) pairs in order.
+
+    Repeated alert rows count once. An alert with an empty list matches nothing and is left out. A criterion with
+    an empty needle holds for every posting, so it looks for nothing.
+    """
+    a = _lowered_alerts(alerts)
+    return a.withColumn("alert_id", _digest(*a.columns)).dropDuplicates(["alert_id"]).withColumn("looks", _looks())
 
 
 def _lpa(df: DataFrame) -> Column:
@@ -194,17 +211,23 @@ def _fields(df: DataFrame) -> list[str]:
 class AlertIndex:
     """Alerts by their criteria's needles, over the signatures of postings.
 
+    Alerts of the same criteria are one rule; rules are matched, and their names meet the result last.
+
     1. Every distinct field value is looked up once for the needles of its field (:mod:`postlens.functions.needles`).
     2. Postings whose fields hold the same needles, and that pay the same, are one signature.
-    3. Each alert is anchored at its rarest criterion, by the postings that hold any of its needles. A signature
-       meets an alert only by an anchor's needle; the first such needle of the criterion's list counts, so
-       nothing is met twice, and the alert's other criteria are read off the signature's needles.
-    Alerts without a text criterion are anchored at nothing and meet every signature.
+    3. Each rule is anchored at its rarest criterion, by the postings that hold any of its needles. A signature
+       meets a rule only by an anchor's needle; the first such needle of the criterion's list counts, so
+       nothing is met twice, and the rule's other criteria are read off the signature's needles.
+    Rules without a text criterion are anchored at nothing and meet every signature.
     """
 
     def __init__(self, df: DataFrame, alerts: DataFrame, keep: Sequence[str] | None = None):
         self.keep, self.columns, self.fields = list(keep or df.columns), df.columns, _fields(df)
-        self.alerts = stored(alert_criteria(alerts), "alerts")
+        named = _lowered_alerts(alerts).withColumn("alert_id", _digest(*RULE))
+        self.names = stored(named.select("alert_name", *RULE, "alert_id").distinct(), "names")
+        rules = self.names.groupBy("alert_id", *RULE).agg(F.ceil(F.count(F.lit(1)) / NAMES_A_LOT).cast("int").alias("lots"))
+        self.names = self.names.select("alert_name", "alert_id")
+        self.alerts = stored(rules.withColumn("looks", _looks()), "alerts")
         pairs = self.alerts.select("alert_id", F.explode("looks").alias("l")).select("alert_id", "l.criterion", F.posexplode("l.pairs").alias("nth", "p"))
         self.pairs = pairs.select("alert_id", "criterion", "nth", "p.field", "p.needle")
         needles = self.pairs.where(F.col("field").isin(self.fields)).select("field", "needle").distinct()
@@ -252,12 +275,43 @@ class AlertIndex:
     def matches(self) -> DataFrame:
         """alert_name, the kept columns, reasons: a row per posting and alert that match."""
         both = self.rows.select("sig", "post", "lpa").join(self.pairs_met(), "sig")
-        return both.select("alert_name", *[F.col(f"post.{c}").alias(c) for c in self.keep],
-                           _reasons(self.columns, F.col("title_hits"), F.col("skill_hits")).alias("reasons"))
+        kept = F.struct(*[F.col(f"post.{c}").alias(c) for c in self.keep]).alias("post")
+        found = both.select("alert_id", "lots", kept, _reasons(self.columns, F.col("title_hits"), F.col("skill_hits")).alias("reasons"))
+        found = found.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+        names = self.names.join(self.alerts.select("alert_id", "lots"), "alert_id")
+        names = names.select("alert_name", "alert_id", F.pmod(F.xxhash64("alert_name"), F.col("lots")).cast("int").alias("lot"))
+        return found.join(names, ["alert_id", "lot"]).select("alert_name", *[F.col(f"post.{c}").alias(c) for c in self.keep], "reasons")
 
     def counts(self) -> DataFrame:
         """(alert_name, match_count), from signatures alone."""
-        return self.pairs_met().groupBy("alert_name").agg(F.sum("n").alias("match_count"))
+        per = self.pairs_met().groupBy("alert_id").agg(F.sum("n").alias("n"))
+        return self.names.join(per, "alert_id").groupBy("alert_name").agg(F.sum("n").alias("match_count"))
+
+    def firsts(self, first: int, order_cols: Sequence[str]) -> DataFrame:
+        """(alert_name, match_count, found): per name that matches, the count and its first rows (match_rank, job_id, reasons).
+
+        Of a signature's postings only the first can be among a rule's first, and names that have the same rules share
+        their result, so matches are never listed.
+        """
+        pairs = stored(self.pairs_met().drop("looks", "lots"), "pairs")
+        by = lambda of: [F.col(f"{of}{c}").asc_nulls_first() for c in order_cols]
+        # postings that tie in the order may differ in their reasons, if these show a column that the order leaves out
+        shown = {"location", "company"} & set(self.columns)
+        nth = (F.row_number() if shown <= set(order_cols) else F.rank()).over(Window.partitionBy("sig").orderBy(*by("post.")))
+        rows = self.rows.select("sig", "post", "lpa").join(pairs.select("sig").distinct(), "sig", "left_semi")
+        rows = rows.withColumn("_nth", nth).where(F.col("_nth") <= first).drop("_nth").join(pairs, "sig")
+        rows = rows.select("alert_id", F.struct(*[F.col(f"post.{c}").alias(c) for c in order_cols]).alias("post"),
+                           _reasons(self.columns, F.col("title_hits"), F.col("skill_hits")).alias("reasons"))
+        order = [*by("post."), F.col("reasons").asc_nulls_first()]
+        rank = lambda of: F.row_number().over(Window.partitionBy(of).orderBy(*order)).cast("bigint")
+        rows = stored(rows.withColumn("match_rank", rank("alert_id")).where(F.col("match_rank") <= first), "firsts")
+        names = self.names.groupBy("alert_name").agg(F.array_sort(F.collect_set("alert_id")).alias("rules"))
+        names = stored(names.withColumn("set_id", F.md5(F.array_join("rules", ","))), "rules")
+        rules = stored(names.select("set_id", "rules").distinct().select("set_id", F.explode("rules").alias("alert_id")), "sets")
+        counts = rules.join(pairs.groupBy("alert_id").agg(F.sum("n").alias("n")), "alert_id").groupBy("set_id").agg(F.sum("n").alias("match_count"))
+        top = rules.join(rows.drop("match_rank"), "alert_id").withColumn("match_rank", rank("set_id")).where(F.col("match_rank") <= first)
+        lists = top.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("match_rank", F.col("post.job_id").alias("job_id"), "reasons"))).alias("found"))
+        return names.select("alert_name", "set_id").join(stored(counts.join(lists, "set_id"), "counted"), "set_id").drop("set_id")
 
 
 def match_alert_table(df: DataFrame, alerts: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
@@ -271,15 +325,10 @@ def match_alert_table(df: DataFrame, alerts: DataFrame, keep: Sequence[str] | No
 def check_alert_table(df: DataFrame, alerts: DataFrame, first: int = 20,
                       order_cols: Sequence[str] = ("job_id", "title", "company", "location", "description")) -> DataFrame:
     """G11 for a table of alerts: per alert name the match count and its first N matches; alerts without matches kept."""
-    index = AlertIndex(df, alerts, order_cols)
-    met = stored(index.matches(), "matches")
-    order = [F.col(c).asc_nulls_first() for c in (*order_cols, "reasons")]
-    rank = F.row_number().over(Window.partitionBy("alert_name").orderBy(*order)).cast("bigint")
-    firsts = met.withColumn("match_rank", rank).where(F.col("match_rank") <= first).select("alert_name", "match_rank", "job_id", "reasons")
-    counts = met.groupBy("alert_name").agg(F.count(F.lit(1)).alias("match_count"))
-    names = alerts.select("alert_name").distinct()
-    out = names.join(counts, "alert_name", "left").join(firsts, "alert_name", "left")
-    return out.select("alert_name", F.coalesce("match_count", F.lit(0)).cast("bigint").alias("match_count"), "match_rank", "job_id", "reasons")
+    found = AlertIndex(df, alerts, order_cols).firsts(first, order_cols)
+    out = alerts.select("alert_name").distinct().join(found, "alert_name", "left")
+    out = out.select("alert_name", F.coalesce("match_count", F.lit(0)).cast("bigint").alias("match_count"), F.explode_outer("found").alias("m"))
+    return out.select("alert_name", "match_count", "m.match_rank", "m.job_id", "m.reasons")
 
 
 def join_alert_table(df: DataFrame, alerts: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:

@@ -98,3 +98,28 @@ def test_check_alert_table(spark):
     got = {(r["alert_name"], r["match_count"], r["match_rank"], r["job_id"], r["reasons"]) for r in A.check_alert_table(df, _table(spark, alerts)).collect()}
     want = {(r["alert_name"], r["match_count"], r["match_rank"], r["job_id"], r["reasons"]) for r in A.check_alerts(df, alerts).collect()}
     assert got == want
+
+
+def test_alerts_of_equal_criteria_are_one_rule(spark, monkeypatch):
+    """Names meet the result last, in lots; the check ranks first rows per rule and never lists all matches."""
+    monkeypatch.setattr(A, "NAMES_A_LOT", 7)
+    df = spark.createDataFrame(POSTS * 3, SCHEMA)
+    alerts = [A.Alert(f"a{i}", title_keywords=("Data", "dev")) for i in range(40)] + [A.Alert(f"b{i}", location="pune") for i in range(5)]
+    alerts += [A.Alert("a3", location="pune"), A.Alert("a3", skills=("java",)), A.Alert("b1", company="nobody")]
+    table = _table(spark, alerts)
+    index = A.AlertIndex(df, table)
+    assert index.alerts.count() == 4
+    assert index.pairs_met().select("alert_id").distinct().count() <= 4
+    listed = sorted(map(_key, A.match_alert_table(df, table).collect()))
+    assert listed == sorted(map(_key, A.match_alerts(df, alerts).collect())) and listed
+    monkeypatch.setattr(A.AlertIndex, "matches", None)
+    order = ("job_id", "title", "company", "location", "description")
+    got = {}
+    for r in A.check_alert_table(df, table, first=4, order_cols=order).collect():
+        got.setdefault((r["alert_name"], r["match_count"]), []).append((r["match_rank"], r["job_id"], r["reasons"]))
+    every, want = A.match_alerts(df, alerts).collect(), {}
+    for name in {a.name for a in alerts}:
+        own = [r for r in every if r["alert_name"] == name]
+        own.sort(key=lambda r: [(r[c] is not None, r[c] or "") for c in (*order, "reasons")])
+        want[name, len(own)] = [(k + 1, r["job_id"], r["reasons"]) for k, r in enumerate(own[:4])] or [(None, None, None)]
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
