@@ -20,6 +20,8 @@ from postlens.functions.numeric import py_round
 #: Bytes of query vectors that one pass over the vectors takes along.
 CHUNK_BYTES = 8 << 20
 _ROWS, _QUERIES, _MARGIN = 2048, 512, 1e-9
+#: Bytes of vectors that exact scoring gathers at once.
+_GATHER_BYTES = 16 << 20
 
 
 def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -49,6 +51,17 @@ def _cosine(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return _dot(a, b) / ((np.sqrt(_dot(a, a)) + eps) * (np.sqrt(_dot(b, b)) + eps))
 
 
+def _codes(rows: pa.ChunkedArray, queries: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids as numbers, equal for equal ids; a null id equals none."""
+    kind = pa.int64() if pa.types.is_integer(rows.type) and pa.types.is_integer(queries.type) else rows.type
+    rows = pa.chunked_array([*rows.cast(kind).chunks, queries.cast(kind)]).combine_chunks()
+    if isinstance(rows, pa.ChunkedArray):
+        rows = pa.concat_arrays(rows.chunks)
+    code = pc.fill_null(rows.dictionary_encode().indices, -1).to_numpy().astype(np.int64)
+    n = len(code) - len(queries)
+    return code[:n], np.where(code[n:] < 0, -2, code[n:])
+
+
 class _Best:
     """The k best rows so far of each query: similarity falling, then id rising."""
 
@@ -99,29 +112,43 @@ def _pass(rows: DataFrame, asked: DataFrame, k: int, id_col: str, own: list[str]
     ids = chunk["query_id"].combine_chunks() if chunk.num_rows else pa.array([], chunk.schema.field("query_id").type)
     queries = _matrix(chunk["_q"].combine_chunks()) if chunk.num_rows else {}
 
+    def can_enter(near, least, same):
+        """Pairs of a block that can be among the k best: of the list so far, and of the block itself."""
+        near[np.isnan(near) if same is None else np.isnan(near) | same] = -np.inf
+        good = (near >= least - _MARGIN) & (near > -np.inf)
+        if len(near) > k and np.count_nonzero(good) > 4 * k * near.shape[1]:
+            good &= near >= np.partition(near, len(near) - k, axis=0)[len(near) - k] - _MARGIN
+        return np.nonzero(good)
+
     def run(batches):
-        best = None
+        bests: dict[tuple, _Best] = {}  # of each block of queries
         for batch in batches:
             mine = pa.Table.from_batches([batch]).select(own)
-            best = best or _Best(len(ids), k, mine.schema, id_col)
             for width, (at, x) in _matrix(batch["_v"]).items():
                 if width not in queries:
                     continue
                 number, q = queries[width]
                 unit, unit_q = (m / (np.sqrt((m * m).sum(1)) + eps)[:, None] for m in (x, q))
-                for a in range(0, len(x), _ROWS):
-                    for b in range(0, len(q), _QUERIES):
+                row_code = query_code = None
+                if exclude_self:
+                    row_code, query_code = _codes(mine[id_col].take(pa.array(at)), ids.take(pa.array(number)))
+                step = max(1, _GATHER_BYTES // (16 * width))
+                for b in range(0, len(q), _QUERIES):
+                    asked_here = number[b:b + _QUERIES]
+                    best = bests.setdefault((width, b), _Best(len(asked_here), k, mine.schema, id_col))
+                    for a in range(0, len(x), _ROWS):
                         near = unit[a:a + _ROWS] @ unit_q[b:b + _QUERIES].T
-                        i, j = np.nonzero(near >= best.least[number[b:b + _QUERIES]] - _MARGIN)
-                        i, j = i + a, j + b
-                        if exclude_self and len(i):
-                            other = pc.fill_null(pc.not_equal(mine[id_col].take(pa.array(at[i])), ids.take(pa.array(number[j]))), True).to_numpy()
-                            i, j = i[other], j[other]
-                        if len(i):
-                            best.add(number[j], _cosine(x[i], q[j], eps), mine.take(pa.array(at[i])))
-        if best is not None and len(best.query):
+                        same = None if row_code is None else row_code[a:a + _ROWS, None] == query_code[None, b:b + _QUERIES]
+                        i, j = can_enter(near, best.least, same)
+                        for c in range(0, len(i), step):
+                            r, n = i[c:c + step] + a, j[c:c + step]
+                            best.add(n, _cosine(x[r], q[b + n], eps), mine.take(pa.array(at[r])))
+        for (width, b), best in bests.items():
+            if not len(best.query):
+                continue
             out = best.rows.combine_chunks()
-            columns = [ids.take(pa.array(best.query)), *[out[c].combine_chunks() for c in own], pa.array(best.score)]
+            asked_ids = ids.take(pa.array(queries[width][0][b + best.query]))
+            columns = [asked_ids, *[out[c].combine_chunks() for c in own], pa.array(best.score)]
             yield from pa.Table.from_arrays(columns, ["query_id", *own, "similarity"]).to_batches()
 
     return rows.mapInArrow(run, schema)

@@ -117,6 +117,35 @@ def test_semantic_top_k_equals_brute_force(spark, monkeypatch, chunk, exclude):
     assert not got
 
 
+def test_semantic_top_k_scores_few_pairs_at_once(spark, monkeypatch):
+    """The first block of vectors, before any list is full, must not be scored pair by pair; nor must a block of copies be gathered whole."""
+    plain = semantic._cosine
+
+    def bounded(a, b, eps):
+        if len(a) > 600 * 20:
+            raise MemoryError(f"{len(a)} pairs at once")
+        return plain(a, b, eps)
+
+    monkeypatch.setattr(semantic, "_cosine", bounded)
+    monkeypatch.setattr(semantic, "_GATHER_BYTES", 16 * 4 * 10_000)
+    rng = np.random.default_rng(9)
+    vecs = [(i, rng.normal(size=4).tolist() if i % 4 else [1.0, 2.0, 3.0, 4.0]) for i in range(2400)]
+    df = spark.createDataFrame(vecs, "vec_id int, embedding array<double>").coalesce(1)
+    asked = df.where("vec_id < 600").withColumnRenamed("vec_id", "q")
+    got = semantic.semantic_top_k(df, asked, k=5, query_id="q", exclude_self=True).collect()
+    x = np.array([v for _, v in vecs])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x[:600] @ x.T
+    near[np.arange(600), np.arange(600)] = -9
+    near = near.round(12)
+    for q in (0, 4, 596):  # copies: ties by id
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in range(0, 24, 4) if i != q][:5]
+    for q in (1, 599):
+        own = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert own == np.lexsort((np.arange(2400), -near[q]))[:5].tolist()
+    assert len(got) == 3000
+
+
 def test_texts(spark):
     p = spark.createDataFrame([("Data Scientist", ["python", "sql"], ["Bangalore"], 5), ("", [], [], 0)],
                               "title string, skills array<string>, preferred_locations array<string>, experience_years int")
