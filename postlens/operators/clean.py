@@ -142,13 +142,26 @@ def clean_postings(df: DataFrame, order_by: Sequence[str] | None = None, dedup:
     """
     order_by = list(order_by or df.columns)
     out = standardize_title(df)
-    out = parse_skills(out, normalization=normalization)
     loc_col = "location" if "location" in out.columns else "city"
-    if loc_col in out.columns:
-        out = standardize_location(out, loc_col)
-    out = fill_missing(out)
-    if dedup:
-        out = remove_duplicates(out, order_by)
+
+    def derived(x: DataFrame) -> DataFrame:
+        x = parse_skills(x, normalization=normalization)
+        return standardize_location(x, loc_col) if loc_col in x.columns else x
+
+    made = {"skills_normalized", "city_standardized", "state_standardized"}
+    if dedup and not made & {*df.columns, *order_by}:
+        # they follow from the input columns, so the dedup chooses without carrying them: only what it is keyed by is made before
+        by_city = "city" not in out.columns
+        keyed = standardize_location(out, loc_col).drop("state_standardized") if by_city else out
+        out = remove_duplicates(fill_missing(keyed), order_by)
+        if by_city:
+            out = derived(out.withColumnRenamed("city_standardized", "_city")).withColumn("city_standardized", F.col("_city")).drop("_city")
+        else:
+            out = derived(out)
+    else:
+        out = fill_missing(derived(out))
+        if dedup:
+            out = remove_duplicates(out, order_by)
     out = with_role_category(out)
     return out.withColumn("skill_count", F.size("skills_normalized").cast("bigint"))
 

@@ -89,3 +89,19 @@ def test_empty_input(spark):
 
     df = spark.createDataFrame(JOBS).limit(0)
     assert C.clean_postings(df).count() == 0
+
+
+def test_dedup_carries_input_columns_alone(spark):
+    """What is derived from the winner's columns is derived after the dedup, with the same rows and column order as before it."""
+    cols = ["job_id", "title", "company", "location", "skills"]
+    data = [(f"j{i % 7}", ["Sr. data scientist", "SDE", None][i % 3], ["Acme", None][i % 2], [None, "Pune, Maharashtra", "Remote", "nyc , New York"][i % 4],
+             [None, "py, SQL", '["k8s"]', ""][i * 7 % 4]) for i in range(60)]
+    df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols))
+    for frame in (df, df.withColumn("city", F.lower("location"))):
+        out = C.clean_postings(frame)
+        early = C.fill_missing(C.standardize_location(C.parse_skills(C.standardize_title(frame))))
+        early = C.with_role_category(C.remove_duplicates(early, frame.columns)).withColumn("skill_count", F.size("skills_normalized").cast("bigint"))
+        assert out.columns == early.columns
+        assert sorted(map(str, out.collect())) == sorted(map(str, early.collect()))
+        exchanged = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in x]
+        assert exchanged and not any("skills_normalized" in x or "state_standardized" in x for x in exchanged)
