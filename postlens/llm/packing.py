@@ -77,12 +77,15 @@ class Packer:
         items = self.items
         weight = np.array([self._weight(x) for x in items], float).reshape(-1, 3)
         share = weight / self.limit
+        tokens, loss = weight[:, 0].copy(), weight[:, 2].copy()
         alive = np.ones(len(items), bool)
         left = len(items)
         while left > leave:
             room, chosen, offset = self.limit.copy(), [], 0
+            fits = np.flatnonzero(alive)
             while True:
-                fits = np.flatnonzero(alive & (weight <= room).all(axis=1))
+                # room only shrinks: what fits now is among what fitted before
+                fits = fits[alive[fits] & (tokens[fits] <= room[0]) & (loss[fits] <= room[2])] if room[1] >= 1 else fits[:0]
                 if not len(fits):
                     break
                 best = fits[np.argmax(share[fits] @ (room / self.limit))]
@@ -98,6 +101,7 @@ class Packer:
                     items[k] = tail
                     weight[k] = self._weight(tail)
                     share[k] = weight[k] / self.limit
+                    tokens[k], loss[k] = weight[k, 0], weight[k, 2]
                     offset = self._place(head, self.next, offset)
             if not left and leave == 0 and room[0] > 0:
                 self._last([items[i] for i in chosen])
