@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -53,22 +55,24 @@ def skill_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, token_pattern: str = V.TFIDF_TOKEN_PATTERN, max_features: int = V.TFIDF_MAX_FEATURES,
-          min_df: int = V.TFIDF_MIN_DF, max_df: float = V.TFIDF_MAX_DF) -> tuple[DataFrame, DataFrame, DataFrame]:
+          min_df: int = V.TFIDF_MIN_DF, max_df: float = V.TFIDF_MAX_DF, fold: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns (weights, vocabulary, n_docs).
 
     weights: (doc, mult, term, w) -- unit-L2 rows over the kept vocabulary;
     vocabulary: (term, idx, df, idf) with idx in term order (at most
     ``max_features`` rows, so it is broadcast by construction);
     n_docs: one row (n).
+    ``fold=False`` leaves equal texts of several rows apart, each with its own ``mult``: sums over
+    the weights are the same, and no row is shuffled.
     """
-    # Every shuffle carries a 128-bit digest of the document, never the text: equal texts may come as
-    # several rows, whose token counts are then divided by the number of rows.
+    # A document's tokens stay in its row. What is shuffled are partial sums per term, and to fold equal texts a
+    # 128-bit digest with the counts of the vocabulary's terms.
     keyed = docs.select(F.md5("doc").alias("doc"), "mult", F.regexp_extract_all(F.lower("doc"), F.lit(token_pattern), 0).alias("t"))
-    folded = keyed.groupBy("doc").agg(F.sum("mult").alias("mult"), F.count(F.lit(1)).alias("rows"))
-    n_docs = folded.agg(F.sum("mult").alias("n"))
-    toks = keyed.select("doc", F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("c"))
-    tf = toks.join(folded, "doc").select("doc", "mult", "term", F.expr("c div rows").alias("tf"))
-    stats = tf.groupBy("term").agg(F.sum("mult").alias("df"), F.sum(F.col("tf") * F.col("mult")).alias("total"))
+    n_docs = docs.agg(F.sum("mult").alias("n"))
+    once = lambda t: F.struct(t.alias("term"), F.lit(1).alias("docs"), F.lit(0).alias("uses"))
+    use = lambda t: F.struct(t.alias("term"), F.lit(0).alias("docs"), F.lit(1).alias("uses"))
+    seen = keyed.select("mult", F.explode(F.concat(F.transform(F.array_distinct("t"), once), F.transform("t", use))).alias("x"))
+    stats = seen.groupBy("x.term").agg(F.sum(F.col("x.docs") * F.col("mult")).alias("df"), F.sum(F.col("x.uses") * F.col("mult")).alias("total"))
     stats = stats.crossJoin(F.broadcast(n_docs)).where(
         (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n")))
     order = [F.col("total").desc(), F.col("term")]
@@ -76,10 +80,23 @@ def tfidf(docs: DataFrame, token_pattern: str = V.TFIDF_TOKEN_PATTERN, max_featu
     vocab = vocab.select(
         "term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), "df",
         (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    raw = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").withColumn(
-        "raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    weights = raw.join(norms, "doc").select("doc", "mult", "term", "idx", (F.col("raw") / F.col("norm")).alias("w"))
+    vocab = stored(vocab, "terms")  # read by each use below and by the caller
+    terms = [r["term"] for r in vocab.orderBy("idx").collect()]  # at most ``max_features``
+    if not terms:
+        return keyed.select("doc", "mult").limit(0).crossJoin(F.broadcast(vocab.select("term", "idx", F.col("idf").alias("w")))), vocab, n_docs
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="t", outputCol="v")
+    counts = counter.transform(keyed.where(F.col("doc").isNotNull())).select("doc", "mult", vector_to_array("v").alias("v"))
+    pairs = F.transform("v", lambda c, i: F.when(c > 0, F.struct(i.alias("idx"), c.alias("tf"))))
+    tf = counts.select("doc", "mult", F.array_compact(pairs).alias("e")).where(F.size("e") > 0)
+    if fold:
+        tf = tf.groupBy("doc").agg(F.sum("mult").alias("mult"), F.first("e").alias("e"))
+    all_idf = vocab.agg(F.array_sort(F.collect_list(F.struct("idx", "idf", "term"))).alias("voc"))
+    of = lambda x: F.get("voc", x["idx"])
+    raw = tf.crossJoin(F.broadcast(all_idf)).select("doc", "mult", F.transform("e", lambda x: F.struct(
+        of(x)["term"].alias("term"), x["idx"].alias("idx"), (x["tf"] * of(x)["idf"]).alias("raw"))).alias("e"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["raw"] * x["raw"]))
+    rows = raw.select("doc", "mult", norm.alias("norm"), F.explode("e").alias("x"))
+    weights = rows.select("doc", "mult", "x.term", "x.idx", (F.col("x.raw") / F.col("norm")).alias("w"))
     return weights, vocab, n_docs
 
 

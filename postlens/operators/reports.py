@@ -160,7 +160,7 @@ def _discovered(postings: DataFrame) -> DataFrame:
     """Emerging skills, clusters and co-occurrences of the ``skills`` column; its folded lists are read once."""
     docs = stored(N.skill_documents(postings), "skills")
     weights, vocab, n = N.tfidf(docs)
-    weights, vocab = stored(weights, "weights"), stored(vocab, "terms")
+    weights = stored(weights, "weights")
     emerging = N.emerging_skills(docs, N.mean_tfidf(weights, n)).select(
         F.lit("emerging").alias("section"), F.col("rank").cast("bigint").alias("rank"), F.col("skill").alias("key"), F.col("frequency").cast("bigint").alias("value"))
     clusters = N.skill_clusters(N.term_similarity(weights), vocab)

@@ -153,5 +153,5 @@ def q_skill_cooccurrence_whole(spark, sf_dir):
     + _TFIDF + " SELECT term, score, rank FROM top30"))
 def q_document_term_scores(spark, sf_dir):
     d = fixtures.table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
-    weights, _, n = N.tfidf(d.select(F.col("text").alias("doc"), F.lit(1).cast("long").alias("mult")))
+    weights, _, n = N.tfidf(d.select(F.col("text").alias("doc"), F.lit(1).cast("long").alias("mult")), fold=False)
     return N.mean_tfidf(weights, n).select("term", "score", F.col("rank").cast("int").alias("rank"))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from postlens.operators import nlp as N
 
 SKILLS = ["python,sql,machine learning", "python,sql", "python,sql", "react,node", "java,spring boot,newtool",
@@ -120,3 +122,31 @@ def test_leader_clusters_equal_the_fold(spark):
         df = spark.createDataFrame([*edges, next(iter(edges))], "i int, j int")
         assert {(r.leader, r.member, r.member_order) for r in N.leader_clusters(df).collect()} == _fold(edges)
     assert N.leader_clusters(df.limit(0)).count() == 0
+
+
+def test_tfidf_of_whole_texts_shuffles_no_tokens_of_a_document(spark):
+    from collections import Counter
+    import math
+
+    texts = ["spark sql sql", "spark python", "spark sql sql", "python c++ sql", "Java spark", "", "java", None, "python java go"]
+    docs = spark.createDataFrame([(t, 1) for t in texts], "doc string, mult long")
+    weights, vocab, n = N.tfidf(docs, fold=False)
+    got = {(r["term"], round(r["score"], 4)) for r in N.mean_tfidf(weights, n).collect()}
+    folded = {(r["term"], round(r["score"], 4)) for r in N.mean_tfidf(N.tfidf(docs)[0], n).collect()}
+    counts = [Counter(t.lower().split()) for t in texts if t]
+    total, df = len(texts), Counter(w for c in counts for w in c)
+    idf = {w: math.log((1 + total) / (1 + d)) + 1 for w, d in df.items() if 2 <= d <= 0.95 * total}
+    sums = Counter()
+    for c in counts:
+        raw = {w: k * idf[w] for w, k in c.items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        for w, x in raw.items():
+            sums[w] += x / norm
+    assert got == folded == {(w, round(s / total, 4)) for w, s in sums.items()}
+    assert {r["term"]: r["df"] for r in vocab.collect()} == {w: df[w] for w in idf}
+    # one row per different text when folded, with the number of rows that hold it
+    twice = N.tfidf(docs)[0].where("term = 'sql' and mult = 2")
+    assert twice.count() == 1 and twice.first()["w"] > 0
+    plan = weights.groupBy("term").agg(F.sum("w"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert N.tfidf(docs.limit(0))[0].count() == 0
