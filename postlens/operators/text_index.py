@@ -40,17 +40,47 @@ def trigrams(text: str) -> np.ndarray:
     return found
 
 
+def row_trigrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, row number) of the distinct trigrams of each text, sorted; short texts are taken together."""
+    grams, rows, group, size = [], [], [], 0
+
+    def together():
+        c = np.frombuffer("".join(texts[i] for i in group).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        own = np.repeat(np.arange(len(group)), [len(texts[i]) for i in group])
+        at = np.flatnonzero(own[2:] == own[:-2])  # a trigram lies in one text
+        found, nth = np.unique(c[at] << 42 | c[at + 1] << 21 | c[at + 2], return_inverse=True)
+        pairs = np.unique(nth * len(group) + own[at])
+        grams.append(found[pairs // len(group)])
+        rows.append(np.array(group)[pairs % len(group)])
+
+    for i, t in enumerate(texts):
+        if t and len(t) >= _PIECE:
+            own = trigrams(t)
+            grams.append(own)
+            rows.append(np.full(len(own), i))
+        elif t:
+            group.append(i)
+            size += len(t)
+        if group and (size >= _PIECE or i + 1 == len(texts)):
+            together()
+            group, size = [], 0
+    if not grams:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gram, row = np.concatenate(grams), np.concatenate(rows)
+    if len(grams) > 1:
+        order = np.lexsort((row, gram))
+        gram, row = gram[order], row[order]
+    return gram, row
+
+
 def _lists(fields: Sequence[str]):
     names = _LISTS.fieldNames()
 
     def of_block(field: int, part: int, block: int, texts: list[str | None], at: np.ndarray):
-        own = [trigrams(t or "") for t in texts]
-        gram = np.concatenate(own) if own else np.zeros(0, np.int64)
+        gram, row = row_trigrams(texts)
         if not len(gram):
             return
-        row = np.repeat(at, [len(g) for g in own]).astype(np.int32)
-        order = np.lexsort((row, gram))
-        gram, row = gram[order], row[order]
+        row = at[row].astype(np.int32)
         head = np.flatnonzero(np.diff(gram, prepend=gram[0] - 1))
         lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(gram)).astype(np.int32)), pa.array(row))
         n = len(head)

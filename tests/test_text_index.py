@@ -50,3 +50,23 @@ def test_many_blocks_and_empty_table(spark, index, monkeypatch):
     assert index.matching("python").count() == H.search(_posts(spark), "python", limit=10_000).count()
     none = X.TextIndex.build(_posts(spark).where(F.lit(False)), tempfile.mkdtemp(prefix="pl-index-") + "/i")
     assert none.search("python").count() == 0 and none.search("p").count() == 0
+
+
+def test_trigrams_of_a_block_equal_those_of_each_text(monkeypatch):
+    import numpy as np
+
+    from postlens.operators import text_index as T
+
+    texts = ["supplier#000000001", None, "", "ab", "abc", "supplier#000000001", "héllo \U0001f600 wörld", "aaaa" * 9, "x" * 70, "abcabc"]
+    want = sorted((int(g), i) for i, t in enumerate(texts) for g in T.trigrams(t or ""))
+    calls = []
+    real = np.unique
+    for piece in (1 << 20, 64, 20, 4):  # all together, in groups, and long texts on their own
+        monkeypatch.setattr(T, "_PIECE", piece)
+        monkeypatch.setattr(T.np, "unique", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+        gram, row = T.row_trigrams(texts)
+        assert list(zip(gram.tolist(), row.tolist(), strict=True)) == want
+        if piece == 1 << 20:
+            assert len(calls) == 2  # not one per text
+        monkeypatch.setattr(T.np, "unique", real)
+    assert len(T.row_trigrams([None, ""])[0]) == 0
