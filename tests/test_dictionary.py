@@ -60,3 +60,12 @@ def test_null_empty_long_and_labels(spark):
 def test_plan_is_native(spark, mode):
     df = spark.createDataFrame([("python",)], "t string").select(X.dictionary_terms(F.col("t"), X.skill_terms(), mode))
     assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_substring_lists_need_no_regex(spark):
+    df = spark.createDataFrame([("Python and SQL",)], "t string").select(X.substring_skills_col(F.col("t")).alias("s"))
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.first().s == ["python", "sql"]
+    assert found(spark, "K8s and docker", "substring", [("k8s", "kubernetes"), ("docker", "docker"), ("k8s", "a"), ("8s", "a")]) == ["a", "docker", "kubernetes"]
+    many = [(f"term{i:03d}", f"term{i:03d}") for i in range(200)]
+    assert found(spark, "term007 TERM199", "substring", many) == ["term007", "term199"]
