@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -93,7 +94,10 @@ _QUANT = set("?*{")
 _META = set("\\.^$|?*+()[]{}")
 
 
-def _top_level_alternatives(pattern: str) -> list[str] | None:
+_CLASS = re.compile(r"\[(?:\\.|[^\[\]\\&])+\]")
+
+
+def _top_level_alternatives(pattern: str, classes: bool = False) -> list[str] | None:
     parts, depth, cur, i = [], 0, [], 0
     while i < len(pattern):
         ch = pattern[i]
@@ -102,7 +106,12 @@ def _top_level_alternatives(pattern: str) -> list[str] | None:
             i += 2
             continue
         if ch == "[":
-            return None  # character classes: no prefilter
+            own = _CLASS.match(pattern, i) if classes else None
+            if own is None:
+                return None  # character classes: no prefilter
+            cur.append(own[0])
+            i = own.end()
+            continue
         if ch == "(":
             depth += 1
         elif ch == ")":
@@ -157,11 +166,64 @@ def regex_prefilter(text: Column, pattern: str) -> Column | None:
     return contains_any(text, lits)
 
 
+# Inline flags, lookarounds, back references and quoting: such patterns are taken as they are.
+_SPECIAL = re.compile(r"\(\?[^:]|\\[1-9kQ]")
+_FIRST = re.compile(r"(\[[^\[\]\\^&]+\]|\\[$.+*?()\[\]{}|^\\]|[^\\.^$|?*+()\[\]{}])(?![?*{])")
+
+
+def first_characters(pattern: str) -> str | None:
+    """What every match begins with, as the inside of a character class; None where that is not plain to see."""
+    out = ""
+    for alt in ([] if _SPECIAL.search(pattern) else _top_level_alternatives(pattern, classes=True)) or [""]:
+        alt = alt.removeprefix(r"\b")
+        if alt.startswith("(?:"):
+            depth, end, i = 0, None, 0
+            while i < len(alt) and end is None:
+                if alt[i] == "[":
+                    i = _CLASS.match(alt, i).end()
+                    continue
+                depth += {"(": 1, ")": -1}.get(alt[i], 0)
+                end = i if depth == 0 else None
+                i += 2 if alt[i] == "\\" else 1
+            own = None if end is None or alt[end + 1:end + 2] in _QUANT else first_characters(alt[3:end])
+        else:
+            first = _FIRST.match(alt)
+            own = None if first is None else first[1][1:-1] if first[1].startswith("[") else first[1] if first[1] not in "-&" else "\\" + first[1]
+        if own is None:
+            return None
+        out += own
+    return out
+
+
+def anchored_pattern(pattern: str) -> str:
+    """The same pattern, tried only where one of its first characters stands (one class test elsewhere, before any ``\\b``)."""
+    first = first_characters(pattern)
+    return pattern if first is None else f"(?=[{first}])(?:{pattern})"
+
+
 def guarded_rlike(text: Column, pattern: str) -> Column:
-    """``text RLIKE pattern``, skipped when a required literal is absent."""
+    """``text RLIKE pattern``, skipped when a required literal is absent.
+
+    Without one for the whole pattern, each alternative is asked for by itself: a plain one by ``contains``,
+    the others behind their own literal or first characters.
+    """
     pre = regex_prefilter(text, pattern)
-    found = text.rlike(UNICODE + pattern)
-    return found if pre is None else (pre & found)
+    if pre is not None:
+        return pre & text.rlike(UNICODE + pattern)
+    alts = None if _SPECIAL.search(pattern) else _top_level_alternatives(pattern, classes=True)
+    if alts is None:
+        return text.rlike(UNICODE + pattern)
+
+    def one(alt: str) -> Column:
+        if alt and not _META & set(alt):
+            return text.contains(alt)
+        own = regex_prefilter(text, alt)
+        return text.rlike(UNICODE + anchored_pattern(alt)) if own is None else own & text.rlike(UNICODE + alt)
+
+    out = one(alts[0])
+    for alt in alts[1:]:
+        out = out | one(alt)
+    return out
 
 
 def first_regex_label(text: Column, rules: Sequence[tuple[str, str]], default: Column | None) -> Column:

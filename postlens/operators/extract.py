@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from postlens import vocab as V
 from postlens.functions.text import (
     UNICODE,
+    anchored_pattern,
     contains_any,
     first_contains_label,
     first_regex_label,
@@ -89,7 +90,7 @@ def salary_mentions(df: DataFrame, text_col: str = "description", order_cols: Se
     """
     spans = df.where(F.col(text_col).isNotNull()).select(
         *order_cols, F.col(text_col).alias("_t"),
-        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit("(?i)" + UNICODE + pattern), 0)).alias("pos", "span"))
+        F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit("(?i)" + UNICODE + anchored_pattern(pattern)), 0)).alias("pos", "span"))
     total = spans.agg(F.count(F.lit(1)).alias("total_mentions"))
     order = [F.col(c).asc_nulls_first() for c in order_cols] + [F.col("_t"), F.col("pos")]
     first = with_rank(spans.orderBy(*order).limit(samples), order, "i")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens import vocab as V
-from postlens.functions.text import UNICODE, first_contains_label, first_regex_label
+from postlens.functions.text import UNICODE, anchored_pattern, first_contains_label, first_regex_label
 from postlens.functions.numeric import py_round
 from postlens.operators import nlp as N
 from postlens.operators import trends as T
@@ -76,7 +76,7 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
         F.when(F.col("description").isNotNull(), first_regex_label(F.col("_low"), exp_rules, None))
         .alias("experience"),
         (F.col("_paid") if salary_col else
-         F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + UNICODE + V.SALARY_TEXT_PATTERN), 0)))
+         F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + UNICODE + anchored_pattern(V.SALARY_TEXT_PATTERN)), 0)))
         .alias("_sal"), substring_skills_col(F.col("description"), terms).alias("_skills"), *extra_cols)
     sections = dict(SECTIONS, **(EXTRA_SECTIONS if extras else {}))
     # One row per posting and section with that section's key alone: one scan, narrow rows, partial sums before the shuffle.
@@ -147,7 +147,7 @@ SALARY_COLUMNS = ("salary", "salary_range", "compensation")
 
 def _salary_samples(postings: DataFrame) -> DataFrame:
     """The first 20 salary mentions of descriptions, by job id and place."""
-    pattern = F.lit("(?i)" + UNICODE + V.SALARY_TEXT_PATTERN)
+    pattern = F.lit("(?i)" + UNICODE + anchored_pattern(V.SALARY_TEXT_PATTERN))
     job = F.col("job_id") if "job_id" in postings.columns else F.lit(None).cast("string")
     spans = postings.where(F.col("description").isNotNull()).select(
         job.alias("j"), F.col("description").alias("d"), F.posexplode(F.regexp_extract_all("description", pattern, 0)).alias("pos", "key"))
