@@ -133,19 +133,39 @@ def role_category_col(title_std: Column, rules=V.ROLE_RULES, default: str = V.RO
     return first_contains_label(F.lower(title_std), rules, F.lit(default))
 
 
+def _read_columns(df: DataFrame, order_by: Sequence[str], columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` and the order without what cannot change ``columns``.
+
+    The first row's values up to the last wanted one in the order are the same whatever is compared behind it. A wanted
+    column that is not in the order follows it.
+    """
+    by_city = "city" not in df.columns  # then the city is a key of the dedup
+    source = {"title_standardized": "title", "role_category": "title", "skills_normalized": "skills", "skill_count": "skills",
+              "city_standardized": "title" if by_city else "location", "state_standardized": "location"}
+    wanted = {c if c in df.columns else source.get(c, c) for c in columns}
+    keys = {"title", "company", "location", "city"}
+    last = max((i for i, c in enumerate(order_by) if c in wanted), default=-1)
+    order = list(order_by) if wanted - {*order_by} else list(order_by[:last + 1])
+    return df.select(*[c for c in df.columns if c in wanted | keys | {*order}]), order
+
+
 def clean_postings(df: DataFrame, order_by: Sequence[str] | None = None, dedup: bool = True,
-                   normalization=V.VOCAB.normalization) -> DataFrame:
+                   normalization=V.VOCAB.normalization, columns: Sequence[str] | None = None) -> DataFrame:
     """B1 -> B3 -> B4 -> B5 -> B6 -> B7 -> B8 as one lazy plan.
 
     ``order_by`` decides which duplicate is "first"; it defaults to every input
-    column so that the winner never depends on file order.
+    column so that the winner never depends on file order. ``columns``, if given, are all that is read of the
+    result: the dedup then carries those and the part of the order that decides them.
     """
     order_by = list(order_by or df.columns)
+    if columns is not None:
+        df, order_by = _read_columns(df, order_by, columns)
+    with_skills = columns is None or "skills" in df.columns
     out = standardize_title(df)
     loc_col = "location" if "location" in out.columns else "city"
 
     def derived(x: DataFrame) -> DataFrame:
-        x = parse_skills(x, normalization=normalization)
+        x = parse_skills(x, normalization=normalization) if with_skills else x
         return standardize_location(x, loc_col) if loc_col in x.columns else x
 
     made = {"skills_normalized", "city_standardized", "state_standardized"}
@@ -163,7 +183,8 @@ def clean_postings(df: DataFrame, order_by: Sequence[str] | None = None, dedup:
         if dedup:
             out = remove_duplicates(out, order_by)
     out = with_role_category(out)
-    return out.withColumn("skill_count", F.size("skills_normalized").cast("bigint"))
+    out = out.withColumn("skill_count", F.size("skills_normalized").cast("bigint")) if with_skills else out
+    return out if columns is None else out.select(*columns)
 
 
 def with_role_category(df: DataFrame, col: str = "title_standardized", out: str = "role_category") -> DataFrame:

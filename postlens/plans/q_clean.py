@@ -13,9 +13,9 @@ from postlens.sources import fixtures
 POSTING_COLUMNS = Q.POSTING_COLUMNS
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B9 over the fixture postings; duplicates resolved by every input column."""
-    return C.clean_postings(fixtures.postings(spark, sf_dir), order_by=POSTING_COLUMNS)
+def cleaned(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """B9 over the fixture postings; duplicates resolved by every input column. ``columns``: all that the caller reads (default: everything)."""
+    return C.clean_postings(fixtures.postings(spark, sf_dir), order_by=POSTING_COLUMNS, columns=columns or None)
 
 
 def skills_text(col: str = "skills_normalized"):

@@ -104,7 +104,7 @@ def q_skill_city_matrix(spark, sf_dir):
     "SELECT g.grp, t.title, CAST(coalesce(p.count, 0) AS BIGINT) AS count FROM (SELECT DISTINCT grp FROM f) g "
     "CROSS JOIN (SELECT DISTINCT title FROM pairs) t LEFT JOIN pairs p ON p.grp IS NOT DISTINCT FROM g.grp AND p.title = t.title"))
 def q_title_city_pivot(spark, sf_dir):
-    return D.title_group_pivot(cleaned(spark, sf_dir), "title", "city_standardized", 8)
+    return D.title_group_pivot(cleaned(spark, sf_dir, "title", "city_standardized"), "title", "city_standardized", 8)
 
 
 def _pct_sql(group_col: str, top_groups: int | None) -> list[str]:

@@ -202,7 +202,7 @@ def q_daily_digest(spark, sf_dir):
     "UNION ALL SELECT * FROM (SELECT 'top_skills', skill, count(*), NULL::DOUBLE FROM sk GROUP BY skill "
     "ORDER BY count(*) DESC, skill LIMIT 10)"))
 def q_summary_statistics(spark, sf_dir):
-    return R.summary_statistics(cleaned(spark, sf_dir))
+    return R.summary_statistics(cleaned(spark, sf_dir, "title", "company", "city_standardized", "skills_normalized"))
 
 
 @query("export_summary", "D23", oracle=_P + (

@@ -105,3 +105,29 @@ def test_dedup_carries_input_columns_alone(spark):
         assert sorted(map(str, out.collect())) == sorted(map(str, early.collect()))
         exchanged = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in x]
         assert exchanged and not any("skills_normalized" in x or "state_standardized" in x for x in exchanged)
+
+
+def test_columns_that_are_read_come_from_the_same_row(spark):
+    import random
+
+    rng = random.Random(3)
+    cols = ["job_id", "title", "company", "location", "description", "skills", "pay"]
+    rows = [(rng.choice(["1", "2", None]), rng.choice(["Data Analyst", "data analyst II", None]), rng.choice(["A", None]), rng.choice(["NYC, NY", "New York, NY", None]),
+             rng.choice(["d", "e", None]), rng.choice(["py", "sql,py", None]), rng.choice(["1", "2"])) for _ in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    for order in (cols, cols[::-1], ["job_id", "pay"]):
+        if order == ["job_id", "pay"]:
+            df = df.dropDuplicates(order + ["title", "company", "location"]).orderBy(*cols).dropDuplicates(["job_id", "pay", "company"])
+            df = spark.createDataFrame(df.collect(), df.schema)
+        whole = C.clean_postings(df, order_by=order)
+        for read in (["title", "city_standardized"], ["title", "company", "city_standardized", "skills_normalized"], ["pay"], ["role_category", "skill_count", "state_standardized"]):
+            got = C.clean_postings(df, order_by=order, columns=read)
+            assert got.columns == read
+            assert sorted(map(str, got.collect())) == sorted(map(str, whole.select(*read).collect())), (order, read)
+
+
+def test_dedup_does_not_carry_what_is_not_read(spark):
+    df = spark.createDataFrame([("1", "Data Analyst", "A", "NYC, NY", "text", "py")], "job_id string, title string, company string, location string, description string, skills string")
+    plan = C.clean_postings(df, order_by=df.columns, columns=["title", "city_standardized"])._jdf.queryExecution().optimizedPlan().toString()
+    kept = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert "job_id" in kept and "description" not in kept and "skills" not in kept
