@@ -134,19 +134,32 @@ def collect_sources(frames: Sequence[DataFrame], order_by: Sequence[str]) -> Dat
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "job_id", order_by: Sequence[str] = ("scraped_at",),
-           default_source: str = "linkedin") -> DataFrame:
+           default_source: str = "linkedin", parts: int | None = None) -> DataFrame:
     """Insert or replace by key, last write wins (new before old on ties).
 
-    Missing keys get a derived id; a missing source gets the default.
+    Missing keys get a derived id; a missing source gets the default. With ``parts`` the rows also get their ``part``
+    (a hash of the key) and are dealt by it and a slice of its keys before they are compared: one shuffle for both the
+    comparison and a write partitioned by ``part``, in tasks that need not hold a whole part.
     """
     both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)), allowMissingColumns=True)
     if "source" in both.columns:
         both = both.withColumn("source", F.coalesce("source", F.lit(default_source)))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("company", "title") if c in both.columns]
-    derived = F.concat_ws("_", *parts, F.xxhash64(*[F.col(c) for c in both.columns]).cast("string"))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("company", "title") if c in both.columns]
+    derived = F.concat_ws("_", *named, F.xxhash64(*[F.col(c) for c in both.columns]).cast("string"))
     both = both.withColumn(key, F.coalesce(F.col(key), derived))
     order = list(dict.fromkeys([*order_by, "_gen"]))
-    return keep_last(both, [key], order).drop("_gen")
+    if parts is None:
+        return keep_last(both, [key], order).drop("_gen")
+    both = both.withColumns({"part": part_col(key, parts), "_slice": F.pmod(F.crc32(F.col(key).cast("string")), F.lit(PART_SLICES)).cast("int")})
+    return keep_last(both.repartition("part", "_slice"), ["part", "_slice", key], order).drop("_gen", "_slice")
+
+
+PART_SLICES = 8  # tasks that the rows of a part can be dealt to; a write leaves a file per slice at most
+
+
+def part_col(key: str, parts: int) -> F.Column:
+    """The warehouse partition of a key."""
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
 
 
 def job_skill_bridge(df: DataFrame, skills_col: str = "skills_normalized") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from postlens.sources.io import latest_file, list_files, read_postings, upsert
+from postlens.sources.io import latest_file, list_files, part_col, read_postings, upsert
 
 LOG = "commit string, step string, at timestamp, parts int, columns string"
 
@@ -86,15 +86,13 @@ class Warehouse:
             if other:
                 raise ValueError(f"columns of another type than the warehouse's: {other}")
         new = self._keyed(new)
-        part = F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.parts)).cast("int")
         if columns is None:
-            merged = upsert(new.limit(0), new, self.key, self.order_by, self.default_source)
+            merged = upsert(new.limit(0), new, self.key, self.order_by, self.default_source, self.parts)
         else:
-            touched = [r[0] for r in new.select(part.alias("part")).distinct().collect()]  # as many as there are partitions at most
+            touched = [r[0] for r in new.select(part_col(self.key, self.parts).alias("part")).distinct().collect()]  # as many as there are partitions at most
             old = self._rows(spark, columns).where(F.col("part").isin(touched)).drop("part")
-            merged = upsert(old, new, self.key, self.order_by, self.default_source)
-        merged = merged.withColumn("part", part)
-        merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/staged")
+            merged = upsert(old, new, self.key, self.order_by, self.default_source, self.parts)
+        merged.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/staged")
         columns = StructType([f for f in merged.schema.fields if f.name != "part"])
         self._note(spark, commit, "staged", columns)
         self._replace(spark, commit, columns)
