@@ -43,8 +43,9 @@ def found_needles(df: DataFrame, fields: Sequence[str], needles: DataFrame) -> D
     anchors = stored(anchored(needles), "anchors")
     lengths = [r[0] for r in anchors.select(F.length("gram")).distinct().collect()]  # 1, 2 and 3 at most
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), lowered(f).alias("v")) for f in fields]))
-    values = df.select(pairs.alias("x")).select("x.field", "x.v", F.md5("x.v").alias("vkey")).dropDuplicates(["field", "vkey"])
-    values = stored(values.where(F.length("v") > 0), "values")
+    # distinct by the values themselves: a hash aggregate, where any value carried beside its key would be sorted
+    values = df.select(pairs.alias("x")).select("x.field", "x.v").where(F.length("v") > 0).distinct()
+    values = stored(values.withColumn("vkey", F.md5("v")), "values")
     met = values.select("field", "vkey", F.explode(grams(F.col("v"), lengths or [GRAM])).alias("gram")).join(anchors, ["field", "gram"]).select("field", "vkey", "needle")
     sure = met.where(F.length("needle") <= GRAM)
     maybe = met.where(F.length("needle") > GRAM).join(values, ["field", "vkey"]).where(F.col("v").contains(F.col("needle"))).select("field", "vkey", "needle")

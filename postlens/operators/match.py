@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from postlens import vocab as V
 from postlens.functions.dictionary import match_terms
-from postlens.functions.needles import found_needles, with_found
+from postlens.functions.needles import found_needles, lowered
 from postlens.functions.numeric import py_round
 from postlens.functions.text import literal_array
 from postlens.session import stored
@@ -66,12 +66,25 @@ def _needles(signatures: DataFrame) -> DataFrame:
     return per.select("ps", "part", F.lower("item").alias("needle"), F.explode("fields").alias("field")).where(F.length("needle") > 0)
 
 
-def job_signatures(postings: DataFrame, needles: DataFrame, job_cols: Sequence[str] = JOB_COLS) -> DataFrame:
-    """Job columns, js and the needles found in each field (``js`` is a digest of those)."""
+def job_signatures(postings: DataFrame, needles: DataFrame, job_cols: Sequence[str] = JOB_COLS) -> tuple[DataFrame, DataFrame]:
+    """(js and the job columns) of every job, and (js, n, in_<field>...) of every signature: its jobs and the needles found in each field.
+
+    Lists of needles are digested once per distinct value; a job carries the digest ``js`` of its four digests.
+    """
     job_cols = [c for c in job_cols if c in postings.columns]
-    found = stored(found_needles(postings, JOB_FIELDS, needles), "evidence")
-    out = with_found(postings, job_cols, JOB_FIELDS, found)
-    return out.withColumn("js", F.md5(F.to_json(F.struct(*[f"in_{f}" for f in JOB_FIELDS]))))
+    found = stored(found_needles(postings, JOB_FIELDS, needles).withColumn("list", F.md5(F.to_json("found"))), "evidence")
+    out = postings.select(*job_cols, *[F.md5(lowered(f)).alias(f"_key_{f}") for f in JOB_FIELDS])
+    for f in JOB_FIELDS:
+        own = found.where(F.col("field") == f).select(F.col("vkey").alias("_k"), F.col("list").alias(f"_list_{f}"))
+        out = out.join(own, F.col(f"_key_{f}") == F.col("_k"), "left").drop(f"_key_{f}", "_k").withColumn(f"_list_{f}", F.coalesce(f"_list_{f}", F.lit("")))
+    lists = [f"_list_{f}" for f in JOB_FIELDS]
+    jobs = stored(out.select(*job_cols, *lists, F.md5(F.concat_ws("|", *lists)).alias("js")), "jobs")
+    sets = jobs.groupBy("js", *lists).agg(F.count(F.lit(1)).alias("n"))
+    known = found.select("field", "list", "found").distinct()
+    for f in JOB_FIELDS:
+        own = known.where(F.col("field") == f).select(F.col("list").alias(f"_list_{f}"), F.col("found").alias(f"in_{f}"))
+        sets = sets.join(own, f"_list_{f}", "left").withColumn(f"in_{f}", F.coalesce(f"in_{f}", F.array().cast("array<string>")))
+    return jobs.drop(*lists), stored(sets.drop(*lists), "sets")
 
 
 def _scored(signatures: DataFrame, sets: DataFrame, needles: DataFrame, weights) -> DataFrame:
@@ -108,9 +121,7 @@ class Scores:
         self.profiles = stored(profile_signatures(profiles), "profiles")
         self.signatures = self.profiles.drop("profile_id").dropDuplicates(["ps"])
         needles = stored(_needles(self.signatures), "words")
-        self.jobs = stored(job_signatures(postings, needles, self.job_cols), "jobs")
-        fields = [f"in_{f}" for f in JOB_FIELDS]
-        self.sets = self.jobs.groupBy("js").agg(F.count(F.lit(1)).alias("n"), *[F.first(f).alias(f) for f in fields])
+        self.jobs, self.sets = job_signatures(postings, needles, self.job_cols)
         self.scored = _scored(self.signatures, self.sets, needles, weights).join(self.sets.select("js", "n"), "js")
 
     def rows(self) -> DataFrame:
@@ -146,8 +157,8 @@ def find_matches(postings: DataFrame, profiles: DataFrame, min_score: float = 50
     better = Window.partitionBy("ps").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ok = s.scored.where(F.col("score") >= min_score)
     ok = ok.withColumn("upto", F.sum("n").over(better)).withColumn("above", F.col("upto") - F.sum("n").over(Window.partitionBy("ps", "score")))
-    ok = ok.where(F.col("above") < limit).drop("upto", "above", "n")
-    first = s.jobs.select("js", *s.job_cols, F.row_number().over(Window.partitionBy("js").orderBy(*ties)).alias("nth")).where(F.col("nth") <= limit).drop("nth")
+    ok = stored(ok.where(F.col("above") < limit).drop("upto", "above", "n"), "best")
+    first = s.jobs.join(ok.select("js").distinct(), "js", "left_semi").select("js", *s.job_cols, F.row_number().over(Window.partitionBy("js").orderBy(*ties)).alias("nth")).where(F.col("nth") <= limit).drop("nth")
     rows = ok.join(first, "js").drop("js")
     if min_score <= 0:
         scored = s.scored.where(F.col("score") > 0).groupBy("ps").agg(F.sum("n").alias("scored"))
