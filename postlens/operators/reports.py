@@ -1,10 +1,10 @@
 """Composite analysis and report tables.
 
 The full analysis (D22) is one long frame ``(section, rank, key, value)``.
-Its sections come from a single aggregate over (section, key) -- one scan and
-one shuffle for titles, companies, locations, job types, experience classes,
-the skills found in descriptions and the totals. Every report below is a filter
-or a small top-k over it.
+Its sections come from two aggregates, each over the columns that it reads alone:
+one row of counts for what is found in descriptions (experience classes, skills,
+salaries) and the totals, and counts by (section, key) for titles, companies,
+locations and job types. Every report below is a filter or a small top-k over it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens import vocab as V
-from postlens.functions.text import UNICODE, anchored_pattern, first_contains_label, first_regex_label
+from postlens.functions.dictionary import MAX_CONTAINS
+from postlens.functions.text import UNICODE, anchored_pattern, first_contains_label, first_regex_label, literal_array
 from postlens.functions.numeric import py_round
 from postlens.operators import nlp as N
 from postlens.operators import trends as T
@@ -56,35 +57,38 @@ def full_analysis(postings: DataFrame, top_n: int = 15, terms: Sequence[str] = V
     if text_job_types:  # no column: the six description classes, multi-label (C9)
         postings = postings.withColumn("job_type", F.lit(None).cast("string"))
     salary_col = next((c for c in SALARY_COLUMNS if c in postings.columns), None)
-    staged = postings.select("title", "company", "location", "job_type", "description",
+    staged = postings.select("title", "description",
                              (F.col(salary_col).isNotNull().cast("int") if salary_col else F.lit(0)).alias("_paid"),
                              F.lower("description").alias("_low"),
                              F.lower(F.concat(F.coalesce("description", F.lit("")), F.lit(" "),
-                                              F.coalesce("title", F.lit("")))).alias("_dt"),
-                             F.lower("title").alias("_tl"))
-    extra_cols = []
-    if extras:  # C10 market roles and C11 experience demand in the same pass (market insights)
-        extra_cols = [
-            F.when(F.col("title").isNotNull() & (F.col("title") != ""),
-                   first_contains_label(F.col("_tl"), [(kw, c) for c, kw in V.MARKET_ROLE_CATEGORIES], None))
-            .alias("market_role"),
-            first_contains_label(F.col("_dt"), [(kw, l) for l, kw in V.EXPERIENCE_DEMAND_KEYWORDS], None)
-            .alias("exp_demand"),
-        ]
+                                              F.coalesce("title", F.lit("")))).alias("_dt"))
     x = staged.select(
-        "title", "company", "location", "job_type",
-        F.when(F.col("description").isNotNull(), first_regex_label(F.col("_low"), exp_rules, None))
-        .alias("experience"),
+        "_low", F.when(F.col("description").isNotNull(), first_regex_label(F.col("_low"), exp_rules, None)).alias("experience"),
         (F.col("_paid") if salary_col else
          F.size(F.regexp_extract_all(F.coalesce("description", F.lit("")), F.lit("(?i)" + UNICODE + anchored_pattern(V.SALARY_TEXT_PATTERN)), 0)))
-        .alias("_sal"), substring_skills_col(F.col("description"), terms).alias("_skills"), *extra_cols)
+        .alias("_sal"),
+        (first_contains_label(F.col("_dt"), [(kw, l) for l, kw in V.EXPERIENCE_DEMAND_KEYWORDS], None) if extras else F.lit(None)).alias("exp_demand"))
+    # What is found in texts falls into classes known beforehand: one count per class, no row per class and posting.
+    closed = [("_jobs", "", F.count(F.lit(1))), ("_salary", "", F.sum("_sal"))]
+    closed += [(SECTIONS["experience"], l, F.count_if(F.col("experience") == l)) for _, l in exp_rules]
+    closed += [(EXTRA_SECTIONS["exp_demand"], l, F.count_if(F.col("exp_demand") == l)) for l, _ in V.EXPERIENCE_DEMAND_KEYWORDS] if extras else []
+    short = len(terms) <= MAX_CONTAINS
+    closed += [("skills", t, F.count_if(F.col("_low").contains(t.lower()))) for t in sorted({t for t in terms if t})] if short else []
+    cells = [F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), F.col(f"_{i}").cast("bigint").alias("value")) for i, (section, key, _) in enumerate(closed)]
+    counts = x.agg(*[c.alias(f"_{i}") for i, (_, _, c) in enumerate(closed)]).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    g = counts.where((F.col("value") > 0) | F.col("section").isin("_jobs", "_salary"))
+    if not short:
+        found = postings.select(F.explode(substring_skills_col(F.col("description"), terms)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("value"))
+        g = g.unionByName(found.select(F.lit("skills").alias("section"), "key", "value"))
+    # The fields' own values are open-ended: one narrow row per posting and field, partial sums before the shuffle.
+    fields = {name: F.col(c) for c, name in SECTIONS.items() if c != "experience"}
+    if extras:  # C10 market roles and C11 experience demand in the same passes (market insights)
+        fields[EXTRA_SECTIONS["market_role"]] = F.when(F.col("title").isNotNull() & (F.col("title") != ""), first_contains_label(
+            F.lower("title"), [(kw, c) for c, kw in V.MARKET_ROLE_CATEGORIES], None))
+    rows = postings.select(F.posexplode(F.array(*[c.cast("string") for c in fields.values()])).alias("nth", "key")).where(F.col("key").isNotNull())
+    own = rows.groupBy("nth", "key").agg(F.count(F.lit(1)).alias("value"))
+    g = g.unionByName(own.select(F.element_at(literal_array(list(fields)), F.col("nth") + 1).alias("section"), "key", "value"))
     sections = dict(SECTIONS, **(EXTRA_SECTIONS if extras else {}))
-    # One row per posting and section with that section's key alone: one scan, narrow rows, partial sums before the shuffle.
-    one = lambda section, key, n: F.struct(F.lit(section).alias("section"), key.alias("key"), n.cast("bigint").alias("n"))
-    single = [F.when(F.col(c).isNotNull(), one(name, F.col(c), F.lit(1))) for c, name in sections.items()]
-    single += [one("_jobs", F.lit(""), F.lit(1)), one("_salary", F.lit(""), F.col("_sal"))]
-    rows = F.concat(F.array_compact(F.array(*single)), F.transform("_skills", lambda t: one("skills", t, F.lit(1))))
-    g = x.select(F.explode(rows).alias("r")).groupBy("r.section", "r.key").agg(F.sum("r.n").alias("value"))
     # Kept once in the shared folder (a row per distinct key): every section below reads it.
     g = cut_lineage(g)
     by_key = g.where(F.col("section").isin(list(sections.values()))).select("section", "key", "value")
